@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylog.llm import decontaminate, flac, mixing, substring
+from quarrylog.llm import decontaminate, extract, flac, language, mixing, quality, substring, toxicity
+from quarrylog.llm._ops import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,15 +83,42 @@ FROM ordered o LEFT JOIN stop s ON o.source IS NOT DISTINCT FROM s.source LEFT J
 """
 
 
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = docs.filter(F.coalesce(crc_mod(docs["doc_id"], 4) != 2, F.lit(False)))
+    sample = language.training_sample(learned, "doc_id", "text", "lang")
+    model = language.fit([t for t, _ in sample], [y for _, y in sample])
+    held_out = docs.withColumn("held_out", F.coalesce(crc_mod(docs["doc_id"], 4) == 2, F.lit(False)))
+    return language.predict(held_out, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.encode(_table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_extract_html": op4_extract_html,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op9_flac_media": op9_flac_media,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
