@@ -26,8 +26,8 @@ from quarrylog.llm._ops import arrow_map, pick
 from quarrylog.llm._text import chunks
 
 ORDER = 5
-SAMPLE_TEXTS = 6000
-SAMPLE_BYTES = 12 << 20
+SAMPLE_TEXTS = 3000
+SAMPLE_BYTES = 4 << 20
 #: Letters with symbols of their own.
 ALPHABET = 62
 #: Every so many sampled texts is kept for calibration.
@@ -204,17 +204,17 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     back = [hashed(c, w, _BITS * (i + 1)) for i, (c, w) in enumerate(zip(contexts, left, strict=True))]
     model = Model(languages, symbols, [m[0] for m in main], [m[1] for m in main], [b[0] for b in back], [b[1] for b in back], np.zeros(len(languages)), np.zeros(len(languages)))
     # Entropy of the calibration texts in their own language (of all texts where a language has none).
-    bits = -model.log2(code)
     size = np.diff(at)
     for k in range(len(languages)):
         rows = held & (label == k) & (size > 0)
-        rows = rows if rows.any() else (label == k) & (size > 0)
-        own = bits[:, k]
-        means = np.array([own[at[i] : at[i + 1]].mean() for i in np.flatnonzero(rows)])
-        lengths = size[rows]
-        spread = np.std(np.concatenate([own[at[i] : at[i + 1]] for i in np.flatnonzero(rows)][:500])) if rows.any() else 1.0
-        long = lengths >= min(200, lengths.max(initial=0))
-        model.spread[k], model.limit[k] = spread, (means[long].max() if long.any() else 8.0) + MARGIN_BITS
+        rows = np.flatnonzero(rows if rows.any() else (label == k) & (size > 0))
+        own = [-model.log2(code[at[i] : at[i + 1]])[:, k] for i in rows.tolist()]
+        if not own:
+            model.limit[k], model.spread[k] = 8.0 + MARGIN_BITS, 1.0
+            continue
+        means, lengths = np.array([o.mean() for o in own]), size[rows]
+        model.spread[k] = np.std(np.concatenate(own[:500]))
+        model.limit[k] = means[lengths >= min(200, lengths.max())].max() + MARGIN_BITS
     return model
 
 

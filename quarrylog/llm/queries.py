@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import decontaminate, extract, flac, language, mixing, quality, substring, toxicity
+from quarrylog.llm import decontaminate, extract, flac, jaccard, language, mixing, quality, substring, toxicity
 from quarrylog.llm._ops import crc_mod
 
 
@@ -101,6 +101,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(held_out, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x
+  FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * n_both >= 85 * (p.n + q.n - n_both)),
+reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM words
+  UNION
+  SELECT reach.v, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT v AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes ON v = doc_id GROUP BY v
+"""
+
+
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.encode(_table(spark, sf_dir, "documents")))
 
@@ -117,6 +141,7 @@ QUERIES = {
     "op4_extract_html": op4_extract_html,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_flac_media": op9_flac_media,
     "op10_quality": op10_quality,
 }
@@ -124,4 +149,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
