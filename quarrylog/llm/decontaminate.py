@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm._ops import arrow_map, pick
@@ -30,6 +30,7 @@ WINDOW = 10
 SHARD_BYTES = 1 << 21
 #: Suffix positions kept in a shard: those divisible by this.
 SAMPLE = 8
+SPANS = "array<struct<first_word:long,end_word:long,begin:long,end:long>>"
 #: Benchmark text a pass searches for at once; a larger benchmark takes several passes over the texts.
 PASS_BYTES = 8 << 20
 
@@ -219,8 +220,8 @@ def _passes(benchmark: DataFrame, item: str, text: str, pass_bytes: int) -> int:
     return max(1, -(-size // pass_bytes))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, keep_text: bool = False) -> DataFrame:
-    """For each row of docs: (key, n_words, hit_spans, item_ids), and text with keep_text.
+def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of docs: (key, n_words, hit_spans, item_ids, *carry).
 
     hit_spans: merged spans of words inside any occurrence, as word positions and as byte offsets [begin, end) of the text;
     adjacent and overlapping spans are one. item_ids: the items (as strings, sorted) that have an occurring window.
@@ -228,14 +229,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """
     bench = pick(benchmark, item=benchmark[item].cast("string"), text=item_text)
     n = _passes(bench, "item", "text", pass_bytes)
-    out = pick(docs, key=key, text=text).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast("array<struct<first_word:long,end_word:long,begin:long,end:long>>"), "item_ids": F.lit(None).cast("array<string>")})
+    kept = {f"c{i}": c for i, c in enumerate(carry) if c != text}
+    out = pick(docs, key=key, text=text, **kept).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast(SPANS), "item_ids": F.lit(None).cast("array<string>")})
     for block in range(n):
         items = [tuple(r) for r in bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block).collect()]
-        out = _search(out, Patterns(items, window), keep_text or block < n - 1)
-    return out.withColumnsRenamed({"key": key, "text": text})
+        out = _search(out, Patterns(items, window), text in carry or block < n - 1, list(kept))
+    return out.withColumnsRenamed({"key": key, "text": text, **kept})
 
 
-def _search(work: DataFrame, patterns: Patterns, keep_text: bool) -> DataFrame:
+def _search(work: DataFrame, patterns: Patterns, keep_text: bool, kept: list[str]) -> DataFrame:
     """Adds one block's occurrences to those of earlier blocks."""
     ids = np.array(patterns.ids, object)
 
@@ -265,22 +267,28 @@ def _search(work: DataFrame, patterns: Patterns, keep_text: bool) -> DataFrame:
                 new = {x for x in ids[pairs[edges[i] : edges[i + 1], 1]] if x is not None}
                 all_items[i] = sorted(new | set(old_items[a + i].as_py() or ()))
             kind = batch.schema.field("hit_spans").type
-            yield {"key": keys.slice(a, b - a), "text": texts.slice(a, b - a), "n_words": np.diff(first), "hit_spans": pa.array(all_spans, kind), "item_ids": pa.array(all_items, pa.list_(pa.string()))}
+            yield {"key": keys.slice(a, b - a), "text": texts.slice(a, b - a), "n_words": np.diff(first), "hit_spans": pa.array(all_spans, kind), "item_ids": pa.array(all_items, pa.list_(pa.string())), **{k: batch.column(k).slice(a, b - a) for k in kept}}
 
     return arrow_map(work, run, work.schema if keep_text else work.drop("text").schema)
 
 
+def n_hit() -> Column:
+    """Words inside the spans."""
+    return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The counts of `hits`: (key, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end_word"] - s["first_word"])
-    return found.select(key, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def cut(text: bytes, spans: list[tuple[int, int]]) -> str:
-    """Text without the byte spans, each cut leaving one space between what it parts."""
-    parts, at = [], 0
-    for begin, end in spans:
-        parts.append(text[at:begin].rstrip(b" ") if at == 0 or begin > at else b"")
-        at = end
-    parts.append(text[at:].lstrip(b" ") if spans else text[at:])
-    return b" ".join(p for p in parts if p).decode("utf-8", "replace")
+    return found.select(key, "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
+
+
+def cut_spans(found: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of `hits` (with the text carried) with the spans cut out of the text, and (n_hit, cut: whether there were any)."""
+    parts = F.transform("hit_spans", lambda s, i: F.struct(F.when(i > 0, F.get(F.col("hit_spans"), i - 1)["end"]).otherwise(0).alias("a"), s["begin"].alias("b")))
+    raw = F.col(text).cast("binary")
+    piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int"))
+    last = F.element_at("hit_spans", -1)["end"]
+    pieces = F.concat(F.transform(parts, lambda p: piece(p["a"], p["b"])), F.array(piece(last, F.octet_length(text))))
+    cut = F.size("hit_spans") > 0
+    joined = F.aggregate(pieces, F.lit(b""), lambda so_far, p: F.concat(so_far, p)).cast("string")
+    return found.withColumns({"cut": cut, "n_hit": n_hit(), text: F.when(cut, joined).otherwise(F.col(text))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import decontaminate, extract, flac, jaccard, language, mixing, quality, substring, toxicity
+from quarrylog.llm import chat, decontaminate, extract, flac, jaccard, language, mixing, quality, substring, toxicity
 from quarrylog.llm._ops import crc_mod
 
 
@@ -101,6 +101,39 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(held_out, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = chat.conversations(_table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.preference(chat.swapped_pairs(talks), key="conv_id"), "conv_id")
+
+
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS shown
+  FROM conversations),
+talks AS (
+  SELECT conv_id, coalesce(max(i) FILTER (WHERE role = 'assistant'), 0) AS last_at, count(*) AS n, max_by(text, i) FILTER (WHERE role = 'assistant') AS answer
+  FROM turns GROUP BY conv_id),
+pairs AS (
+  SELECT t.conv_id, CASE WHEN t.last_at > 0 THEN t.last_at ELSE t.n END AS upto, t.last_at, t.answer, p.answer AS other,
+         CASE WHEN t.last_at > 0 AND p.answer = t.answer THEN 1 ELSE 0 END AS same
+  FROM talks t LEFT JOIN talks p ON p.conv_id = xor(t.conv_id, 1)),
+prompts AS (
+  SELECT p.conv_id, coalesce(string_agg(shown, '' ORDER BY i), '') AS prompt
+  FROM pairs p LEFT JOIN turns t ON t.conv_id = p.conv_id AND t.i <= p.upto - 1 + p.same GROUP BY p.conv_id),
+ends AS (
+  SELECT p.*, CASE WHEN p.same = 1 THEN '' ELSE t.shown END AS chosen,
+         CASE WHEN p.same = 1 OR p.last_at = 0 OR other IS NULL THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected
+  FROM pairs p JOIN turns t ON t.conv_id = p.conv_id AND t.i = p.upto)
+SELECT conv_id, (upto - 1 + same)::INTEGER AS prompt_turns, length(prompt)::INTEGER AS prompt_chars, sha256(prompt) AS prompt_sha256,
+       sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256,
+       CASE WHEN last_at > 0 AND same = 0 THEN '14-' || (21 + length(answer)) ELSE '' END AS chosen_spans,
+       CASE WHEN rejected <> '' THEN '14-' || (21 + length(other)) ELSE '' END AS rejected_spans, same = 1 AS tied
+FROM ends JOIN prompts USING (conv_id)
+"""
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -141,6 +174,7 @@ QUERIES = {
     "op4_extract_html": op4_extract_html,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_preference_format": op7_preference_format,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_flac_media": op9_flac_media,
     "op10_quality": op10_quality,
@@ -149,5 +183,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op3_mix_sources": OP3_SQL,
+    "op7_preference_format": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
 }
