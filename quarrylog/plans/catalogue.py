@@ -1,4 +1,550 @@
 """Registry of the named queries and of the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylog.functions import text, times
+from quarrylog.operators import dashboards, filters, lines, summaries, sysinfo, views, web
+from quarrylog.plans import logviews as V
+from quarrylog.plans.logviews import rendered, stamp, table
+from quarrylog.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None, views_: bool = True):
+    """Registers a query and its SQL (over the log views unless views_ is false)."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql is not None:
+            ORACLES[key] = (V.SQL_VIEWS if views_ else "") + sql
+        return fn
+
+    return add
+
+
+# --- log-in dashboards -------------------------------------------------------------------------------------------
+
+_ATTACK = "event_type IN ('sshd_failed_password', 'sshd_invalid_user', 'sshd_max_auth')"
+_WON = "event_type IN ('sshd_accepted_password', 'sshd_accepted_publickey')"
+
+
+@query("SELECT count(*) AS total, min(date_time) AS first_dt, max(date_time) AS last_dt, count(DISTINCT event_type) AS type_count FROM v_auth")
+def auth_overview(spark, d):
+    a = V.auth(spark, d)
+    return a.agg(*dashboards.overview(a, {"type_count": "event_type"}))
+
+
+@query("SELECT event_type AS type, count(*) AS cnt FROM v_auth GROUP BY ALL ORDER BY cnt DESC, type LIMIT 20")
+def auth_event_dist(spark, d):
+    return dashboards.authlog(V.auth(spark, d)).lists["event_dist"]
+
+
+@query("SELECT event_type AS type, count(*) AS cnt FROM v_auth GROUP BY ALL")
+def auth_all_types(spark, d):
+    return dashboards.authlog(V.auth(spark, d)).lists["all_types"]
+
+
+@query("""
+SELECT count(*) FILTER (event_type = 'sshd_accepted_password') AS accepted_password, count(*) FILTER (event_type = 'sshd_accepted_publickey') AS accepted_publickey,
+       count(*) FILTER (event_type = 'sshd_failed_password') AS failed_password, count(*) FILTER (event_type = 'sshd_invalid_user') AS invalid_user, count(*) FILTER (event_type = 'sshd_max_auth') AS max_auth,
+       count(*) FILTER (event_type = 'sshd_session_opened') AS session_opened, count(*) FILTER (event_type = 'sudo_command') AS sudo_count, count(*) FILTER (event_type IN ('su_to', 'su_session_opened')) AS su_count
+FROM v_auth""")
+def auth_ssh_stats(spark, d):
+    return V.auth(spark, d).agg(*dashboards.auth_counts())
+
+
+def _auth_list(key: str, column: str, where: str) -> None:
+    @query(f'SELECT "{column}", count(*) AS cnt FROM v_auth WHERE "{column}" <> \'\' AND {where} GROUP BY ALL ORDER BY cnt DESC, "{column}" LIMIT 5', name=f"auth_{key}")
+    def run(spark, d):
+        return dashboards.authlog(V.auth(spark, d)).lists[key]
+
+
+for _key, _column, _where in (
+    ("top_attack_ips", "src_ip", _ATTACK), ("top_success_ips", "src_ip", _WON), ("top_users", "user", _WON),
+    ("top_fail_users", "user", "event_type IN ('sshd_failed_password', 'sshd_invalid_user')"), ("top_sudo_users", "user", "event_type = 'sudo_command'"),
+):
+    _auth_list(_key, _column, _where)
+
+
+@query(f"SELECT src_ip, \"user\", replace(event_type, 'sshd_accepted_', '') AS auth_method, min(date_time) AS first_dt, max(date_time) AS last_dt, count(*) AS cnt FROM v_auth WHERE {_WON} GROUP BY ALL")
+def auth_login_summary(spark, d):
+    return summaries.logins(V.auth(spark, d))
+
+
+@query(f"""
+SELECT src_ip, count(*) AS total, count(*) FILTER ({_WON}) AS success_count, count(*) FILTER ({_ATTACK}) AS fail_count, min(date_time) AS first_dt, max(date_time) AS last_dt
+FROM v_auth WHERE {_WON} OR {_ATTACK} GROUP BY src_ip HAVING fail_count > 0""")
+def auth_attack_ip_summary(spark, d):
+    return summaries.attack_ips(V.auth(spark, d))
+
+
+@query("SELECT \"user\", detail AS command, min(date_time) AS first_dt, max(date_time) AS last_dt, count(*) AS cnt FROM v_auth WHERE event_type = 'sudo_command' GROUP BY ALL")
+def auth_sudo_summary(spark, d):
+    return summaries.sudo_commands(V.auth(spark, d))
+
+
+@query("SELECT substr(min(date_time), 1, 10) AS first_day, substr(max(date_time), 1, 10) AS last_day FROM v_auth")
+def date_range(spark, d):
+    return views.date_range(V.auth(spark, d))
+
+
+@query("""
+SELECT 'authlog' AS log, min(date_time) AS first_dt, max(date_time) AS last_dt, count(*) AS total, NULL::BIGINT AS file_count FROM v_auth
+UNION ALL SELECT 'apache2', min(date_time), max(date_time), count(*), NULL FROM v_web
+UNION ALL SELECT 'apache2_error', min(date_time), max(date_time), count(*), NULL FROM v_weberr""")
+def log_summary(spark, d):
+    return summaries.logs({"authlog": V.auth(spark, d)} | V.web_tables(spark, d))
+
+
+# --- web dashboards and addresses --------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS total, min(date_time) AS first_dt, max(date_time) AS last_dt, count(DISTINCT src_ip) AS ip_count, count(DISTINCT uri) AS uri_count FROM v_web")
+def web_overview(spark, d):
+    w = V.web(spark, d)
+    return w.agg(*dashboards.overview(w, {"ip_count": "src_ip", "uri_count": "uri"}))
+
+
+@query("SELECT count(*) FILTER (status // 100 = 2) AS s2xx, count(*) FILTER (status // 100 = 3) AS s3xx, count(*) FILTER (status // 100 = 4) AS s4xx, count(*) FILTER (status // 100 = 5) AS s5xx FROM v_web")
+def web_status_class(spark, d):
+    return V.web(spark, d).agg(*dashboards.status_classes())
+
+
+def _web_list(key: str, column: str, where: str, n: int | None) -> None:
+    limit = f'ORDER BY cnt DESC, "{column}" LIMIT {n}' if n else ""
+
+    @query(f'SELECT "{column}", count(*) AS cnt FROM v_web WHERE {where} GROUP BY ALL {limit}', name=f"web_{key}")
+    def run(spark, d):
+        return dashboards.apache2(V.web(spark, d)).lists[key]
+
+
+for _key, _column, _where, _n in (
+    ("status_dist", "status", "true", 20), ("method_dist_200", "method", "status = 200 AND method <> ''", None), ("top_uri_200", "uri", "status = 200", 10),
+    ("top_ips", "src_ip", "src_ip <> ''", 5), ("top_err_ips", "src_ip", "status >= 400 AND src_ip <> ''", 5), ("vhosts", "vhost", "vhost <> ''", 10),
+):
+    _web_list(_key, _column, _where, _n)
+
+_ALL_IPS = "(SELECT src_ip AS ip FROM v_web UNION ALL SELECT client_ip FROM v_weberr)"
+
+
+@query(f"SELECT ip, count(*) AS cnt FROM {_ALL_IPS} WHERE ip NOT IN ('', '-', '?', '0.0.0.0') GROUP BY ip")
+def web_ips_union(spark, d):
+    return web.ips(V.web_tables(spark, d))
+
+
+def _cidr(key: str, parts: int, suffix: str) -> None:
+    pattern = r"^(\d+\.\d+\.\d+)\." if parts == 3 else r"^(\d+\.\d+)\."
+
+    @query(f"SELECT regexp_extract(ip, '{pattern}', 1) || '{suffix}' AS cidr, sum(cnt)::BIGINT AS cnt, count(*) AS ip_count FROM (SELECT ip, count(*) AS cnt FROM {_ALL_IPS} GROUP BY ip) GROUP BY cidr", name=f"web_cidr_{key}")
+    def run(spark, d):
+        return web.networks(web.ips(V.web_tables(spark, d)), parts)
+
+
+_cidr("c", 3, ".0/24")
+_cidr("b", 2, ".0.0/16")
+
+
+@query(f"""
+SELECT ip, cnt, round(100 * cnt / max(cnt) OVER ())::INTEGER AS share FROM (
+  SELECT ip, count(*) AS cnt FROM {_ALL_IPS} WHERE ip LIKE '%.1.1%' GROUP BY ip) ORDER BY cnt DESC, ip LIMIT 1000""")
+def web_ip_list(spark, d):
+    return web.ip_list(web.ips(V.web_tables(spark, d)), ".1.1")
+
+
+_RECORDS = """
+SELECT 'apache2' AS source, date_time, src_ip AS ip, status, method, uri, user_agent FROM v_web WHERE {0}
+UNION ALL SELECT 'apache2_error', date_time, client_ip, NULL, NULL, NULL, NULL FROM v_weberr WHERE {1}"""
+_SORTED = "ORDER BY date_time, source, ip, status NULLS FIRST, method NULLS FIRST, uri NULLS FIRST"
+
+
+@query(f"SELECT * FROM ({_RECORDS.format("src_ip LIKE '10.1.%'", "client_ip LIKE '10.1.%'")}) {_SORTED} LIMIT 100")
+def web_records_prefix(spark, d):
+    return web.records_page(V.web_tables(spark, d), "10.1.", prefix=True).rows
+
+
+@query(_RECORDS.format("src_ip = '10.1.1.18'", "client_ip = '10.1.1.18'"))
+def web_records_exact(spark, d):
+    return web.records(V.web_tables(spark, d), "10.1.1.18")
+
+
+@query(f"SELECT * FROM ({_RECORDS.format("src_ip LIKE '10.1.%'", "client_ip LIKE '10.1.%'")}) WHERE method LIKE '%GET%' AND uri NOT LIKE '%/p/1%' {_SORTED} LIMIT 100 OFFSET 100")
+def web_records_filtered(spark, d):
+    return web.records_page(V.web_tables(spark, d), "10.1.", prefix=True, number=1, columns={"method": "get", "uri": "!/p/1"}).rows
+
+
+# --- filters and pages -------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT * FROM v_auth WHERE date_time >= '2024-01-05 00:00:00' AND date_time <= '2024-01-20 23:59:59.999' AND event_type IN ('sshd_failed_password', 'sshd_invalid_user') AND "user" LIKE '%u1%' AND src_ip <> '10.1.1.2'
+ORDER BY date_time, id LIMIT 100""")
+def page_filtered(spark, d):
+    return views.page(V.auth(spark, d), first="2024-01-05", last="2024-01-20", types=["sshd_failed_password", "sshd_invalid_user"], columns={"user": "U1", "src_ip": "!10.1.1.2\t", "nothing": "x"}).rows
+
+
+@query("""SELECT * FROM v_auth ORDER BY "user" DESC, id LIMIT 50 OFFSET 100""")
+def page_sorted(spark, d):
+    return views.page(V.auth(spark, d), number=2, size=50, sort="user", descending=True).rows
+
+
+@query("SELECT * FROM v_web WHERE status = 200 AND method IN ('PUT', 'POST') ORDER BY date_time, id LIMIT 100")
+def page_status_method(spark, d):
+    return views.page(V.web(spark, d), status=200, methods=["PUT", "POST"]).rows
+
+
+def _search(key: str, view: str, raw: str, condition: str) -> None:
+    @query(f"SELECT * FROM {view} WHERE {condition}", name=key)
+    def run(spark, d):
+        return filters.filtered(V.auth(spark, d) if view == "v_auth" else V.web(spark, d), search=raw)
+
+
+_any = lambda columns, test: "(" + " OR ".join(f'lower("{c}"::VARCHAR) {test}' for c in columns) + ")"
+_A, _W = ["id", "date_time", "event_type", "user", "src_ip", "detail"], ["id", "date_time", "src_ip", "method", "uri", "status", "vhost", "user_agent"]
+_search("search_contains", "v_auth", "Invalid", _any(_A, "LIKE '%invalid%'"))
+_search("search_exact", "v_auth", "=u7 !publickey", "(" + " OR ".join(f"\"{c}\"::VARCHAR = 'u7'" for c in _A) + f") AND NOT {_any(_A, "LIKE '%publickey%'")}")
+_search("search_quoted", "v_auth", "\"2024-01-02 0\" 'failed_pass", f"{_any(_A, "LIKE '%2024-01-02 0%'")} AND {_any(_A, "LIKE '%failed_pass%'")}")
+_search("search_wildcard", "v_auth", "u1_5 10.%.1.", f"{_any(_A, "LIKE '%u1_5%'")} AND {_any(_A, "LIKE '%10.%.1.%'")}")
+_search("search_exclude_null", "v_web", "!nothing", "(" + " AND ".join(f"\"{c}\"::VARCHAR NOT LIKE '%nothing%'" for c in _W) + ")")
+
+
+@query("SELECT * FROM v_web WHERE method NOT LIKE '%GET%' AND uri LIKE '%/p/3%'")
+def column_filters(spark, d):
+    return filters.filtered(V.web(spark, d), columns={"method": "!get", "uri": "/P/3"})
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE lower(p_name) LIKE '%1%' AND p_brand <> 'Brand#11' AND lower(p_brand) LIKE '%brand#1%'", views_=False)
+def search_part(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    return filters.filtered(p, columns={"p_name": "1", "p_brand": "BRAND#1 !brand#11"})
+
+
+@query("""
+, found AS (
+  SELECT 'authlog' AS table_name, to_json({'id': id, 'date_time': date_time, 'event_type': event_type, 'user': "user", 'src_ip': src_ip, 'detail': detail})::VARCHAR AS row FROM v_auth WHERE concat_ws(chr(1), id, date_time, event_type, "user", src_ip, detail) LIKE '%999%'
+  UNION ALL SELECT 'apache2', to_json({'id': id, 'src_ip': src_ip, 'uri': uri})::VARCHAR FROM v_web WHERE concat_ws(chr(1), id, src_ip, uri) LIKE '%999%')
+SELECT table_name, total, (n - 1)::INTEGER AS place, row FROM (SELECT *, count(*) OVER (PARTITION BY table_name) AS total, row_number() OVER (PARTITION BY table_name ORDER BY row) AS n FROM found) WHERE n <= 20""")
+def global_search(spark, d):
+    return views.global_search({"authlog": V.auth(spark, d), "apache2": V.web(spark, d).select("id", "src_ip", "uri")}, "999")
+
+
+# --- other dashboards --------------------------------------------------------------------------------------------
+
+
+def _breakdown(key: str, columns: list[str], sql: str, make: Callable[[SparkSession, str], DataFrame]) -> None:
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, \"{c}\"::VARCHAR AS val FROM {sql}" for c in columns)
+
+    @query(f"SELECT column_name, val, cnt FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, val) AS n FROM (SELECT column_name, val, count(*) AS cnt FROM ({parts}) WHERE val <> '' GROUP BY ALL)) WHERE n <= 8", name=f"generic_breakdown_{key}")
+    def run(spark, d):
+        df = make(spark, d)
+        return dashboards.breakdown(df, columns if key in ("orders", "lineitem") else None)
+
+
+_breakdown("auth", ["event_type", "src_ip", "user"], "v_auth", lambda s, d: V.auth(s, d))
+_breakdown("web", ["status", "src_ip", "method", "vhost"], "v_web", lambda s, d: V.web(s, d))
+_breakdown("orders", ["o_orderstatus", "o_orderpriority"], "orders", lambda s, d: table(s, d, "orders"))
+_breakdown("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber"], "lineitem", lambda s, d: table(s, d, "lineitem"))
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (lower(text) LIKE '%{w}%') AS {n}" for n, w in dashboards.KEYWORDS.items()) + " FROM documents", views_=False)
+def keyword_counts(spark, d):
+    return table(spark, d, "documents").agg(*dashboards.keyword_counts(F.col("text")))
+
+
+_AUDIT_KIND = "CASE event_type WHEN 'click' THEN 'USER_AUTH' WHEN 'view' THEN 'USER_LOGIN' WHEN 'purchase' THEN 'USER_CMD' WHEN 'error' THEN 'USER_ERR' ELSE 'SYSCALL' END"
+
+
+def _audit_lines(spark, d):
+    kind = F.expr(_AUDIT_KIND)
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    inner = F.concat(F.lit('op=login acct="'), user, F.lit('" exe="/usr/sbin/sshd" hostname=h addr='), F.col("ip"), F.lit(" terminal=ssh res="), F.when(F.col("event_type") == "error", "failed").otherwise("success"), F.lit(" cmd="), F.hex(F.encode(F.concat(F.lit("ls /"), user), "UTF-8")))
+    line = F.concat(F.lit("type="), kind, F.lit(" msg=audit("), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(".123:"), F.col("event_id").cast("string"), F.lit("): pid="), F.col("event_id").cast("string"), F.lit(" uid=0 auid="), F.col("user_id").cast("string"), F.lit(" ses=4 res=yes msg='"), inner, F.lit("'"))
+    return rendered(spark, d, line, "audit.log")
+
+
+def _audit(spark, d):
+    return lines.audit(_audit_lines(spark, d))
+
+
+@query(f"""
+SELECT {_AUDIT_KIND} AS type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123' AS date_time, event_id AS sequence, event_id::VARCHAR AS pid, user_id::VARCHAR AS auid, 'yes' AS body_res,
+       '"u' || user_id || '"' AS acct, ip AS addr, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS msg_res, 'ls /u' || user_id AS cmd, 'login' AS op FROM base""")
+def parse_audit(spark, d):
+    return _audit(spark, d).select("type", "date_time", "sequence", "pid", "auid", "body_res", "acct", "addr", "msg_res", "cmd", "op")
+
+
+@query(f"""
+, a AS (SELECT {_AUDIT_KIND} AS type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123' AS date_time FROM base)
+SELECT count(*) AS total, min(date_time) AS first_dt, max(date_time) AS last_dt, count(DISTINCT type) AS type_count, count(*) FILTER (type = 'USER_AUTH') AS auth, count(*) FILTER (type = 'USER_LOGIN') AS login,
+       count(*) FILTER (type = 'USER_ERR') AS err, 0::BIGINT AS start, 0::BIGINT AS "end", 0::BIGINT AS execve, count(*) FILTER (type = 'USER_CMD') AS user_cmd, 0::BIGINT AS avc_count, 0::BIGINT AS fail_count, 0::BIGINT AS syscall_fail FROM a""")
+def audit_counts(spark, d):
+    return dashboards.audit(_audit(spark, d)).scalars
+
+
+@query("SELECT ip AS addr, count(*) AS cnt FROM base WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL ORDER BY cnt DESC, addr LIMIT 5")
+def audit_top_ips(spark, d):
+    return dashboards.audit(_audit(spark, d)).lists["top_ips"]
+
+
+@query("SELECT '\"u' || user_id || '\"' AS acct, count(*) AS cnt FROM base WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL ORDER BY cnt DESC, acct LIMIT 5")
+def audit_top_accts(spark, d):
+    return dashboards.audit(_audit(spark, d)).lists["top_accts"]
+
+
+@query("SELECT ip AS addr, '\"u' || user_id || '\"' AS acct, 'success' AS result, min(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123') AS first_dt, max(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123') AS last_dt, count(*) AS cnt FROM base WHERE event_type IN ('click', 'view') GROUP BY ALL")
+def audit_login_summary(spark, d):
+    return summaries.audit_logins(_audit(spark, d))
+
+
+@query("SELECT user_id::VARCHAR AS auid, 'ls /u' || user_id AS command, min(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123') AS first_dt, max(strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123') AS last_dt, count(*) AS cnt FROM base WHERE event_type = 'purchase' GROUP BY ALL")
+def audit_command_summary(spark, d):
+    return summaries.audit_commands(_audit(spark, d))
+
+
+# --- render a line, parse it, compare with the source ----------------------------------------------------------------
+
+
+
+def _user():
+    return F.concat(F.lit("u"), F.col("user_id").cast("string"))
+
+
+def _port():
+    return (F.col("event_id") + 1024).cast("string")
+
+
+def _pid():
+    return F.col("event_id").cast("string")
+
+
+def _auth_message():
+    kind = F.col("event_type")
+    tail = F.concat(F.lit(" from "), F.col("ip"), F.lit(" port "), _port(), F.lit(" ssh2"))
+    return (
+        F.when(kind == "click", F.concat(F.lit("Failed password for invalid user "), _user(), tail)).when(kind == "view", F.concat(F.lit("Accepted password for "), _user(), tail))
+        .when(kind == "purchase", F.concat(F.lit("Accepted publickey for "), _user(), tail)).when(kind == "error", F.concat(F.lit("Invalid user "), _user(), F.lit(" from "), F.col("ip"), F.lit(" port "), _port()))
+        .otherwise(F.concat(F.lit("Received disconnect from "), F.col("ip")))
+    )
+
+
+_AUTH_SQL = """
+SELECT {time} AS date_time, 'web01' AS hostname, 'sshd' AS service, event_id::VARCHAR AS pid,
+       CASE event_type WHEN 'click' THEN 'sshd_failed_password' WHEN 'view' THEN 'sshd_accepted_password' WHEN 'purchase' THEN 'sshd_accepted_publickey' WHEN 'error' THEN 'sshd_invalid_user' ELSE 'unknown' END AS event_type,
+       CASE event_type WHEN 'signup' THEN '' ELSE 'u' || user_id END AS "user", CASE event_type WHEN 'signup' THEN '' ELSE ip END AS src_ip, CASE event_type WHEN 'signup' THEN '' ELSE (event_id + 1024)::VARCHAR END AS port FROM base"""
+_AUTH_COLUMNS = ["date_time", "hostname", "service", "pid", "event_type", "user", "src_ip", "port"]
+
+
+@query(_AUTH_SQL.format(time="strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000'"))
+def parse_bsd_auth(spark, d):
+    line = F.concat(stamp("MMM d HH:mm:ss"), F.lit(" web01 sshd["), _pid(), F.lit("]: "), _auth_message())
+    return lines.authlog(rendered(spark, d, line, "auth.log")).select(*_AUTH_COLUMNS)
+
+
+@query(_AUTH_SQL.format(time="date_time"))
+def parse_iso_auth(spark, d):
+    line = F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+09:00 web01 sshd["), _pid(), F.lit("]: "), _auth_message())
+    return lines.authlog(rendered(spark, d, line, "auth.log").withColumn("format", F.lit(lines.ISO))).select(*_AUTH_COLUMNS)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS timestamp, 'web01' AS hostname, event_type AS service, '' AS pid, 'took ' || user_id || ': done' AS message FROM base")
+def parse_iso_syslog(spark, d):
+    line = F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z web01 "), F.col("event_type"), F.lit(": took "), F.col("user_id").cast("string"), F.lit(": done"))
+    return lines.syslog(rendered(spark, d, line, "syslog").withColumn("format", F.lit(lines.ISO))).select("timestamp", "hostname", "service", "pid", "message")
+
+
+_CRON_SQL = """
+, c AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS timestamp, 'CRON' AS process, (event_id // 2)::VARCHAR AS pid, 'u' || (event_id // 2 % 20) AS u, event_id, event_type FROM base)
+SELECT timestamp, process, pid, CASE WHEN event_type = 'error' THEN 'CMD' WHEN event_id % 2 = 0 THEN 'SESSION_OPEN' ELSE 'SESSION_CLOSE' END AS event_type, u AS "user", CASE WHEN event_type = 'error' THEN 'run ' || event_id ELSE '' END AS command, '' AS detail FROM c"""
+
+
+def _cron(spark, d):
+    user = F.concat(F.lit("u"), (F.floor(F.col("event_id") / 2) % 20).cast("string"))
+    session = lambda what: F.concat(F.lit(f"pam_unix(cron:session): session {what} for user "), user)
+    message = F.when(F.col("event_type") == "error", F.concat(F.lit("("), user, F.lit(") CMD (run "), _pid(), F.lit(")"))).when(F.col("event_id") % 2 == 0, session("opened")).otherwise(session("closed"))
+    line = F.concat(stamp("MMM d HH:mm:ss"), F.lit(" web01 CRON["), F.floor(F.col("event_id") / 2).cast("string"), F.lit("]: "), message)
+    return lines.cron(rendered(spark, d, line, "cron.log"))
+
+
+@query(_CRON_SQL)
+def parse_cron(spark, d):
+    return _cron(spark, d).select("timestamp", "process", "pid", "event_type", "user", "command", "detail")
+
+
+@query("""
+, c AS (SELECT ts::TIMESTAMP(0) AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, (event_id // 2) AS pid, 'u' || (event_id // 2 % 20) AS u, CASE WHEN event_id % 2 = 0 THEN 'SESSION_OPEN' ELSE 'SESSION_CLOSE' END AS kind FROM base WHERE event_type <> 'error'),
+n AS (SELECT *, lead(kind) OVER w AS next_kind, lead(s) OVER w AS next_s FROM c WINDOW w AS (PARTITION BY pid, u ORDER BY s, kind DESC)),
+k AS (SELECT u, CASE WHEN next_kind = 'SESSION_CLOSE' THEN epoch(next_s::TIMESTAMP) - epoch(s::TIMESTAMP) END AS took FROM n WHERE kind = 'SESSION_OPEN')
+SELECT u AS "user", count(*) AS exec_count, round(avg(took), 6) AS avg_seconds, sum(took) AS total_seconds FROM k GROUP BY u""")
+def cron_session_duration(spark, d):
+    return summaries.cron_jobs(_cron(spark, d)).withColumn("avg_seconds", F.round("avg_seconds", 6))
+
+
+@query("SELECT date_time, 'web01' AS hostname, '' AS pid, '[' || event_id || '.5] cpu up' AS message FROM base WHERE event_type <> 'signup'")
+def parse_kern(spark, d):
+    message = F.when(F.col("event_type") == "signup", "[UFW BLOCK] in").otherwise(F.concat(F.lit("["), _pid(), F.lit(".5] cpu up")))
+    line = F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00 web01 kernel: "), message, F.lit("  "))
+    return lines.kernlog(rendered(spark, d, line, "kern.log")).select("date_time", "hostname", "pid", "message")
+
+
+def _request():
+    method = F.when(F.col("event_id") % 5 == 0, "POST").otherwise("GET")
+    request = F.when(F.col("event_id") % 11 == 0, F.lit(r"\x16\x03 odd \"request\" with words")).otherwise(F.concat(method, F.lit(" /p/"), F.col("user_id").cast("string"), F.lit("?q="), _pid(), F.lit(" HTTP/1.1")))
+    size = F.when(F.col("event_id") % 7 == 0, "-").otherwise((F.col("event_id") * 10).cast("string"))
+    return F.concat(F.lit(" - - ["), stamp("dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0900] "'), request, F.lit('" '), F.when(F.col("event_type") == "error", "500").otherwise("200"), F.lit(" "), size)
+
+
+_ACCESS_SQL = """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS date_time, {vhost} ip AS src_ip, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method,
+       CASE WHEN event_id % 11 = 0 THEN 'x16x03 odd "request" with words' ELSE '/p/' || user_id || '?q=' || event_id END AS uri, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'HTTP/1.1' END AS protocol,
+       CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id * 10 END AS bytes_sent, '-' AS referer, {agent} AS user_agent {more} FROM base"""
+
+
+@query(_ACCESS_SQL.format(vhost="", agent="'Agent \"x\" ' || event_id", more=", 'x' || user_id AS xff"))
+def parse_nginx_access(spark, d):
+    line = F.concat(F.col("ip"), F.lit(", 10.9.9.9;"), _request(), F.lit(' "-" "Agent \\"x\\" '), _pid(), F.lit('" "x'), F.col("user_id").cast("string"), F.lit('"'))
+    line = F.regexp_replace(line, ", 10.9.9.9;", ",")
+    return lines.nginx(rendered(spark, d, line, "access.log")).drop("raw_line", "source_file")
+
+
+@query(_ACCESS_SQL.format(vhost="'v' || (event_id % 3) || '.example' AS vhost,", agent="'Agent (x) ' || event_id", more=""))
+def parse_apache_vhost(spark, d):
+    line = F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string"), F.lit(".example:443 "), F.col("ip"), _request(), F.lit(" - Agent (x) "), _pid())
+    return lines.apache2(rendered(spark, d, line, "other_vhosts_access.log.1")).drop("raw_line", "source_file")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS date_time, 'error' AS level, CASE WHEN event_id % 2 = 0 THEN 'core' ELSE 'php7' END AS module, CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id END::INTEGER AS pid, CASE WHEN event_id % 3 = 0 THEN '' ELSE ip END AS client_ip, 'File missing: /p/' || user_id AS message FROM base")
+def parse_apache_error(spark, d):
+    client = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("[client "), F.col("ip"), F.lit(":5"), _port(), F.lit("] ")))
+    message = F.concat(client, F.lit("File missing: /p/"), F.col("user_id").cast("string"))
+    new = F.concat(F.lit("["), stamp("EEE MMM dd HH:mm:ss.SSSSSS yyyy"), F.lit("] [php7:ERROR] [pid "), _pid(), F.lit("] "), message)
+    old = F.concat(F.lit("["), stamp("EEE MMM dd HH:mm:ss yyyy"), F.lit("] [error] "), message)
+    return lines.apache2_error(rendered(spark, d, F.when(F.col("event_id") % 2 == 0, old).otherwise(new), "error.log")).drop("raw_line", "source_file")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS date_time, 'warn' AS level, event_id::INTEGER AS pid, user_id::INTEGER AS tid, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END::INTEGER AS cid, ip AS client_ip, 'slow, client: ' || ip || ', server: _' AS message FROM base")
+def parse_nginx_error(spark, d):
+    cid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("*"), _pid(), F.lit(" "))).otherwise("")
+    line = F.concat(stamp("yyyy/MM/dd HH:mm:ss"), F.lit(" [WARN] "), _pid(), F.lit("#"), F.col("user_id").cast("string"), F.lit(": "), cid, F.lit("slow, client: "), F.col("ip"), F.lit(", server: _"))
+    return lines.nginx_error(rendered(spark, d, line, "error.log")).drop("raw_line", "source_file")
+
+
+@query("SELECT date_time, user_id AS thread_id, CASE WHEN event_type = 'error' THEN 'Quit' ELSE 'Query' END AS command, CASE WHEN event_type = 'error' THEN '' ELSE 'select ' || event_id END AS argument FROM base WHERE event_type <> 'signup'")
+def parse_mysql_query(spark, d):
+    head = F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z\t   "), F.col("user_id").cast("string"), F.lit(" "))
+    line = F.when(F.col("event_type") == "error", F.concat(head, F.lit("Quit\t"))).when(F.col("event_type") == "signup", F.lit("  continued line")).otherwise(F.concat(head, F.lit("Query\tselect "), _pid(), F.lit("  ")))
+    return lines.mysql_query(rendered(spark, d, line, "query.log")).drop("raw_line", "source_file")
+
+
+@query("SELECT date_time, user_id AS thread_id, 'Warning' AS level, 'MY-' || event_id AS error_code, 'Server' AS subsystem, 'note ' || event_type AS message FROM base")
+def parse_mysql_error(spark, d):
+    line = F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z "), F.col("user_id").cast("string"), F.lit(" [Warning] [MY-"), _pid(), F.lit("] [Server] note "), F.col("event_type"))
+    return lines.mysql_error(rendered(spark, d, line, "error.log")).drop("raw_line", "source_file")
+
+
+_HISTORY_SQL = """
+, numbered AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id, ts FROM base)
+SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.000' END AS timestamp, 'u' || user_id AS "user", 'bash' AS shell, seq::INTEGER AS seq, 'run ' || event_id AS command FROM numbered"""
+
+
+@query(_HISTORY_SQL)
+def history_lag(spark, d):
+    e = table(spark, d, "events")
+    mark = F.concat(F.lit("#"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("\n"))
+    blank = F.when(F.col("event_id") % 3 == 0, F.concat(mark, F.lit("\n"))).otherwise(mark)
+    one = F.concat(blank, F.lit("run "), _pid())
+    texts = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("x")))), lambda x: x["x"]), "\n").alias("content"))
+    whole = texts.select(F.concat(F.lit("/home/u"), F.col("user_id").cast("string"), F.lit("/.bash_history")).alias("path"), "content")
+    return lines.shell_history(whole).select("timestamp", "user", "shell", "seq", "command")
+
+
+# --- functions -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, url AS decoded FROM pages", views_=False)
+def hex_decode(spark, d):
+    hexed = F.concat(F.when(F.col("page_id") % 2 == 0, "0x").otherwise(""), F.hex(F.encode("url", "UTF-8")))
+    return table(spark, d, "pages").select("page_id", text.hex_text(hexed).alias("decoded"))
+
+
+@query("SELECT page_id, url_decode(replace(url, '+', ' ')) AS decoded FROM pages", views_=False)
+def url_decode(spark, d):
+    return table(spark, d, "pages").select("page_id", text.url_text(F.col("url")).alias("decoded"))
+
+
+@query("SELECT page_id, url AS decoded FROM pages", views_=False)
+def b64_decode(spark, d):
+    packed = F.translate(F.regexp_replace(F.base64(F.encode("url", "UTF-8")), "=+$", ""), "+/", "-_")
+    return table(spark, d, "pages").select("page_id", text.base64_text(packed).alias("decoded"))
+
+
+@query("SELECT page_id, url AS plain FROM pages", views_=False)
+def unescape(spark, d):
+    return table(spark, d, "pages").select("page_id", text.unescape(F.regexp_replace("url", "([/.])", r"\\$1")).alias("plain"))
+
+
+@query("SELECT id, src_ip FROM v_web")
+def clean_ip(spark, d):
+    chain = F.concat(F.lit(" "), F.col("src_ip"), F.when(F.col("id") % 3 == 0, ", 1.2.3.4, 5.6.7.8").when(F.col("id") % 3 == 1, ";").otherwise(""), F.lit(" "))
+    return V.web(spark, d).select("id", text.clean_ip(chain).alias("src_ip"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'site' || o_custkey WHEN 1 THEN 'default' WHEN 2 THEN 'a.b' || o_custkey ELSE 'unknown' END AS vhost FROM orders", views_=False)
+def vhost_from_name(spark, d):
+    o, c = table(spark, d, "orders"), F.col("o_custkey").cast("string")
+    k = F.col("o_orderkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("site"), c, F.lit("-access.log.gz"))).when(k == 1, F.lit("access.log.12")).when(k == 2, F.concat(F.lit("a.b"), c, F.lit("_access_log.2026-03-15.txt"))).otherwise("other.txt")
+    return o.select("o_orderkey", lines.vhost_of_file(name).alias("vhost"))
+
+
+@query("SELECT o_orderkey, o_custkey % 256 IN (10, 127) OR (o_custkey % 256 = 172 AND o_orderkey % 64 BETWEEN 16 AND 31) AS private FROM orders", views_=False)
+def private_ip_split(spark, d):
+    ip = F.concat_ws(".", (F.col("o_custkey") % 256).cast("string"), (F.col("o_orderkey") % 64).cast("string"), F.lit("1"), F.lit("2"))
+    return table(spark, d, "orders").select("o_orderkey", sysinfo.is_private(ip).alias("private"))
+
+
+@query("SELECT event_id, strftime(to_timestamp(0)::TIMESTAMP + to_microseconds(epoch_us(ts)) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S.%g') AS shown FROM base")
+def epoch_text(spark, d):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(10,0)")
+    return table(spark, d, "events").select("event_id", times.epoch_time(seconds).alias("shown"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1", views_=False)
+def md5_first_claim(spark, d):
+    found = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.col("source").alias("priority"), F.col("doc_id").alias("path"))
+    return files.first_claims(found).select("doc_id")
+
+
+# --- web attacks -----------------------------------------------------------------------------------------------------
+
+_INJECTED = {0: "/i?id=1%27%20or%20%271", 1: "/a/%2e%2e/%2e%2e/etc/passwd", 2: "/s?q=%3CScript%3Ex", 3: "/up/shell.php?cmd=id"}
+
+
+def _attacked(spark, d):
+    uri = F.coalesce(*(F.when((F.col("id") % 40) == k, F.lit(u)) for k, u in _INJECTED.items()), F.col("uri"))
+    return V.web(spark, d).withColumns({"uri": uri, "bytes_sent": F.col("id") % 97})
+
+
+_HITS = """
+, hits AS (SELECT src_ip, date_time, unnest(CASE id % 40 WHEN 0 THEN ['sql_injection'] WHEN 1 THEN ['path_traversal'] WHEN 2 THEN ['xss'] WHEN 3 THEN ['webshell'] ELSE [] END) AS attack_type FROM v_web)"""
+
+
+@query(_HITS + "SELECT src_ip, attack_type, min(date_time) AS first_dt, max(date_time) AS last_dt, count(*) AS cnt FROM hits GROUP BY ALL")
+def attack_uri_rules(spark, d):
+    return summaries.attacks(_attacked(spark, d))
+
+
+@query(_HITS + "SELECT src_ip, count(*) AS attack_count, string_agg(DISTINCT attack_type, ',' ORDER BY attack_type) AS attack_types FROM hits GROUP BY ALL ORDER BY attack_count DESC, src_ip LIMIT 10")
+def attack_top_ips(spark, d):
+    return summaries.top_attack_ips(_attacked(spark, d))
+
+
+@query("SELECT '/up/shell.php' AS path, count(DISTINCT src_ip) AS ip_count, count(*) AS hits, min(id % 97) AS bytes_min, max(id % 97) AS bytes_max, count(DISTINCT id % 97) AS bytes_distinct FROM v_web WHERE id % 40 = 3 AND status = 200 HAVING count(*) > 0")
+def attack_webshells(spark, d):
+    return summaries.webshells(_attacked(spark, d), least=5).filter("script_file").select("path", "ip_count", "hits", "bytes_min", "bytes_max", "bytes_distinct")
