@@ -16,7 +16,8 @@ enough slack a shared signature is left, else both are at the next level.
 
 Equal sets are one class from the start (64-bit digest of the set). Sets sharing a signature become candidates: each with
 the least set of its bucket; then, among sets of a bucket that those links have not joined, each pair. Candidates are
-verified on the whole element sets. Links are contracted to components.
+verified on the whole element sets, after sizes and parity sketches have
+told apart most that can't link. Links are contracted to components.
 
 Cases: null or empty texts and texts without words have the empty set, which links with nothing, not even its like;
 repeated rows are equal sets and so in one component; null keys never name a component that has another key.
@@ -176,15 +177,32 @@ class Bands:
         return np.concatenate(sig), np.concatenate(owner), short
 
 
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+
+
+def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity sketch of each set [sets, SKETCH]: of each of 64 * SKETCH buckets whether an odd number of elements is in it.
+
+    Two sets' sketches differ in at most as many bits as the sets in elements, so no pair that links is told apart.
+    """
+    bucket = (mix(elements ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    odd = np.bincount(of * (64 * SKETCH) + bucket, minlength=(len(offsets) - 1) * 64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, SKETCH)
+
+
 def _sets(work: DataFrame, k: int) -> DataFrame:
-    """(key, n, sid) of every row."""
+    """(key, n, sid, p0 to the sketch's last word) of every row."""
 
     def run(batch):
         for a, b, data, offsets in chunks(batch.column("text")):
             elements, at = shingle_sets(data, offsets, k)
-            yield {"key": batch.column("key").slice(a, b - a), "n": np.diff(at), "sid": signed(set_ids(elements, at))}
+            sketch = sketches(elements, at)
+            words = {f"p{i}": np.ascontiguousarray(sketch[:, i]) for i in range(SKETCH)}
+            yield {"key": batch.column("key").slice(a, b - a), "n": np.diff(at), "sid": signed(set_ids(elements, at)), **words}
 
-    return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, n long, sid long")
+    return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, n long, sid long, {', '.join(f'p{i} long' for i in range(SKETCH))}")
 
 
 def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -265,12 +283,16 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
     bucket = Window.partitionBy("sig")
     shared = _signatures(work, k, num, den).withColumns({"rep": F.min("sid").over(bucket), "top": F.max("sid").over(bucket)}).filter("rep <> top")
     members = materialise(shared.select("sig", "sid", "rep").distinct())
-    sizes = sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"))
+    words = [f"p{i}" for i in range(SKETCH)]
+    known = sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), *(F.first(w).alias(w) for w in words))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        sized = pairs.join(sizes.withColumnsRenamed({"sid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"sid": "b", "n": "nb"}), "b")
-        return sized.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
+        """Pairs whose sizes and sketches allow a link."""
+        for side in ("a", "b"):
+            pairs = pairs.join(known.withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
+        differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+        most = F.floor((den - num) * (F.col("na") + F.col("nb")) / (den + num))
+        return pairs.filter((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (differ <= most)).select("a", "b")
 
     pairs = near(members.filter("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct())
     links = materialise(_verified(materialise(pairs), sets, work, k, num, den))
