@@ -16,6 +16,17 @@ def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*(df[c].alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its task and would else keep the most it ever held."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow where fn yields dicts of columns for each batch."""
     if isinstance(schema, str):
@@ -30,6 +41,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
                 for columns in fn(batch):
                     arrays = [pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
+                give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.llm._ops import arrow_map, materialise, pick
+from quarrylog.llm._ops import arrow_map, give_back, materialise, pick
 from quarrylog.llm._text import LOWER, NON_SPACE, chunks, mix, signed, span_hashes, spans, windows
 
 K = 4
@@ -227,6 +227,7 @@ def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 ids = ids[keep]
                 for s in range(0, len(sig), 100_000):
                     yield pa.RecordBatch.from_pydict({"sig": signed(sig[s : s + 100_000]), "sid": signed(ids[owner[s : s + 100_000]])})
+            give_back()
 
     return work.select("text").mapInArrow(run, "sig long, sid long")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.llm._ops import arrow_map, pick
+from quarrylog.llm._ops import arrow_map, give_back, pick
 from quarrylog.llm._text import _BASE, _BASE_INVERSE, ALNUM, LOWER, byte_class, chunks, mix, signed, span_hashes, spans
 
 #: Words that a run of repeated units needs to be removed.
@@ -101,6 +101,8 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     "place": (unit[r] << 32 | size[r]) * np.where(settled[part], -1, 1) - settled[part],
                 }
             )
+        del table, order, row, sorted_key, digest, keys, hashes, unit, begin, end, size, kept
+        give_back()
 
     found = work.mapInArrow(run, f"digest long, key {key_type}, text_hash long, span long, place long")
     # Ties of (key, begin) with different texts go to the smaller text hash.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.operators import dashboards, views, web
 from quarrylog.plans import registry
-from quarrylog.plans.ingest import INFO, _table_exists
+from quarrylog.plans.ingest import INFO, _table_exists, stored
 
 #: Tables that the list of tables doesn't show.
 HIDDEN = ("dashboard",)
@@ -32,7 +32,7 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         if _table_exists(self.spark, path):
-            return self.spark.read.option("mergeSchema", "true").parquet(path)
+            return stored(self.spark, self.folder, name) if name in registry.BY_NAME else self.spark.read.parquet(path)
         if name in registry.BY_NAME:
             return self.spark.createDataFrame([], registry.BY_NAME[name].columns + ", source_file string, event_date date")
         if name == "info":

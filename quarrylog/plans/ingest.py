@@ -51,6 +51,11 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def stored(spark: SparkSession, output: str, name: str) -> DataFrame:
+    """A table as written; its schema is the log type's, so a folder without rows or of older files reads as well."""
+    return spark.read.schema(f"{registry.BY_NAME[name].columns}, source_file string, event_date date").parquet(f"{output}/{name}")
+
+
 def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFrame:
     """One row a file: with several types left, the first whose parser takes one of the file's first ten lines."""
     if strict:
@@ -137,7 +142,7 @@ def precompute(spark: SparkSession, output: str, names: list[str]) -> None:
     """Writes the dashboards of the tables as one document each, replacing those of the same table."""
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     for name in names:
-        table = spark.read.parquet(f"{output}/{name}").drop("event_date")
+        table = stored(spark, output, name).drop("event_date")
         document = dashboards.of_table(name, table).payload()
         stamped = document.withColumns({"table_name": F.lit(name), "computed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")})
         stamped.coalesce(1).write.mode("overwrite").partitionBy("table_name").parquet(f"{output}/dashboard")

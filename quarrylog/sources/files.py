@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylog.plans import registry
 
@@ -37,7 +39,7 @@ def manifest(spark: SparkSession, base: str, strict_compat: bool = False) -> Dat
     for path, size, mtime in listed(base):
         found = registry.types_of(path)
         for t in found[:1] if strict_compat else found:
-            rows.append((path, t.name, registry.LOG_TYPES.index(t), size, pd.Timestamp(mtime, unit="s")))
+            rows.append((path, t.name, registry.LOG_TYPES.index(t), size, datetime.fromtimestamp(mtime, timezone.utc)))
     return spark.createDataFrame(rows, MANIFEST)
 
 
@@ -61,7 +63,7 @@ def with_digest(files: DataFrame) -> DataFrame:
                 out.append(h.hexdigest())
             yield batch.assign(md5=out)
 
-    return files.mapInPandas(digest, files.schema.add("md5", "string"))
+    return files.mapInPandas(digest, T.StructType([*files.schema, T.StructField("md5", T.StringType())]))
 
 
 def first_claims(files: DataFrame, info: DataFrame | None = None) -> DataFrame:
