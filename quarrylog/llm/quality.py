@@ -32,12 +32,16 @@ _PER_BLOCK = BLOCK // STRIDE
 
 
 def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts from block boundaries on, zero bytes between them, and each text's first block (n + 1)."""
+    """Texts laid out in blocks, and each text's first block (n + 1).
+
+    WIDTH zero bytes stand before a text and the largest lag or more behind it, so neither a window nor a repeat reaches
+    into another text and a score depends on its own text alone.
+    """
     size = np.diff(offsets)
-    blocks = -(-(size + WIDTH) // BLOCK)
+    blocks = -(-(WIDTH + size + LAGS.stop) // BLOCK)
     first = np.concatenate(([0], np.cumsum(blocks)))
     out = np.zeros(int(first[-1]) * BLOCK + WIDTH, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], size)] = data
+    out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK + WIDTH - offsets[:-1], size)] = data
     return out, first
 
 
@@ -96,7 +100,8 @@ class Net:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         laid, first = laid_out(data, offsets)
         best, _ = self.pooled(self.inputs(laid))
-        return 1 / (1 + np.exp(-(self.features(best, first) @ self.out + self.shift)))
+        # Rounded, as the last digits of a matrix product depend on where in the batch a text stands.
+        return np.round(1 / (1 + np.exp(-(self.features(best, first) @ self.out + self.shift))), 6)
 
 
 def chunk_max(best: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
