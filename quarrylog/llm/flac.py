@@ -3,7 +3,7 @@
 `encode` stores each text's UTF-8 bytes, padded with spaces to whole frames of 192 samples, as one FLAC stream per row:
 STREAMINFO, a SEEKTABLE, and frames whose subframes are constant, verbatim, fixed-predictor or quantised linear-predictor
 with Rice-coded residuals, whichever is smallest. `decode_blocks` reads streams back into PCM blocks with their sample
-offsets; every frame's CRC-8 and CRC-16 and each stream's MD5 are verified, and a stream that fails raises.
+offsets; every frame's CRC-8 and CRC-16, each stream's MD5 and its seek points are verified, and a stream that fails raises.
 
 Cases: null text is the empty text (one frame of spaces); equal texts give equal streams; texts of any length are whole.
 """
@@ -221,26 +221,33 @@ def encode_payloads(payload: np.ndarray, n_frames: np.ndarray) -> list[bytes]:
     return streams
 
 
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+
+
 class BadStream(ValueError):
     """A stream breaks the format or one of its checksums."""
 
 
-def _stream_info(data: memoryview) -> tuple[int, int, int, bytes]:
-    """(offset of the first frame, bits a sample, samples, md5)."""
+def _stream_info(data: memoryview) -> tuple[int, int, int, bytes, np.ndarray]:
+    """(offset of the first frame, bits a sample, samples, md5, seek points as rows of sample, offset, samples)."""
     if bytes(data[:4]) != b"fLaC":
         raise BadStream("no fLaC marker")
-    at, info, last = 4, None, False
+    at, info, last, points = 4, None, False, np.zeros(0, _POINT)
     while not last:
+        if at + 4 + int.from_bytes(data[at + 1 : at + 4], "big") > len(data):
+            raise BadStream("metadata reaches beyond the stream")
         last, kind, size = data[at] >= 128, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
         if kind == 0:
             packed = int.from_bytes(data[at + 14 : at + 22], "big")
             if (packed >> 41) & 7:
                 raise BadStream("more than one channel")
             info = ((packed >> 36) & 31) + 1, packed & ((1 << 36) - 1), bytes(data[at + 22 : at + 38])
+        elif kind == 3:
+            points = np.frombuffer(data[at + 4 : at + 4 + size - size % _POINT.itemsize], _POINT)
         at += 4 + size
     if info is None:
         raise BadStream("no STREAMINFO")
-    return at, *info
+    return at, *info, points[points["sample"] != 2**64 - 1]  # all ones: a place held free
 
 
 def _frame_starts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -425,13 +432,19 @@ def decode_streams(streams: list[memoryview]) -> list[np.ndarray]:
     by_frame = np.ascontiguousarray(samples.T).astype(np.int32)
     first = np.searchsorted(stream, np.arange(len(streams) + 1))
     out = []
-    for d, (_, bits, total, digest) in enumerate(infos):
+    for d, (_, bits, total, digest, points) in enumerate(infos):
         rows = slice(first[d], first[d + 1])
         one = by_frame[rows]
         keep = block[rows]
         one = one.ravel() if (keep == width).all() else np.concatenate([f[:b] for f, b in zip(one, keep, strict=True)])
         if len(one) != total:
             raise BadStream(f"{len(one)} samples of {total}")
+        if len(points):
+            upto = np.cumsum(keep)
+            frame = np.minimum(np.searchsorted(upto, points["sample"].astype(np.int64), "right"), len(keep) - 1)
+            is_frame = (upto[frame] - keep[frame] == points["sample"]) & (at[rows][frame] - begin[d] == points["offset"]) & (keep[frame] == points["samples"])
+            if not is_frame.all():
+                raise BadStream("a seek point leads to no frame")
         if digest != bytes(16) and hashlib.md5((one.astype(np.int8) if bits <= 8 else one.astype("<i2")).tobytes()).digest() != digest:
             raise BadStream("the MD5 of the samples differs")
         out.append(one)
