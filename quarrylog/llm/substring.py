@@ -33,15 +33,19 @@ _SPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Digest, begin, end, words and text of each unit that has words; begin and end are offsets in `data`.
 
-    A unit ends behind a newline, or behind white space that follows '.', '!' or '?'.
+    A unit ends behind white space that holds a newline or follows '.', '!' or '?'.
     """
     n = len(data)
-    space = _SPACE[data]
-    cut = data == 10
-    cut[1:] |= _STOP[data[:-1]] & space[1:]
-    # A run of white space belongs to the unit before it.
-    begins = np.flatnonzero(cut[:-1] & ~space[1:]) + 1 if n else np.zeros(0, np.int64)
-    begins = np.unique(np.concatenate((begins, offsets[:-1][np.diff(offsets) > 0])))
+    solid = np.flatnonzero(~_SPACE[data])
+    before = np.concatenate((np.full(min(1, len(solid)), -1), solid[:-1]))
+    lines = np.concatenate(([0], np.cumsum(data == 10)))
+    # White space belongs to the unit before it; a run of it ends a unit if a newline is in it or a stop is before it.
+    gap = (solid > before + 1) & ((lines[solid] > lines[before + 1]) | _STOP[data[before]])
+    solid, before = solid[gap], before[gap]
+    home = offsets[np.searchsorted(offsets, solid, "right") - 1]
+    run = np.maximum(before + 1, home)
+    ended = (solid > run) & ((lines[solid] > lines[run]) | ((before >= home) & _STOP[data[before]]))
+    begins = np.unique(np.concatenate((solid[ended], offsets[:-1][np.diff(offsets) > 0])))
     starts, ends, _ = spans(data, offsets, ALNUM)
     words = span_hashes(data, starts, ends, LOWER)
     first = np.searchsorted(starts, begins)
