@@ -232,8 +232,35 @@ def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return work.select("text").mapInArrow(run, "sig long, sid long")
 
 
-def _elements(work: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sid, elements) of the wanted sets, each from one text that has it (wanted: key, sid)."""
+#: Buckets of a set's profile.
+PROFILE = 1024
+
+
+def profiles(elements: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each set's profile: how many elements (255 at most) each of PROFILE buckets has, a byte a bucket.
+
+    The sum of two profiles' differences is at most the number of elements in which the sets differ. Unlike parities it
+    still grows where that number is beyond the buckets', so it tells apart large sets as well.
+    """
+    bucket = (mix(elements ^ np.uint64(0x9E6C63D0876A9A99)) % np.uint64(PROFILE)).astype(np.int64)
+    out: list[bytes] = []
+    for s in range(0, len(offsets) - 1, 1000):
+        part = offsets[s : s + 1001]
+        of = np.repeat(np.arange(len(part) - 1), np.diff(part)) * PROFILE
+        count = np.bincount(of + bucket[part[0] : part[-1]], minlength=(len(part) - 1) * PROFILE)
+        out += [row.tobytes() for row in np.minimum(count, 255).astype(np.uint8).reshape(-1, PROFILE)]
+    return out
+
+
+def _wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, key) of the sets in pairs, each with one row that has it."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    return materialise(sets.join(ids, "sid").groupBy("sid").agg(F.min("key").alias("key")))
+
+
+def _of_sets(work: DataFrame, wanted: DataFrame, k: int, value: str, make) -> DataFrame:
+    """One row for each wanted set (wanted: sid, key): (sid, n, value), value from make(elements, offsets) over whole sets."""
+    name, kind = value.split()
     wanted = wanted.withColumnsRenamed({"key": "their_key", "sid": "their_sid"})
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = work.join(wanted, work["key"].eqNullSafe(wanted["their_key"])).select("their_sid", "text")
@@ -242,24 +269,45 @@ def _elements(work: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         sids = batch.column("their_sid").to_numpy(zero_copy_only=False)
         for a, b, data, offsets in chunks(batch.column("text")):
             elements, at = shingle_sets(data, offsets, k)
-            same = np.flatnonzero(signed(set_ids(elements, at)) == sids[a:b])
-            values = [signed(elements[at[i] : at[i + 1]]) for i in same.tolist()]
-            ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
-            yield {"sid": sids[a:b][same], "elements": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)])))}
+            same = signed(set_ids(elements, at)) == sids[a:b]
+            elements, size = elements[np.repeat(same, np.diff(at))], np.diff(at)[same]
+            at = np.concatenate(([0], np.cumsum(size)))
+            yield {"sid": sids[a:b][same], "n": size, name: make(elements, at)}
+
+    return arrow_map(rows, run, f"sid long, n long, {name} {kind}").dropDuplicates(["sid"])
+
 
-    return arrow_map(rows, run, "sid long, elements array<bigint>").dropDuplicates(["sid"])
+def _as_lists(elements: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(elements)))
+
+
+def _sides(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Pairs with both sets' sizes and values: (a, b, na, nb, <value>a, <value>b)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(values.withColumnsRenamed({"sid": side, "n": f"n{side}", value: f"{value}{side}"}), side)
+    return pairs
+
+
+def _alike(pairs: DataFrame, profiled: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose profiles allow a link."""
+
+    def run(batch):
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE) for c in ("profilea", "profileb"))
+        differ = (np.maximum(one, two) - np.minimum(one, two)).sum(1, dtype=np.int64)
+        n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        keep = pa.array((den + num) * differ <= (den - num) * n)
+        yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+    return arrow_map(_sides(pairs, profiled, "profile"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, work: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The (a, b) of the candidate pairs that link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = materialise(sets.join(ids, "sid").groupBy("sid").agg(F.min("key").alias("key")))
-    elements = materialise(_elements(work, wanted, k))
-    first = elements.select(F.col("sid").alias("a"), F.col("elements").alias("of_a"))
-    second = elements.select(F.col("sid").alias("b"), F.col("elements").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    joined = pairs.join(first, "a").join(second, "b")
-    return joined.filter(den * both >= num * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    """The (a, b) of the candidate pairs that link: by profiles first, by whole sets then."""
+    profiled = materialise(_of_sets(work, _wanted(pairs, sets), k, "profile binary", profiles))
+    pairs = materialise(_alike(pairs, profiled, num, den))
+    whole = materialise(_of_sets(work, _wanted(pairs, sets), k, "elements array<bigint>", _as_lists))
+    both = F.size(F.array_intersect("elementsa", "elementsb"))
+    return _sides(pairs, whole, "elements").filter(den * both >= num * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
