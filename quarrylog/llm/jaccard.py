@@ -40,6 +40,8 @@ K = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Ratio of a band's sizes, levels of segment hashing, and the cost of a part that unrelated sets may share.
 BAND, LEVELS, STRAY = 1.3, 4, 4.0
+#: Times that a set of each bucket not yet joined is drawn and compared with the others, before all pairs left are.
+ROUNDS = 2
 #: Rows of a key table that are still sent to all tasks.
 BROADCAST_ROWS = 500_000
 
@@ -335,25 +337,44 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
     words = [f"p{i}" for i in range(SKETCH)]
     known = sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), *(F.first(w).alias(w) for w in words))
 
+    def described(rows: DataFrame, side: str) -> DataFrame:
+        """Rows with the size and sketch of the set in column `side`."""
+        return rows.join(known.withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
+
+    differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+    most = F.floor((den - num) * (F.col("na") + F.col("nb")) / (den + num))
+    may_link = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (differ <= most)
+
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and sketches allow a link."""
-        for side in ("a", "b"):
-            pairs = pairs.join(known.withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
-        differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
-        most = F.floor((den - num) * (F.col("na") + F.col("nb")) / (den + num))
-        return pairs.filter((den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (differ <= most)).select("a", "b")
-
-    pairs = near(members.filter("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct())
-    links = materialise(_verified(materialise(pairs), sets, work, k, num, den))
+        return described(described(pairs, "a"), "b").filter(may_link).select("a", "b")
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """(sig, sid, label) of the buckets whose sets are not yet one component."""
+        own = members.join(labels, members["sid"] == labels["v"], "left").select("sig", "sid", F.coalesce("label", "sid").alias("label"))
+        own = own.withColumns({"least": F.min("label").over(bucket), "most": F.max("label").over(bucket)}).filter("least <> most")
+        return materialise(own.select("sig", "sid", "label"))
+
+    pairs = materialise(near(members.filter("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct()))
+    links = materialise(_verified(pairs, sets, work, k, num, den))
     labels = components(links)
-    # Buckets whose sets are not yet one component: the pairs across components that were not compared.
-    own = members.join(labels, members["sid"] == labels["v"], "left").select("sig", "sid", "rep", F.coalesce("label", "sid").alias("label"))
-    own = own.withColumns({"least": F.min("label").over(bucket), "most": F.max("label").over(bucket)}).filter("least <> most and sid <> rep").select("sig", "sid", "label")
-    own = materialise(own)
-    other = own.withColumnsRenamed({"sid": "sid2", "label": "label2"})
-    rest = own.join(other, "sig").filter("sid < sid2 and label <> label2").select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-    rest = materialise(near(rest))
-    if rest.limit(1).count():
+    own = still_open(labels)
+    for turn in range(ROUNDS):
+        if not own.limit(1).count():
+            break
+        # Another set of each bucket, drawn by digest, so that buckets of one group of near copies draw different ones.
+        drawn = F.min(F.struct(F.xxhash64("sig", "sid", F.lit(turn)).alias("by"), F.col("sid"), F.col("label"))).over(bucket)
+        pairs = own.withColumn("drawn", drawn).filter("label <> drawn.label")
+        pairs = materialise(near(pairs.select(F.least("sid", "drawn.sid").alias("a"), F.greatest("sid", "drawn.sid").alias("b")).distinct()))
+        links = materialise(links.union(_verified(pairs, sets, work, k, num, den)))
+        labels = components(links)
+        own = still_open(labels)
+    if own.limit(1).count():
+        # What is left: each bucket's pairs across components, told apart by sizes and sketches within the join.
+        known_open = materialise(described(own.withColumnRenamed("sid", "a"), "a"))
+        other = known_open.withColumnsRenamed({"a": "b", "na": "nb", "label": "label2", **{f"{w}a": f"{w}b" for w in words}})
+        across = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label2")) & may_link
+        rest = materialise(known_open.join(other, (known_open["sig"] == other["sig"]) & across).select("a", "b").distinct())
         links = links.union(_verified(rest, sets, work, k, num, den))
         labels = components(links)
     named = sets.filter("n > 0").groupBy("sid").agg(F.min("key").alias("least"))
