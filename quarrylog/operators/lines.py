@@ -238,7 +238,7 @@ def history_lines(lines: DataFrame, zone: str = times.EPOCH_ZONE) -> DataFrame:
     from pyspark.sql import Window
 
     in_file = Window.partitionBy("path").orderBy("place")
-    is_zsh = F.element_at(F.split("path", "/"), -1) == ".zsh_history"
+    is_zsh = F.element_at(F.split("path", "/"), -1).isin(".zsh_history", ".zsh_history.gz")
     marker = ~is_zsh & F.col("line").rlike(r"^#\d+$")
     before = F.lag("line").over(in_file)
     stamp = F.when(before.rlike(r"^#\d+$"), F.substring(before, 2, 1 << 20))

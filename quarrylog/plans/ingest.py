@@ -84,11 +84,12 @@ def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFram
 def parsed(spark: SparkSession, kind: registry.LogType, own: list, strict: bool = False) -> DataFrame:
     """The rows of a log type's files."""
     paths = [r["path"] for r in own]
+    members = "first" if strict else "all"
     listed = spark.createDataFrame([(r["path"], r["mtime"]) for r in own], "path string, mtime timestamp").repartition(max(1, min(len(own), 1000)))
     if kind.kind in ("utmp", "journal"):
-        return spark.read.format(kind.kind).option("paths", "\n".join(paths)).load()
+        return spark.read.format(kind.kind).option("paths", "\n".join(paths)).option("members", members).load()
     if kind.kind == "whole":
-        return kind.parse(files.whole_files(listed))
+        return kind.parse(files.whole_files(listed, members))
     # Plain text is split among tasks by Spark; packed files, and names that Spark's listing passes over, by path.
     packed = [r for r in own if r["packed"] or Path(r["path"]).name[0] in "._"]
     text = [r["path"] for r in own if r not in packed]
@@ -96,17 +97,11 @@ def parsed(spark: SparkSession, kind: registry.LogType, own: list, strict: bool
     if text:
         parts.append(files.plain_lines(spark, text))
     if packed:
-        parts.append(files.packed_lines(spark.createDataFrame([(r["path"], r["mtime"]) for r in packed], "path string, mtime timestamp").repartition(max(1, min(len(packed), 1000))), "first" if strict else "all"))
+        parts.append(files.packed_lines(spark.createDataFrame([(r["path"], r["mtime"]) for r in packed], "path string, mtime timestamp").repartition(max(1, min(len(packed), 1000))), members))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return kind.parse(lines.with_format(rows) if kind.kind == "detected" else rows.withColumn("format", F.lit(None).cast("string")))
 
 
-def _is_packed(path: str) -> bool:
-    with open(path, "rb") as f:
-        head = f.read(512)
-    return head[:2] == b"\x1f\x8b" or head[257:262] == b"ustar"
-
-
 def ingest(spark: SparkSession, target: str, output: str, strict: bool = False) -> Result:
     spark.dataSource.register(UtmpDataSource)
     spark.dataSource.register(JournalDataSource)
@@ -117,7 +112,7 @@ def ingest(spark: SparkSession, target: str, output: str, strict: bool = False)
     chosen = files.first_claims(chosen, info).orderBy("priority", "path").collect()  # names and digests of files, no contents
     result = Result({}, {})
     for kind in registry.LOG_TYPES:
-        own = [{**r.asDict(), "packed": _is_packed(r["path"])} for r in chosen if r["log_type"] == kind.name]
+        own = [{**r.asDict(), "packed": files.is_packed(r["path"])} for r in chosen if r["log_type"] == kind.name]
         if not own:
             continue
         try:

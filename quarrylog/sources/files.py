@@ -74,6 +74,13 @@ def first_claims(files: DataFrame, info: DataFrame | None = None) -> DataFrame:
     return files.withColumn("place", place).filter("place = 1").drop("place")
 
 
+def is_packed(path: str) -> bool:
+    """Whether a file is compressed or an archive, by its first bytes."""
+    with open(path, "rb") as f:
+        head = f.read(512)
+    return head[:2] == b"\x1f\x8b" or head[257:262] == b"ustar"
+
+
 def opened(path: str, members: str = "all") -> Iterable[tuple[str, object]]:
     """(name, binary stream) of a file: itself, inflated if it is gzip, or its members if it is a tar archive.
 
@@ -139,13 +146,16 @@ def plain_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def whole_files(files: DataFrame) -> DataFrame:
-    """(path, content): the files as text, names with a leading dot included, inflated if compressed."""
+def whole_files(files: DataFrame, members: str = "all") -> DataFrame:
+    """(path, content): the files as text, names with a leading dot included, inflated if compressed.
+
+    An archive's members follow each other with a blank line between, so one member's last line is not read with the next.
+    """
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                for _, stream in opened(path, "first"):
-                    yield pd.DataFrame({"path": [path], "content": [stream.read().decode("utf-8", "replace")]})
+                content = "\n\n".join(stream.read().decode("utf-8", "replace") for _, stream in opened(path, members))
+                yield pd.DataFrame({"path": [path], "content": [content]})
 
     return files.select("path").mapInPandas(read, "path string, content string")

@@ -3,7 +3,8 @@
     spark.dataSource.register(JournalDataSource); spark.read.format("journal").load(path)
 
 Entries are found along the chain of entry arrays. Files that are too short, have another signature or the compact layout
-have no rows. Data whose codec isn't installed stays as stored.
+have no rows. Data whose codec isn't installed stays as stored. A packed file is unpacked to an unnamed file of the task
+that reads it; option `members`: all (default) or first of an archive.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarrylog.plans.registry import JOURNAL_COLUMNS
+from quarrylog.sources import files
 
 # The file format.
 SIGNATURE, SHORTEST, COMPACT = b"LPKSHHRH", 184, 16
@@ -106,19 +108,35 @@ class _Part(InputPartition):
 class JournalReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.hours = options.get("paths", options.get("path", "")).split("\n"), int(options.get("hours", 9))
+        self.members = options.get("members", "all")
 
     def partitions(self) -> list[InputPartition]:
         return [_Part(p) for p in self.paths if p]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def _rows(self, file) -> Iterator[tuple]:
         import mmap
         import os
 
-        if os.path.getsize(partition.path) < SHORTEST:
+        if os.fstat(file.fileno()).st_size < SHORTEST:
+            return
+        with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield from JournalFile(data, self.hours).rows()
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import shutil
+        import tempfile
+
+        if not files.is_packed(partition.path):
+            with open(partition.path, "rb") as f:
+                for row in self._rows(f):
+                    yield (*row, partition.path)
             return
-        with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            for row in JournalFile(data, self.hours).rows():
-                yield (*row, partition.path)
+        for _, stream in files.opened(partition.path, self.members):
+            with tempfile.TemporaryFile() as f:
+                shutil.copyfileobj(stream, f, 1 << 20)
+                f.flush()
+                for row in self._rows(f):
+                    yield (*row, partition.path)
 
 
 class JournalDataSource(DataSource):

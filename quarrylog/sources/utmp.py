@@ -2,7 +2,8 @@
 
     spark.dataSource.register(UtmpDataSource); spark.read.format("utmp").load(path)
 
-Files are split at multiples of the record size; a partial record at the end is left out, as are unused records.
+Files are split at multiples of the record size; a partial record at the end is left out, as are unused records. A packed
+file is one part, streamed by the task that reads it; option `members`: all (default) or first of an archive.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarrylog.plans.registry import UTMP_COLUMNS
+from quarrylog.sources import files
 
 # Record layout (little-endian) and names of record types.
 RECORD = np.dtype(
@@ -54,7 +56,7 @@ def records(raw: bytes, hours: int = 9) -> Iterator[tuple]:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
+    def __init__(self, path: str, begin: int, end: int | None):
         self.path, self.begin, self.end = path, begin, end
 
 
@@ -62,14 +64,27 @@ class UtmpReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options.get("paths", options.get("path", "")).split("\n")
         self.split = int(options.get("split_records", 100_000)) * RECORD.itemsize
-        self.hours = int(options.get("hours", 9))
+        self.hours, self.members = int(options.get("hours", 9)), options.get("members", "all")
 
     def partitions(self) -> list[InputPartition]:
         import os
 
-        return [_Part(p, at, min(at + self.split, size)) for p in self.paths if p for size in [os.path.getsize(p)] for at in range(0, max(size, 1), self.split)]
+        out: list[InputPartition] = []
+        for path in filter(None, self.paths):
+            if files.is_packed(path):
+                out.append(_Part(path, 0, None))
+            else:
+                size = os.path.getsize(path)
+                out += [_Part(path, at, min(at + self.split, size)) for at in range(0, max(size, 1), self.split)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.end is None:
+            for _, stream in files.opened(partition.path, self.members):
+                while raw := stream.read(self.split):  # less than asked for at the end only
+                    for row in records(raw, self.hours):
+                        yield (*row, partition.path)
+            return
         with open(partition.path, "rb") as f:
             f.seek(partition.begin)
             raw = f.read(partition.end - partition.begin)

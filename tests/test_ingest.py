@@ -144,6 +144,41 @@ def test_ingest_and_engine(spark, collection, tmp_path_factory):
     assert spark.sql("select count(*) from nginx").first()[0] == 1
 
 
+def tar_of(*contents):
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as tar:
+        for i, data in enumerate(contents):
+            member = tarfile.TarInfo(f"m{i}")
+            member.size = len(data)
+            tar.addfile(member, io.BytesIO(data))
+    return packed.getvalue()
+
+
+def test_packed_binary_logs_and_histories(spark, tmp_path):
+    who = {n: utmp_record(7, n, (0,) * 4) for n in ("ann", "bob", "cy", "dan", "eve")}
+    note = {n: journal_bytes([[(b"MESSAGE=" + n.encode(), 0)]]) for n in ("one", "two", "three")}
+    put = {
+        "wtmp.1.gz": gzip.compress((who["ann"] + who["bob"]) * 300), "wtmp-20240101": tar_of(who["cy"], who["dan"] + b"partial"), "btmp.gz": gzip.compress(who["eve"]),
+        "a.journal.gz": gzip.compress(note["one"]), "b.journal": tar_of(note["two"], b"short", note["three"]), "home/bob/.bash_history": tar_of(b"#1620000000\nls", b"#1620000060\nid\n"), "home/eve/.zsh_history.gz": gzip.compress(b": 1620000120:0;w\n"),
+    }
+    for name, data in put.items():
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    seen = {}
+    for strict in (False, True):
+        out = str(tmp_path / f"out{strict}")
+        assert ing.ingest(spark, str(tmp_path / "in"), out, strict).failed == {}
+        read = lambda name, column, out=out: sorted(r[0] for r in ing.stored(spark, out, name).select(column).collect())
+        seen[strict] = [read("wtmp", "user"), read("btmp", "user"), read("journal", "message"), read("shell_history", "command")]
+    assert seen[False] == [["ann"] * 300 + ["bob"] * 300 + ["cy", "dan"], ["eve"], ["one", "three", "two"], ["id", "ls", "w"]]
+    assert seen[True] == [["ann"] * 300 + ["bob"] * 300 + ["cy"], ["eve"], ["one", "two"], ["ls", "w"]]
+    times = ing.stored(spark, str(tmp_path / "outFalse"), "shell_history").orderBy("timestamp").select("timestamp", "user", "shell").collect()
+    assert [(r.timestamp[11:19], r.user, r.shell) for r in times] == [("09:00:00", "bob", "bash"), ("09:01:00", "bob", "bash"), ("09:02:00", "eve", "zsh")]
+    rows = spark.read.format("utmp").option("split_records", 7).load(str(tmp_path / "in/wtmp.1.gz"))
+    assert rows.count() == 600 and {r[0] for r in rows.select("source_file").distinct().collect()} == {str(tmp_path / "in/wtmp.1.gz")}
+
+
 def test_strict_routing_takes_the_first_name(spark, collection, tmp_path):
     result = ing.ingest(spark, collection, str(tmp_path), strict=True)
     assert result.failed == {}
