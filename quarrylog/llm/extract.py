@@ -1,11 +1,16 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one a block element, in page order. A line inside a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section has no text length, nor has a line outside <article> (outside <main> where
-no article is) if the page has one; on a page with neither, a line that is all links has none. Over the lengths runs a
-window of WINDOW lines: a surge point is where the window's sum rises above zero, a dive point where it falls back to
-zero; what lies between the two is a run of text. Runs of a page without article or main stay if their highest window
-has at least SURGE characters, or if they are the highest on the page.
+advert, form, script, style or comment section has no text length; outside <article> (outside <main> where no article is)
+nor has a line that is all links. Over the lengths runs a window of WINDOW lines: a surge point is where the window's sum
+rises above zero, a dive point where it falls back to zero; what lies between the two is a run of text.
+
+The author's own mark goes first: all runs of lines inside <article> (or <main>), however short, are the text, and lines
+outside are not, unless a window outside reaches SURGE characters and is higher than all inside, as on a page whose
+articles are teasers. Then, and on pages with neither element, the windows decide: a run stays if its highest window has
+at least SURGE characters, if it is the highest on the page, if it lies inside a marked element or between runs that
+stay, or if it has a line that is a sibling, of the same name, of a line in a run of SURGE or more (a short last
+paragraph behind an advert).
 
 Cases: null and empty html, and html without text, give the empty text; a tag that is not closed ends with the page, a
 boilerplate element that is not closed at the next article; comments, scripts and styles that are not closed end with
@@ -58,9 +63,12 @@ def _is_boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """Lines of the page and the length each counts with."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[tuple[int, str]]]:
+    """Lines of the page, the length each counts with, whether it is in a marked element, and its place: (parent, name)."""
     names: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, article or main
+    blocks: list[tuple[int, str]] = [(0, "")]  # open block elements: number, name
+    places: list[tuple[int, str]] = []
+    count = 0
     hidden = articles = mains = links = 0
     parts: list[str] = []
     linked = 0
@@ -74,6 +82,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
         text = " ".join(_html.unescape("".join(parts)).split()) if parts else ""
         if text:
             lines.append(text)
+            places.append((blocks[-2][0] if len(blocks) > 1 else -1, blocks[-1][1]))
             marks.append((hidden > 0, articles > 0, mains > 0, linked >= sum(len(p) for p in parts if p.strip())))
         parts, linked = [], 0
 
@@ -84,6 +93,8 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             articles -= region and name == "article"
             mains -= region and name == "main"
             links -= name == "a"
+            if name in BLOCKS:
+                blocks.pop()
         del names[index:]
 
     while at < size:
@@ -135,6 +146,9 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                 if names[i][0] in BLOCKS and names[i][0] not in ("p",):
                     break
         names.append((name, drop, region))
+        if block:
+            count += 1
+            blocks.append((count, name))
         hidden += drop
         links += name == "a"
         if region and name == "article":
@@ -147,11 +161,9 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
         parts.append(page[at:])
         linked += size - at if links else 0
     flush()
-    lengths = []
-    for text, (drop, in_article, in_main, all_links) in zip(lines, marks, strict=True):
-        outside = not in_article if seen_article else not in_main if seen_main else all_links
-        lengths.append(0 if drop or outside else len(text))
-    return lines, lengths
+    inside = [in_article if seen_article else in_main for _, in_article, in_main, _ in marks]
+    lengths = [0 if drop or (all_links and not own) else len(text) for text, own, (drop, _, _, all_links) in zip(lines, inside, marks, strict=True)]
+    return lines, lengths, inside, places
 
 
 def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -183,13 +195,18 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, lengths = lines_of(page)
-    found = runs(lengths)
-    if not found:
-        return ""
-    whole = bool(re.search(r"<(?:article|main)[\s>]", page, re.I))
-    highest = max(top for _, _, top in found)
-    return "\n".join(lines[i] for a, b, top in found if whole or top >= SURGE or top == highest for i in range(a, b) if lengths[i])
+    lines, lengths, inside, places = lines_of(page)
+    marked = [n if own else 0 for n, own in zip(lengths, inside, strict=True)]
+    found = runs(marked)
+    beside = max((top for _, _, top in runs([0 if own else n for n, own in zip(lengths, inside, strict=True)])), default=0)
+    if not found or (beside >= SURGE and beside > max(top for _, _, top in found)):
+        found = runs(lengths)
+        highest = max((top for _, _, top in found), default=0)
+        siblings = {places[i] for a, b, top in found if top >= SURGE for i in range(a, b) if lengths[i]}
+        stays = [n for n, (a, b, top) in enumerate(found) if top >= SURGE or top == highest or any(lengths[i] and (inside[i] or places[i] in siblings) for i in range(a, b))]
+        found = found[stays[0] : stays[-1] + 1] if stays else []
+        marked = lengths
+    return "\n".join(lines[i] for a, b, _ in found for i in range(a, b) if marked[i])
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

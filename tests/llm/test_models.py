@@ -161,6 +161,26 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+LONG = ("long text " * 20).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # no article or main: short runs that belong to the text stay
+        (f"<div><p>{LONG}</p><div class=ad>Buy</div><p>The end.</p></div><nav>x</nav><div>Copyright</div>", f"{LONG}\nThe end."),
+        (f"<div><p>{LONG}</p><aside>x</aside><h2>Then</h2><aside>y</aside><p>{LONG}</p></div>", f"{LONG}\nThen\n{LONG}"),
+        (f"<nav><a>Home</a></nav><div><span>Teaser</span></div><nav>x</nav><section><p>{LONG}</p></section><footer>f</footer><div>Terms</div>", LONG),
+        # the windows choose the text where it is not what is marked
+        (f"<article></article><div><p>{LONG}</p></div>", LONG),
+        (f"<main><div><p>{LONG}</p></div><aside>x</aside></main><article><h3>Teaser</h3></article>", f"{LONG}\nTeaser"),
+        (f"<article><p>{LONG}</p><aside>x</aside><p>End.</p></article><div>short outside</div>", f"{LONG}\nEnd."),
+    ],
+)
+def test_windows_choose_the_text(page, text):
+    assert extract.main_text(page) == text
+
+
 def test_extraction_of_all_pages(spark):
     import re
 
