@@ -250,11 +250,13 @@ def _stream_info(data: memoryview) -> tuple[int, int, int, bytes, np.ndarray]:
     return at, *info, points[points["sample"] != 2**64 - 1]  # all ones: a place held free
 
 
-def _frame_starts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, header lengths and streams of all frames: sync codes whose CRC-8 holds and whose numbers run 0, 1, 2, ..."""
+def _headers(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, header lengths, streams and frame numbers of all that may be frames: sync codes with a valid header and CRC-8."""
     sync = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] == 0xF8))
     stream = np.searchsorted(begin, sync, "right") - 1
-    ok = (stream >= 0) & (sync < end[stream]) & (sync + 6 < end[stream])
+    ok = (stream >= 0) & (sync >= begin[stream]) & (sync + 6 < end[stream])
+    # One channel, reserved bit, block size and rate codes that exist.
+    ok &= ((data[np.minimum(sync + 3, len(data) - 1)] & 0xF1) == 0) & (data[sync + 2] >> 4 > 0) & (data[sync + 2] & 15 < 15)
     sync, stream = sync[ok], stream[ok]
     lead = data[sync + 4]
     size = np.select([lead < 0x80, lead >> 5 == 6, lead >> 4 == 14, lead >> 3 == 30, lead >> 2 == 62, lead >> 1 == 126], [1, 2, 3, 4, 5, 6], 0)
@@ -267,17 +269,61 @@ def _frame_starts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple
     ok = (size > 0) & (sync + head < end[stream])
     sync, stream, number, head = sync[ok], stream[ok], number[ok], head[ok]
     ok = _crc8(data, sync, head - 1) == data[sync + head - 1]
-    sync, stream, number, head = sync[ok], stream[ok], number[ok], head[ok]
+    return sync[ok], head[ok], stream[ok], number[ok]
+
+
+def _holds(data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether the CRC-16 of each frame from `at` to `stop` holds."""
+    return _crc16(data, at, stop - at - 2) == (data[stop - 2].astype(np.uint16) << 8 | data[stop - 1])
+
+
+def _chain(data: np.ndarray, begin: int, end: int, at: np.ndarray, head: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Which of a stream's headers are frames: those from `begin` to `end` with numbers 0, 1, 2, ... whose CRC-16 all hold."""
+    pairs = [(i, j) for i, n in enumerate(number.tolist()) for j in np.flatnonzero(number == n + 1).tolist() if at[j] > at[i] + head[i] + 2]
+    one, two = np.array(pairs, np.int64).reshape(-1, 2).T
+    held = _holds(data, at[one], at[two])
+    after: dict[int, list[int]] = {}
+    for i, j in zip(one[held].tolist(), two[held].tolist(), strict=True):
+        after.setdefault(i, []).append(j)
+    open_ends = np.array([i for i in range(len(at)) if i not in after and at[i] + head[i] + 2 < end], np.int64)
+    lasts = set(open_ends[_holds(data, at[open_ends], np.full(len(open_ends), end))].tolist())
+    follow: dict[int, int] = {}  # -1: the stream's last frame
+    for i in range(len(at) - 1, -1, -1):
+        if i in lasts:
+            follow[i] = -1
+        elif (nexts := [j for j in after.get(i, []) if j in follow]):
+            follow[i] = nexts[0]
+    if not len(at) or at[0] != begin or number[0] != 0 or 0 not in follow:
+        raise BadStream("a frame's CRC-16 differs")
+    found, i = [], 0
+    while i >= 0:
+        found.append(i)
+        i = follow[i]
+    return np.array(found)
+
+
+def _frame_starts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, header lengths and streams of all frames; each frame's CRC-16 holds.
+
+    Frames' bits may look like a header by chance, so where headers' numbers don't run 0, 1, 2, ... or a CRC-16 between
+    neighbours differs, the stream's headers are told apart by CRC-16.
+    """
+    at, head, stream, number = _headers(data, begin, end)
     first = np.searchsorted(stream, np.arange(len(begin) + 1))
-    if not np.array_equal(number, np.arange(len(number)) - first[stream]):  # a chance sync code inside a frame
-        keep = np.zeros(len(number), bool)
-        want = np.zeros(len(begin), np.int64)
-        for i, (s, n) in enumerate(zip(stream.tolist(), number.tolist(), strict=True)):
-            if n == want[s]:
-                keep[i] = True
-                want[s] += 1
-        sync, stream, head = sync[keep], stream[keep], head[keep]
-    return sync, head, stream
+    # A frame ends where the next of its stream begins.
+    last = np.ones(len(at), bool)
+    last[:-1] = stream[1:] != stream[:-1]
+    stop = np.where(last, end[stream], np.concatenate((at[1:], [0])))
+    ok = number == np.arange(len(at)) - first[stream]
+    long_enough = stop >= at + head + 2
+    ok &= long_enough
+    ok[long_enough] &= _holds(data, at[long_enough], stop[long_enough])
+    keep = np.ones(len(at), bool)
+    for s in np.unique(stream[~ok]).tolist():
+        own = slice(first[s], first[s + 1])
+        keep[own] = False
+        keep[first[s] + _chain(data, int(begin[s]), int(end[s]), at[own], head[own], number[own])] = True
+    return at[keep], head[keep], stream[keep]
 
 
 def _rice_tail(samples, word, coded, pos, k, coefficients, shift, begin, peek) -> None:
@@ -328,13 +374,6 @@ def decode_streams(streams: list[memoryview]) -> list[np.ndarray]:
     begin, end = offset[:-1] + np.array([i[0] for i in infos]), offset[1:]
     at, head, stream = _frame_starts(data, begin, end)
     n = len(at)
-    # A frame ends where the next of its stream begins.
-    last = np.ones(n, bool)
-    last[:-1] = stream[1:] != stream[:-1]
-    stop = np.where(last, end[stream], np.concatenate((at[1:], [0])))
-    crc = _crc16(data, at, stop - at - 2)
-    if not np.array_equal(crc, data[stop - 2].astype(np.uint16) << 8 | data[stop - 1]):
-        raise BadStream("a frame's CRC-16 differs")
     code = data[at + 2] >> 4
     block = np.select([code == c for c in BLOCK_SIZES], list(BLOCK_SIZES.values()), 0)
     tail = data[at + head - 2].astype(np.int64)

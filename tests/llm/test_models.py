@@ -237,6 +237,24 @@ def test_codec_of_noise_and_damage():
                 flac.decode_streams([memoryview(bytes(bad))])
 
 
+def test_chance_headers_inside_frames():
+    payload = np.random.default_rng(6).integers(0, 256, 192 * 5).astype(np.uint8)
+    for frame, number in ((0, 1), (0, 0), (2, 3), (4, 5), (1, 4)):  # also one that would follow the last frame
+        for lead in (b"\xff\xf8\x14\x02", b"\xff\xf8\x14\x32"):  # as frames have it, and with other channels
+            fake = lead + bytes([number])
+            fake += bytes([int(flac._crc8(np.frombuffer(fake, np.uint8), np.array([0]), np.array([5]))[0])])
+            given = payload.copy()
+            given[192 * frame + 40 : 192 * frame + 46] = np.frombuffer(fake, np.uint8) ^ 0x80
+            plain, chance = flac.encode_payloads(np.concatenate([payload, given, payload]), np.array([5, 5, 5]))[:2]
+            assert chance.count(fake) >= 1
+            back = flac.decode_streams([memoryview(plain), memoryview(chance), memoryview(plain)])
+            assert [((b + 128).astype(np.uint8) == p).all() for b, p in zip(back, (payload, given, payload), strict=True)] == [True] * 3
+            bad = bytearray(chance)
+            bad[-300] ^= 4
+            with pytest.raises(flac.BadStream):
+                flac.decode_streams([memoryview(bytes(bad))])
+
+
 def test_seek_points_lead_to_frames():
     payload = np.frombuffer(("some text " * 4000).encode()[: 192 * 200], np.uint8)
     (stream,) = flac.encode_payloads(payload, np.array([200]))
