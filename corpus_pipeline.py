@@ -22,13 +22,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of linked ones: that with the component's id. Rows without id stay."""
-    found = materialise(jaccard.join(docs))
-    gone = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    if found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    """Keeps one row of each component of linked ones: that of the least id, rows without id last, then of the least text digest.
+
+    Rows are told apart by id and text digest, so two texts under one id are two documents.
+    """
+    docs = docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest")))
+    found = materialise(jaccard.join(docs, key="row"))
+    gone = materialise(found.filter("row <> component_id").select("row").distinct())
+    if found.filter("row = component_id").groupBy("row").count().filter("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])  # repeated rows
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,6 +175,16 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(f"select {columns} from ({queries.ORACLES[name]})").fetchall()))
 
 
+def test_near_copies_are_decided_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (7, a + " z"), (7, b), (8, b + " z"), (None, a), (None, c), (None, c), (9, "alone here in the world"), (9, "alone here in the world"), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = corpus_pipeline.join_near_copies(spark, docs, SF)
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    want = [(1, a), (7, b), (None, c), (9, "alone here in the world"), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
     odd = [(9001, None, "en", "src0", None), (9002, "12345 !!", None, None, 8), (9003, "A fine short text of the other kind.", None, None, 36), (9003, "A fine short text of the other kind.", None, None, 36)]
