@@ -1,44 +1,51 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts become symbols: a letter of the training alphabet (lower-cased), one symbol for all other letters, and one for every
-run of anything else. For each language an n-gram model with interpolated Kneser-Ney smoothing is fitted; the models of
-all languages share arrays of n-gram hashes, one sorted array an order, whose rows hold the probability in every language.
-A text goes to the language of lowest cross-entropy per symbol. It is rejected where that entropy lies above a limit
-calibrated for the language on texts kept out of the counts, wider for shorter texts.
+Texts become symbols: every letter of any script (lower-cased) is its own symbol, its code point, and every run of
+anything else is one gap. For each language an n-gram model with interpolated Kneser-Ney smoothing is fitted and kept as
+sorted arrays of 64-bit n-gram hashes, one an order, with the logarithm of the probability beside each. A text goes to the
+language of lowest cross-entropy per symbol. It is rejected where that entropy lies above a limit calibrated for the
+language on texts kept out of the counts, wider for shorter texts.
 
 Fitting is on a bounded sample: texts whose digest falls below a rate, chosen for each language so that about
-SAMPLE_TEXTS texts and SAMPLE_BYTES bytes over all languages are expected. Scoring reads every whole text.
+SAMPLE_TEXTS texts and SAMPLE_BYTES bytes over all languages are expected, and LEAST_TEXTS of each language. Scoring
+reads every whole text; the n-grams of a run of texts are looked up once each, however often they stand there.
 
 Cases: a null text, an empty one and one without letters are `und`, score 0, rejected; null labels are not learned from;
-with nothing to learn from every text is `und`; ties go to the language first by code point.
+with nothing to learn from every text is `und`; ties go to the language first by code point; a symbol that no training
+text has gets the mass the model leaves to unseen symbols.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from quarrylog.llm._ops import arrow_map, pick
-from quarrylog.llm._text import chunks
+from quarrylog.llm._ops import give_back, pick
+from quarrylog.llm._text import chunks, mix
 
 ORDER = 5
 SAMPLE_TEXTS = 3000
 SAMPLE_BYTES = 4 << 20
-#: Letters with symbols of their own.
-ALPHABET = 62
+#: Texts of each language that are expected in the sample, however many languages there are.
+LEAST_TEXTS = 20
+#: Rates of labels that are still sent to all tasks.
+BROADCAST_LABELS = 100_000
 #: Every so many sampled texts is kept for calibration.
 CALIBRATE_EVERY = 5
 #: Bits per symbol above the highest calibration entropy, and deviations of a text's mean, before a text is rejected.
 MARGIN_BITS, DEVIATIONS = 1.0, 6.0
+#: Bytes of text scored at once.
+CHUNK = 1 << 19
 
-_BITS = 6
-_OTHER, _GAP = 63, 0
-_SPAN = _BITS * ORDER
+_GAP = 0
 _PLANE = 0x3000
+_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 5)) & (2**64 - 1) | 1) for j in range(ORDER)]
 
 _fold: np.ndarray | None = None
 
@@ -68,200 +75,235 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     out = np.zeros(len(points), np.uint32)
     near = points < _PLANE
     out[near] = fold[points[near]]
-    for i in np.flatnonzero(~near).tolist() if not near.all() and (~near).sum() < 1000 else ():
-        out[i] = points[i] if chr(points[i]).isalpha() else 0
-    if (~near).sum() >= 1000:
+    if not near.all():
         distinct, where = np.unique(points[~near], return_inverse=True)
         out[~near] = np.array([p if chr(p).isalpha() else 0 for p in distinct.tolist()], np.uint32)[where]
     return out, at
 
 
-def grams(letters: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ORDER-gram codes ending at each symbol, and the texts' offsets in them; texts begin in a context of gaps.
+def symbols_of(letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts and their offsets: letters, and one gap for each run of anything else."""
+    keep = np.ones(len(letters), bool)
+    keep[1:] = (letters[1:] != _GAP) | (letters[:-1] != _GAP)
+    keep[at[:-1][at[:-1] < len(letters)]] = True
+    return letters[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
-    symbols: map of letters below _PLANE to symbols; letters beyond are _OTHER.
-    """
-    code = np.where(letters < _PLANE, symbols[np.minimum(letters, _PLANE - 1)], _OTHER).astype(np.uint64)
-    keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != _GAP) | (code[:-1] != _GAP)
-    keep[at[:-1][at[:-1] < len(code)]] = True
-    kept = np.concatenate(([0], np.cumsum(keep)))[at]
-    code = code[keep]
-    size = np.diff(kept)
-    start = np.repeat(kept[:-1], size)
-    place = np.arange(len(code)) - start
-    out = code.copy()
-    for j in range(1, ORDER):
-        shifted = np.zeros_like(code)
-        shifted[j:] = code[:-j] if j < len(code) else 0
-        shifted[place < j] = _GAP
-        out |= shifted << np.uint64(_BITS * j)
-    return out, kept
-
-
-def scramble(code: np.ndarray, bits: int) -> np.ndarray:
-    """Hash of n-gram codes of so many bits: a bijection, so no two n-grams share one."""
-    mask = np.uint64((1 << bits) - 1)
-    code = (code * np.uint64(0x9E3779B97F4A7C15)) & mask
-    return code ^ (code >> np.uint64(bits // 2))
+
+@dataclass
+class Grams:
+    """Hashes of the n-grams (n from 1 to ORDER) that end at each symbol, and of their contexts, the n - 1 symbols before."""
+
+    keys: list[np.ndarray]
+    contexts: list[np.ndarray]  # from n = 2
+
+    def __getitem__(self, rows: np.ndarray) -> Grams:
+        return Grams([k[rows] for k in self.keys], [c[rows] for c in self.contexts])
+
+    def __len__(self) -> int:
+        return len(self.keys[0])
+
+    def distinct(self) -> tuple[Grams, np.ndarray]:
+        """Each different ORDER-gram once, and the number of every symbol's."""
+        _, one, which = np.unique(self.keys[-1], return_index=True, return_inverse=True)
+        return self[one], which.ravel()
+
+
+def grams(symbols: np.ndarray, at: np.ndarray) -> Grams:
+    """The n-grams of texts, which begin in a context of gaps."""
+    value = mix(symbols.astype(np.uint64) + np.uint64(1))
+    gap = mix(np.array([_GAP + 1], np.uint64))[0]
+    place = np.arange(len(symbols)) - np.repeat(at[:-1], np.diff(at))
+    keys, contexts = [], []
+    total, before = np.zeros(len(symbols), np.uint64), np.zeros(len(symbols), np.uint64)
+    for n in range(1, ORDER + 1):
+        back = n - 1
+        shifted = np.full(len(symbols), gap, np.uint64)
+        shifted[back:] = value[: len(value) - back]
+        shifted[place < back] = gap
+        total = total + shifted * _FACTORS[back]
+        keys.append(mix(total + np.uint64(n)))
+        if n > 1:
+            before = before + shifted * _FACTORS[back - 1]
+            contexts.append(mix(before + np.uint64(n - 1)))
+    return Grams(keys, contexts)
+
+
+def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
 
 
 @dataclass
-class Model:
-    """Shared hash arrays by order (1 to ORDER) with a column a language."""
+class Language:
+    """Kneser-Ney model of one language: by order the sorted n-gram hashes and log2 of their probabilities, and by order
+    from 2 the contexts' hashes and log2 of the mass each leaves to the lower order."""
 
-    languages: list[str]
-    symbols: np.ndarray
+    name: str
     hashes: list[np.ndarray]
     logs: list[np.ndarray]
-    #: By order from 2: hashes of seen contexts, and the logarithm of the mass left to the lower order.
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    limit: np.ndarray
-    spread: np.ndarray
-
-    def log2(self, code: np.ndarray) -> np.ndarray:
-        """log2 of each ORDER-gram's last symbol given the others, a column a language."""
-        out = np.zeros((len(code), len(self.languages)), np.float32)
-        todo = np.arange(len(code))
+    unseen: float  # log2 of a symbol no training text has
+    limit: float = 8.0 + MARGIN_BITS
+    spread: float = 1.0
+
+    def log2(self, g: Grams) -> np.ndarray:
+        """log2 of each n-gram's last symbol given the others."""
+        out = np.zeros(len(g), np.float32)
+        todo = np.arange(len(g))
         for n in range(ORDER, 0, -1):
-            part = code[todo] & np.uint64((1 << _BITS * n) - 1)
-            found, at = _lookup(self.hashes[n - 1], scramble(part, _BITS * n))
+            found, at = _lookup(self.hashes[n - 1], g.keys[n - 1][todo])
             out[todo[found]] += self.logs[n - 1][at[found]]
-            todo, part = todo[~found], part[~found]
+            todo = todo[~found]
             if not len(todo):
                 break
             if n == 1:
-                out[todo] += self.logs[0].min(0) - 1
+                out[todo] += self.unseen
                 break
-            found, at = _lookup(self.contexts[n - 2], scramble(part >> np.uint64(_BITS), _BITS * (n - 1)))
+            found, at = _lookup(self.contexts[n - 2], g.contexts[n - 2][todo])
             out[todo[found]] += self.backoff[n - 2][at[found]]
         return out
 
 
-def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+@dataclass
+class Model:
+    languages: list[Language]
+
+
+def _fitted(name: str, g: Grams, vocabulary: int) -> Language:
+    """The model of one language's n-grams; vocabulary: symbols there may be."""
+    hashes, logs, contexts, backoff = [], [], [], []
+    # Occurrences in the highest order; below it, how many different symbols come before an n-gram.
+    keys, one, count = np.unique(g.keys[-1], return_index=True, return_counts=True)
+    tables = {ORDER: (keys, one, count)}
+    for n in range(ORDER - 1, 0, -1):
+        above = tables[n + 1][1]
+        keys, first, count = np.unique(g.keys[n - 1][above], return_index=True, return_counts=True)
+        tables[n] = keys, above[first], count
+    lower, unseen = None, 0.0
+    for n in range(1, ORDER + 1):
+        keys, one, count = tables[n]
+        once, twice = (count == 1).sum(), (count == 2).sum()
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        context = g.contexts[n - 2][one] if n > 1 else np.zeros(len(keys), np.uint64)
+        context, where = np.unique(context, return_inverse=True)
+        where = where.ravel()
+        total = np.bincount(where, count, len(context))
+        mass = d * np.bincount(where, minlength=len(context)) / np.maximum(total, 1)
+        below = 1 / vocabulary if n == 1 else lower[np.searchsorted(tables[n - 1][0], g.keys[n - 2][one])]
+        probability = (count - d) / total[where] + mass[where] * below
+        if n == 1:
+            unseen = float(np.log2((mass[0] if len(mass) else 1.0) / vocabulary))
+        else:
+            contexts.append(context)
+            backoff.append(np.log2(np.maximum(mass, 1e-12)).astype(np.float32))
+        hashes.append(keys)
+        logs.append(np.log2(np.maximum(probability, 1e-12)).astype(np.float32))
+        lower = probability
+    return Language(name, hashes, logs, contexts, backoff, unseen)
 
 
 def fit(texts: list[str], labels: list[str]) -> Model | None:
     """Kneser-Ney models of each label's texts."""
-    languages = sorted(set(labels))
-    if not languages:
+    names = sorted(set(labels))
+    if not names:
         return None
-    data = [letters_of(d, o) for _, _, d, o in chunks(pa.array(texts, pa.string()), 1 << 30)][0]
-    letters, n = np.unique(data[0][(data[0] > 0) & (data[0] < _PLANE)], return_counts=True)
-    symbols = np.zeros(_PLANE, np.uint8)
-    symbols[[c for c in range(_PLANE) if _folding()[c] == c and c]] = _OTHER
-    top = letters[np.lexsort((letters, -n))[:ALPHABET]]
-    symbols[top] = np.arange(1, len(top) + 1)
-    code, at = grams(*data, symbols)
     held = np.arange(len(texts)) % CALIBRATE_EVERY == CALIBRATE_EVERY - 1
-    label = np.array([languages.index(x) for x in labels])
-    held &= np.bincount(label[~held], minlength=len(languages))[label] > 0
-    text_of = np.repeat(np.arange(len(texts)), np.diff(at))
-
-    by_language = [code[(label[text_of] == k) & ~held[text_of]] for k in range(len(languages))]
-    unions = [np.unique(np.concatenate([c & np.uint64((1 << _BITS * n) - 1) for c in by_language])) for n in range(1, ORDER + 1)]
-    probability = [np.zeros((len(u), len(languages))) for u in unions]
-    contexts = [np.unique(u >> np.uint64(_BITS)) for u in unions[1:]]
-    left = [np.ones((len(c), len(languages))) for c in contexts]
-    vocabulary = len(top) + 2
-    for k, own in enumerate(by_language):
-        # Counts of the highest order; below it, how many different symbols come before an n-gram.
-        high, count = np.unique(own, return_counts=True)
-        tables = {ORDER: (high, count)}
-        for n in range(ORDER - 1, 0, -1):
-            tables[n] = np.unique(tables[n + 1][0] & np.uint64((1 << _BITS * n) - 1), return_counts=True)
-        for n in range(1, ORDER + 1):
-            keys, count = tables[n]
-            once, twice = (count == 1).sum(), (count == 2).sum()
-            d = once / (once + 2 * twice) if once and twice else 0.5
-            context, where = np.unique(keys >> np.uint64(_BITS), return_inverse=True)
-            total = np.bincount(where, count, len(context))
-            mass = d * np.bincount(where, minlength=len(context)) / np.maximum(total, 1)
-            row = np.searchsorted(unions[n - 1], keys)
-            own_part = np.zeros(len(unions[n - 1]))
-            own_part[row] = (count - d) / total[where]
-            if n == 1:
-                lower, weight = np.full(len(unions[0]), 1 / vocabulary), mass[0] if len(mass) else 1.0
-            else:
-                suffix = unions[n - 1] & np.uint64((1 << _BITS * (n - 1)) - 1)
-                lower = probability[n - 2][np.searchsorted(unions[n - 2], suffix), k]
-                spot = np.searchsorted(contexts[n - 2], context)
-                left[n - 2][spot, k] = mass
-                weight = left[n - 2][np.searchsorted(contexts[n - 2], unions[n - 1] >> np.uint64(_BITS)), k]
-            probability[n - 1][:, k] = own_part + weight * lower
-
-    def hashed(keys: np.ndarray, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        h = scramble(keys, bits)
-        order = np.argsort(h)
-        return h[order], np.log2(np.maximum(values[order], 1e-12)).astype(np.float32)
-
-    main = [hashed(u, p, _BITS * (i + 1)) for i, (u, p) in enumerate(zip(unions, probability, strict=True))]
-    back = [hashed(c, w, _BITS * (i + 1)) for i, (c, w) in enumerate(zip(contexts, left, strict=True))]
-    model = Model(languages, symbols, [m[0] for m in main], [m[1] for m in main], [b[0] for b in back], [b[1] for b in back], np.zeros(len(languages)), np.zeros(len(languages)))
-    # Entropy of the calibration texts in their own language (of all texts where a language has none).
-    size = np.diff(at)
-    for k in range(len(languages)):
-        rows = held & (label == k) & (size > 0)
-        rows = np.flatnonzero(rows if rows.any() else (label == k) & (size > 0))
-        own = [-model.log2(code[at[i] : at[i + 1]])[:, k] for i in rows.tolist()]
-        if not own:
-            model.limit[k], model.spread[k] = 8.0 + MARGIN_BITS, 1.0
-            continue
-        means, lengths = np.array([o.mean() for o in own]), size[rows]
-        model.spread[k] = np.std(np.concatenate(own[:500]))
-        model.limit[k] = means[lengths >= min(200, lengths.max())].max() + MARGIN_BITS
-    return model
-
-
-def training_sample(labelled: DataFrame, key: str, text: str, label: str, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """(text, label) of a bounded sample: each label's rows whose digest is below the rate that gives its share."""
+    label = np.array(labels, object)
+    found = {}
+    for name in names:
+        own = np.flatnonzero(label == name)
+        _, _, data, offsets = next(chunks(pa.array([texts[i] for i in own.tolist()], pa.string()), 1 << 40))
+        found[name] = own, *symbols_of(*letters_of(data, offsets))
+    vocabulary = len(np.unique(np.concatenate([np.unique(s) for _, s, _ in found.values()]))) + 2
+    out = []
+    for name, (own, symbols, at) in found.items():
+        kept_out = held[own] & ~held[own].all()
+        g, size = grams(symbols, at), np.diff(at)
+        learned = np.flatnonzero(~np.repeat(kept_out, size))
+        language = _fitted(name, g[learned], vocabulary)
+        # Entropy of the calibration texts (of all texts where there are none).
+        rows = kept_out & (size > 0)
+        rows = np.flatnonzero(rows if rows.any() else size > 0)
+        entropy = [-language.log2(g[np.arange(at[i], at[i + 1])]) for i in rows.tolist()]
+        if entropy:
+            means, lengths = np.array([e.mean() for e in entropy]), size[rows]
+            language.spread = float(np.std(np.concatenate(entropy[:500])))
+            language.limit = float(means[lengths >= min(200, lengths.max())].max() + MARGIN_BITS)
+        out.append(language)
+    return Model(out)
+
+
+def training_sample(labelled: DataFrame, key: str, text: str, label: str, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES, least: int = LEAST_TEXTS) -> list[tuple[str, str]]:
+    """(text, label) of a bounded sample: each label's rows whose digest is below the rate that gives its share.
+
+    A label's rate gives `texts` and `size` by the number of labels, but `least` texts at least, so what the driver holds is
+    bounded by these three and the number of labels; labels themselves are counted and joined as a table.
+    """
     rows = pick(labelled, key=labelled[key].cast("string"), text=text, label=labelled[label].cast("string")).filter("label is not null and text is not null")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("label").limit(10_000).collect()
-    share = len(sizes)
-    rates = {r["label"]: min(1.0, texts / share / r["n"], size / share / max(1, r["bytes"])) for r in sizes}
-    if not rates:
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    share = sizes.count()
+    if not share:
         return []
-    rate = F.coalesce(F.create_map(*(F.lit(x) for kv in rates.items() for x in kv))[F.col("label")], F.lit(0.0))
+    fair = F.least(F.lit(texts / share) / F.col("n"), F.lit(size / share) / F.greatest("bytes", F.lit(1)))
+    rates = sizes.select("label", F.greatest(fair, F.lit(float(least)) / F.col("n")).alias("rate"))
+    rates = F.broadcast(rates) if share <= BROADCAST_LABELS else rates
     u = F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    found = rows.filter(u < rate).select("text", "label").collect()
+    found = rows.join(rates, "label").filter(u < F.col("rate")).select("text", "label").collect()
     return sorted((r["text"], r["label"]) for r in found)
 
 
-def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, lang_pred, score, entropy, rejected, *carry) for every row.
+FOUND = "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>"
+
+
+def _identified(model: Model | None, column: pa.Array) -> pa.Array:
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
+    out = []
+    for a, b, data, offsets in chunks(column, CHUNK):
+        n = b - a
+        letters, at = letters_of(data, offsets)
+        has = np.diff(np.concatenate(([0], np.cumsum(letters > 0)))[at]) > 0
+        names, score, entropy, rejected = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
+        if model is not None and has.any():
+            symbols, start = symbols_of(letters, at)
+            g, which = grams(symbols, start).distinct()
+            size = np.diff(start)
+            mean = np.zeros((n, len(model.languages)))
+            for k, language in enumerate(model.languages):
+                total = np.concatenate(([0.0], np.cumsum(-language.log2(g)[which], dtype=np.float64)))
+                mean[:, k] = (total[start[1:]] - total[start[:-1]]) / np.maximum(size, 1)
+            best = mean.argmin(1)
+            low = mean[np.arange(n), best]
+            weight = np.exp2(-(mean - low[:, None]) * np.minimum(size, 25)[:, None])
+            limit, spread = np.array([m.limit for m in model.languages]), np.array([m.spread for m in model.languages])
+            names = np.where(has, np.array([m.name for m in model.languages], object)[best], "und")
+            score = np.where(has, 1 / weight.sum(1), 0.0)
+            entropy = np.where(has, low, np.nan)
+            rejected = ~has | (low > limit[best] + DEVIATIONS * spread[best] / np.sqrt(np.maximum(size, 1)))
+        out.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], fields=list(kind)))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
+def identified(spark: SparkSession, model: Model | None, text: Column) -> Column:
+    """Struct (lang_pred, score, entropy, rejected) of a text column; only the texts go to Python.
 
     score: the predicted language's share of 2 ** (-entropy * min(symbols, 25)) over languages; entropy in bits a symbol.
     """
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield _identified(shared.value, column)
+            give_back()
+
+    return F.arrow_udf(run, FOUND, ArrowUDFType.SCALAR_ITER)(text)
+
+
+def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lang_pred, score, entropy, rejected, *carry) for every row."""
     kept = {f"c{i}": c for i, c in enumerate(carry)}
     work = pick(df, key=key, text=text, **kept)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch):
-        m = shared.value
-        for a, b, data, offsets in chunks(batch.column("text")):
-            n = b - a
-            letters, at = letters_of(data, offsets)
-            has = np.diff(np.concatenate(([0], np.cumsum(letters > 0)))[at]) > 0
-            names, score, entropy, rejected = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-            if m is not None and has.any():
-                code, start = grams(letters, at, m.symbols)
-                total = np.concatenate((np.zeros((1, len(m.languages))), np.cumsum(-m.log2(code), 0, dtype=np.float64)))
-                size = np.diff(start)
-                mean = (total[start[1:]] - total[start[:-1]]) / np.maximum(size, 1)[:, None]
-                best = mean.argmin(1)
-                low = mean[np.arange(n), best]
-                weight = np.exp2(-(mean - low[:, None]) * np.minimum(size, 25)[:, None])
-                names = np.where(has, np.array(m.languages, object)[best], "und")
-                score = np.where(has, 1 / weight.sum(1), 0.0)
-                entropy = np.where(has, low, np.nan)
-                rejected = ~has | (low > m.limit[best] + DEVIATIONS * m.spread[best] / np.sqrt(np.maximum(size, 1)))
-            yield {"key": batch.column("key").slice(a, n), "lang_pred": names, "score": score, "entropy": entropy, "rejected": rejected, **{k: batch.column(k).slice(a, n) for k in kept}}
-
-    kinds = "".join(f", {k} {work.schema[k].dataType.simpleString()}" for k in kept)
-    schema = f"key {work.schema['key'].dataType.simpleString()}, lang_pred string, score double, entropy double, rejected boolean{kinds}"
-    return arrow_map(work, run, schema).withColumnsRenamed({"key": key, **kept})
+    found = work.withColumn("found", identified(df.sparkSession, model, F.col("text")))
+    return found.select("key", "found.*", *kept).withColumnsRenamed({"key": key, **kept})

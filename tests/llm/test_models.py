@@ -50,23 +50,77 @@ def brute_kn(texts, order, vocabulary):
     return prob
 
 
+def brute_symbols(text):
+    """Lower-cased letters, and one 0 for each run of anything else."""
+    out = []
+    for c in text:
+        s = c.lower() if c.isalpha() else 0
+        if s or not out or out[-1]:
+            out.append(s)
+    return out
+
+
 def test_kneser_ney_is_the_textbooks():
-    texts = ["the cat sat. ", "that hat", "a cat?! a hat", "then", "cat that sat"]
-    model = language.fit(texts, ["x"] * len(texts))
-    _, _, data, offsets = next(chunks(pa.array(texts)))
-    letters, at = language.letters_of(data, offsets)
-    code, start = language.grams(letters, at, model.symbols)
-    mask = np.uint64(63)
-    symbols = [[int(c & mask) for c in code[a:b]] for a, b in zip(start, start[1:], strict=False)]
-    train = [s for i, s in enumerate(symbols) if i % language.CALIBRATE_EVERY != language.CALIBRATE_EVERY - 1]
-    prob = brute_kn(train, language.ORDER, int(model.symbols.max() if model.symbols.max() < 63 else len({c for s in symbols for c in s} - {0})) + 2)
-    got = model.log2(code)[:, 0]
-    want = []
-    for s in symbols:
-        padded = [0] * (language.ORDER - 1) + s
-        want += [np.log2(prob(tuple(padded[i : i + language.ORDER]))) for i in range(len(s))]
-    seen = np.array(want) > -19
-    assert np.allclose(got[seen], np.array(want)[seen], atol=1e-3)
+    texts = ["the cat sat. ", "that hat", "a cat?! a hat", "then", "Cat that sat", "кот сидел", "猫が座る。猫", "and more of THE cats"]
+    labels = ["x", "x", "x", "x", "x", "y", "y", "y"]
+    model = language.fit(texts, labels)
+    vocabulary = len({s for t in texts for s in brute_symbols(t)}) + 2
+    for own in model.languages:
+        mine = [t for t, y in zip(texts, labels, strict=True) if y == own.name]
+        learned = [t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == own.name and i % language.CALIBRATE_EVERY != language.CALIBRATE_EVERY - 1]
+        prob = brute_kn([brute_symbols(t) for t in learned], language.ORDER, vocabulary)
+        for t in [*mine, "что нового", "zzz q", ""]:
+            _, _, data, offsets = next(chunks(pa.array([t])))
+            got = own.log2(language.grams(*language.symbols_of(*language.letters_of(data, offsets))))
+            s = brute_symbols(t)
+            padded = [0] * (language.ORDER - 1) + s
+            want = np.array([np.log2(max(prob(tuple(padded[i : i + language.ORDER])), 1e-12)) for i in range(len(s))])
+            assert np.allclose(got, want, atol=1e-3), t
+
+
+SCRIPTS = {
+    "zh": "今天天气很好我们一起去公园散步然后回家吃饭晚上看书学习新的知识明天还要上班工作",
+    "ja": "今日は天気がいいので公園へ散歩に行きましたそれから家に帰って本を読みながらご飯を食べました",
+    "ko": "오늘은 날씨가 좋아서 공원에 산책을 갔습니다 그리고 집에 돌아와서 책을 읽고 밥을 먹었습니다",
+    "ru": "сегодня хорошая погода и мы пошли гулять в парк потом вернулись домой и читали книги весь вечер",
+    "uk": "сьогодні гарна погода і ми пішли гуляти до парку потім повернулися додому та читали книжки весь вечір",
+    "el": "σήμερα ο καιρός είναι καλός και πήγαμε βόλτα στο πάρκο μετά γυρίσαμε σπίτι και διαβάσαμε βιβλία",
+    "ar": "اليوم الطقس جميل وذهبنا للتنزه في الحديقة ثم عدنا إلى البيت وقرأنا الكتب طوال المساء",
+    "th": "วันนี้อากาศดีเราไปเดินเล่นที่สวนสาธารณะแล้วกลับบ้านอ่านหนังสือและกินข้าวเย็นด้วยกัน",
+    "he": "היום מזג האוויר יפה והלכנו לטייל בפארק ואחר כך חזרנו הביתה וקראנו ספרים כל הערב",
+    "hi": "आज मौसम अच्छा है और हम पार्क में टहलने गए फिर घर लौटकर पूरी शाम किताबें पढ़ते रहे",
+}
+
+
+def test_languages_of_any_script(spark):
+    rng = np.random.default_rng(8)
+
+    def pieces(text, n, size):
+        return ["".join(text[i : i + size] for i in rng.integers(0, max(1, len(text) - size), 4)) for _ in range(n)]
+
+    train = [(p, y) for y, t in SCRIPTS.items() for p in pieces(t, 30, 14)]
+    model = language.fit([t for t, _ in train], [y for _, y in train])
+    held = [(i, t, y) for i, (t, y) in enumerate((p, y) for y, text in SCRIPTS.items() for p in pieces(text, 12, 12))]
+    df = spark.createDataFrame(held, "doc_id long, text string, lang string")
+    rows = language.predict(df, model, carry=("lang",)).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+
+
+def test_many_languages_and_rare_ones_are_sampled(spark):
+    docs = [(i, f"text {i} of the large one", "aa") for i in range(2000)] + [(5000 + i, f"rare {i}", "zz") for i in range(5)] + [(6000, "x" * 500_000, "zz")] + [(7000 + i, f"tongue {i}", f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    sample = language.training_sample(df, "doc_id", "text", "lang", texts=100, size=10_000)
+    labels = [y for _, y in sample]
+    assert len(set(labels)) == 302 and labels.count("zz") == 6 and labels.count("aa") < 60
+    assert language.training_sample(df.filter("doc_id < 0"), "doc_id", "text", "lang") == []
+
+
+def test_equal_languages_go_to_the_first_by_code_point(spark):
+    texts = ["some words of a text", "other words in a text"] * 6
+    model = language.fit(texts * 2, ["b"] * 12 + ["a"] * 12)
+    df = spark.createDataFrame([(1, "some words"), (1, "some words"), (2, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as found", "2 as c0")
+    rows = language.predict(df, model, carry=("found",)).collect()
+    assert [r.lang_pred for r in rows if r.doc_id == 1] == ["a", "a"] and {abs(r.score - 0.5) < 1e-9 for r in rows} == {True}
 
 
 def test_language_of_texts(spark):
