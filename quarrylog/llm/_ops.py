@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,9 +48,22 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     return df.mapInArrow(run, schema)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files; one of fewer splits than the cluster has cores is dealt out among them."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder the cluster shares for checkpoints (spark.checkpoint.dir); /tmp only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quarrylog-checkpoints"
+    """A new path below the folder the cluster shares for checkpoints (spark.checkpoint.dir).
+
+    Where it is unset, a folder of this machine, which only local mode can share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/quarrylog-checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

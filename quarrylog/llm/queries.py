@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.llm import chat, decontaminate, extract, flac, jaccard, language, mixing, quality, substring, toxicity
-from quarrylog.llm._ops import crc_mod
+from quarrylog.llm._ops import crc_mod, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts cost much work each."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.hits(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
 
 
@@ -41,7 +46,7 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN of_items USING (doc_id)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(_table(spark, sf_dir, "documents"))
+    return substring.dedup(_texts(spark, sf_dir), line_words=substring.LINE_WORDS)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,16 +89,16 @@ FROM ordered o LEFT JOIN stop s ON o.source IS NOT DISTINCT FROM s.source LEFT J
 
 
 def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(_table(spark, sf_dir, "pages"))
+    return extract.extract(_texts(spark, sf_dir, "pages"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     learned = docs.filter(F.coalesce(crc_mod(docs["doc_id"], 4) != 2, F.lit(False)))
     sample = language.training_sample(learned, "doc_id", "text", "lang")
     model = language.fit([t for t, _ in sample], [y for _, y in sample])
@@ -135,7 +140,7 @@ FROM ends JOIN prompts USING (conv_id)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(_texts(spark, sf_dir))
 
 
 OP8_SQL = r"""
@@ -159,11 +164,11 @@ FROM reach LEFT JOIN sizes ON v = doc_id GROUP BY v
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_back(flac.encode(_table(spark, sf_dir, "documents")))
+    return flac.read_back(flac.encode(_texts(spark, sf_dir)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 

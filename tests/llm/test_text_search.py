@@ -104,7 +104,7 @@ def test_cut_takes_out_the_spans(spark):
     assert out == {1: ("Ää! . End", True), 2: ("one two", False), 3: (None, False), 4: ("x ", True)}
 
 
-def brute_dedup(docs, min_words):
+def brute_dedup(docs, min_words, line_words=None):
     def cut(text):
         raw = text.encode()
         marks = [0] + [m.end() for m in re.finditer(rb"(?:\n|(?<=[.!?])[ \t-\r])[ \t-\r]*", raw)]
@@ -128,8 +128,17 @@ def brute_dedup(docs, min_words):
                     run = [a, b, len(words)]
                     spans_.append(run)
                 last = n
-        spans_ = [s for s in spans_ if s[2] >= min_words]
         raw, parts, at = (text or "").encode(), [], 0
+        taken = [s for s in spans_ if s[2] >= min_words]
+        if line_words is not None:
+            # Lines with words all of whose units are repeated, from the first one's begin to the last one's end.
+            line_of = lambda a: raw[:a].count(b"\n")  # noqa: B023, E731
+            lines = {}
+            for a, b, words in units:
+                lines.setdefault(line_of(a), []).append((a, b, len(words), first[tuple(words)] != (key, a)))
+            whole = [(line[0][0], line[-1][1], sum(u[2] for u in line)) for line in lines.values() if all(u[3] for u in line)]
+            taken += [list(w) for w in whole if w[2] >= line_words and not any(a <= w[0] < b for a, b, _ in taken)]
+        spans_ = sorted(taken)
         for a, b, _ in spans_:
             parts.append(raw[at:a])
             at = b
@@ -147,9 +156,22 @@ def test_substring_dedup(spark):
     for least in (1, 6, 25):
         got = {r.doc_id: (r.text, r.n_removed) for r in sub.dedup(df, min_words=least).collect()}
         assert got == brute_dedup(docs, least), least
+    for least, line in ((25, 15), (25, 5), (12, 1)):
+        got = {r.doc_id: (r.text, r.n_removed) for r in sub.dedup(df, min_words=least, line_words=line).collect()}
+        assert got == brute_dedup(docs, least, line), (least, line)
     assert sub.dedup(df.limit(0)).count() == 0
 
 
+def test_a_run_leaves_one_open_unit_of_each_digest():
+    digest = np.array([5, 9, 5, 5, 9], np.uint64)
+    keys, hashes, begin = pa.array([3, 1, 2, 2, None]), np.array([30, 10, 20, 20, 90]), np.array([0, 4, 8, 2, 0])
+    (batch,) = sub._settled([(digest, keys, hashes, np.zeros(5, np.int64), begin, begin + 3, np.full(5, 7))])
+    rows = batch.to_pylist()
+    opened = [(r["digest"], r["key"], r["span"] >> 32) for r in rows if r["place"] >= 0]
+    assert sorted(opened) == [(5, 2, 2), (9, 1, 4)] and len(rows) == 5
+    assert len({r["digest"] for r in rows}) == 5  # what is settled is dealt by keys of its own
+
+
 def test_repeated_rows_fare_alike(spark):
     long = "one two three four five six. " * 2 + "seven eight nine."
     df = spark.createDataFrame([(2, long), (2, long), (1, "zero. " + long)], "doc_id long, text string").repartition(3)
