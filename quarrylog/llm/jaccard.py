@@ -15,8 +15,11 @@ segments, against the other such sets; at the last level with all its parts. No
 enough slack a shared signature is left, else both are at the next level.
 
 Equal sets are one class from the start (64-bit digest of the set). Sets sharing a signature become candidates: each with
-the least set of its bucket; then, among sets of a bucket that those links have not joined, each pair. Candidates are
-verified on the whole element sets, after sizes and parity sketches have
+the least set of its bucket; then, among sets of a bucket that those links have not joined, each pair. Before pairs are
+made of crowded buckets, sets of them are drawn to join more, and their signatures are made finer: each is joined with
+those of another cut of the universe, as sets that link share a signature of every cut while unrelated ones that share a
+small part by chance or by a common passage seldom do. The pairs of what is left are made by blocks of BLOCK sets, so a
+bucket of any size is many tasks. Candidates are verified on the whole element sets, after sizes and parity sketches have
 told apart most that can't link. Links are contracted to components.
 
 Cases: null or empty texts and texts without words have the empty set, which links with nothing, not even its like;
@@ -40,8 +43,13 @@ K = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Ratio of a band's sizes, levels of segment hashing, and the cost of a part that unrelated sets may share.
 BAND, LEVELS, STRAY = 1.3, 4, 4.0
-#: Times that a set of each bucket not yet joined is drawn and compared with the others, before all pairs left are.
-ROUNDS = 2
+#: Buckets are crowded beyond so many comparisons a member. Times that sets are drawn and signatures made finer before all
+#: pairs left are compared, and the members of a bucket that one task compares with as many others.
+CROWDED, DRAWS, CUTS, BLOCK = 64, 2, 3, 256
+#: A signature of so many sets in one chunk of texts is dealt out by SALTS.
+HOT, SALTS = 8, 61
+#: Elements of candidate sets that are compared whole at once, without comparing profiles first.
+WHOLE_ELEMENTS = 1 << 25
 #: Rows of a key table that are still sent to all tasks.
 BROADCAST_ROWS = 500_000
 
@@ -122,8 +130,11 @@ class Bands:
         d = most_different(size, self.high[band], self.num, self.den)
         return np.minimum(self.m[band], np.where(self.deletion[band], d // 2, d) + 1 + self.slack[band])
 
-    def signatures(self, elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures and the set of each: in the set's own band, and in the next if a larger set there can link."""
+    def signatures(self, elements: np.ndarray, offsets: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures and the set of each: in the set's own band, and in the next if a larger set there can link.
+
+        cut: which of the ways of cutting the universe; sets that link share a signature of each.
+        """
         size = np.diff(offsets)
         own = self.of(np.maximum(size, 1))
         sets = np.flatnonzero(size > 0)
@@ -136,18 +147,18 @@ class Bands:
         for level in range(LEVELS):
             if not len(which):
                 break
-            sig, owner, short = self._level(elements, offsets, which, band, level)
+            sig, owner, short = self._level(elements, offsets, which, band, level, cut)
             found.append((sig, owner))
             which, band = which[short], band[short]
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def _level(self, elements, offsets, which, band, level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _level(self, elements, offsets, which, band, level, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(offsets)[which]
         entry = np.repeat(np.arange(len(which)), size)
         at = np.arange(int(size.sum())) + np.repeat(offsets[which] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        value = mix(elements[at] + np.uint64((1 + level) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        value = mix(elements[at] + np.uint64((1 + level + LEVELS * cut) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         m = self.m[band]
         base = np.concatenate(([0], np.cumsum(m)))
         place = (mix(value + band[entry].astype(np.uint64)) % m[entry].astype(np.uint64)).astype(np.int64)
@@ -208,7 +219,12 @@ def _sets(work: DataFrame, k: int) -> DataFrame:
 
 
 def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig, sid) of the distinct sets of each task."""
+    """(sig, salt, sid) of the distinct sets of each task.
+
+    A signature that HOT sets of a chunk have, as a common passage gives, is dealt out by a salt from the set's digest,
+    and its least set in the chunk stands under salt 0 too; so no signature's rows are all in one task, and all who share
+    it are still tied together by the rows of salt 0.
+    """
     bands = Bands(num, den)
 
     def run(batches):
@@ -226,12 +242,20 @@ def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 elements = elements[np.repeat(keep, size)]
                 at = np.concatenate(([0], np.cumsum(size[keep])))
                 sig, owner = bands.signatures(elements, at)
-                ids = ids[keep]
+                sid = ids[keep][owner]
+                order = np.lexsort((sid.view(np.int64), sig))
+                sig, sid = sig[order], sid[order]
+                first = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, bool)
+                starts = np.flatnonzero(first)
+                hot = np.repeat(np.diff(np.concatenate((starts, [len(sig)]))) >= HOT, np.diff(np.concatenate((starts, [len(sig)]))))
+                salt = np.where(hot, (sid % np.uint64(SALTS)).astype(np.int32) + 1, 0)
+                tied = np.flatnonzero(hot & first)
+                sig, sid, salt = np.concatenate((sig, sig[tied])), np.concatenate((sid, sid[tied])), np.concatenate((salt, np.zeros(len(tied), salt.dtype)))
                 for s in range(0, len(sig), 100_000):
-                    yield pa.RecordBatch.from_pydict({"sig": signed(sig[s : s + 100_000]), "sid": signed(ids[owner[s : s + 100_000]])})
+                    yield pa.RecordBatch.from_pydict({"sig": signed(sig[s : s + 100_000]), "salt": pa.array(salt[s : s + 100_000], pa.int32()), "sid": signed(sid[s : s + 100_000])})
             give_back()
 
-    return work.select("text").mapInArrow(run, "sig long, sid long")
+    return work.select("text").mapInArrow(run, "sig long, salt int, sid long")
 
 
 #: Buckets of a set's profile.
@@ -254,10 +278,10 @@ def profiles(elements: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
-def _wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _wanted(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(sid, key) of the sets in pairs, each with one row that has it."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    return materialise(sets.join(ids, "sid").groupBy("sid").agg(F.min("key").alias("key")))
+    return materialise(known.join(ids, "sid").select("sid", "key"))
 
 
 def _of_sets(work: DataFrame, wanted: DataFrame, k: int, value: str, make) -> DataFrame:
@@ -303,11 +327,17 @@ def _alike(pairs: DataFrame, profiled: DataFrame, num: int, den: int) -> DataFra
     return arrow_map(_sides(pairs, profiled, "profile"), run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, work: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The (a, b) of the candidate pairs that link: by profiles first, by whole sets then."""
-    profiled = materialise(_of_sets(work, _wanted(pairs, sets), k, "profile binary", profiles))
-    pairs = materialise(_alike(pairs, profiled, num, den))
-    whole = materialise(_of_sets(work, _wanted(pairs, sets), k, "elements array<bigint>", _as_lists))
+def _verified(pairs: DataFrame, known: DataFrame, work: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The (a, b) of the candidate pairs (a, b, size: elements of both) that link, decided on whole sets.
+
+    Where the candidates have many elements, those that profiles tell apart go first; that changes no result.
+    """
+    elements = pairs.agg(F.sum("size")).first()[0] or 0
+    pairs = pairs.select("a", "b")
+    if elements > WHOLE_ELEMENTS:
+        profiled = materialise(_of_sets(work, _wanted(pairs, known), k, "profile binary", profiles))
+        pairs = materialise(_alike(pairs, profiled, num, den))
+    whole = materialise(_of_sets(work, _wanted(pairs, known), k, "elements array<bigint>", _as_lists))
     both = F.size(F.array_intersect("elementsa", "elementsb"))
     return _sides(pairs, whole, "elements").filter(den * both >= num * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -327,58 +357,105 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("v", "label")
 
 
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (sig, ...) with (low, high): every two rows of a bucket meet once as left at (low, high) and right at (low, high).
+
+    A bucket of n members has ceil(n / BLOCK) blocks; its pairs are dealt out by pairs of blocks.
+    """
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id: the least key that links reach, itself included."""
     work = pick(df, key=key, text=text)
     sets = materialise(_sets(work, k))
-    bucket = Window.partitionBy("sig")
-    shared = _signatures(work, k, num, den).withColumns({"rep": F.min("sid").over(bucket), "top": F.max("sid").over(bucket)}).filter("rep <> top")
-    members = materialise(shared.select("sig", "sid", "rep").distinct())
     words = [f"p{i}" for i in range(SKETCH)]
-    known = sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), *(F.first(w).alias(w) for w in words))
+    known = materialise(sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("key"), *(F.first(w).alias(w) for w in words)))
+    bucket = Window.partitionBy("sig", "salt")
+    shared = _signatures(work, k, num, den).withColumns({"rep": F.min("sid").over(bucket), "top": F.max("sid").over(bucket)})
+    # A set alone under a salt still shares its signature with those of salt 0.
+    members = materialise(shared.filter("rep <> top or salt > 0").select("sig", "sid", "rep").distinct())
 
     def described(rows: DataFrame, side: str) -> DataFrame:
         """Rows with the size and sketch of the set in column `side`."""
-        return rows.join(known.withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
+        return rows.join(known.drop("key").withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
 
     differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
     most = F.floor((den - num) * (F.col("na") + F.col("nb")) / (den + num))
     may_link = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (differ <= most)
+    size = (F.col("na") + F.col("nb")).alias("size")
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and sketches allow a link."""
-        return described(described(pairs, "a"), "b").filter(may_link).select("a", "b")
+        """Pairs whose sizes and sketches allow a link: (a, b, size)."""
+        return described(described(pairs, "a"), "b").filter(may_link).select("a", "b", size)
+
+    def tight(rows: DataFrame) -> DataFrame:
+        """The rows of buckets whose sets are not yet one component."""
+        ends = rows.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("sig")
+        return materialise(rows.join(ends, "sig").select("sig", "sid", "label"))
 
     def still_open(labels: DataFrame) -> DataFrame:
         """(sig, sid, label) of the buckets whose sets are not yet one component."""
-        own = members.join(labels, members["sid"] == labels["v"], "left").select("sig", "sid", F.coalesce("label", "sid").alias("label"))
-        own = own.withColumns({"least": F.min("label").over(bucket), "most": F.max("label").over(bucket)}).filter("least <> most")
-        return materialise(own.select("sig", "sid", "label"))
+        return tight(members.select("sig", "sid").distinct().join(labels, members["sid"] == labels["v"], "left").select("sig", "sid", F.coalesce("label", "sid").alias("label")))
+
+    def comparisons(own: DataFrame) -> tuple[int, int]:
+        """Comparisons that all pairs of the buckets take, and the members of the buckets."""
+        counted = own.groupBy("sig").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        return int(counted[0] or 0), int(counted[1] or 0)
+
+    def drawn(own: DataFrame, turn: int) -> DataFrame:
+        """Each set with another of its bucket, drawn by digest, so that buckets of one group of near copies draw different ones."""
+        by = own.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "sid", F.lit(turn)).alias("by"), F.col("sid").alias("other"), F.col("label").alias("their"))).alias("d")).select("sig", "d.other", "d.their")
+        return own.join(by, "sig").filter("label <> their").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+
+    def finer(own: DataFrame, cut: int) -> DataFrame:
+        """The open buckets cut by the signatures of another cut of the universe."""
+        bands = Bands(num, den)
+
+        def make(elements: np.ndarray, offsets: np.ndarray) -> pa.Array:
+            sig, owner = bands.signatures(elements, offsets, cut)
+            order = np.argsort(owner, kind="stable")
+            return _as_lists(sig[order], np.searchsorted(owner[order], np.arange(len(offsets))))
+
+        wanted = materialise(known.join(own.select("sid").distinct(), "sid").select("sid", "key"))
+        more = _of_sets(work, wanted, k, "sigs array<bigint>", make).select("sid", F.explode("sigs").alias("more"))
+        return tight(own.join(more, "sid").select(F.xxhash64("sig", "more").alias("sig"), "sid", "label").distinct())
 
     pairs = materialise(near(members.filter("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct()))
-    links = materialise(_verified(pairs, sets, work, k, num, den))
+    links = materialise(_verified(pairs, known, work, k, num, den))
     labels = components(links)
     own = still_open(labels)
-    for turn in range(ROUNDS):
-        if not own.limit(1).count():
+    todo, n = comparisons(own)
+    for turn in range(DRAWS):
+        if todo <= CROWDED * n:
             break
-        # Another set of each bucket, drawn by digest, so that buckets of one group of near copies draw different ones.
-        drawn = F.min(F.struct(F.xxhash64("sig", "sid", F.lit(turn)).alias("by"), F.col("sid"), F.col("label"))).over(bucket)
-        pairs = own.withColumn("drawn", drawn).filter("label <> drawn.label")
-        pairs = materialise(near(pairs.select(F.least("sid", "drawn.sid").alias("a"), F.greatest("sid", "drawn.sid").alias("b")).distinct()))
-        links = materialise(links.union(_verified(pairs, sets, work, k, num, den)))
+        pairs = materialise(near(drawn(own, turn)))
+        links = materialise(links.union(_verified(pairs, known, work, k, num, den)))
         labels = components(links)
         own = still_open(labels)
-    if own.limit(1).count():
-        # What is left: each bucket's pairs across components, told apart by sizes and sketches within the join.
-        known_open = materialise(described(own.withColumnRenamed("sid", "a"), "a"))
-        other = known_open.withColumnsRenamed({"a": "b", "na": "nb", "label": "label2", **{f"{w}a": f"{w}b" for w in words}})
-        across = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label2")) & may_link
-        rest = materialise(known_open.join(other, (known_open["sig"] == other["sig"]) & across).select("a", "b").distinct())
-        links = links.union(_verified(rest, sets, work, k, num, den))
+        todo, n = comparisons(own)
+    for cut in range(1, CUTS + 1):
+        if todo <= CROWDED * n:
+            break
+        cut_up = finer(own, cut)
+        less, n_less = comparisons(cut_up)
+        if 2 * less > todo:
+            break
+        own, todo, n = cut_up, less, n_less
+    if n:
+        # What is left: pairs across components, told apart by sizes and sketches within the join.
+        one = materialise(described(own.withColumnRenamed("sid", "a"), "a"))
+        dealt = _by_blocks(one)
+        left = dealt.filter("block <= other").withColumnsRenamed({"block": "low", "other": "high"})
+        right = dealt.filter("other <= block").withColumnsRenamed({"other": "low2", "block": "high2", "sig": "sig2", "a": "b", "na": "nb", "label": "label2", **{f"{w}a": f"{w}b" for w in words}})
+        across = (F.col("label") != F.col("label2")) & ((F.col("low") < F.col("high")) | (F.col("a") < F.col("b"))) & may_link
+        met = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2")) & across)
+        rest = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), size).distinct())
+        links = links.union(_verified(rest, known, work, k, num, den))
         labels = components(links)
-    named = sets.filter("n > 0").groupBy("sid").agg(F.min("key").alias("least"))
-    named = named.join(labels, named["sid"] == labels["v"], "left").select("sid", "least", F.coalesce("label", "sid").alias("root"))
+    named = known.join(labels, known["sid"] == labels["v"], "left").select("sid", F.col("key").alias("least"), F.coalesce("label", "sid").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     named = materialise(named.join(roots, "root").select(F.col("sid").alias("their_sid"), "component"))
     out = sets.join(named, sets["sid"] == named["their_sid"], "left")
