@@ -12,13 +12,16 @@ from quarrylog.llm import decontaminate, jaccard, language, mixing, substring
 from quarrylog.llm._ops import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies: words of a shingle, and the similarity in percent from which two documents link.
+SHINGLE, SIMILAR = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language the models accept; text without letters, or like no language, goes."""
     sample = language.training_sample(docs, "doc_id", "text", "lang")
     model = language.fit([t for t, _ in sample], [y for _, y in sample])
-    return language.predict(docs, model, carry=COLUMNS[1:]).filter(~F.col("rejected")).select(*COLUMNS)
+    found = docs.select(*COLUMNS).withColumn("found", language.identified(spark, model, F.col("text")))
+    return found.filter(~F.col("found.rejected")).select(*COLUMNS)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by id and text digest, so two texts under one id are two documents.
     """
     docs = docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest")))
-    found = materialise(jaccard.join(docs, key="row"))
+    found = materialise(jaccard.join(docs, key="row", k=SHINGLE, num=SIMILAR, den=100))
     gone = materialise(found.filter("row <> component_id").select("row").distinct())
     if found.filter("row = component_id").groupBy("row").count().filter("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])  # repeated rows
@@ -37,7 +40,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of all documents but the first that has them; what is left without words goes."""
-    found = substring.dedup(docs, carry=("lang", "source"))
+    found = substring.dedup(docs, line_words=substring.LINE_WORDS, carry=("lang", "source"))
     left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\s]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
