@@ -6,11 +6,13 @@ differ in at most d elements (d from their sizes), and
 
 * exact parts: with m = d + 1 + SLACK parts at least 1 + SLACK are equal; equal parts share a signature;
 * one-deletion parts: with m = d // 2 + 1 + SLACK parts at least 1 + SLACK differ in at most one element; a part is
-  indexed with every one of its elements left out as well, so such parts share a signature.
+  indexed with every one of its elements left out as well, so such parts share a signature;
+* subsets of segments: the same m parts, each cut further into a few segments; a part is indexed with each one of its
+  segments left out, so parts that differ in one element share the signature without that element's segment.
 
-Which of the two a band takes is decided by cost: signatures emitted, plus STRAY times the expected number of parts so
-small that unrelated sets may share them. Parts of at most one element are weak: they are no index entries (empty ones
-match every set), which the slack makes up for. A set with more weak parts than slack is indexed again under other
+Which of these a band takes is decided by cost: signatures emitted, plus STRAY times the expected number of parts so
+small that unrelated sets may share them. Parts too small (at most one element; with segments, none left beside the
+largest) are weak: they are no index entries (empty ones match every set), which the slack makes up for. A set with more weak parts than slack is indexed again under other
 segments, against the other such sets; at the last level with all its parts. No pair is lost: where either set has
 enough slack a shared signature is left, else both are at the next level.
 
@@ -43,6 +45,8 @@ K = 4
 NUMERATOR, DENOMINATOR = 85, 100
 #: Ratio of a band's sizes, levels of segment hashing, and the cost of a part that unrelated sets may share.
 BAND, LEVELS, STRAY = 1.3, 4, 4.0
+#: Kinds of index: whole parts, parts with one element left out, and (the numbers themselves) parts of so many segments with one left out.
+EXACT, DELETION, SEGMENTS = 0, 1, (3, 4, 5, 6)
 #: Buckets are crowded beyond so many comparisons a member. Times that sets are drawn and signatures made finer before all
 #: pairs left are compared, and the members of a bucket that one task compares with as many others.
 CROWDED, DRAWS, CUTS, BLOCK = 64, 2, 3, 256
@@ -90,7 +94,7 @@ class Bands:
             edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * max(ratio, den / num))))
         self.low = np.array(edges)
         n = len(edges) - 1
-        self.m, self.slack, self.deletion = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        self.m, self.slack, self.kind = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.high = self.low[1:] - 1
         for i in range(n):
             self._allocate(i)
@@ -102,25 +106,30 @@ class Bands:
         if d == 0:
             return
         best = None
-        for deletion in (False, True):
-            need = (d // 2 if deletion else d) + 1
-            # Slack needs more segments, which makes smaller parts; without any that fits, the next level has more to do.
+        for kind in (EXACT, DELETION, *SEGMENTS):
+            need = (d if kind == EXACT else d // 2) + 1
+
+            def few(m: int, least: int, kind: int = kind) -> float:
+                """Expected signatures, or parts with one, of at most so many elements."""
+                share = 1 if kind in (EXACT, DELETION) else (kind - 1) / kind
+                return (m if m > 1 else 0) * (kind if kind in SEGMENTS else 1) * _few(typical / m * share, least)
+
+            # Slack needs more parts, which makes smaller ones; without any that fits, the next level has more to do.
             slack, wanted = 0, 0
             for _ in range(20):
                 slack = wanted
-                m = need + slack
-                weak = (m if m > 1 else 0) * _few(typical / m, 1)
+                weak = min(few(need + slack, 0 if kind in SEGMENTS else 1), need + slack)
                 wanted = 0 if weak <= 0.1 else math.ceil(weak + 2 * math.sqrt(weak))
                 if wanted <= slack:
                     break
             settled = wanted <= slack
             slack = slack if settled else 0
             m = need + slack
-            stray = (m if m > 1 else 0) * _few(typical / m, 3 if deletion else 2)
-            cost = m + (typical if deletion else 0) + STRAY * stray + (0 if settled else 1e18)
-            if best is None or cost <= best[0]:
-                best = cost, m, slack, deletion
-        _, self.m[i], self.slack[i], self.deletion[i] = best
+            emitted = m if kind == EXACT else m + typical if kind == DELETION else m * kind
+            cost = emitted + STRAY * few(m, 3 if kind == DELETION else 2) + (0 if settled else 1e18)
+            if best is None or cost < best[0]:
+                best = cost, m, slack, kind
+        _, self.m[i], self.slack[i], self.kind[i] = best
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, "right") - 1
@@ -128,7 +137,7 @@ class Bands:
     def parts(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
         """Leading segments that a set of this size has in the index of a band: as many as its smallest-or-equal role needs."""
         d = most_different(size, self.high[band], self.num, self.den)
-        return np.minimum(self.m[band], np.where(self.deletion[band], d // 2, d) + 1 + self.slack[band])
+        return np.minimum(self.m[band], np.where(self.kind[band] == EXACT, d, d // 2) + 1 + self.slack[band])
 
     def signatures(self, elements: np.ndarray, offsets: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Signatures and the set of each: in the set's own band, and in the next if a larger set there can link.
@@ -174,19 +183,41 @@ class Bands:
         slot_place = np.arange(n) - base[slot_entry]
         wanted = self.parts(size, band)
         used = slot_place < wanted[slot_entry]
-        weak = np.bincount(slot_entry[used & (count <= 1)], minlength=len(which))
-        short = weak > self.slack[band]
-        last = level == LEVELS - 1
-        deletion = self.deletion[band]
+        kind = self.kind[band]
         label = mix((band[slot_entry].astype(np.uint64) << np.uint64(40)) + (np.uint64(level) << np.uint64(34)) + slot_place.astype(np.uint64))
+        # Segments of the parts that have them: element counts and sums of each, a column a segment.
+        cut = kind >= SEGMENTS[0]
+        deep = np.flatnonzero(cut[slot_entry] & used)
+        pieces = int(kind.max(initial=1)) if len(deep) else 1
+        row = np.full(n, -1)
+        row[deep] = np.arange(len(deep))
+        inner = row[slot] >= 0
+        segment = ((mix(value[inner] ^ np.uint64(0xD1342543DE82EF95)) >> np.uint64(8)) % kind[entry[inner]].astype(np.uint64)).astype(np.int64)
+        cell = row[slot[inner]] * pieces + segment
+        in_segment = np.bincount(cell, minlength=len(deep) * pieces).reshape(-1, pieces)
+        of_segment = [np.bincount(cell, part.astype(np.float64), len(deep) * pieces).astype(np.uint64).reshape(-1, pieces) for part in (value[inner] & half, value[inner] >> np.uint64(32))]
+        of_segment = (of_segment[1] << np.uint64(32)) + of_segment[0]
+        # The fewest elements that a signature of the part may stand on.
+        least = count.copy()
+        least[deep] -= in_segment.max(1, initial=0)
+        floor = np.where(cut, 0, 1)[slot_entry]
+        weak = np.bincount(slot_entry[used & (least <= floor)], minlength=len(which))
+        short = weak > self.slack[band]
+        last = (level == LEVELS - 1) & short
         # Exact parts need two elements; one-deletion parts one, for those that are such a part and one element more.
-        shown = used & ((count >= np.where(deletion[slot_entry], 1, 2)) | (last & short[slot_entry]))
+        shown = used & ~cut[slot_entry] & ((count >= np.where(kind == DELETION, 1, 2)[slot_entry]) | last[slot_entry])
         sig, owner = [mix(total[shown] + label[shown])], [which[slot_entry[shown]]]
-        left_out = deletion[entry] & used[slot] & ((count[slot] > 1) | (last & short[entry]))
+        left_out = (kind == DELETION)[entry] & used[slot] & ((count[slot] > 1) | last[entry])
         if left_out.any():
             s = slot[left_out]
             sig.append(mix(total[s] - value[left_out] + label[s]))
             owner.append(which[entry[left_out]])
+        if len(deep):
+            rest = count[deep][:, None] - in_segment
+            here = (np.arange(pieces) < kind[slot_entry[deep]][:, None]) & ((rest > 0) | last[slot_entry[deep]][:, None])
+            at, omitted = np.nonzero(here)
+            sig.append(mix(mix(total[deep][at] - of_segment[at, omitted] + label[deep][at]) + omitted.astype(np.uint64)))
+            owner.append(which[slot_entry[deep[at]]])
         return np.concatenate(sig), np.concatenate(owner), short
 
 

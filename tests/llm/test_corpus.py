@@ -100,15 +100,17 @@ def test_a_third_of_many_rows_in_one_group(spark):
     assert all(r.component_id == (0 if r.doc_id < 10_000 else r.doc_id) for r in found) and len(found) == len(docs)
 
 
-def test_signatures_lose_no_pair():
-    rng, bands, n = random.Random(1), jaccard.Bands(), 0
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (60, 100)])
+def test_signatures_lose_no_pair(num, den):
+    rng, bands, n = random.Random(1), jaccard.Bands(num, den), 0
+    assert num == 85 or max(bands.kind) >= jaccard.SEGMENTS[0]
     for _ in range(1500):
         size = rng.choice([6, 7, 9, 12, 13, 16, 20, 26, 40, 76, 77, 100, 200, 400])
         a = {rng.getrandbits(64) for _ in range(size)}
         b = set(a)
-        for _ in range(rng.randint(1, max(1, int(jaccard.most_different(size, 10**9))))):
+        for _ in range(rng.randint(1, max(1, int(jaccard.most_different(size, 10**9, num, den))))):
             b.discard(rng.choice(sorted(a))) if rng.random() < 0.5 else b.add(rng.getrandbits(64))
-        if a == b or 100 * len(a & b) < 85 * len(a | b):
+        if a == b or den * len(a & b) < num * len(a | b):
             continue
         elements = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
         at = np.array([0, len(a), len(a) + len(b)])
