@@ -109,7 +109,7 @@ class Grams:
 
 
 def grams(symbols: np.ndarray, at: np.ndarray) -> Grams:
-    """The n-grams of texts, which begin in a context of gaps."""
+    """The n-grams of texts, which begin in a context of gaps. A hash is the sum of scrambled symbols times a factor of their place."""
     value = mix(symbols.astype(np.uint64) + np.uint64(1))
     gap = mix(np.array([_GAP + 1], np.uint64))[0]
     place = np.arange(len(symbols)) - np.repeat(at[:-1], np.diff(at))
@@ -121,10 +121,10 @@ def grams(symbols: np.ndarray, at: np.ndarray) -> Grams:
         shifted[back:] = value[: len(value) - back]
         shifted[place < back] = gap
         total = total + shifted * _FACTORS[back]
-        keys.append(mix(total + np.uint64(n)))
+        keys.append(total)
         if n > 1:
             before = before + shifted * _FACTORS[back - 1]
-            contexts.append(mix(before + np.uint64(n - 1)))
+            contexts.append(before)
     return Grams(keys, contexts)
 
 
