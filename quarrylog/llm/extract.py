@@ -1,16 +1,20 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one a block element, in page order. A line inside a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section has no text length; outside <article> (outside <main> where no article is)
-nor has a line that is all links. Over the lengths runs a window of WINDOW lines: a surge point is where the window's sum
-rises above zero, a dive point where it falls back to zero; what lies between the two is a run of text.
-
-The author's own mark goes first: all runs of lines inside <article> (or <main>), however short, are the text, and lines
-outside are not, unless a window outside reaches SURGE characters and is higher than all inside, as on a page whose
-articles are teasers. Then, and on pages with neither element, the windows decide: a run stays if its highest window has
-at least SURGE characters, if it is the highest on the page, if it lies inside a marked element or between runs that
-stay, or if it has a line that is a sibling, of the same name, of a line in a run of SURGE or more (a short last
-paragraph behind an advert).
+Markup is stripped to lines, one a block element, in page order, and every line has a weighted length. Over the lengths
+runs a window of WINDOW lines: a surge point is where the window's sum rises above zero, a dive point where it falls back
+to zero; what lies between the two is a run of text, and its highest window its height. Runs decide:
+
+* the highest run is text, and with it every run of height SURGE or more; one in another <article> or <main> only if it
+  has SHARE of the highest run's height, as teasers of other articles have not;
+* short lines at the ends of a run that stand in other elements than its text don't belong to it;
+* a shorter run is text if it stands in the same <article> or <main> as one of those, is a sibling (same parent, same
+  element name) of a line in one, stands between two of them, or is the page's only <article>.
+
+Tags only weigh: a line in an <article> or <main> counts MARKED times; a line that is all links counts nothing outside
+one; nor does a line in a menu, footer, sidebar, form, dialog or site header (a <header> in an article is its title), or in
+an element whose class, id or role is wholly made of such words; and an element that has such a word beside others
+("share-price-report") counts half. The latter holds text all the same if the highest window is in it, or a window of
+SURGE characters in the highest run's <article> or <main>; where nothing on the page counts, class words are not heeded.
 
 Cases: null and empty html, and html without text, give the empty text; a tag that is not closed ends with the page, a
 boilerplate element that is not closed at the next article; comments, scripts and styles that are not closed end with
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +34,8 @@ from quarrylog.llm._ops import arrow_map, pick
 
 WINDOW = 3
 SURGE = 86
+#: Height that a run in another article needs, as a share of the highest, and what lines in an article count for.
+SHARE, MARKED = 0.5, 2.0
 
 # Elements of HTML by how they are treated.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
@@ -43,57 +50,92 @@ HINTS = frozenset(
     " respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: Words that say nothing of what an element holds, and those that a name begins with which tells of a page's layout.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button card col column container content div el element foot group head holder icon icons image images inner item items js l left link links list lower main m modern new outer"
+    " page panel pane post posts primary right row s secondary section site slot small strip text thread title top unit upper wide wrap wrapper x xl"
+    .split()
+)
+LAYOUT = frozenset("has hide is no non not with without".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_PART = re.compile(r"[\s_-]+")
+_PART = re.compile(r"[_-]+")
 
+PLAIN, HALF, NONE = 0, 1, 2
 
-def _is_boilerplate(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "main") or "=" not in attributes:
-        return False
+
+def _kind(name: str, attributes: str, in_region: bool) -> tuple[int, int]:
+    """How an element's lines count by its tag and role (PLAIN or NONE), and by its class and id (any)."""
+    by_tag = NONE if name in DROPPED and not (name == "header" and in_region) else PLAIN
+    by_name = PLAIN
+    if not attributes or "=" not in attributes or name in ("html", "body"):
+        return by_tag, by_name
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "role":
-            if value.strip() in ROLES:
-                return True
-        elif not HINTS.isdisjoint(_PART.split(value)):
-            return True
-    return False
+            by_tag = NONE if value.strip() in ROLES else by_tag
+            continue
+        for word in value.split():
+            parts = [p for p in _PART.split(word) if p]
+            if not parts or parts[0] in LAYOUT or HINTS.isdisjoint(parts):
+                continue
+            by_name = max(by_name, NONE if all(p in HINTS or p in NEUTRAL or p.isdigit() for p in parts) else HALF)
+    return by_tag, by_name
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[tuple[int, str]]]:
-    """Lines of the page, the length each counts with, whether it is in a marked element, and its place: (parent, name)."""
-    names: list[tuple[str, bool, bool]] = []  # open elements: name, boilerplate, article or main
+class Line(NamedTuple):
+    text: str
+    all_links: bool
+    hidden: bool  # in an element that its tag or role makes boilerplate
+    named: bool  # in one that is wholly named as such
+    half: tuple[int, ...]  # numbers of the elements around it that are partly named so
+    region: int  # number of the innermost article or main, 0 for none
+    in_article: bool
+    place: tuple[int, str]  # number of the parent block, name of its own
+    around: int  # number of the parent's parent
+
+
+class Open(NamedTuple):
+    name: str
+    hidden: bool
+    named: bool
+    half: int
+    region: int
+
+
+def lines_of(page: str) -> list[Line]:
+    names: list[Open] = []  # open elements
     blocks: list[tuple[int, str]] = [(0, "")]  # open block elements: number, name
-    places: list[tuple[int, str]] = []
     count = 0
-    hidden = articles = mains = links = 0
     parts: list[str] = []
     linked = 0
-    lines: list[str] = []
-    marks: list[tuple[bool, bool, bool, bool]] = []  # boilerplate, in article, in main, all links
-    seen_article = seen_main = False
+    lines: list[Line] = []
     at, size = 0, len(page)
+    hidden = named = links = 0
+    half: list[int] = []
+    regions: list[tuple[int, str]] = []
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(_html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            lines.append(text)
-            places.append((blocks[-2][0] if len(blocks) > 1 else -1, blocks[-1][1]))
-            marks.append((hidden > 0, articles > 0, mains > 0, linked >= sum(len(p) for p in parts if p.strip())))
+            place = (blocks[-2][0] if len(blocks) > 1 else -1, blocks[-1][1])
+            all_links = linked >= sum(len(p) for p in parts if p.strip())
+            lines.append(Line(text, all_links, hidden > 0, named > 0, tuple(half), regions[-1][0] if regions else 0, any(n == "article" for _, n in regions), place, blocks[-3][0] if len(blocks) > 2 else -1))
         parts, linked = [], 0
 
     def close(index: int) -> None:
-        nonlocal hidden, articles, mains, links
-        for name, drop, region in names[index:]:
-            hidden -= drop
-            articles -= region and name == "article"
-            mains -= region and name == "main"
-            links -= name == "a"
-            if name in BLOCKS:
+        nonlocal hidden, named, links
+        for element in reversed(names[index:]):
+            hidden -= element.hidden
+            named -= element.named
+            links -= element.name == "a"
+            if element.half:
+                half.remove(element.half)
+            if element.region:
+                regions.remove((element.region, element.name))
+            if element.name in BLOCKS:
                 blocks.pop()
         del names[index:]
 
@@ -118,67 +160,69 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[tuple[in
             parts.append(" ")
             continue
         block = name in BLOCKS
-        if block or _is_boilerplate(name, attributes) and not closing:
-            flush()
         if closing:
+            if block:
+                flush()
             for i in range(len(names) - 1, -1, -1):
-                if names[i][0] == name:
+                if names[i].name == name:
+                    if names[i].hidden or names[i].named or names[i].half:
+                        flush()
                     close(i)
                     break
             continue
+        by_tag, by_name = _kind(name, attributes, bool(regions))
+        if block or by_tag or by_name:
+            flush()
         if name in VOID or attributes.endswith("/"):
             continue
-        drop = _is_boilerplate(name, attributes)
-        if name in ("article", "main"):
-            if not drop and hidden and re.compile(r"</(?:nav|header|footer|aside|form|menu)\s*>", re.I).search(page, at) is None:
-                close(next(i for i, (_, d, _) in enumerate(names) if d))  # what was left open ends here
-            elif not drop and hidden:
-                first = next(i for i, (_, d, _) in enumerate(names) if d)
-                if re.compile(rf"</{re.escape(names[first][0])}\s*>", re.I).search(page, at) is None:
-                    close(first)
-        region = name in ("article", "main") and not drop
+        if name in ("article", "main") and not by_tag and hidden:
+            first = next(i for i, e in enumerate(names) if e.hidden)
+            if re.compile(rf"</{re.escape(names[first].name)}\s*>", re.I).search(page, at) is None:  # what was left open ends here
+                close(first)
         if name == "p" or name == "li":  # these end the one before
             for i in range(len(names) - 1, -1, -1):
-                if names[i][0] == name:
-                    if not names[i][1]:
+                if names[i].name == name:
+                    if not names[i].hidden and not names[i].named:
                         close(i)
                     break
-                if names[i][0] in BLOCKS and names[i][0] not in ("p",):
+                if names[i].name in BLOCKS and names[i].name != "p":
                     break
-        names.append((name, drop, region))
+        count += 1
+        element = Open(name, by_tag == NONE, by_name == NONE, count if by_name == HALF else 0, count if name in ("article", "main") and not by_tag else 0)
+        names.append(element)
         if block:
-            count += 1
             blocks.append((count, name))
-        hidden += drop
+        hidden += element.hidden
+        named += element.named
         links += name == "a"
-        if region and name == "article":
-            articles += 1
-            seen_article = seen_article or not hidden
-        elif region:
-            mains += 1
-            seen_main = seen_main or not hidden
+        if element.half:
+            half.append(element.half)
+        if element.region:
+            regions.append((element.region, name))
     if at < size:
         parts.append(page[at:])
         linked += size - at if links else 0
     flush()
-    inside = [in_article if seen_article else in_main for _, in_article, in_main, _ in marks]
-    lengths = [0 if drop or (all_links and not own) else len(text) for text, own, (drop, _, _, all_links) in zip(lines, inside, marks, strict=True)]
-    return lines, lengths, inside, places
+    return lines
 
 
-def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+def runs(lengths: list[float], regions: list[int] | None = None, window: int = WINDOW) -> list[tuple[int, int, float]]:
     """(first line, end line, highest window sum) between each surge and the dive that follows it.
 
-    A line of no length parts runs as a whole window of such lines: an element that holds none of the text lies there.
+    A line of no length parts runs as a whole window of such lines: an element that holds none of the text lies there. So
+    does the border of a region.
     """
-    spread: list[int] = []
+    spread: list[float] = []
     place: list[int] = []
     for i, n in enumerate(lengths):
+        if i and regions is not None and regions[i] != regions[i - 1]:
+            spread += [0] * window
+            place += [i] * window
         for _ in range(1 if n else window):
             spread.append(n)
             place.append(i)
     total = np.cumsum([0, *spread])
-    sums = [int(total[min(i + window, len(spread))] - total[i]) for i in range(len(spread))]
+    sums = [float(total[min(i + window, len(spread))] - total[i]) for i in range(len(spread))]
     out, i = [], 0
     while i < len(spread):
         if sums[i] == 0:
@@ -192,21 +236,87 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]
     return out
 
 
+def _highest(found: list[tuple[int, int, float]]) -> tuple[int, int, float]:
+    return max(found, key=lambda r: (r[2], -r[0]))
+
+
+def weights(lines: list[Line], heed_names: bool = True) -> list[float]:
+    """The length that each line counts with."""
+    out = []
+    for line in lines:
+        own = line.region > 0
+        if line.hidden or (heed_names and line.named) or (line.all_links and not own):
+            out.append(0.0)
+        else:
+            out.append(len(line.text) * (MARKED if own else 1.0) * (0.5 if line.half and heed_names else 1.0))
+    return out
+
+
 def main_text(page: str | None) -> str:
-    if not page:
+    lines = lines_of(page) if page else []
+    if not lines:
         return ""
-    lines, lengths, inside, places = lines_of(page)
-    marked = [n if own else 0 for n, own in zip(lengths, inside, strict=True)]
-    found = runs(marked)
-    beside = max((top for _, _, top in runs([0 if own else n for n, own in zip(lengths, inside, strict=True)])), default=0)
-    if not found or (beside >= SURGE and beside > max(top for _, _, top in found)):
-        found = runs(lengths)
-        highest = max((top for _, _, top in found), default=0)
-        siblings = {places[i] for a, b, top in found if top >= SURGE for i in range(a, b) if lengths[i]}
-        stays = [n for n, (a, b, top) in enumerate(found) if top >= SURGE or top == highest or any(lengths[i] and (inside[i] or places[i] in siblings) for i in range(a, b))]
-        found = found[stays[0] : stays[-1] + 1] if stays else []
-        marked = lengths
-    return "\n".join(lines[i] for a, b, _ in found for i in range(a, b) if marked[i])
+    # A main around articles is their page; lines of it outside them are in no region of their own.
+    articles = {line.region for line in lines if line.in_article and not line.hidden}
+    regions = [line.region if line.in_article or not articles else 0 for line in lines]
+    lines = [line._replace(region=region) for line, region in zip(lines, regions, strict=True)]
+    lengths = weights(lines)
+    if not any(lengths):
+        lengths = weights(lines, heed_names=False)
+    found = runs(lengths, regions)
+    if not found:
+        return ""
+    # Elements partly named as boilerplate: those around the highest run, and those in its region with enough text, are text.
+    a, b, _ = _highest(found)
+    main = regions[a]
+    window = _window_of(lengths, a, b)
+    held = {e: sum(lengths[i] for i in window if e in lines[i].half) for i in window for e in lines[i].half}
+    kept = {e for e, n in held.items() if 2 * n >= sum(lengths[i] for i in window)}
+    for e in {e for line in lines for e in line.half} - kept:
+        of_it = [n if e in line.half else 0.0 for n, line in zip(lengths, lines, strict=True)]
+        inside = {region for region, line in zip(regions, lines, strict=True) if e in line.half}
+        if not (main and inside == {main} and any(top >= SURGE for _, _, top in runs(of_it))):
+            lengths = [0.0 if e in line.half else n for n, line in zip(lengths, lines, strict=True)]
+    found = [_trimmed(lines, lengths, r) if not regions[r[0]] else r for r in runs(lengths, regions)]
+    a, b, top = _highest(found)
+    main = regions[a]
+    tall = [r for r in found if r[0] == a or (r[2] >= SURGE and (regions[r[0]] in (0, main) or r[2] >= SHARE * top))]
+    in_regions = {regions[r[0]] for r in tall} - {0}
+    siblings = {lines[i].place for x, y, _ in tall for i in range(x, y) if lengths[i]}
+    only = articles if len(articles) == 1 else set()
+    first, last = tall[0][0], tall[-1][1]
+
+    def stays(r: tuple[int, int, float]) -> bool:
+        region = regions[r[0]]
+        if r in tall or region in in_regions or region in only:
+            return True
+        return region == 0 and (first < r[0] < last or any(lines[i].place in siblings for i in range(r[0], r[1]) if lengths[i]))
+
+    return "\n".join(lines[i].text for r in found if stays(r) for i in range(r[0], r[1]) if lengths[i])
+
+
+def _trimmed(lines: list[Line], lengths: list[float], run: tuple[int, int, float]) -> tuple[int, int, float]:
+    """A run without the short lines at its ends that stand in other elements than its text.
+
+    A short line beside a paragraph is in a high window, whatever it belongs to; at a run's end only its place tells.
+    """
+    a, b, top = run
+    text = [i for i in range(a, b) if lengths[i] >= SURGE]
+    if not text:
+        return run
+    parents, around = {lines[i].place[0] for i in text}, {lines[i].around for i in text}
+    beside = lambda i: lines[i].place[0] in parents or lines[i].around in around
+    while lengths[b - 1] < SURGE and not beside(b - 1):
+        b -= 1
+    while lengths[a] < SURGE and not beside(a):
+        a += 1
+    return a, b, top
+
+
+def _window_of(lengths: list[float], a: int, b: int) -> range:
+    """The lines of the highest window of a run."""
+    best = max(range(a, b), key=lambda i: (sum(lengths[i : min(i + WINDOW, b)]), -i))
+    return range(best, min(best + WINDOW, b))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

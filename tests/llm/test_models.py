@@ -235,6 +235,76 @@ def test_windows_choose_the_text(page, text):
     assert extract.main_text(page) == text
 
 
+P1, P2, P3 = (f"<p>{x} " + "words of the text go on " * 6 + "and end.</p>" for x in ("First", "Second", "Third"))
+T1, T2, T3 = (p[3:-4] for p in (P1, P2, P3))
+NAV = '<ul class="links"><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul>'
+TEASERS = "".join(f'<article class="card"><h3><a href="/{i}">Story {i}</a></h3><p>A teaser of story {i}, with some more words.</p></article>' for i in range(4))
+SHAPES = {
+    "class words on the article": (f'<article class="post comment-open">{P1}{P2}</article>', [T1, T2]),
+    "a report on share prices": (f'<div id="share-price-report">{P1}{P2}</div>', [T1, T2]),
+    "sidebar in a wrapper's class": (f'<div class="layout has-sidebar"><article>{P1}{P2}</article></div><footer>Imprint</footer>', [T1, T2]),
+    "nav in a wrapper's class": (f'<div class="nav-open"><main>{P1}{P2}</main></div>', [T1, T2]),
+    "notice in the id": (f'<div id="notice-of-meeting"><h1>Notice</h1>{P1}</div><div class="cookie-notice">We use cookies here.</div>', ["Notice", T1]),
+    "a wrapper called widget": (f'<div class="elementor-widget-theme"><div>{P1}{P2}{P3}</div></div>', [T1, T2, T3]),
+    "header with title and lead": (f"<header>Site name</header><article><header><h1>Title</h1><p>The lead.</p></header>{P1}</article>", ["Title", "The lead.", T1]),
+    "footer in the article": (f"<article>{P1}<footer>By someone</footer></article>", [T1]),
+    "teaser list after the article": (f"<main><article><h1>Title</h1>{P1}{P2}{P3}</article><section><h2>More</h2>{TEASERS}</section></main>", ["Title", T1, T2, T3]),
+    "teaser list before the article": (f"<div>{TEASERS}</div><article>{P1}{P2}{P3}</article>", [T1, T2, T3]),
+    "two articles of one size": (f"<article>{P1}{P2}</article><article>{P3}{P1}</article>", [T1, T2, T3, T1]),
+    "article in a comment": (f"<!-- <article> --><div>{P1}{P2}</div><!-- </article> --><div>Terms</div>", [T1, T2]),
+    "article in a script": (f'<script>document.write("<article>x</article>")</script><div>{P1}</div>', [T1]),
+    "no article, div soup": (f'{NAV}<div class="c1"><div class="c2"><h1>Title of it</h1>{P1}{P2}</div></div><div>Imprint</div>', ["Title of it", T1, T2]),
+    "links between paragraphs": (f'<div>{P1}<p><a href="/x">Read also this</a></p>{P2}</div>', [T1, T2]),
+    "a linked heading in the article": (f'<article><h1><a href="/x">Title</a></h1>{P1}</article>', ["Title", T1]),
+    "advert between paragraphs": (f'<article>{P1}<div class="ad-banner">Buy this now, it is very cheap and good.</div>{P2}</article>', [T1, T2]),
+    "related box in the article": (f'<article>{P1}<div class="related-stories">See also: another story.</div><p>End.</p></article>', [T1, "End."]),
+    "a section on sharing": (f'<article>{P1}<section id="share-of-votes">{P2}</section></article>', [T1, T2]),
+    "reader comments": (f'<article>{P1}</article><section class="comments"><article class="comment">{P2}{P3}</article></section>', [T1]),
+    "comments, short article": (f'<article><p>Short.</p></article><div id="comments"><p>{T2}</p></div>', ["Short."]),
+    "comments that a plugin names": (f'<div>{P1}{P2}</div><div class="disqus-thread">{P3}</div>', [T1, T2]),
+    "cookie notice first": (f'<div class="cookie-consent">{P3}</div><div>{P1}{P2}</div>', [T1, T2]),
+    "form in the text": (f"<div>{P1}<form><p>Your address, please:</p></form>{P2}</div>", [T1, T2]),
+    "aside in the text": (f"<article>{P1}<aside>{P3}</aside>{P2}</article>", [T1, T2]),
+    "roles apart": (f'<div><p>Menu of the day</p></div><div role="banner">Site</div><div>{P1}</div>', [T1]),
+    "sections in elements of their own": (f"<div><div><h2>One</h2>{P1}</div><div><p>Short end.</p></div></div><div>Imprint</div>", ["One", T1, "Short end."]),
+    "roles": (f'<div role="banner">Site</div><div>{P1}</div><div role="contentinfo">{P2}</div>', [T1]),
+    "tables and lists": (f"<article>{P1}<ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table></article>", [T1, "one", "two", "a b"]),
+    "inline markup": (f"<article><p>Some <b>bold</b> and <a href='/x'>linked</a> text&nbsp;here.</p>{P1}</article>", ["Some bold and linked text here.", T1]),
+    "line breaks": (f"<article><p>one<br>two</p>{P1}</article>", ["one two", T1]),
+    "pre and quote": (f"<article>{P1}<pre>x = 1\n  y</pre><blockquote>Said.</blockquote></article>", [T1, "x = 1 y", "Said."]),
+    "only a short text": ("<div>Hi there.</div>", ["Hi there."]),
+    "nothing but a menu": (f"<nav>{NAV}</nav>", []),
+    "only what names call comments": (f'<div class="comments">{P1}</div>', [T1]),
+    "figure with caption": (f"<article>{P1}<figure><img src=x><figcaption>A picture.</figcaption></figure></article>", [T1, "A picture."]),
+    "unclosed paragraphs": (f"<article><p>{T1}<p>{T2}</article><footer>x", [T1, T2]),
+    "body and html classes": (f'<html class="has-menu"><body class="sidebar-left comments-open"><div>{P1}</div></body></html>', [T1]),
+    "short last section": (f"<div><p>{T1}</p><h2>Part two</h2><p>{T2}</p></div><div><span>12 Jan</span></div><nav>m</nav><p>Tiny</p>", [T1, "Part two", T2]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_page_shapes(name):
+    page, blocks = SHAPES[name]
+    assert extract.main_text(page) == "\n".join(blocks)
+
+
+def test_the_windows_decide(monkeypatch):
+    """Without surge and dive points, as one run of the whole page, other text comes out of many shapes."""
+    given = {name: extract.main_text(page) for name, (page, _) in SHAPES.items()}
+    monkeypatch.setattr(extract, "runs", lambda lengths, regions=None, window=3: [(0, len(lengths), max(lengths))] if any(lengths) else [])
+    changed = {name for name, (page, _) in SHAPES.items() if extract.main_text(page) != given[name]}
+    assert {"teaser list after the article", "teaser list before the article", "roles apart"} <= changed
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<div>" + P1 * 20_000 + "</div>"
+    rows = [(1, "u", long), (1, "u", long), (2, None, ""), (None, "v", None), (3, "w", "<" * 5000 + "a" * 5000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as key", "2 as text")
+    out = {(r.page_id, r.url, r.n_chars) for r in extract.extract(df).collect()}
+    n = 20_000 * (len(T1) + 1) - 1
+    assert {(1, "u", n), (2, None, 0), (None, "v", 0)} <= out and extract.extract(df.limit(0)).count() == 0
+
+
 def test_extraction_of_all_pages(spark):
     import re
 
