@@ -44,7 +44,7 @@ K = 4
 #: Link at a similarity of NUMERATOR / DENOMINATOR or more.
 NUMERATOR, DENOMINATOR = 85, 100
 #: Ratio of a band's sizes, levels of segment hashing, and the cost of a part that unrelated sets may share.
-BAND, LEVELS, STRAY = 1.3, 4, 4.0
+BAND, LEVELS, STRAY = 1.5, 4, 4.0
 #: Kinds of index: whole parts, parts with one element left out, and (the numbers themselves) parts of so many segments with one left out.
 EXACT, DELETION, SEGMENTS = 0, 1, (3, 4, 5, 6)
 #: Buckets are crowded beyond so many comparisons a member. Times that sets are drawn and signatures made finer before all

@@ -212,27 +212,30 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
         return None
     held = np.arange(len(texts)) % CALIBRATE_EVERY == CALIBRATE_EVERY - 1
     label = np.array(labels, object)
-    found = {}
+
+    def symbols(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, _, data, offsets = next(chunks(pa.array([texts[i] for i in rows.tolist()], pa.string()), 1 << 40))
+        return symbols_of(*letters_of(data, offsets))
+
+    learned, apart = {}, {}
     for name in names:
         own = np.flatnonzero(label == name)
-        _, _, data, offsets = next(chunks(pa.array([texts[i] for i in own.tolist()], pa.string()), 1 << 40))
-        found[name] = own, *symbols_of(*letters_of(data, offsets))
-    vocabulary = len(np.unique(np.concatenate([np.unique(s) for _, s, _ in found.values()]))) + 2
-    out = []
-    for name, (own, symbols, at) in found.items():
         kept_out = held[own] & ~held[own].all()
-        g, size = grams(symbols, at), np.diff(at)
-        learned = np.flatnonzero(~np.repeat(kept_out, size))
-        language = _fitted(name, g[learned], vocabulary)
-        # Entropy of the calibration texts (of all texts where there are none).
-        rows = kept_out & (size > 0)
-        rows = np.flatnonzero(rows if rows.any() else size > 0)
-        entropy = [-language.log2(g[np.arange(at[i], at[i + 1])]) for i in rows.tolist()]
+        # Without texts to calibrate on, those learned from are taken.
+        learned[name], apart[name] = symbols(own[~kept_out]), symbols(own[kept_out]) if kept_out.any() else None
+    vocabulary = len(np.unique(np.concatenate([np.unique(part[0]) for part in (*learned.values(), *apart.values()) if part]))) + 2
+    out = []
+    for name in names:
+        language = _fitted(name, grams(*learned[name]), vocabulary)
+        own, at = apart[name] if apart[name] and len(apart[name][0]) else learned[name]
+        parts = [own[a:b] for a, b in zip(at, at[1:], strict=False) if b > a]
+        entropy = [-language.log2(grams(p, np.array([0, len(p)]))) for p in parts]
         if entropy:
-            means, lengths = np.array([e.mean() for e in entropy]), size[rows]
+            means, lengths = np.array([e.mean() for e in entropy]), np.array([len(p) for p in parts])
             language.spread = float(np.std(np.concatenate(entropy[:500])))
             language.limit = float(means[lengths >= min(200, lengths.max())].max() + MARGIN_BITS)
         out.append(language)
+        give_back()
     return Model(out)
 
 
