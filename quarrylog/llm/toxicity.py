@@ -1,17 +1,21 @@
 """Toxicity by a support vector machine over a gapped subsequence string kernel with Nyström landmarks.
 
-Instances are the words of a text: runs of letters (lower-cased, other characters inside a word dropped, single letters
-in a row joined to one word) between a begin and an end mark; a word of more than PIECE letters is cut into overlapping
-pieces. The kernel counts the ordered letter triples two words share, each weighted by DECAY ** span, spans of at most
-SPAN letters, normalised; so letters inserted into a word or left out of it weaken the match but don't end it.
-
-Nyström features of a word are its kernel values (to the power POWER, which is a kernel again) with the landmarks, whitened by the landmarks' own kernel matrix; the
-machine is linear in them, fitted by dual coordinate descent on labelled texts: toxic texts are represented by their
-telling words, clean ones by their least innocent words, looked for anew each round, and by random ones. A text scores its highest word, made
-a probability by logistic regression on the sampled texts.
-
-Cases: null texts and texts without letters have no word and get the lowest value seen in training; equal texts get
-equal scores; without labelled rows of both classes every score is the prior.
+Words are runs of letters (lower-cased, other characters inside a word dropped, single letters in a row joined to one
+word) between a begin and an end mark; a word of more than PIECE letters is cut into overlapping pieces. The word kernel
+counts the ordered letter triples two words share, each weighted by DECAY ** span, spans of at most SPAN letters,
+normalised, to the power POWER (a kernel again); so letters inserted into a word or left out of it weaken the match but
+don't end it. The kernel of two sentences is the sum of their different words' kernels. A sentence ends behind '.', '!' or
+'?' before white space, at a newline, and after SENTENCE words.
+
+Nyström features of a sentence are its kernels with landmark words, whitened by the landmarks' own kernel matrix; words
+whose kernel with every telling landmark is below NEAR add nothing. The machine is linear in them and trained on labelled
+sentences by dual coordinate descent: those of clean texts are clean; of a toxic text the sentence that is most toxic by
+the words first, by the machine of the round before then, is toxic, the others have no label. Copies of telling words with
+a letter put in or left out are toxic sentences of one word. Landmarks are the telling words and the least innocent words
+of clean texts, looked for anew each round. A text scores its highest sentence, made a probability by logistic regression.
+
+Cases: null texts and texts without letters have no sentence and get the lowest value seen in training; equal texts get
+equal scores; without labelled rows of both classes every score is the share of label 1 among them, 0 without any.
 """
 
 from __future__ import annotations
@@ -29,26 +33,33 @@ from quarrylog.llm._text import _BASE, _BASE_INVERSE, byte_class, chunks, mix
 from quarrylog.llm.language import letters_of
 
 SPAN, DECAY, PIECE = 6, 0.75, 24
-LANDMARKS, ROUNDS, COST, POWER, NEAR = 160, 3, 20.0, 3, 0.4
-SUPPORT, TELLING, VARIED = 4, 6.0, 2.0
+LANDMARKS, ROUNDS, COST, POWER, NEAR = 160, 3, 20.0, 3, 0.3
+SUPPORT, TELLING, VARIED = 4, 6.0, 5.0
+#: Words of a sentence at most, and clean sentences that a round trains on.
+SENTENCE, CLEAN = 40, 4000
 #: Triples share this many cells of the weight table; a chance collision adds a stray match of one triple.
 CELLS = 1 << 20
 CHUNK = 4 << 20
 
 _SPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
+_STOP = byte_class((0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))
 _BEGIN, _END = 1, 2
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters, each with a word number (growing), and each text's first word (n + 1)."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters, each word's first letter, each text's first word (n + 1), and each word's sentence (growing, from 0)."""
     letters, at = letters_of(data, offsets)
-    # White space in code points: where the byte starting a code point is white space.
+    # White space and sentence ends in code points: where the byte starting a code point is one.
     lead = np.flatnonzero((data & 0xC0) != 0x80)
-    space = _SPACE[data[lead]] if len(lead) == len(letters) else letters == 0
+    whole = len(lead) == len(letters)
+    space = _SPACE[data[lead]] if whole else letters == 0
+    ends = data[lead] == 10 if whole else np.zeros(len(letters), bool)
+    if whole and len(lead):
+        ends[:-1] |= _STOP[data[lead[:-1]]] & space[1:]
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    gap = np.cumsum(space)
+    gap, ended = np.cumsum(space), np.cumsum(ends)
     keep = letters > 0
-    letters, text, gap = letters[keep], text[keep], gap[keep]
+    letters, text, gap, ended = letters[keep], text[keep], gap[keep], ended[keep]
     new = np.ones(len(letters), bool)
     new[1:] = (gap[1:] != gap[:-1]) | (text[1:] != text[:-1])
     starts = np.flatnonzero(new)
@@ -57,8 +68,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     joined[1:] = single[1:] & single[:-1] & (text[starts[1:]] == text[starts[:-1]])
     new[starts[joined]] = False
     starts = starts[~joined]
-    # Long words fall into pieces of PIECE letters that overlap by half: here cut at half pieces, see `pieces`.
-    return letters, starts, np.searchsorted(text[starts], np.arange(len(at)))
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (text[starts[1:]] != text[starts[:-1]]) | (ended[starts[1:]] != ended[starts[:-1]])
+    place = np.arange(len(starts)) - np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
+    sentence = np.cumsum(fresh | (place % SENTENCE == 0)) - 1
+    return letters, starts, np.searchsorted(text[starts], np.arange(len(at))), sentence
 
 
 def pieces(starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +143,8 @@ class Landmarks:
 
     def kernel(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.zeros((len(begin), self.n), np.float32)
+        if not len(begin):
+            return out
         word, cell, weight = triples(letters, begin, end)
         norm = np.sqrt(np.maximum(np.bincount(word, weight * weight, len(begin)), 1e-12))
         row = self.row[cell]
@@ -145,48 +161,60 @@ class Landmarks:
         return out**POWER
 
 
+def _kernels(sets: list[Landmarks], letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that are near a telling landmark (the first set's), and their kernels with all landmarks."""
+    rows, values = [], []
+    for s in range(0, len(begin), 20_000):
+        b, e = begin[s : s + 20_000], end[s : s + 20_000]
+        first = sets[0].kernel(letters, b, e)
+        near = np.flatnonzero(first.max(1, initial=0) >= NEAR**POWER)
+        rows.append(s + near)
+        values.append(np.concatenate((first[near], sets[1].kernel(letters, b[near], e[near])), 1))
+    width = sum(m.n for m in sets)
+    return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros((0, width), np.float32)]).astype(np.float64)
+
+
 @dataclass
 class Machine:
-    """A word's value is kernel @ alpha + bias; a text's probability comes from its highest word.
-
-    Words whose kernel with every telling landmark is below NEAR have the value of the bias, or of the floor if lower.
-    """
+    """A sentence's value is the sum of its different words' kernels @ alpha, + bias; a text's probability comes from its highest."""
 
-    telling: Landmarks
-    others: Landmarks
+    sets: list[Landmarks]  # telling words, others
     alpha: np.ndarray
     bias: float
-    slope: float
-    offset: float
-    floor: float
-
-    def values(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out = np.full(len(begin), min(self.bias, -1.0))
-        for s in range(0, len(begin), 20_000):
-            b, e = begin[s : s + 20_000], end[s : s + 20_000]
-            first = self.telling.kernel(letters, b, e)
-            near = np.flatnonzero(first.max(1) >= NEAR**POWER)
-            if len(near):
-                out[s + near] = np.concatenate((first[near], self.others.kernel(letters, b[near], e[near])), 1) @ self.alpha + self.bias
+    slope: float = 1.0
+    offset: float = 0.0
+    floor: float = -2.0
+
+    def words(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """What each word adds."""
+        out = np.zeros(len(begin))
+        near, kernel = _kernels(self.sets, letters, begin, end)
+        out[near] = kernel @ self.alpha
         return out
 
     def text_values(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Highest value of each text's words."""
-        letters, starts, first = words_of(data, offsets)
+        """Highest value of each text's sentences."""
+        letters, starts, first, sentence = words_of(data, offsets)
         out = np.full(len(offsets) - 1, self.floor)
         if len(starts):
             begin, end, word = pieces(starts, len(letters))
             one, which = distinct(letters, begin, end)
-            value = self.values(letters, begin[one], end[one])[which]
-            by_word = np.maximum.reduceat(value, np.searchsorted(word, np.arange(len(starts))))
+            value = sentence_sums(self.words(letters, begin[one], end[one]), which, sentence[word], int(sentence[-1]) + 1) + self.bias
             has = np.flatnonzero(np.diff(first))
-            out[has] = np.maximum.reduceat(by_word, first[has])
+            out[has] = np.maximum.reduceat(value, sentence[first[has]])
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.text_values(data, offsets) + self.offset)))
 
 
+def sentence_sums(value: np.ndarray, which: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+    """Each sentence's sum of the values of its different words."""
+    live = np.flatnonzero(value[which] != 0)
+    pairs = np.unique(sentence[live] * len(value) + which[live])
+    return np.bincount(pairs // len(value), value[pairs % len(value)], n)
+
+
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rng: np.random.Generator, sweeps: int = 30) -> np.ndarray:
     """Linear machine (hinge loss, the last column being the bias) by dual coordinate descent."""
     x = np.concatenate((x, np.ones((len(x), 1))), 1)
@@ -231,20 +259,21 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Ma
     """Trains on equal shares of both classes; the logit is shifted to the prior share of label 1.
 
     Near copies among the texts (equal least word-pair hash) count once where words are counted. A word is telling that
-    SUPPORT toxic texts or more hold and whose odds are TELLING times the clean texts'; its copies with one letter put
-    in or left out are instances too.
+    SUPPORT toxic texts or more hold and whose odds are TELLING times the clean texts'.
     """
     y = np.array(labels)
     if not len(texts) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
     _, _, data, offsets = next(iter(chunks(pa.array(texts, pa.string()), 1 << 40)))
-    letters, starts, first = words_of(data, offsets)
+    letters, starts, first, sentence = words_of(data, offsets)
     begin, end, word = pieces(starts, len(letters))
     one, which = distinct(letters, begin, end)
-    text_of = np.searchsorted(first, word, "right") - 1
+    text_of, sentence = np.searchsorted(first, word, "right") - 1, sentence[word]
     begin, end = begin[one], end[one]
-    n_words = len(one)
+    n_words, n_sentences = len(one), int(sentence[-1]) + 1 if len(sentence) else 0
+    of_text = np.zeros(n_sentences, np.int64)
+    of_text[sentence] = text_of
     pair_hash = mix(which[:-1].astype(np.uint64) * np.uint64(n_words) + which[1:].astype(np.uint64))
     cluster = np.arange(len(texts)).astype(np.uint64)
     edges = np.searchsorted(text_of, np.arange(len(texts) + 1))
@@ -255,14 +284,9 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Ma
     cluster = cluster.ravel()
     label_of = np.zeros(cluster.max() + 1, np.int64)
     label_of[cluster] = y
-
-    def holders(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.unique(np.stack((of[text_of], which), 1), axis=0)
-        return pairs, np.searchsorted(pairs[:, 0], np.arange(of.max() + 2))
-
-    pairs, _ = holders(cluster)
-    toxic = label_of[pairs[:, 0]] == 1
-    in_toxic, in_clean = np.bincount(pairs[toxic, 1], minlength=n_words), np.bincount(pairs[~toxic, 1], minlength=n_words)
+    holders = np.unique(np.stack((cluster[text_of], which), 1), axis=0)
+    toxic = label_of[holders[:, 0]] == 1
+    in_toxic, in_clean = np.bincount(holders[toxic, 1], minlength=n_words), np.bincount(holders[~toxic, 1], minlength=n_words)
     n1, n0 = int((label_of == 1).sum()), int((label_of == 0).sum())
     odds = np.log((in_toxic + 0.2) / (n1 + 0.4)) - np.log((in_clean + 0.2) / (n0 + 0.4))
     telling = np.flatnonzero((in_toxic >= SUPPORT) & (odds >= np.log(TELLING)))
@@ -271,35 +295,56 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Ma
         telling = np.argsort(-odds, kind="stable")[:10]
 
     chosen = telling[: LANDMARKS // 2]
+    clean_words = np.setdiff1d(np.flatnonzero(in_clean), telling)
     common = np.setdiff1d(np.argsort(-in_clean, kind="stable")[: 40 * LANDMARKS], telling)
     others = rng.choice(common, min(len(common), LANDMARKS // 4), replace=False)
     long = telling[(end - begin)[telling] >= 4][:60]
     extra, sizes, source = _variants(letters, begin[long], end[long], letters[rng.integers(0, len(letters), 2000)], rng)
     stop = np.cumsum(sizes)
-    w_telling = in_toxic[telling].astype(float)
     w_varied = VARIED * in_toxic[long][source] / np.maximum(np.bincount(source, minlength=len(long)), 1)[source]
-    pairs, edges = holders(np.arange(len(texts)))
-    clean = pairs[y[pairs[:, 0]] == 0, 1]
-    clean_words = np.setdiff1d(clean, telling)
-    negatives, machine = others, None
+    # What makes a sentence of a toxic text the toxic one: first its words' odds.
+    evidence = sentence_sums(np.where(np.isin(np.arange(n_words), telling), np.maximum(odds, 0.1), 0.0), which, sentence, n_sentences)
+    machine = None
     for _ in range(ROUNDS):
         marks = np.concatenate((chosen, others))
         sets = [Landmarks(letters, begin[m], end[m]) for m in (chosen, others)]
         kernel = lambda *z: np.concatenate([m.kernel(*z) for m in sets], 1).astype(np.float64)  # noqa: B023, E731
         values, vectors = np.linalg.eigh(kernel(letters, begin[marks], end[marks]) + 1e-4 * np.eye(len(marks)))
         whiten = vectors / np.sqrt(np.maximum(values, 1e-6))
-        negatives = np.setdiff1d(np.concatenate((negatives, clean[rng.integers(0, len(clean), n0)] if len(clean) else clean)), telling)
-        x = [kernel(*z) @ whiten for z in ((letters, begin[telling], end[telling]), (extra, stop - sizes, stop), (letters, begin[negatives], end[negatives]))]
-        sign = np.repeat([1.0, 1.0, -1.0], [len(part) for part in x])
-        weight = np.concatenate((w_telling, w_varied, np.sqrt(np.maximum(in_clean[negatives], 1))))
+        near, features = _kernels(sets, letters, begin, end)
+        row = np.full(n_words, -1)
+        row[near] = np.arange(len(near))
+        live = np.flatnonzero(row[which] >= 0)
+        pairs = np.unique(sentence[live] * n_words + which[live])  # a sentence's different words that are near
+        held, of_word = pairs // n_words, row[pairs % n_words]
+        filled, at = np.unique(held, return_index=True)  # the sentences that have any
+
+        def best(evidence: np.ndarray, filled: np.ndarray = filled) -> np.ndarray:
+            """Places in `filled` of the sentence with most evidence of each toxic text that has some."""
+            own = np.flatnonzero((y[of_text[filled]] == 1) & (evidence[filled] > 0))
+            order = own[np.lexsort((-evidence[filled[own]], of_text[filled[own]]))]
+            return order[np.unique(of_text[filled[order]], return_index=True)[1]]
+
+        x = np.add.reduceat(features[of_word], at, 0) @ whiten if len(filled) else np.zeros((0, len(marks)))
+        positive = best(evidence)
+        negative = np.flatnonzero(y[of_text[filled]] == 0)
+        if len(negative) > CLEAN:  # the least innocent ones by the round before, and others at random
+            hard = negative[np.argsort(-evidence[filled[negative]], kind="stable")[: CLEAN // 2]]
+            negative = np.concatenate((hard, rng.choice(np.setdiff1d(negative, hard), CLEAN // 2, replace=False)))
+        x = [x[positive], kernel(extra, stop - sizes, stop) @ whiten, x[negative], np.zeros((1, len(marks)))]
+        sign = np.repeat([1.0, 1.0, -1.0, -1.0], [len(part) for part in x])
+        weight = np.concatenate((np.ones(len(positive)), w_varied, np.ones(len(negative)), [10.0]))
         balance = np.where(sign > 0, weight[sign < 0].sum() / max(weight[sign > 0].sum(), 1e-9), 1.0)
         beta = _svm(np.concatenate(x), sign, COST * np.maximum(weight * balance / weight.mean(), 0.3), rng)
-        machine = Machine(*sets, whiten @ beta[:-1], float(beta[-1]), 1.0, 0.0, -2.0)
-        value = machine.values(letters, begin, end)
-        # The clean words nearest to being toxic are the next round's landmarks and instances.
-        hard = clean_words[np.argsort(-value[clean_words], kind="stable")]
-        others, negatives = hard[: LANDMARKS // 2], np.union1d(negatives, hard[:1500])
-    by_text = np.array([value[pairs[a:b, 1]].max() if b > a else np.nan for a, b in zip(edges, edges[1:], strict=False)])
+        machine = Machine(sets, whiten @ beta[:-1], float(beta[-1]))
+        by_word = np.zeros(n_words)
+        by_word[near] = features @ machine.alpha
+        evidence = sentence_sums(by_word, which, sentence, n_sentences)
+        # The clean words nearest to being toxic are the next round's landmarks.
+        others = clean_words[np.argsort(-by_word[clean_words], kind="stable")][: LANDMARKS // 2]
+    by_text = np.full(len(texts), np.nan)
+    if n_sentences:
+        np.fmax.at(by_text, of_text, evidence + machine.bias)
     machine.floor = float(np.nanmin(by_text))
     by_text = np.nan_to_num(by_text, nan=machine.floor)
     machine.slope, machine.offset = _logistic(by_text, y)
@@ -308,19 +353,22 @@ def fit(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Ma
     return machine
 
 
-def classify(df: DataFrame, machine: Machine | None, key: str = "doc_id", text: str = "text", threshold: float = 0.5, prior: float = 0.0) -> DataFrame:
-    """(key, held_out, score, predicted) for every row; score is the probability of label 1."""
+def classify(df: DataFrame, machine: Machine | float | None, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(key, held_out, score, predicted) for every row; score is the probability of label 1 (machine: a number, that for all)."""
     work = pick(df, key=key, text=text, held_out=F.coalesce(crc_mod(df[key], HOLD_OUT) == 0, F.lit(False)))
     shared = df.sparkSession.sparkContext.broadcast(machine)
 
     def run(batch):
         for a, b, data, offsets in chunks(batch.column("text"), CHUNK):
-            score = shared.value.score(data, offsets) if shared.value is not None else np.full(b - a, prior)
+            own = shared.value
+            score = own.score(data, offsets) if isinstance(own, Machine) else np.full(b - a, float(own or 0.0))
             yield {"key": batch.column("key").slice(a, b - a), "held_out": batch.column("held_out").slice(a, b - a), "score": score, "predicted": pa.array((score >= threshold).astype(np.int32))}
 
     return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine | float:
+    """The machine, or without labelled rows of both classes the share of label 1 among them (0 without any)."""
     sample, prior = labelled_sample(docs, labels, label)
-    return fit([t for t, _ in sample], [y for _, y in sample], prior)
+    machine = fit([t for t, _ in sample], [y for _, y in sample], prior)
+    return machine if machine is not None else prior if sample else 0.0

@@ -184,6 +184,54 @@ def test_classifiers_without_labels(spark):
     assert quality.fit([], [], 0.5) is None and toxicity.fit(["a"], [1], 0.5) is None
 
 
+def brute_word_kernel(a, b):
+    """Normalised count of shared ordered letter triples, each weighted by DECAY ** span, to the power POWER."""
+    from collections import Counter
+
+    def triples(w):
+        marked, out = ["begin", *w, "end"], Counter()
+        for i in range(len(marked)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(marked))):
+                for j in range(i + 1, k):
+                    out[marked[i], marked[j], marked[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    one, two = triples(a), triples(b)
+    size = lambda t: sum(v * v for v in t.values()) ** 0.5
+    return (sum(v * two[x] for x, v in one.items()) / (size(one) * size(two))) ** toxicity.POWER
+
+
+def test_sentence_values_are_sums_of_the_kernel():
+    marks = ["moron", "idiot", "clown"]
+    text = np.array([ord(c) for c in "".join(marks)], np.uint32)
+    end = np.cumsum([len(w) for w in marks])
+    machine = toxicity.Machine([toxicity.Landmarks(text, end[:2] - 5, end[:2]), toxicity.Landmarks(text, end[2:] - 5, end[2:])], np.array([1.0, 2.0, -0.5]), -0.25)
+    texts = ["You moron! Such an idi-ot, clown clown. Fine", "a table of m o r o n words\nidiiot", "", "nothing here", "idiot " * 41 + "moron"]
+    sentences = [[["you", "moron"], ["such", "an", "idiot", "clown"], ["fine"]], [["a", "table", "of", "moron", "words"], ["idiiot"]], None, [["nothing", "here"]], [["idiot"], ["idiot", "moron"]]]
+
+    def word(w):
+        near = [brute_word_kernel(w, m) for m in marks]
+        return near[0] + 2 * near[1] - 0.5 * near[2] if max(near[:2]) >= toxicity.NEAR**toxicity.POWER else 0.0
+
+    want = [machine.floor if s is None else max(sum(word(w) for w in set(x)) - 0.25 for x in s) for s in sentences]
+    _, _, data, offsets = next(chunks(pa.array(texts), 1 << 20))
+    assert np.allclose(machine.text_values(data, offsets), want, atol=1e-4)
+
+
+def test_classes_missing_ties_and_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "word " * 50_000), (None, "x")], "doc_id long, text string").selectExpr("*", "0.5 as score", "1 as key", "'h' as held_out")
+    ones = spark.createDataFrame([(i, 1, 1) for i in range(1, 4)], "doc_id long, quality int, toxic int")
+    zeros = ones.selectExpr("doc_id", "0 as quality", "0 as toxic")
+    assert {r.score for r in toxicity.classify(docs, toxicity.train(docs, ones)).collect()} == {1.0}
+    assert {r.score for r in toxicity.classify(docs, toxicity.train(docs, zeros)).collect()} == {0.0}
+    texts = ["you idiot and moron", "a fine day of words"] * 10
+    for module, model in ((toxicity, toxicity.fit(texts, [1, 0] * 10, 0.5)), (quality, quality.fit(texts, [1, 0] * 10, 0.5))):
+        rows = module.classify(docs, model).collect()
+        same = {r.score for r in rows if r.doc_id in (1, None)}
+        assert len(rows) == 5 and len(same) == 1 and all(0 <= r.score <= 1 for r in rows)
+        assert module.classify(docs.limit(0), model).count() == 0
+
+
 def test_string_kernel_prefers_the_nearer_word():
     marks = np.array([ord(c) for c in "moron"], np.uint32)
     kernel = toxicity.Landmarks(marks, np.array([0]), np.array([5]))
