@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SEP = "\x01"
 
 
+def with_groups(value: Column, pattern: str, n: int, then: Callable[[Column, Callable[[int], Column]], Column]) -> Column:
+    """then(ok, group) of an anchored pattern with n groups, evaluated once a row; group(i), from 1, is '' where none is.
+
+    Groups are parted by U+0001, which is taken out of the value first. A lambda's variable holds the parts, so that an
+    expression that uses them several times doesn't evaluate the pattern as often.
+    """
+    shown = "".join(f"{_SEP}${i + 1}" for i in range(n))
+    parts = F.split(F.regexp_replace(F.translate(value, _SEP, ""), pattern, shown), _SEP, n + 1)
+
+    def apply(p: Column) -> Column:
+        ok = F.coalesce((F.size(p) == n + 1) & (F.get(p, F.lit(0)) == ""), F.lit(False))
+        return then(ok, lambda i: F.when(ok, F.get(p, F.lit(i))).otherwise(""))
+
+    return F.get(F.transform(F.array(parts), apply), F.lit(0))
+
+
 def extract(value: Column, pattern: str, names: list[str]) -> Column:
     """Struct of (ok, *names) from one evaluation of an anchored pattern; '' where it or an optional group doesn't match."""
-    shown = "".join(f"{_SEP}${i + 1}" for i in range(len(names)))
-    parts = F.split(F.regexp_replace(value, pattern, shown), _SEP, len(names) + 1)
-    ok = F.coalesce((F.size(parts) == len(names) + 1) & (F.get(parts, F.lit(0)) == ""), F.lit(False))
-    return F.struct(ok.alias("ok"), *(F.when(ok, F.get(parts, F.lit(i + 1))).otherwise("").alias(n) for i, n in enumerate(names)))
+    return with_groups(value, pattern, len(names), lambda ok, group: F.struct(ok.alias("ok"), *(group(i + 1).alias(n) for i, n in enumerate(names))))
+
+
+def found(struct: Column, always: bool = False) -> Column:
+    """An array of the struct if its `ok` is true (or always), else of none: exploded, it is evaluated once for filter and fields."""
+    return F.filter(F.array(struct), lambda s: F.lit(True) if always else s["ok"])
+
+
+def fields_of(text: Column) -> Column:
+    """The white-space separated parts of a text, for `field_in`."""
+    return F.split(text, r"\s+")
+
+
+def field_in(parts: Column, name: str) -> Column:
+    """Value of the last part that is `name=value`, '' if there is none."""
+    last = F.try_element_at(F.filter(parts, lambda p: p.startswith(f"{name}=")), F.lit(-1))
+    return F.coalesce(F.substring(last, len(name) + 2, 1 << 30), F.lit(""))
 
 
 def valid_utf8(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylog.functions.patterns import ACCESS_TIME, APACHE_ERROR_TIME, MONTHS, MYSQL_TIME
-from quarrylog.functions.text import extract
+from quarrylog.functions.text import with_groups
 
 #: Zone that epoch times are shown in.
 EPOCH_ZONE = "Asia/Seoul"
@@ -50,15 +50,13 @@ def epoch_time(seconds: Column, zone: str = EPOCH_ZONE) -> Column:
 
 def access_time(raw: Column) -> Column:
     """dd/Mon/yyyy:HH:MM:SS zone; anything else as it is; an unknown month is 00."""
-    p = extract(raw, ACCESS_TIME, ["d", "m", "y", "t"])
-    month = F.coalesce(_two(month_number(p["m"])), F.lit("00"))
-    return F.when(p["ok"], F.concat(p["y"], F.lit("-"), month, F.lit("-"), p["d"], F.lit(" "), p["t"], F.lit(".000"))).otherwise(raw)
+    month = lambda name: F.coalesce(_two(month_number(name)), F.lit("00"))
+    return with_groups(raw, ACCESS_TIME, 4, lambda ok, g: F.when(ok, F.concat(g(3), F.lit("-"), month(g(2)), F.lit("-"), g(1), F.lit(" "), g(4), F.lit(".000"))).otherwise(raw))
 
 
 def apache_error_time(raw: Column) -> Column:
-    p = extract(raw, APACHE_ERROR_TIME, ["m", "d", "t", "y"])
-    month = F.coalesce(_two(month_number(p["m"])), F.lit("00"))
-    return F.when(p["ok"], F.concat(p["y"], F.lit("-"), month, F.lit("-"), F.lpad(p["d"], 2, "0"), F.lit(" "), p["t"], F.lit(".000"))).otherwise(raw)
+    month = lambda name: F.coalesce(_two(month_number(name)), F.lit("00"))
+    return with_groups(raw, APACHE_ERROR_TIME, 4, lambda ok, g: F.when(ok, F.concat(g(4), F.lit("-"), month(g(1)), F.lit("-"), F.lpad(g(2), 2, "0"), F.lit(" "), g(3), F.lit(".000"))).otherwise(raw))
 
 
 def nginx_error_time(raw: Column) -> Column:
@@ -66,8 +64,7 @@ def nginx_error_time(raw: Column) -> Column:
 
 
 def mysql_time(raw: Column) -> Column:
-    p = extract(raw, MYSQL_TIME, ["d", "t", "f"])
-    return F.when(p["ok"], F.concat(p["d"], F.lit(" "), p["t"], F.lit("."), F.rpad(F.substring(p["f"], 1, 3), 3, "0"))).otherwise(raw)
+    return with_groups(raw, MYSQL_TIME, 3, lambda ok, g: F.when(ok, F.concat(g(1), F.lit(" "), g(2), F.lit("."), F.rpad(F.substring(g(3), 1, 3), 3, "0"))).otherwise(raw))
 
 
 def event_ts(text: Column) -> Column:

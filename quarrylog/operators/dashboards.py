@@ -6,7 +6,9 @@ that every list is well defined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.operators.filters import like, time_column
@@ -29,21 +31,59 @@ def _counts(conditions: dict[str, Column]) -> list[Column]:
     return [F.coalesce(F.count_if(c), F.lit(0)).alias(n) for n, c in conditions.items()]
 
 
+class Top(NamedTuple):
+    """A list of a column's most frequent values (n of them, or all) among the rows that fulfil a condition."""
+
+    key: str
+    n: int | None = None
+    where: Column | None = None
+    name: str | None = None
+
+
 class Dashboard:
     """What a table's dashboard shows: `scalars` is one row, `lists` are tables by name."""
 
-    def __init__(self, df: DataFrame, scalars: list[Column], lists: dict[str, DataFrame]):
+    def __init__(self, df: DataFrame, scalars: list[Column], lists: dict[str, Top | DataFrame]):
+        self.df, self.specs = df, lists
         self.scalars = df.agg(*scalars)
-        self.lists = lists
+
+    @property
+    def lists(self) -> dict[str, DataFrame]:
+        return {name: top(self.df, *spec) if isinstance(spec, Top) else spec for name, spec in self.specs.items()}
+
+    def _tops(self) -> DataFrame | None:
+        """One row with all top lists, from one pass: each row becomes one (list, value) for every list that counts it."""
+        tops = [(name, spec) for name, spec in self.specs.items() if isinstance(spec, Top)]
+        if not tops:
+            return None
+        kinds = {c: self.df.schema[c].dataType for _, (c, *_) in tops}
+        seen = [F.struct(F.lit(i).alias("list"), F.col(t.key).cast("string").alias("val")) for i, (_, t) in enumerate(tops)]
+        seen = F.array(*(x if t.where is None else F.when(t.where, x) for x, (_, t) in zip(seen, tops, strict=True)))
+        counted = self.df.select(F.explode(F.array_compact(seen)).alias("p")).select("p.*").groupBy("list", "val").agg(F.count("*").alias("cnt"))
+        place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("cnt"), F.asc_nulls_first("val")))
+        most = max((t.n for _, t in tops if t.n), default=1)
+        whole = [i for i, (_, t) in enumerate(tops) if not t.n]  # lists of all values are few: kinds of rows
+        ranked = counted.filter(~F.col("list").isin(whole)).withColumn("place", place).filter(F.col("place") <= most)
+        if whole:
+            ranked = ranked.unionByName(counted.filter(F.col("list").isin(whole)).withColumn("place", place))
+        limits = F.create_map(*(F.lit(x) for i, (_, t) in enumerate(tops) for x in (i, t.n or 1 << 30)))
+        ranked = ranked.filter(F.col("place") <= limits[F.col("list")])
+        own = lambda i: F.array_sort(F.collect_list(F.when(F.col("list") == i, F.struct("place", "val", "cnt"))))
+        shown = lambda i, t: F.transform(own(i), lambda x: F.struct(x["val"].cast(kinds[t.key]).alias(t.name or t.key), x["cnt"].alias("cnt")))
+        return ranked.agg(*(shown(i, t).alias(name) for i, (name, t) in enumerate(tops)))
 
     def payload(self) -> DataFrame:
         """One row with one JSON document: the scalars and every list, in the order of its rows."""
         out = self.scalars
-        for name, table in self.lists.items():
-            keys = [c for c in table.columns if c != "cnt"]
-            ranked = F.array_sort(F.collect_list(F.struct(*table.columns)), lambda a, b: F.when(a["cnt"] != b["cnt"], F.when(a["cnt"] > b["cnt"], -1).otherwise(1)).when(a[keys[0]] < b[keys[0]], -1).when(a[keys[0]] > b[keys[0]], 1).otherwise(0))
-            out = out.join(table.agg(ranked.alias(name)))  # one row each
-        return out.select(F.to_json(F.struct(*out.columns)).alias("payload"))
+        tops = self._tops()
+        out = out if tops is None else out.join(tops)  # one row each
+        for name, table in self.specs.items():
+            if isinstance(table, DataFrame):
+                first = next(c for c in table.columns if c != "cnt")
+                order = lambda a, b: F.when(a["cnt"] > b["cnt"], -1).when(a["cnt"] < b["cnt"], 1).when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0)  # noqa: B023, E731
+                out = out.join(table.agg(F.array_sort(F.collect_list(F.struct(*table.columns)), order).alias(name)))
+        names = [*self.scalars.columns, *self.specs]
+        return out.select(F.to_json(F.struct(*names)).alias("payload"))
 
 
 def audit(df: DataFrame) -> Dashboard:
@@ -55,13 +95,14 @@ def audit(df: DataFrame) -> Dashboard:
     return Dashboard(
         df, overview(df, {"type_count": "type"}) + _counts(counts),
         {
-            "type_dist": top(df, "type", 20, named), "top_ips": top(df, "addr", 5, peers & kind.isin("USER_AUTH", "USER_LOGIN", "USER_ERR", "USER_START")),
-            "top_accts": top(df, "acct", 5, (F.col("acct") != "") & kind.isin("USER_AUTH", "USER_LOGIN", "USER_ERR")), "top_exe": top(df, "exe", 5, ~F.col("exe").isin("", "?") & (kind == "SYSCALL")),
-            "user_err_ip": top(df, "addr", 1, ~addr.isin("", "?") & (kind == "USER_ERR")), "all_types": top(df, "type", None, named),
+            "type_dist": Top("type", 20, named), "top_ips": Top("addr", 5, peers & kind.isin("USER_AUTH", "USER_LOGIN", "USER_ERR", "USER_START")),
+            "top_accts": Top("acct", 5, (F.col("acct") != "") & kind.isin("USER_AUTH", "USER_LOGIN", "USER_ERR")), "top_exe": Top("exe", 5, ~F.col("exe").isin("", "?") & (kind == "SYSCALL")),
+            "user_err_ip": Top("addr", 1, ~addr.isin("", "?") & (kind == "USER_ERR")), "all_types": Top("type", None, named),
         },
     )
 
 
+# Successful log-ins, and what counts as an attack.
 ACCEPTED = ("sshd_accepted_password", "sshd_accepted_publickey")
 ATTACKS = ("sshd_failed_password", "sshd_invalid_user", "sshd_max_auth")
 
@@ -77,13 +118,14 @@ def authlog(df: DataFrame) -> Dashboard:
     return Dashboard(
         df, overview(df, {"type_count": "event_type"}) + auth_counts(),
         {
-            "event_dist": top(df, "event_type", 20, kind != "", "type"), "top_attack_ips": top(df, "src_ip", 5, ip & kind.isin(*ATTACKS)), "top_success_ips": top(df, "src_ip", 5, ip & kind.isin(*ACCEPTED)),
-            "top_users": top(df, "user", 5, user & kind.isin(*ACCEPTED)), "top_fail_users": top(df, "user", 5, user & kind.isin(*ATTACKS[:2])),
-            "top_sudo_users": top(df, "user", 5, user & (kind == "sudo_command")), "all_types": top(df, "event_type", None, kind != "", "type"),
+            "event_dist": Top("event_type", 20, kind != "", "type"), "top_attack_ips": Top("src_ip", 5, ip & kind.isin(*ATTACKS)), "top_success_ips": Top("src_ip", 5, ip & kind.isin(*ACCEPTED)),
+            "top_users": Top("user", 5, user & kind.isin(*ACCEPTED)), "top_fail_users": Top("user", 5, user & kind.isin(*ATTACKS[:2])),
+            "top_sudo_users": Top("user", 5, user & (kind == "sudo_command")), "all_types": Top("event_type", None, kind != "", "type"),
         },
     )
 
 
+# Result names and keywords of messages.
 KEYWORDS = {"err_count": "error", "warn_count": "warn", "fail_count": "fail", "crit_count": "critical", "killed_count": "killed", "panic_count": "panic"}
 
 
@@ -96,7 +138,7 @@ def syslog(df: DataFrame) -> Dashboard:
     families = {"kernel_count": service == "kernel", "systemd_count": F.lower(service).startswith("systemd"), "sshd_count": service == "sshd", "sudo_count": service == "sudo", "cron_count": service.isin("cron", "CRON", "crond", "anacron"), "nm_count": service == "NetworkManager"}
     return Dashboard(
         df, overview(df, {"svc_count": "service"}) + keyword_counts(message) + _counts(families),
-        {"top_services": top(df, "service", 15, service != ""), "top_err_services": top(df, "service", 6, like(message, "error") & (service != "")), "all_types": top(df, "service", None, service != "", "type")},
+        {"top_services": Top("service", 15, service != ""), "top_err_services": Top("service", 6, like(message, "error") & (service != "")), "all_types": Top("service", None, service != "", "type")},
     )
 
 
@@ -110,8 +152,8 @@ def apache2(df: DataFrame) -> Dashboard:
     return Dashboard(
         df, overview(df, {"ip_count": "src_ip", "uri_count": "uri"}) + status_classes(),
         {
-            "status_dist": top(df, "status", 20), "method_dist_200": top(df, "method", None, (status == 200) & (F.col("method") != "")), "top_uri_200": top(df, "uri", 10, status == 200),
-            "top_ips": top(df, "src_ip", 5, ip), "top_err_ips": top(df, "src_ip", 5, (status >= 400) & ip), "vhosts": top(df, "vhost", 10, F.col("vhost") != ""),
+            "status_dist": Top("status", 20), "method_dist_200": Top("method", None, (status == 200) & (F.col("method") != "")), "top_uri_200": Top("uri", 10, status == 200),
+            "top_ips": Top("src_ip", 5, ip), "top_err_ips": Top("src_ip", 5, (status >= 400) & ip), "vhosts": Top("vhost", 10, F.col("vhost") != ""),
         },
     )
 
@@ -126,13 +168,20 @@ def key_columns(columns: list[str], n: int = BREAKDOWN_COLUMNS) -> list[str]:
     return [c for c in KEY_COLUMNS if c in columns and c not in SKIPPED_COLUMNS][:n]
 
 
+#: Rows beyond which the tool whose tables these match doesn't scan a table for its generic dashboard.
+SCAN_LIMIT = 2_000_000
+
+
+def within(df: DataFrame, rows: int = SCAN_LIMIT) -> bool:
+    """Whether a table has at most so many rows, counting no further."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def breakdown(df: DataFrame, columns: list[str] | None = None, rows: int = BREAKDOWN_ROWS) -> DataFrame:
     """(column_name, val, cnt): the most frequent values that are neither null nor empty of up to four key columns.
 
     One pass: each row becomes one (column, value) a key column, counted before the shuffle.
     """
-    from pyspark.sql import Window
-
     columns = key_columns(df.columns) if columns is None else columns
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("val")) for c in columns))
     counted = df.select(F.explode(pairs).alias("p")).select("p.*").filter("val <> ''").groupBy("column_name", "val").agg(F.count("*").alias("cnt"))
@@ -140,11 +189,12 @@ def breakdown(df: DataFrame, columns: list[str] | None = None, rows: int = BREAK
     return counted.withColumn("place", place).filter(F.col("place") <= rows).drop("place")
 
 
-def generic(df: DataFrame) -> Dashboard:
-    """Time range and breakdowns of any table."""
-    time = time_column(df)
+def generic(df: DataFrame, scan_limit: int | None = None) -> Dashboard:
+    """Time range and breakdowns of any table; with scan_limit neither for larger ones, which `scan_limited` tells."""
+    limited = scan_limit is not None and not within(df, scan_limit)
+    time = None if limited else time_column(df)
     ends = [F.min(time).alias("first_dt"), F.max(time).alias("last_dt")] if time else [F.lit(None).cast("string").alias("first_dt"), F.lit(None).cast("string").alias("last_dt")]
-    return Dashboard(df, ends, {"breakdowns": breakdown(df)} if key_columns(df.columns) else {})
+    return Dashboard(df, [*ends, F.lit(limited).alias("scan_limited")], {"breakdowns": breakdown(df)} if key_columns(df.columns) and not limited else {})
 
 
 OWN = {"audit": audit, "authlog": authlog, "syslog": syslog, "apache2": apache2}

@@ -95,15 +95,38 @@ def of_types(df: DataFrame, types: list[str] | None) -> DataFrame:
     return df.filter(F.col(name).isin(types)) if types and name else df
 
 
-# Named groups of kinds that the query surface offers.
+# Named groups of kinds that the query surface offers, and keywords of messages.
 GROUPS = {
-    "audit": {"login": ["USER_AUTH", "USER_LOGIN", "USER_ERR"], "session": ["USER_START", "USER_END"], "command": ["EXECVE", "USER_CMD"], "syscall": ["SYSCALL"], "denied": ["AVC"]},
+    "audit": {
+        "login": ["USER_LOGIN", "USER_AUTH", "USER_ACCT", "USER_ERR", "USER_START", "USER_END", "CRED_ACQ", "CRED_DISP", "CRED_REFR"], "command": ["EXECVE", "PROCTITLE", "USER_CMD"], "file": ["PATH", "CWD"],
+        "service": ["SERVICE_START", "SERVICE_STOP", "DAEMON_START", "DAEMON_END", "DAEMON_ABORT", "DAEMON_CONFIG"], "security": ["AVC", "CONFIG_CHANGE", "SECCOMP", "NETFILTER_PKT", "ANOMALY_ABEND"],
+    },
     "authlog": {
-        "success": ["sshd_accepted_password", "sshd_accepted_publickey"], "failure": ["sshd_failed_password", "sshd_invalid_user", "sshd_max_auth"],
-        "session": ["sshd_session_opened", "sshd_session_closed"], "sudo": ["sudo_command", "sudo_auth_failure"], "su": ["su_to", "su_session_opened", "su_session_closed"],
+        "success": ["sshd_accepted_password", "sshd_accepted_publickey", "sshd_session_opened", "sshd_session_closed"], "failure": ["sshd_failed_password", "sshd_invalid_user", "sshd_max_auth", "pam_auth_failure"],
+        "connection": ["sshd_conn_closed", "sshd_conn_reset", "sshd_disconnected", "sshd_no_id_string", "sshd_kex_error", "sshd_banner_exchange", "sshd_unable_negotiate"], "sudo": ["sudo_command", "sudo_auth_failure"],
+        "su_cron": ["su_to", "su_session_opened", "su_session_closed", "cron_session_opened", "cron_session_closed"],
+    },
+    "syslog": {
+        "kernel": ["kernel"], "network": ["NetworkManager", "dhclient", "dhcpcd", "wpa_supplicant", "firewalld", "nftables", "pppd", "networkd", "ifup", "ifdown"],
+        "system": ["systemd", "systemd-journald", "systemd-udevd", "systemd-resolved", "systemd-logind", "systemd-networkd", "systemd-timesyncd", "init", "snapd", "dbus", "dbus-daemon"],
+        "login": ["sshd", "sudo", "su", "login", "gdm", "gdm3", "lightdm", "polkitd", "pam", "useradd", "usermod", "passwd"], "cron": ["cron", "CRON", "crond", "anacron", "atd"],
     },
-    "syslog": {"kernel": ["kernel"], "ssh": ["sshd"], "sudo": ["sudo"], "cron": ["cron", "CRON", "crond", "anacron"], "network": ["NetworkManager"]},
 }
+KEYWORD_FILTERS = ["error", "warn", "fail", "critical", "killed", "panic"]
+
+
+def keyword(df: DataFrame, word: str) -> DataFrame:
+    """Rows whose message has one of KEYWORD_FILTERS."""
+    if word not in KEYWORD_FILTERS:
+        raise KeyError(word)
+    return df.filter(like(F.col("message"), word))
+
+
+def web_group(df: DataFrame, name: str) -> DataFrame:
+    """Successful requests by method: 200-GET, 200-POST, or 200-ETC for the other methods there are."""
+    method = F.col("method")
+    kinds = {"200-GET": method == "GET", "200-POST": method == "POST", "200-ETC": ~method.isin("GET", "POST") & (method != "")}
+    return df.filter((F.col("status") == 200) & kinds[name])
 
 
 def filtered(df: DataFrame, search: str | None = None, columns: dict[str, str] | None = None, first: str | None = None, last: str | None = None, types: list[str] | None = None, status: int | None = None, methods: list[str] | None = None) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from quarrylog.functions import patterns as P
 from quarrylog.functions import times
-from quarrylog.functions.text import clean_ip, extract, field, hex_text, unescape, valid_utf8
+from quarrylog.functions.text import clean_ip, extract, field_in, fields_of, found, hex_text, unescape, valid_utf8, with_groups
 
 BSD, ISO = "syslog", "iso8601"
-_BSD_NAMES, _ISO_NAMES = ["mon", "day", "clock", "host", "service", "pid", "message"], ["stamp", "host", "service", "pid", "message"]
+#: Files whose formats are still sent to all tasks.
+BROADCAST_FILES = 200_000
 
 
 def _prepared(lines: DataFrame, strip: bool = True) -> DataFrame:
@@ -26,32 +27,42 @@ def _prepared(lines: DataFrame, strip: bool = True) -> DataFrame:
     return lines.withColumn("line", F.regexp_replace(value, r"\s+$", "") if strip else value)
 
 
+def _matched(rows: DataFrame, pattern: str, names: list[str]) -> DataFrame:
+    """The rows whose line matches, with its groups in struct column `h`."""
+    return rows.select("*", F.explode(found(extract(F.col("line"), pattern, names))).alias("h"))
+
+
 def line_format(value: Column) -> Column:
     """Which header a line has, null if none."""
     line = F.trim(value)
     return F.when(line.rlike(P.ISO_HEADER), ISO).when(line.rlike(P.BSD_HEADER), BSD)
 
 
-def with_format(lines: DataFrame) -> DataFrame:
+def with_format(lines: DataFrame, files: int | None = None) -> DataFrame:
     """Adds the format of each file: that of the first of its first ten lines that has one, BSD otherwise.
 
-    Needs `path` and `place` (a number that grows by one from line to line within the beginning of a file).
+    Needs `path` and `place` (a number that grows by one from line to line within the beginning of a file). files: how many
+    there are, if that is known.
     """
     seen = F.when(line_format(F.col("value")).isNotNull(), F.struct("place", line_format(F.col("value")).alias("format")))
     heads = lines.filter("at_start").groupBy("path").agg(F.min("place").alias("first"), F.min(seen).alias("seen"))
     heads = heads.select("path", F.when(F.col("seen.place") - F.col("first") < 10, F.col("seen.format")).alias("format"))
+    # One row a file: sent to all tasks, as lines are many; a collection of more files is joined by shuffles.
+    heads = F.broadcast(heads) if files is not None and files <= BROADCAST_FILES else heads
     return lines.join(heads, "path", "left").withColumn("format", F.coalesce("format", F.lit(BSD)))
 
 
-def _header(lines: DataFrame) -> DataFrame:
-    """Columns ok, time, host, service, pid and message by each line's format."""
+def _header(lines: DataFrame, all_lines: bool = False) -> DataFrame:
+    """Columns time, host, service, pid and message of the lines with a header of their format (with all_lines blank ones of the others)."""
+    names = ["ok", "mon", "day", "clock", "host", "service", "pid", "message"]
+    struct = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+    blank = F.lit("")
+    bsd = with_groups(F.col("line"), P.BSD_HEADER, 7, lambda ok, g: struct(ok, *(g(i) for i in range(1, 8))))
+    iso = with_groups(F.col("line"), P.ISO_HEADER, 5, lambda ok, g: struct(ok, blank, blank, *(g(i) for i in range(1, 6))))
     lines = lines.withColumn("format", F.coalesce("format", F.lit(BSD)))
-    lines = lines.withColumns({"b": F.when(F.col("format") == BSD, extract(F.col("line"), P.BSD_HEADER, _BSD_NAMES)), "i": F.when(F.col("format") == ISO, extract(F.col("line"), P.ISO_HEADER, _ISO_NAMES))})
-    b_time = times.bsd_time(F.col("b.mon"), F.col("b.day"), F.col("b.clock"), F.col("mtime"))
-    i_time = times.iso_time(F.col("i.stamp"))
-    ok = F.coalesce("b.ok", "i.ok")
-    both = {c: F.coalesce(f"b.{c}", f"i.{c}") for c in ("host", "service", "pid", "message")}
-    return lines.withColumns({"ok": ok, "time": F.when(~ok, F.lit("")).otherwise(F.when(F.col("format") == BSD, b_time).otherwise(i_time)), **both}).drop("b", "i")
+    lines = lines.select("*", F.explode(found(F.when(F.col("format") == ISO, iso).otherwise(bsd), all_lines)).alias("h"))
+    time = F.when(F.col("format") == ISO, times.iso_time(F.col("h.clock"))).otherwise(times.bsd_time(F.col("h.mon"), F.col("h.day"), F.col("h.clock"), F.col("mtime")))
+    return lines.select("*", F.when(F.col("h.ok"), time).otherwise("").alias("time"), *(F.col(f"h.{c}").alias(c) for c in names[4:])).drop("h")
 
 
 def _classified(message: Column, events: list[tuple], fields: tuple[str, ...], default: Column) -> Column:
@@ -66,7 +77,7 @@ def _classified(message: Column, events: list[tuple], fields: tuple[str, ...], d
 
 def authlog(lines: DataFrame) -> DataFrame:
     """Log-in events; lines without a header stay, with blank fields and event type `unknown`."""
-    rows = _header(_prepared(lines).filter(F.trim("line") != ""))
+    rows = _header(_prepared(lines).filter(F.trim("line") != ""), all_lines=True)
     fields = ("user", "src_ip", "port", "detail")
     message, service = F.col("message"), F.col("service")
     plain = F.struct(F.lit("unknown").alias("event"), *(F.lit("").alias(f) for f in fields[:3]), message.alias("detail"))
@@ -82,12 +93,12 @@ def authlog(lines: DataFrame) -> DataFrame:
 
 
 def syslog(lines: DataFrame) -> DataFrame:
-    rows = _header(_prepared(lines).filter(F.trim("line") != "")).filter("ok")
+    rows = _header(_prepared(lines).filter(F.trim("line") != ""))
     return rows.select(F.col("time").alias("timestamp"), F.col("host").alias("hostname"), "service", "pid", "message", F.col("line").alias("raw_line"), F.col("path").alias("source_file"))
 
 
 def cron(lines: DataFrame) -> DataFrame:
-    rows = _header(_prepared(lines).filter(F.trim("line") != "")).filter("ok")
+    rows = _header(_prepared(lines).filter(F.trim("line") != ""))
     plain = F.struct(F.lit("OTHER").alias("event"), F.lit("").alias("user"), F.lit("").alias("detail"))
     rows = rows.withColumn("k", _classified(F.col("message"), P.CRON_EVENTS, ("user", "detail"), plain))
     is_command = F.col("k.event") == "CMD"
@@ -100,7 +111,7 @@ def cron(lines: DataFrame) -> DataFrame:
 def kernlog(lines: DataFrame) -> DataFrame:
     """Kernel messages with an ISO header; firewall lines belong to another log."""
     rows = _prepared(lines).filter((F.col("line") != "") & ~F.col("line").contains("[UFW "))
-    rows = rows.withColumn("h", extract(F.col("line"), P.KERNEL_HEADER, ["stamp", "host", "pid", "message"])).filter("h.ok")
+    rows = _matched(rows, P.KERNEL_HEADER, ["stamp", "host", "pid", "message"])
     return rows.select(times.iso_time(F.col("h.stamp")).alias("date_time"), F.col("h.host").alias("hostname"), F.col("h.pid").alias("pid"), F.trim("h.message").alias("message"), F.col("line").alias("raw_line"), F.col("path").alias("source_file"))
 
 
@@ -118,13 +129,14 @@ def _has_vhost_field(name: Column) -> Column:
 
 def _access(rows: DataFrame) -> DataFrame:
     """Fields of access lines from struct column `h` (ip, time, request, status, bytes, rest); lines without status go."""
+    rows = rows.select("*", "h.*").filter(F.col("status").cast("int") != 0)
     quoted = F.regexp_extract_all("rest", F.lit(f'"({P.QUOTED})"'), F.lit(1))
     body = F.trim(F.regexp_replace("rest", r"^\s+|\s+$", ""))
     first = F.regexp_extract(body, r"^(\S+)", 1)
     marked = (first == "-") | first.startswith("http://") | first.startswith("https://")
     tail = F.regexp_extract(body, r"(?s)^\S+\s*(.*)$", 1)
     bare = F.when(body == "", F.array().cast("array<string>")).when(marked, F.array(first, tail)).otherwise(F.array(F.lit(""), body))
-    rows = rows.filter("h.ok").select("*", "h.*").withColumn("fields", F.when(F.size(quoted) > 0, quoted).otherwise(bare))
+    rows = rows.withColumn("fields", F.when(F.size(quoted) > 0, quoted).otherwise(bare))
     at = lambda i: F.coalesce(unescape(F.get("fields", F.lit(i))), F.lit(""))
     rows = rows.withColumn("asked", unescape(F.col("request"))).withColumn("r", extract(F.col("asked"), P.REQUEST, ["method", "uri", "protocol"]))
     rows = rows.withColumns({
@@ -133,14 +145,14 @@ def _access(rows: DataFrame) -> DataFrame:
         "bytes_sent": F.coalesce(F.when(F.col("bytes") == "-", F.lit(0)).otherwise(F.col("bytes").try_cast("bigint")), F.lit(0)).cast("bigint"),
         "referer": at(0), "user_agent": at(1), "xff": at(2),
     })
-    return rows.filter("status <> 0")
+    return rows
 
 
 _ACCESS_NAMES = ["ip", "time", "request", "status", "bytes", "rest"]
 
 
 def nginx(lines: DataFrame) -> DataFrame:
-    rows = _access(_prepared(lines).withColumn("h", extract(F.col("line"), P.ACCESS, _ACCESS_NAMES)))
+    rows = _access(_matched(_prepared(lines), P.ACCESS, _ACCESS_NAMES))
     return rows.select("date_time", "src_ip", "method", "uri", "protocol", "status", "bytes_sent", "referer", "user_agent", "xff", F.col("line").alias("raw_line"), F.col("path").alias("source_file"))
 
 
@@ -148,9 +160,11 @@ def apache2(lines: DataFrame) -> DataFrame:
     """Access lines; of `other_vhosts_access.log` each line names its virtual host, otherwise the file's name does."""
     rows = _prepared(lines)
     with_field = F.coalesce(_has_vhost_field(F.col("file_name")), F.lit(False))
-    long, short = extract(F.col("line"), P.VHOST_ACCESS, ["vhost_port", *_ACCESS_NAMES]), extract(F.col("line"), P.ACCESS, _ACCESS_NAMES)
-    short = F.struct(short["ok"].alias("ok"), F.lit("").alias("vhost_port"), *(short[n].alias(n) for n in _ACCESS_NAMES))
-    rows = _access(rows.withColumn("h", F.when(with_field, long).otherwise(short)))
+    names = ["ok", "vhost_port", *_ACCESS_NAMES]
+    struct = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+    long = with_groups(F.col("line"), P.VHOST_ACCESS, 7, lambda ok, g: struct(ok, *(g(i) for i in range(1, 8))))
+    short = with_groups(F.col("line"), P.ACCESS, 6, lambda ok, g: struct(ok, F.lit(""), *(g(i) for i in range(1, 7))))
+    rows = _access(rows.select("*", F.explode(found(F.when(with_field, long).otherwise(short))).alias("h")))
     vhost = F.when(F.col("vhost_port") != "", F.substring_index("vhost_port", ":", 1)).otherwise(F.coalesce(vhost_of_file(F.col("file_name")), F.lit("unknown")))
     return rows.select("date_time", vhost.alias("vhost"), "src_ip", "method", "uri", "protocol", "status", "bytes_sent", "referer", "user_agent", F.col("line").alias("raw_line"), F.col("path").alias("source_file"))
 
@@ -162,18 +176,21 @@ def _client(raw: Column) -> Column:
 
 def apache2_error(lines: DataFrame) -> DataFrame:
     rows = _prepared(lines).filter(F.trim("line") != "")
-    rows = rows.withColumns({"n": extract(F.col("line"), P.APACHE_ERROR_24, ["time", "module", "level", "pid", "client", "message"]), "o": extract(F.col("line"), P.APACHE_ERROR_22, ["time", "level", "client", "message"])})
-    rows = rows.filter("n.ok or o.ok")
-    new = F.col("n.ok")
-    both = lambda c: F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    names = ["ok", "new", "time", "module", "level", "pid", "client", "message"]
+    struct = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+    new = with_groups(F.col("line"), P.APACHE_ERROR_24, 6, lambda ok, g: struct(ok, ok, *(g(i) for i in range(1, 7))))
+    old = with_groups(F.col("line"), P.APACHE_ERROR_22, 4, lambda ok, g: struct(ok, F.lit(False), g(1), F.lit("core"), g(2), F.lit(""), g(3), g(4)))
+    # The older form is tried where the newer doesn't match.
+    first = F.filter(F.array(new), lambda s: s["ok"])
+    rows = rows.withColumn("first", first).select("*", F.explode(F.when(F.size("first") > 0, F.col("first")).otherwise(found(old))).alias("h"))
     return rows.select(
-        times.apache_error_time(both("time")).alias("date_time"), F.lower(both("level")).alias("level"), F.when(new, F.col("n.module")).otherwise("core").alias("module"),
-        F.when(new, F.col("n.pid").try_cast("int")).otherwise(0).alias("pid"), _client(both("client")).alias("client_ip"), both("message").alias("message"), F.col("line").alias("raw_line"), F.col("path").alias("source_file"),
+        times.apache_error_time(F.col("h.time")).alias("date_time"), F.lower("h.level").alias("level"), F.col("h.module").alias("module"),
+        F.when(F.col("h.new"), F.col("h.pid").try_cast("int")).otherwise(0).alias("pid"), _client(F.col("h.client")).alias("client_ip"), F.col("h.message").alias("message"), F.col("line").alias("raw_line"), F.col("path").alias("source_file"),
     )
 
 
 def nginx_error(lines: DataFrame) -> DataFrame:
-    rows = _prepared(lines).withColumn("h", extract(F.col("line"), P.NGINX_ERROR, ["time", "level", "pid", "tid", "cid", "message"])).filter("h.ok")
+    rows = _matched(_prepared(lines), P.NGINX_ERROR, ["time", "level", "pid", "tid", "cid", "message"])
     number = lambda c: F.coalesce(F.col(f"h.{c}").try_cast("int"), F.lit(0))
     message = F.trim("h.message")
     return rows.select(
@@ -185,12 +202,12 @@ def nginx_error(lines: DataFrame) -> DataFrame:
 def mysql_query(lines: DataFrame) -> DataFrame:
     """General query log; header lines and continuation lines are left out."""
     rows = _prepared(lines, strip=False).filter((F.col("line") != "") & ~F.col("line").rlike(P.MYSQL_HEADER_LINE))
-    rows = rows.withColumn("h", extract(F.col("line"), P.MYSQL_QUERY, ["time", "thread", "command", "argument"])).filter("h.ok")
+    rows = _matched(rows, P.MYSQL_QUERY, ["time", "thread", "command", "argument"])
     return rows.select(times.mysql_time(F.col("h.time")).alias("date_time"), F.col("h.thread").try_cast("bigint").alias("thread_id"), F.col("h.command").alias("command"), F.regexp_replace("h.argument", r"\s+$", "").alias("argument"), F.col("line").alias("raw_line"), F.col("path").alias("source_file"))
 
 
 def mysql_error(lines: DataFrame) -> DataFrame:
-    rows = _prepared(lines, strip=False).withColumn("h", extract(F.col("line"), P.MYSQL_ERROR, ["time", "thread", "level", "code", "subsystem", "message"])).filter("h.ok")
+    rows = _matched(_prepared(lines, strip=False), P.MYSQL_ERROR, ["time", "thread", "level", "code", "subsystem", "message"])
     return rows.select(times.mysql_time(F.col("h.time")).alias("date_time"), F.col("h.thread").try_cast("bigint").alias("thread_id"), F.col("h.level").alias("level"), F.col("h.code").alias("error_code"), F.col("h.subsystem").alias("subsystem"), F.trim("h.message").alias("message"), F.col("line").alias("raw_line"), F.col("path").alias("source_file"))
 
 
@@ -210,15 +227,17 @@ def audit(lines: DataFrame, zone: str = times.EPOCH_ZONE) -> DataFrame:
     rows = rows.withColumns({"head": F.substring_index(line, ":", 2), "rest": F.expr("substring(line, length(substring_index(line, ':', 2)) + 2)")})
     rows = rows.withColumn("parts", F.split(F.trim("rest"), "msg='"))
     rows = rows.withColumns({"body": F.get("parts", F.lit(0)), "msg": F.when(F.size("parts") > 1, F.replace(F.get("parts", F.lit(1)), F.lit("'"), F.lit("")))})
-    stamp = field(F.col("head"), "msg")
+    rows = rows.withColumns({"of_head": fields_of(F.col("head")), "of_body": fields_of(F.col("body")), "of_msg": fields_of(F.col("msg"))})
     # Without a second colon the head is the whole line.
-    rows = rows.withColumns({"stamp": F.regexp_extract(stamp, P.AUDIT_STAMP, 1), "seq": F.regexp_extract(stamp, P.AUDIT_STAMP, 2)})
-    inner = lambda name: F.when(F.col("msg").isNull(), field(F.col("body"), name)).otherwise(field(F.col("msg"), name))
-    own = {c: field(F.col("body"), name) for c, name in AUDIT_BODY.items()}
-    own |= {c: F.when(F.col("msg").isNull(), F.lit("")).otherwise(field(F.col("msg"), c)) for c in AUDIT_MESSAGE}
-    own |= {"type": field(F.col("head"), "type"), "date_time": F.when(F.col("stamp") == "", "").otherwise(F.coalesce(times.epoch_time(F.col("stamp").try_cast("decimal(20,6)"), zone), F.lit(""))), "sequence": F.coalesce(F.col("seq").try_cast("bigint"), F.lit(0)).cast("bigint")}
-    own |= {"proctitle": hex_text(field(F.col("body"), "proctitle")), "subj": field(F.col("body"), "subj"), "op": inner("op"), "cwd": inner("cwd"), "unit": inner("unit"), "comm": inner("comm")}
-    own |= {"cmd": F.when(F.col("msg").isNull(), field(F.col("body"), "cmd")).otherwise(hex_text(field(F.col("msg"), "cmd"))), "msg_res": F.when(F.col("msg").isNull(), F.lit("")).otherwise(field(F.col("msg"), "res"))}
+    stamp = field_in(F.col("of_head"), "msg")
+    rows = rows.withColumn("at", with_groups(stamp, rf"(?s)^.*?{P.AUDIT_STAMP}.*$", 2, lambda ok, g: F.struct(g(1).alias("stamp"), g(2).alias("seq"))))
+    of = lambda name: field_in(F.col("of_body"), name)
+    in_message = lambda name: F.when(F.col("msg").isNull(), F.lit("")).otherwise(field_in(F.col("of_msg"), name))
+    inner = lambda name: field_in(F.when(F.col("msg").isNull(), F.col("of_body")).otherwise(F.col("of_msg")), name)
+    own = {c: of(name) for c, name in AUDIT_BODY.items()} | {c: in_message(c) for c in AUDIT_MESSAGE}
+    own |= {"type": field_in(F.col("of_head"), "type"), "date_time": F.when(F.col("at.stamp") == "", "").otherwise(F.coalesce(times.epoch_time(F.col("at.stamp").try_cast("decimal(20,6)"), zone), F.lit(""))), "sequence": F.coalesce(F.col("at.seq").try_cast("bigint"), F.lit(0)).cast("bigint")}
+    own |= {"proctitle": hex_text(of("proctitle")), "subj": of("subj"), "op": inner("op"), "cwd": inner("cwd"), "unit": inner("unit"), "comm": inner("comm")}
+    own |= {"cmd": F.when(F.col("msg").isNull(), of("cmd")).otherwise(hex_text(in_message("cmd"))), "msg_res": in_message("res")}
     own |= {"raw_line": line}
     return rows.select(*(own[c].alias(c) for c in AUDIT_COLUMNS), F.col("path").alias("source_file"))
 

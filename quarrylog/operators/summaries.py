@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylog.operators.dashboards import ACCEPTED, ATTACKS
@@ -14,7 +14,7 @@ _SPAN = lambda time: [F.min(time).alias("first_dt"), F.max(time).alias("last_dt"
 
 def logs(tables: dict[str, DataFrame]) -> DataFrame:
     """(log, first_dt, last_dt, total, file_count) of every table."""
-    parts = []
+    parts = [SparkSession.active().createDataFrame([], "first_dt string, last_dt string, total bigint, file_count bigint, log string")]
     for name, df in sorted(tables.items()):
         time = next(c for c in ("date_time", "timestamp") if c in df.columns)
         files = F.countDistinct("source_file") if "source_file" in df.columns else F.lit(None).cast("bigint")
@@ -62,12 +62,12 @@ def _seconds(time: str) -> Column:
 
 
 def cron_jobs(cron: DataFrame) -> DataFrame:
-    """(user, exec_count, avg_seconds, total_seconds): sessions of a process, each opening paired with the close that follows."""
+    """(process, user, exec_count, avg_seconds, total_seconds): sessions, each opening paired with the close that follows it in its process."""
     in_process = Window.partitionBy("hostname", "pid", "user").orderBy("timestamp", F.desc("event_type"))
     sessions = cron.filter(F.col("event_type").isin("SESSION_OPEN", "SESSION_CLOSE"))
     sessions = sessions.withColumns({"next_type": F.lead("event_type").over(in_process), "next_time": F.lead("timestamp").over(in_process)}).filter("event_type = 'SESSION_OPEN'")
     took = F.when(F.col("next_type") == "SESSION_CLOSE", _seconds("next_time") - _seconds("timestamp"))
-    return sessions.withColumn("took", took).groupBy("user").agg(F.count("*").alias("exec_count"), F.avg("took").alias("avg_seconds"), F.sum("took").alias("total_seconds"))
+    return sessions.withColumn("took", took).groupBy("process", "user").agg(F.count("*").alias("exec_count"), F.avg("took").alias("avg_seconds"), F.sum("took").alias("total_seconds"))
 
 
 def cron_process_names(sessions: DataFrame, audit: DataFrame) -> DataFrame:

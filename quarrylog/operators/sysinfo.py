@@ -16,6 +16,7 @@ DUMPS = {
     "uname": "Volatile/uname_dmp", "ip": "Volatile/ip_dmp", "lscpu": "Volatile/lscpu_dmp", "df": "NonVolatile/df_dmp", "timezone": "Volatile/timezone_dmp", "date": "Volatile/date_dmp",
     "uptime": "Volatile/uptime_dmp", "last": "NonVolatile/last_dmp", "sessions": "Volatile/session_dmp", "whoami": "NonVolatile/whoami_dmp",
 }
+# Columns of the facts, and names of interfaces that are no machine's own.
 COLUMNS = "hostname internal_ip external_ip mac_address os kernel architecture cpu_model cpu_cores disk_total disk_used disk_avail disk_use_pct timezone collected_at booted_at uptime_days last_reboot wtmp_begins listen_ports collect_user analyzed_at".split()
 VIRTUAL_INTERFACE = "^(br-|docker|veth|virbr)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.operators import filters
@@ -59,8 +59,11 @@ def date_range(df: DataFrame) -> DataFrame:
 
 
 def global_search(tables: dict[str, DataFrame], query: str, rows: int = SEARCH_ROWS) -> DataFrame:
-    """(table_name, total, place, row): of each table with a match its number of matches and its first rows as JSON."""
-    parts = []
+    """(table_name, total, place, row): of each table with a match its number of matches and its first rows as JSON.
+
+    Nothing for a query without terms, or without tables.
+    """
+    parts = [SparkSession.active().createDataFrame([], "table_name string, total bigint, place int, row string")]
     for name, df in sorted(tables.items()):
         condition = filters.on_any([F.col(c) for c in df.columns], query)
         if condition is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.operators import filters
@@ -17,8 +17,8 @@ NO_ADDRESS = ["", "-", "?", "0.0.0.0"]
 
 
 def ips(tables: dict[str, DataFrame]) -> DataFrame:
-    """(ip, cnt) over all web tables there are, most frequent first."""
-    parts = [tables[t].select(F.col(c).alias("ip")) for t, c in ADDRESS_COLUMNS.items() if t in tables]
+    """(ip, cnt) over all web tables there are; `ip_list` orders them."""
+    parts = [SparkSession.active().createDataFrame([], "ip string"), *(tables[t].select(F.col(c).alias("ip")) for t, c in ADDRESS_COLUMNS.items() if t in tables)]
     seen = reduce(DataFrame.unionByName, parts).filter(F.col("ip").isNotNull() & ~F.col("ip").isin(NO_ADDRESS))
     return seen.groupBy("ip").agg(F.count("*").alias("cnt"))
 
@@ -41,7 +41,7 @@ def ip_list(found: DataFrame, part: str = "", rows: int = 1000) -> DataFrame:
 
 def records(tables: dict[str, DataFrame], value: str, prefix: bool = False) -> DataFrame:
     """Records of an address, or of all that begin with the value, in the columns web tables have in common."""
-    parts = []
+    parts = [SparkSession.active().createDataFrame([], "source string, date_time string, ip string, status int, method string, uri string, user_agent string")]
     for name, column in ADDRESS_COLUMNS.items():
         if name in tables:
             t = tables[name]

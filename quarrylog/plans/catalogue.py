@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.functions import text, times
+from quarrylog.functions import patterns, text, times
 from quarrylog.operators import dashboards, filters, lines, summaries, sysinfo, views, web
 from quarrylog.plans import logviews as V
 from quarrylog.plans.logviews import rendered, stamp, table
@@ -212,6 +213,7 @@ _search("search_contains", "v_auth", "Invalid", _any(_A, "LIKE '%invalid%'"))
 _search("search_exact", "v_auth", "=u7 !publickey", "(" + " OR ".join(f"\"{c}\"::VARCHAR = 'u7'" for c in _A) + f") AND NOT {_any(_A, "LIKE '%publickey%'")}")
 _search("search_quoted", "v_auth", "\"2024-01-02 0\" 'failed_pass", f"{_any(_A, "LIKE '%2024-01-02 0%'")} AND {_any(_A, "LIKE '%failed_pass%'")}")
 _search("search_wildcard", "v_auth", "u1_5 10.%.1.", f"{_any(_A, "LIKE '%u1_5%'")} AND {_any(_A, "LIKE '%10.%.1.%'")}")
+_search("search_exclude", "v_auth", "!publickey !sudo u1", f"NOT {_any(_A, "LIKE '%publickey%'")} AND NOT {_any(_A, "LIKE '%sudo%'")} AND {_any(_A, "LIKE '%u1%'")}")
 _search("search_exclude_null", "v_web", "!nothing", "(" + " AND ".join(f"\"{c}\"::VARCHAR NOT LIKE '%nothing%'" for c in _W) + ")")
 
 
@@ -220,10 +222,10 @@ def column_filters(spark, d):
     return filters.filtered(V.web(spark, d), columns={"method": "!get", "uri": "/P/3"})
 
 
-@query("SELECT p_partkey, p_name, p_brand FROM part WHERE lower(p_name) LIKE '%1%' AND p_brand <> 'Brand#11' AND lower(p_brand) LIKE '%brand#1%'", views_=False)
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE lower(p_name) LIKE '%ring%' AND p_brand <> 'Brand#11' AND lower(p_brand) LIKE '%brand#1%'", views_=False)
 def search_part(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    return filters.filtered(p, columns={"p_name": "1", "p_brand": "BRAND#1 !brand#11"})
+    return filters.filtered(p, columns={"p_name": "RING", "p_brand": "BRAND#1 !brand#11"})
 
 
 @query("""
@@ -308,6 +310,32 @@ def audit_command_summary(spark, d):
     return summaries.audit_commands(_audit(spark, d))
 
 
+_AUDIT_TYPES = f", a AS (SELECT {_AUDIT_KIND} AS type, ip AS addr FROM base)"
+
+
+def _audit_list(key: str, sql: str) -> None:
+    @query(_AUDIT_TYPES + sql, name=f"audit_{key}")
+    def run(spark, d):
+        return dashboards.audit(_audit(spark, d)).lists[key]
+
+
+_audit_list("type_dist", " SELECT type, count(*) AS cnt FROM a GROUP BY ALL ORDER BY cnt DESC, type LIMIT 20")
+_audit_list("all_types", " SELECT type, count(*) AS cnt FROM a GROUP BY ALL")
+_audit_list("top_exe", """ SELECT '"/usr/sbin/sshd"' AS exe, count(*) AS cnt FROM a WHERE type = 'SYSCALL' HAVING count(*) > 0""")
+_audit_list("user_err_ip", " SELECT addr, count(*) AS cnt FROM a WHERE type = 'USER_ERR' GROUP BY ALL ORDER BY cnt DESC, addr LIMIT 1")
+
+
+@query("""
+, r AS (SELECT CASE event_id % 3 WHEN 0 THEN 'CWD' WHEN 1 THEN 'PROCTITLE' ELSE 'PATH' END AS type, user_id % 9 AS k, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.123' AS t FROM base)
+SELECT type, CASE type WHEN 'PROCTITLE' THEN 'vi f' || k ELSE '"/srv/' || k || '"' END AS what, min(t) AS first_dt, max(t) AS last_dt, count(*) AS cnt FROM r GROUP BY ALL""")
+def audit_file_summary(spark, d):
+    k = (F.col("user_id") % 9).cast("string")
+    kind = F.when(F.col("event_id") % 3 == 0, "CWD").when(F.col("event_id") % 3 == 1, "PROCTITLE").otherwise("PATH")
+    rest = F.when(kind == "PROCTITLE", F.concat(F.lit("proctitle="), F.hex(F.encode(F.concat(F.lit("vi f"), k), "UTF-8")))).otherwise(F.concat(F.lit('item=0 cwd="/srv/'), k, F.lit('"')))
+    line = F.concat(F.lit("type="), kind, F.lit(" msg=audit("), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(".123:"), F.col("event_id").cast("string"), F.lit("): "), rest)
+    return summaries.audit_files(lines.audit(rendered(spark, d, line, "audit.log")))
+
+
 # --- render a line, parse it, compare with the source ----------------------------------------------------------------
 
 
@@ -359,6 +387,184 @@ def parse_iso_syslog(spark, d):
     return lines.syslog(rendered(spark, d, line, "syslog").withColumn("format", F.lit(lines.ISO))).select("timestamp", "hostname", "service", "pid", "message")
 
 
+# One message of each kind that a service's events tell apart: message, event, user, address, port, detail.
+_KINDS = {
+    "sshd": [
+        ("Invalid user {u} from {i} port {p}", "sshd_invalid_user", "uip"), ("Accepted password for {u} from {i} port {p} ssh2", "sshd_accepted_password", "uip"), ("Accepted publickey for {u} from {i} port {p} ssh2: RSA x", "sshd_accepted_publickey", "uip"),
+        ("Failed password for invalid user {u} from {i} port {p} ssh2", "sshd_failed_password", "uip"), ("Connection closed by authenticating user {u} {i} port {p} [preauth]", "sshd_conn_closed", "uip"), ("Connection reset by {i} port {p}", "sshd_conn_reset", "ip"),
+        ("Disconnected from invalid user {u} {i} port {p}", "sshd_disconnected", "uip"), ("Did not receive identification string from {i} port {p}", "sshd_no_id_string", "ip"), ("error: kex_exchange_identification: d{u}", "sshd_kex_error", "d"),
+        ("banner exchange: Connection from {i} port {p}: d{u}", "sshd_banner_exchange", "ipd"), ("Unable to negotiate with {i} port {p}: d{u}", "sshd_unable_negotiate", "ipd"), ("error: maximum authentication attempts exceeded for {u} from {i} port {p} ssh2", "sshd_max_auth", "uip"),
+        ("pam_unix(sshd:session): session opened for user {u} by (uid=0)", "sshd_session_opened", "u"), ("pam_unix(sshd:session): session closed for user {u}", "sshd_session_closed", "u"),
+    ],
+    "sudo": [("{u} : TTY=pts/0 ; PWD=/home ; USER=root ; COMMAND=d{u}", "sudo_command", "ud"), ("pam_unix(sudo:auth): authentication failure; logname=x user={u}", "sudo_auth_failure", "u")],
+    "CRON": [("pam_unix(cron:session): session opened for user {u} by (uid=0)", "cron_session_opened", "u"), ("pam_unix(cron:session): session closed for user {u}", "cron_session_closed", "u")],
+    "su": [("(to d{u}) {u} on pts/1", "su_to", "ud"), ("pam_unix(su:session): session opened for user {u} by x", "su_session_opened", "u"), ("pam_unix(su-l:session): session closed for user {u}", "su_session_closed", "u")],
+}
+
+
+def _kinds(service: str) -> None:
+    kinds = _KINDS[service]
+    whose = {"u": "'u' || user_id", "i": "ip", "p": "(event_id + 1024)::VARCHAR", "d": "'du' || user_id"}
+    value = lambda field: "CASE event_id % {} {} END".format(len(kinds), " ".join(f"WHEN {n} THEN {whose[field] if field in has else chr(39) * 2}" for n, (_, _, has) in enumerate(kinds)))
+    # A line's own message stands as detail where its kind has none.
+    message = "CASE event_id % {} {} END".format(len(kinds), " ".join("WHEN {} THEN '{}'".format(n, m.replace("{u}", "' || 'u' || user_id || '").replace("{i}", "' || ip || '").replace("{p}", "' || (event_id + 1024) || '")) for n, (m, _, _) in enumerate(kinds)))
+    detail = "CASE WHEN event_id % {} IN ({}) THEN 'du' || user_id ELSE {} END".format(len(kinds), ", ".join(str(n) for n, k in enumerate(kinds) if "d" in k[2]) or "-1", message)
+    event = "CASE event_id % {} {} END".format(len(kinds), " ".join(f"WHEN {n} THEN '{e}'" for n, (_, e, _) in enumerate(kinds)))
+
+    @query(f"SELECT event_id::VARCHAR AS pid, '{service}' AS service, {event} AS event_type, {value('u')} AS \"user\", {value('i')} AS src_ip, {value('p')} AS port, {detail} AS detail FROM base", name=f"events_{service.lower()}")
+    def run(spark, d):
+        parts = {"u": _user(), "i": F.col("ip"), "p": _port()}
+        shown = [F.concat(*(parts[x[1]] if x in ("{u}", "{i}", "{p}") else F.lit(x) for x in re.split(r"(\{[uip]\})", m) if x)) for m, _, _ in kinds]
+        message = F.coalesce(*(F.when(F.col("event_id") % len(kinds) == n, m) for n, m in enumerate(shown)))
+        line = F.concat(stamp("MMM d HH:mm:ss"), F.lit(f" web01 {service}["), _pid(), F.lit("]: "), message)
+        return lines.authlog(rendered(spark, d, line, "auth.log")).select("pid", "service", "event_type", "user", "src_ip", "port", "detail")
+
+
+for _service in _KINDS:
+    _kinds(_service)
+
+
+@query("""
+, s AS (SELECT 'u' || user_id AS from_user, 'du' || user_id AS to_user, strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS t FROM base WHERE event_id % 3 = 0)
+SELECT from_user, to_user, min(t) AS first_dt, max(t) AS last_dt, count(*) AS cnt FROM s GROUP BY ALL""")
+def auth_su_summary(spark, d):
+    message = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("(to d"), _user(), F.lit(") "), _user(), F.lit(" on pts/1"))).otherwise("nothing")
+    line = F.concat(stamp("MMM d HH:mm:ss"), F.lit(" web01 su["), _pid(), F.lit("]: "), message)
+    return summaries.su_changes(lines.authlog(rendered(spark, d, line, "auth.log")))
+
+
+@query("""
+, m AS (SELECT event_id, CASE event_id % 13 WHEN 12 THEN 1 ELSE event_id % 13 + 1 END AS month FROM base)
+SELECT event_id::VARCHAR AS pid, (CASE WHEN month >= 11 THEN '2023-' ELSE '2024-' END) || lpad(month::VARCHAR, 2, '0') || '-05 01:02:03.000' AS timestamp FROM m""")
+def parse_year_turn(spark, d):
+    months = F.array(*map(F.lit, [*patterns.MONTHS, "Foo"]))
+    line = F.concat(F.get(months, (F.col("event_id") % 13).cast("int")), F.lit("  5 01:02:03 h svc["), _pid(), F.lit("]: x"))
+    return lines.syslog(rendered(spark, d, line, "syslog", mtime="2024-01-20 00:00:00")).select("pid", "timestamp")
+
+
+@query("SELECT event_id::VARCHAR AS message, CASE WHEN user_id % 7 < 3 THEN 'iso8601' ELSE 'syslog' END AS format, strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS timestamp FROM base")
+def parse_detected(spark, d):
+    """Files of either header, told apart by their first lines."""
+    of_file = F.col("user_id") % 7
+    head = F.when(of_file < 3, F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise(stamp("MMM d HH:mm:ss"))
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("/logs/"), of_file.cast("string")).alias("path"), F.concat(head, F.lit(" h svc: "), _pid()).alias("value"), F.lit("syslog").alias("file_name"), F.lit("2024-06-01").cast("timestamp").alias("mtime"))
+    first = e.groupBy("path").agg(F.min("event_id").alias("least"))
+    e = e.join(first, "path").withColumns({"place": F.col("event_id") - F.col("least"), "at_start": F.lit(True)})
+    with_format = lines.with_format(e, 7)
+    found = with_format.select("path", "format").distinct()
+    return lines.syslog(with_format).select("message", F.col("source_file").alias("path"), "timestamp").join(found, "path").select("message", "format", "timestamp")
+
+
+_SERVICE = "CASE event_type WHEN 'click' THEN 'kernel' WHEN 'view' THEN 'systemd-logind' WHEN 'purchase' THEN 'sshd' WHEN 'error' THEN 'CRON' ELSE 'NetworkManager' END"
+_SAID = "CASE event_id % 7 WHEN 0 THEN 'disk Error' WHEN 1 THEN 'a warning' WHEN 2 THEN 'it failed' WHEN 3 THEN 'CRITICAL heat' WHEN 4 THEN 'process killed' WHEN 5 THEN 'kernel panic' ELSE 'fine' END"
+_SYSLOG_SQL = f", s AS (SELECT date_time AS timestamp, {_SERVICE} AS service, lower({_SAID}) AS said FROM base)"
+
+
+def _syslog(spark, d):
+    line = F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z web01 "), F.expr(_SERVICE), F.lit(": "), F.expr(_SAID))
+    return lines.syslog(rendered(spark, d, line, "syslog").withColumn("format", F.lit(lines.ISO)))
+
+
+@query(_SYSLOG_SQL + " SELECT count(*) AS total, min(timestamp) AS first_dt, max(timestamp) AS last_dt, count(DISTINCT service) AS svc_count, " + ", ".join(f"count(*) FILTER (said LIKE '%{w}%') AS {n}" for n, w in dashboards.KEYWORDS.items()) + """,
+  count(*) FILTER (service = 'kernel') AS kernel_count, count(*) FILTER (service LIKE 'systemd%') AS systemd_count, count(*) FILTER (service = 'sshd') AS sshd_count, count(*) FILTER (service = 'sudo') AS sudo_count,
+  count(*) FILTER (service IN ('cron', 'CRON', 'crond', 'anacron')) AS cron_count, count(*) FILTER (service = 'NetworkManager') AS nm_count FROM s""")
+def syslog_counts(spark, d):
+    return dashboards.syslog(_syslog(spark, d)).scalars
+
+
+def _syslog_list(key: str, sql: str) -> None:
+    @query(f"{_SYSLOG_SQL} {sql}", name=f"syslog_{key}")
+    def run(spark, d):
+        return dashboards.syslog(_syslog(spark, d)).lists[key]
+
+
+_syslog_list("top_services", "SELECT service, count(*) AS cnt FROM s GROUP BY ALL ORDER BY cnt DESC, service LIMIT 15")
+_syslog_list("top_err_services", "SELECT service, count(*) AS cnt FROM s WHERE said LIKE '%error%' GROUP BY ALL ORDER BY cnt DESC, service LIMIT 6")
+_syslog_list("all_types", "SELECT service AS type, count(*) AS cnt FROM s GROUP BY ALL")
+
+
+@query(f"{_SYSLOG_SQL} SELECT service, count(*) AS cnt FROM s WHERE said LIKE '%killed%' GROUP BY ALL")
+def quick_keyword(spark, d):
+    return filters.keyword(_syslog(spark, d), "killed").groupBy("service").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT '200-GET' AS name, count(*) AS cnt FROM v_web WHERE status = 200 AND method = 'GET' UNION ALL SELECT '200-POST', count(*) FROM v_web WHERE status = 200 AND method = 'POST' UNION ALL SELECT '200-ETC', count(*) FROM v_web WHERE status = 200 AND method NOT IN ('GET', 'POST')")
+def quick_web_groups(spark, d):
+    w = V.web(spark, d)
+    parts = [filters.web_group(w, g).agg(F.count("*").alias("cnt")).select(F.lit(g).alias("name"), "cnt") for g in ("200-GET", "200-POST", "200-ETC")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_type, count(*) AS cnt FROM v_auth WHERE event_type IN ('sshd_failed_password', 'sshd_invalid_user', 'sshd_max_auth') GROUP BY ALL")
+def quick_auth_failures(spark, d):
+    return filters.of_types(V.auth(spark, d), filters.GROUPS["authlog"]["failure"]).groupBy("event_type").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT count(*) AS total FROM v_web WHERE status = 200 AND uri LIKE '%/p/3%'")
+def page_total(spark, d):
+    return views.page(V.web(spark, d), status=200, columns={"uri": "/p/3"}).matching.agg(F.count("*").alias("total"))
+
+
+@query("SELECT ip, count(*) AS cnt FROM " + _ALL_IPS + " WHERE ip NOT IN ('', '-', '?', '0.0.0.0') GROUP BY ip ORDER BY cnt DESC, ip LIMIT 1000")
+def web_ips_sorted(spark, d):
+    return web.ip_list(web.ips(V.web_tables(spark, d))).drop("share")
+
+
+@query("SELECT NULL::VARCHAR AS first_dt, NULL::VARCHAR AS last_dt, count(*) > 1000 AS scan_limited FROM orders", views_=False)
+def generic_scan_limit(spark, d):
+    return dashboards.generic(table(spark, d, "orders"), 1000).scalars
+
+
+_CRON_KINDS = [
+    ("({u}) CMD (run {u})", "CMD", "uc"), ("pam_unix(cron:session): session opened for user {u} by x", "SESSION_OPEN", "u"), ("pam_unix(cron:session): session closed for user {u}", "SESSION_CLOSE", "u"), ("({u}) ERROR (run {u})", "ERROR", "ud"),
+    ("({u}) MAIL (run {u})", "MAIL", "ud"), ("({u}) INFO (run {u})", "INFO", "ud"), ("({u}) RELOAD (run {u})", "RELOAD", "ud"), ("({u}) STARTUP (run {u})", "STARTUP", "ud"), ("else {u}", "OTHER", ""),
+]
+
+
+def _cron_case(then) -> str:
+    return "CASE event_id % 9 " + " ".join(f"WHEN {n} THEN {then(*k)}" for n, k in enumerate(_CRON_KINDS)) + " END"
+
+
+@query(f"""SELECT event_id::VARCHAR AS pid, {_cron_case(lambda m, e, has: f"'{e}'")} AS event_type, {_cron_case(lambda m, e, has: "'u' || user_id" if "u" in has else "''")} AS "user",
+  {_cron_case(lambda m, e, has: "'run u' || user_id" if "c" in has else "''")} AS command, {_cron_case(lambda m, e, has: "'run u' || user_id" if "d" in has else "''")} AS detail FROM base""")
+def events_cron_kinds(spark, d):
+    shown = [F.concat(*(_user() if x == "{u}" else F.lit(x) for x in re.split(r"(\{u\})", m) if x)) for m, _, _ in _CRON_KINDS]
+    message = F.coalesce(*(F.when(F.col("event_id") % 9 == n, m) for n, m in enumerate(shown)))
+    line = F.concat(stamp("MMM d HH:mm:ss"), F.lit(" h CRON["), _pid(), F.lit("]: "), message)
+    return lines.cron(rendered(spark, d, line, "cron.log")).select("pid", "event_type", "user", "command", "detail")
+
+
+@query("""
+, n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id, ts FROM base)
+SELECT 'u' || user_id AS "user", 'zsh' AS shell, seq::INTEGER AS seq, 'run ' || event_id AS command, CASE WHEN event_id % 3 = 0 THEN '' ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || '.000' END AS timestamp FROM n""")
+def history_zsh(spark, d):
+    extended = F.concat(F.lit(": "), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(":0;run "), _pid())
+    one = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("run "), _pid())).otherwise(extended)
+    texts = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("x")))), lambda x: x["x"]), "\n").alias("content"))
+    whole = texts.select(F.concat(F.lit("/home/u"), F.col("user_id").cast("string"), F.lit("/.zsh_history")).alias("path"), "content")
+    return lines.shell_history(whole).select("user", "shell", "seq", "command", "timestamp")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) AS n, bool_or(doc_id % 10 = 3) OVER (PARTITION BY md5(text)) AS known FROM documents) WHERE n = 1 AND NOT known", views_=False)
+def md5_known_left_out(spark, d):
+    found = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.col("source").alias("priority"), F.col("doc_id").alias("path"))
+    return files.first_claims(found, found.filter("doc_id % 10 = 3").select("md5")).select("doc_id")
+
+
+@query("""
+, r AS (SELECT (user_id % 50)::VARCHAR AS ses, 'prog' || (event_id % 23) AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, event_id FROM base WHERE event_type IN ('click', 'error'))
+SELECT s.ses, arg_min(r.name, (r.t, r.event_id)) AS process_name FROM (SELECT DISTINCT (user_id % 60)::VARCHAR AS ses FROM base) s LEFT JOIN r USING (ses) GROUP BY s.ses""")
+def cron_process_name(spark, d):
+    e = table(spark, d, "events")
+    name = F.concat(F.lit("prog"), (F.col("event_id") % 23).cast("string"))
+    records = e.select((F.col("user_id") % 50).cast("string").alias("ses"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date_time"), F.col("event_id").alias("sequence"), _mapped_type().alias("type"), F.lit("").alias("proctitle"), F.when(F.col("event_id") % 2 == 0, name).otherwise("").alias("comm"), name.alias("exe"))
+    return summaries.cron_process_names(e.select((F.col("user_id") % 60).cast("string").alias("ses")).distinct(), records)
+
+
+def _mapped_type():
+    return F.when(F.col("event_type") == "click", "EXECVE").when(F.col("event_type") == "error", "SYSCALL").otherwise("CWD")
+
+
 _CRON_SQL = """
 , c AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000' AS timestamp, 'CRON' AS process, (event_id // 2)::VARCHAR AS pid, 'u' || (event_id // 2 % 20) AS u, event_id, event_type FROM base)
 SELECT timestamp, process, pid, CASE WHEN event_type = 'error' THEN 'CMD' WHEN event_id % 2 = 0 THEN 'SESSION_OPEN' ELSE 'SESSION_CLOSE' END AS event_type, u AS "user", CASE WHEN event_type = 'error' THEN 'run ' || event_id ELSE '' END AS command, '' AS detail FROM c"""
@@ -381,7 +587,7 @@ def parse_cron(spark, d):
 , c AS (SELECT ts::TIMESTAMP(0) AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, (event_id // 2) AS pid, 'u' || (event_id // 2 % 20) AS u, CASE WHEN event_id % 2 = 0 THEN 'SESSION_OPEN' ELSE 'SESSION_CLOSE' END AS kind FROM base WHERE event_type <> 'error'),
 n AS (SELECT *, lead(kind) OVER w AS next_kind, lead(s) OVER w AS next_s FROM c WINDOW w AS (PARTITION BY pid, u ORDER BY s, kind DESC)),
 k AS (SELECT u, CASE WHEN next_kind = 'SESSION_CLOSE' THEN epoch(next_s::TIMESTAMP) - epoch(s::TIMESTAMP) END AS took FROM n WHERE kind = 'SESSION_OPEN')
-SELECT u AS "user", count(*) AS exec_count, round(avg(took), 6) AS avg_seconds, sum(took) AS total_seconds FROM k GROUP BY u""")
+SELECT 'CRON' AS process, u AS "user", count(*) AS exec_count, round(avg(took), 6) AS avg_seconds, sum(took) AS total_seconds FROM k GROUP BY u""")
 def cron_session_duration(spark, d):
     return summaries.cron_jobs(_cron(spark, d)).withColumn("avg_seconds", F.round("avg_seconds", 6))
 

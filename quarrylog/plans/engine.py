@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.operators import dashboards, views, web
 from quarrylog.plans import registry
-from quarrylog.plans.ingest import INFO, _table_exists, stored
+from quarrylog.plans.ingest import INFO, _table_exists, info, stored
 
 #: Tables that the list of tables doesn't show.
 HIDDEN = ("dashboard",)
@@ -32,7 +32,9 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         if _table_exists(self.spark, path):
-            return stored(self.spark, self.folder, name) if name in registry.BY_NAME else self.spark.read.parquet(path)
+            if name in registry.BY_NAME:
+                return stored(self.spark, self.folder, name)
+            return info(self.spark, self.folder).drop("run") if name == "info" else self.spark.read.parquet(path)
         if name in registry.BY_NAME:
             return self.spark.createDataFrame([], registry.BY_NAME[name].columns + ", source_file string, event_date date")
         if name == "info":
@@ -48,10 +50,10 @@ class Engine:
 
     def tables(self) -> DataFrame:
         """(table_name, total) of the tables shown; Spark counts parquet rows from the files' footers."""
-        parts = [self.table(n).agg(F.count("*").alias("total")).select(F.lit(n).alias("table_name"), "total") for n in self.names() if n not in HIDDEN]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = self.spark.createDataFrame([], "table_name string, total bigint")
+        for n in self.names():
+            if n not in HIDDEN:
+                out = out.unionByName(self.table(n).agg(F.count("*").alias("total")).select(F.lit(n).alias("table_name"), "total"))
         return out
 
     def page(self, name: str, **options) -> views.Page:
@@ -73,7 +75,8 @@ class Engine:
         return fresh.withColumn("computed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
 
     def web_ips(self) -> DataFrame:
-        return web.ips(self.logs(list(web.ADDRESS_COLUMNS)))
+        """(ip, cnt), most frequent first."""
+        return web.ips(self.logs(list(web.ADDRESS_COLUMNS))).orderBy(F.desc("cnt"), "ip")
 
     def web_records(self, value: str, prefix: bool = False, **options) -> views.Page:
         return web.records_page(self.logs(list(web.ADDRESS_COLUMNS)), value, prefix, **options)

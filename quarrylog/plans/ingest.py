@@ -3,16 +3,18 @@
     python -m quarrylog.plans.ingest --target FOLDER --output TABLES [--strict]
 
 A file is identified by the digest of its bytes: one that `info` already has is left out, of several equal ones the
-first by type precedence and path counts. Between log types whose names a file fits its first lines decide. Each log type's files are
-written in one job, committed as a whole, and recorded in `info` afterwards; a type that fails leaves neither rows nor
-records and is reported, the others go on.
+first by type precedence and path counts. Between log types whose names a file fits its first lines decide. Each log type's
+files are written in one job below the run's id; `info`, written afterwards, is the commit record: rows of a run and type
+that it doesn't name are not read, so a stop between the two leaves nothing behind that counts. A damaged file is left out,
+reported and not recorded, a type that fails as a whole likewise; the others go on.
 """
 
 from __future__ import annotations
 
 import argparse
 import logging
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ DEVIATIONS = {
     "bytes": "a size that is no number counts as 0 and doesn't end the file",
     "routing": "the first lines decide between types of equal names (strict: precedence alone)",
     "members": "all members of an archive are read (strict: the first)",
-    "atomic": "a type's rows and file records are written together or not at all",
+    "atomic": "a type's rows count once its files are recorded; damaged files are left out whole",
     "sysinfo": "dumps are looked for below the given folder",
 }
 
@@ -44,6 +46,7 @@ DEVIATIONS = {
 class Result:
     written: dict[str, int]
     failed: dict[str, str]
+    damaged: dict[str, str] = field(default_factory=dict)  # path: what is wrong with it
 
 
 def _table_exists(spark: SparkSession, path: str) -> bool:
@@ -51,9 +54,16 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def info(spark: SparkSession, output: str) -> DataFrame:
+    """The files that have been read, with the run that wrote their rows."""
+    return spark.read.schema(f"{INFO}, run string").parquet(f"{output}/info")
+
+
 def stored(spark: SparkSession, output: str, name: str) -> DataFrame:
-    """A table as written; its schema is the log type's, so a folder without rows or of older files reads as well."""
-    return spark.read.schema(f"{registry.BY_NAME[name].columns}, source_file string, event_date date").parquet(f"{output}/{name}")
+    """A table as committed; its schema is the log type's, so a folder without rows or of older files reads as well."""
+    table = spark.read.schema(f"{registry.BY_NAME[name].columns}, source_file string, run string, event_date date").parquet(f"{output}/{name}")
+    runs = [r["run"] for r in info(spark, output).filter(F.col("log_type") == name).select("run").distinct().collect()] if _table_exists(spark, f"{output}/info") else []
+    return table.filter(F.col("run").isin(runs)).drop("run")  # whole folders
 
 
 def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFrame:
@@ -61,21 +71,16 @@ def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFram
     if strict:
         return candidates
     several = candidates.groupBy("path").count().filter("count > 1").select("path")
-    rows = candidates.join(several, "path").select("path", "mtime", "log_type", "priority").collect()  # names only
-    if not rows:
-        return candidates
-    heads = files.packed_lines(candidates.join(several, "path").select("path", "mtime").distinct(), "first").filter("place < 10").cache()
-    taken = []
-    for name in sorted({r["log_type"] for r in rows}, key=lambda n: registry.LOG_TYPES.index(registry.BY_NAME[n])):
-        kind = registry.BY_NAME[name]
-        own = [r["path"] for r in rows if r["log_type"] == name]
-        if kind.parse is None or kind.kind == "whole":
-            continue
-        parsed = kind.parse(heads.filter(F.col("path").isin(own)).withColumn("format", F.lit(None).cast("string")))
-        taken += [(r["source_file"], name, registry.LOG_TYPES.index(kind)) for r in parsed.select("source_file").distinct().collect()]
-    heads.unpersist()
-    fits = spark.createDataFrame(taken, "path string, log_type string, fit int")
-    joined = candidates.join(fits.drop("fit"), ["path", "log_type"], "left_semi").unionByName(candidates.join(fits.select("path").distinct(), "path", "left_anti"))
+    open_ = candidates.join(several, "path").cache()
+    heads = files.packed_lines(open_.select("path", "mtime").distinct(), "first").filter("place < 10").cache()
+    names = {r["log_type"] for r in open_.select("log_type").distinct().collect()}
+    fits = spark.createDataFrame([], "path string, log_type string")
+    for kind in registry.LOG_TYPES:
+        if kind.name in names and kind.parse is not None and kind.kind != "whole":
+            own = heads.join(open_.filter(F.col("log_type") == kind.name).select("path"), "path", "left_semi").withColumn("format", F.lit(None).cast("string"))
+            fits = fits.unionByName(kind.parse(own).select(F.col("source_file").alias("path"), F.lit(kind.name).alias("log_type")).distinct())
+    fits = fits.cache()
+    joined = candidates.join(fits, ["path", "log_type"], "left_semi").unionByName(candidates.join(fits.select("path").distinct(), "path", "left_anti"))
     from pyspark.sql import Window
 
     return joined.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("priority"))).filter("n = 1").drop("n")
@@ -83,47 +88,47 @@ def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFram
 
 def parsed(spark: SparkSession, kind: registry.LogType, own: list, strict: bool = False) -> DataFrame:
     """The rows of a log type's files."""
-    paths = [r["path"] for r in own]
     members = "first" if strict else "all"
-    listed = spark.createDataFrame([(r["path"], r["mtime"]) for r in own], "path string, mtime timestamp").repartition(max(1, min(len(own), 1000)))
+
+    def table(rows: list) -> DataFrame:
+        return spark.createDataFrame([(r["path"], r["mtime"]) for r in rows], "path string, mtime timestamp").repartition(max(1, min(len(rows), 1000)))
+
     if kind.kind in ("utmp", "journal"):
-        return spark.read.format(kind.kind).option("paths", "\n".join(paths)).option("members", members).load()
+        return spark.read.format(kind.kind).option("paths", "\n".join(r["path"] for r in own)).option("members", members).load()
     if kind.kind == "whole":
-        return kind.parse(files.whole_files(listed, members))
+        return kind.parse(files.whole_files(table(own), members))
     # Plain text is split among tasks by Spark; packed files, and names that Spark's listing passes over, by path.
-    packed = [r for r in own if r["packed"] or Path(r["path"]).name[0] in "._"]
-    text = [r["path"] for r in own if r not in packed]
-    parts = []
-    if text:
-        parts.append(files.plain_lines(spark, text))
-    if packed:
-        parts.append(files.packed_lines(spark.createDataFrame([(r["path"], r["mtime"]) for r in packed], "path string, mtime timestamp").repartition(max(1, min(len(packed), 1000))), members))
+    by_path = lambda r: r["packed"] or Path(r["path"]).name[0] in "._"
+    packed, text = [r for r in own if by_path(r)], [r["path"] for r in own if not by_path(r)]
+    parts = ([files.plain_lines(spark, text)] if text else []) + ([files.packed_lines(table(packed), members)] if packed else [])
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return kind.parse(lines.with_format(rows) if kind.kind == "detected" else rows.withColumn("format", F.lit(None).cast("string")))
+    return kind.parse(lines.with_format(rows, len(own)) if kind.kind == "detected" else rows.withColumn("format", F.lit(None).cast("string")))
 
 
 def ingest(spark: SparkSession, target: str, output: str, strict: bool = False) -> Result:
     spark.dataSource.register(UtmpDataSource)
     spark.dataSource.register(JournalDataSource)
-    info_path = f"{output}/info"
-    info = spark.read.parquet(info_path) if _table_exists(spark, info_path) else None
+    info_path, run = f"{output}/info", uuid.uuid4().hex
+    before = info(spark, output) if _table_exists(spark, info_path) else None
     candidates = files.with_digest(files.manifest(spark, target, strict)).cache()
-    chosen = routed(spark, candidates, strict)
-    chosen = files.first_claims(chosen, info).orderBy("priority", "path").collect()  # names and digests of files, no contents
-    result = Result({}, {})
+    result = Result({}, {}, {r["path"]: r["damage"] for r in candidates.filter("damage is not null").select("path", "damage").distinct().collect()})
+    for path, why in result.damaged.items():
+        log.warning("%s was left out: %s", path, why)
+    chosen = routed(spark, candidates.filter("damage is null"), strict)
+    chosen = files.first_claims(chosen, before).orderBy("priority", "path").collect()  # names and digests of files, no contents
     for kind in registry.LOG_TYPES:
-        own = [{**r.asDict(), "packed": files.is_packed(r["path"])} for r in chosen if r["log_type"] == kind.name]
+        own = [r for r in chosen if r["log_type"] == kind.name]
         if not own:
             continue
         try:
             table = parsed(spark, kind, own, strict)
             time = next(c for c in ("date_time", "timestamp") if c in table.columns)
-            table.withColumn("event_date", event_date(F.col(time))).write.mode("append").partitionBy("event_date").parquet(f"{output}/{kind.name}")
+            table.withColumns({"run": F.lit(run), "event_date": event_date(F.col(time))}).write.mode("append").partitionBy("run", "event_date").parquet(f"{output}/{kind.name}")
             rows = [(Path(r["path"]).name, r["path"], r["md5"], r["size"], kind.name) for r in own]
-            done = spark.createDataFrame(rows, INFO.rsplit(",", 1)[0]).withColumn("parsed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
-            done.coalesce(1).write.mode("append").parquet(info_path)
+            done = spark.createDataFrame(rows, INFO.rsplit(",", 1)[0]).withColumns({"parsed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "run": F.lit(run)})
+            done.coalesce(1).write.mode("append").partitionBy("run").parquet(info_path)
             result.written[kind.name] = len(own)
-        except Exception as error:  # noqa: BLE001 - one type's damaged files don't stop the others
+        except Exception as error:  # noqa: BLE001 - what one type's files hold doesn't stop the others
             log.warning("%s was not read: %s", kind.name, error)
             result.failed[kind.name] = str(error)[:500]
     candidates.unpersist()
@@ -156,7 +161,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{name}: {n} files")
     for name, why in result.failed.items():
         print(f"{name}: not read: {why}")
-    return int(bool(result.failed))
+    for path, why in result.damaged.items():
+        print(f"{path}: left out: {why}")
+    return int(bool(result.failed or result.damaged))
 
 
 if __name__ == "__main__":

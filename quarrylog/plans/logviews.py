@@ -68,7 +68,10 @@ v_weberr AS (SELECT event_id AS id, date_time, ip AS client_ip FROM base WHERE e
 
 def rendered(spark: SparkSession, sf_dir: str, line: Column, file_name: str | None = None, mtime: str = "2024-06-01 00:00:00") -> DataFrame:
     """One log line an event, with the source columns that parsers read."""
-    e = table(spark, sf_dir, "events").withColumns({"ip": _ip(), "stamp": _time()})
+    e = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    # Log files split among tasks; a table of one row group doesn't, so it is dealt out.
+    e = (e.repartition(cores) if e.rdd.getNumPartitions() < cores else e).withColumns({"ip": _ip(), "stamp": _time()})
     return e.select("event_id", line.alias("value"), F.lit("/logs/" + (file_name or "log")).alias("path"), F.lit(file_name or "log").alias("file_name"), F.lit(mtime).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("format"))
 
 

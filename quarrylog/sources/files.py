@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,27 +43,38 @@ def manifest(spark: SparkSession, base: str, strict_compat: bool = False) -> Dat
     return spark.createDataFrame(rows, MANIFEST)
 
 
-def _is_gzip(content: Column) -> Column:
-    return F.hex(F.substring(content, 1, 2)) == "1F8B"
+def examined(path: str) -> tuple[str | None, bool, str | None]:
+    """(md5 of the bytes as stored, whether it is compressed or an archive, what is wrong with it) of a file, read in pieces."""
+    import hashlib
+    import lzma
+    import tarfile
+    import zlib
+
+    digest, packed = hashlib.md5(), False
+    try:
+        with open(path, "rb") as f:
+            while piece := f.read(1 << 20):
+                digest.update(piece)
+        packed = is_packed(path)
+        if packed:
+            for _, stream in opened(path):
+                while stream.read(1 << 20):
+                    pass
+    except (OSError, EOFError, zlib.error, lzma.LZMAError, tarfile.TarError) as error:
+        return digest.hexdigest(), packed, f"{type(error).__name__}: {error}"[:300]
+    return digest.hexdigest(), packed, None
 
 
 def with_digest(files: DataFrame) -> DataFrame:
-    """Adds md5, of the bytes as stored, read in pieces by the tasks."""
+    """Adds md5, packed and damage (see `examined`), found by the tasks."""
 
     def digest(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        import hashlib
-
         for batch in batches:
-            out = []
-            for path in batch["path"]:
-                h = hashlib.md5()
-                with open(path, "rb") as f:
-                    while piece := f.read(1 << 20):
-                        h.update(piece)
-                out.append(h.hexdigest())
-            yield batch.assign(md5=out)
-
-    return files.mapInPandas(digest, T.StructType([*files.schema, T.StructField("md5", T.StringType())]))
+            found = [examined(path) for path in batch["path"]]
+            yield batch.assign(md5=[f[0] for f in found], packed=[f[1] for f in found], damage=[f[2] for f in found])
+
+    more = [T.StructField("md5", T.StringType()), T.StructField("packed", T.BooleanType()), T.StructField("damage", T.StringType())]
+    return files.mapInPandas(digest, T.StructType([*files.schema, *more]))
 
 
 def first_claims(files: DataFrame, info: DataFrame | None = None) -> DataFrame:

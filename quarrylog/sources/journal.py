@@ -44,8 +44,12 @@ def inflated(raw: bytes, flags: int) -> bytes:
             return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         if flags & LZ4:
             import lz4.block
+            import lz4.frame
 
-            return lz4.block.decompress(raw[8:], uncompressed_size=int.from_bytes(raw[:8], "little"))
+            try:  # older files: the size and a block
+                return lz4.block.decompress(raw[8:], uncompressed_size=int.from_bytes(raw[:8], "little"))
+            except Exception:  # noqa: BLE001 - newer ones hold a frame
+                return lz4.frame.decompress(raw)
     except Exception:  # noqa: BLE001 - damaged data and missing codecs alike
         return raw
     return raw

@@ -179,6 +179,30 @@ def test_packed_binary_logs_and_histories(spark, tmp_path):
     assert rows.count() == 600 and {r[0] for r in rows.select("source_file").distinct().collect()} == {str(tmp_path / "in/wtmp.1.gz")}
 
 
+def test_damaged_files_and_stopped_runs(spark, tmp_path, monkeypatch):
+    line = "Jan  1 00:00:01 h svc: {}\n"
+    good, cut = line.format("good"), gzip.compress((line.format("lost") * 500).encode())
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "syslog").write_text(good)
+    (source / "syslog.1").write_bytes(cut[: len(cut) // 2])
+    (source / "syslog.2").write_bytes(gzip.compress(line.format("packed").encode()))
+    first = ing.ingest(spark, str(source), out)
+    assert first.written == {"syslog": 2} and first.failed == {} and list(first.damaged) == [str(source / "syslog.1")]
+    messages = lambda: sorted(r.message for r in ing.stored(spark, out, "syslog").collect())
+    assert messages() == ["good", "packed"] and Engine(spark, out).table("info").count() == 2
+    # A run that stops between rows and records leaves no rows behind that count, and the files are read again.
+    (source / "syslog.3").write_text(line.format("late"))
+    kept = spark.read.parquet(f"{out}/syslog").withColumn("run", F.lit("stopped"))
+    kept.write.mode("append").partitionBy("run", "event_date").parquet(f"{out}/syslog")
+    assert messages() == ["good", "packed"]
+    (source / "syslog.1").write_bytes(cut)
+    again = ing.ingest(spark, str(source), out)
+    assert again.written == {"syslog": 2} and again.damaged == {}
+    assert messages() == ["good", "late"] + ["lost"] * 500 + ["packed"]
+    assert Engine(spark, str(tmp_path / "nothing")).tables().count() == 0
+
+
 def test_strict_routing_takes_the_first_name(spark, collection, tmp_path):
     result = ing.ingest(spark, collection, str(tmp_path), strict=True)
     assert result.failed == {}

@@ -84,6 +84,19 @@ def test_access_lines(spark):
     assert rows[3]["referer"] == "" and rows[3]["user_agent"] == "curl/8"
 
 
+def test_separators_in_lines(spark):
+    rows = dicts(lines.authlog(given(spark, ["\x01a\x01b\x01c\x01d\x01e", "2024-01-01T00:00:00Z h s\x01shd[1]: x\x01y"], line_format=lines.ISO)))
+    assert [(r["date_time"], r["service"], r["event_type"]) for r in rows] == [("", "", "unknown"), ("2024-01-01 00:00:00.000", "sshd", "unknown")]
+    assert rows[1]["detail"] == "xy" and rows[1]["raw_line"].count("\x01") == 2
+
+
+def test_patterns_are_evaluated_once(spark):
+    plan = lines.nginx(given(spark, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") < 20 and plan.count("split(") < 8
+    body = lines.audit(given(spark, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert body.count("regexp_extract_all(") == 0 and body.count("split(") < 6
+
+
 def test_very_long_lines(spark):
     agent = r"\"a b" * 25_000
     log = ['1.2.3.4 - - [05/Mar/2026:07:38:42 +0900] "GET /' + "x" * 100_000 + f' HTTP/1.1" 200 5 "-" "{agent}"']

@@ -78,6 +78,40 @@ def test_payloads_hold_scalars_and_lists(auth):
     assert {b["column_name"] for b in generic["breakdowns"]} == {"event_type", "src_ip", "user"}
 
 
+def test_payloads_are_the_lists(spark):
+    """The document made in one pass holds what each list by itself gives, in its order."""
+    rows = [(i, f"t{i % 9}", f"10.0.0.{i % 7}", ["GET", "POST", "PUT", ""][i % 4], f"/p/{i % 13}", [200, 200, 404, 500, None][i % 5], ["a", "", "b"][i % 3]) for i in range(200)]
+    web_log = spark.createDataFrame(rows, "id int, date_time string, src_ip string, method string, uri string, status int, vhost string")
+    board = dashboards.apache2(web_log)
+    doc = json.loads(board.payload().first().payload)
+    for name, table in board.lists.items():
+        assert doc[name] == [{k: v for k, v in r.asDict().items() if v is not None} for r in sorted(table.collect(), key=lambda r: (-r.cnt, r[0] is not None, str(r[0])))], name
+    assert doc["total"] == 200 and len(doc["top_uri_200"]) == 10 and isinstance(doc["status_dist"][0]["status"], int)
+    plan = board.payload()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 3  # scalars, lists of some, lists of all
+
+
+def test_generic_dashboards_of_large_tables(auth):
+    assert dashboards.within(auth, 60) and not dashboards.within(auth, 59)
+    small, large = (json.loads(dashboards.generic(auth, n).payload().first().payload) for n in (60, 59))
+    assert not small["scan_limited"] and small["breakdowns"] and large == {"scan_limited": True}
+
+
+def test_quick_groups(spark, auth):
+    log = spark.createDataFrame([("an Error here",), ("fine",), (None,)], "message string")
+    assert filters.keyword(log, "error").count() == 1
+    with pytest.raises(KeyError):
+        filters.keyword(log, "x")
+    web_log = spark.createDataFrame([("GET", 200), ("POST", 200), ("PUT", 200), ("", 200), ("GET", 404)], "method string, status int")
+    assert [filters.web_group(web_log, g).count() for g in ("200-GET", "200-POST", "200-ETC")] == [1, 1, 1]
+    assert {len(g) for g in filters.GROUPS.values()} == {5}
+
+
+def test_nothing_to_look_in(spark, auth):
+    assert views.global_search({}, "x").count() == 0 and views.global_search({"a": auth}, " ").count() == 0
+    assert web.ips({}).count() == 0 and web.records({}, "1").count() == 0 and summaries.logs({}).count() == 0 and web.ip_list(web.ips({})).count() == 0
+
+
 def test_generic_keys_by_preference():
     assert dashboards.key_columns(["pid", "hostname", "message", "src_ip", "status", "user"]) == ["status", "src_ip", "user", "hostname"]
 
@@ -116,9 +150,9 @@ def test_summaries(spark):
     assert {r.attack_type for r in summaries.attacks(web_log).collect()} == {"webshell", "xss", "path_traversal"}
     shells = summaries.webshells(web_log).collect()
     assert [r.path for r in shells] == ["/up/tmp/c99.php"] and shells[0].score >= 5
-    cron = spark.createDataFrame([("h", "1", "bob", f"2024-01-01 00:00:0{s}.000", k) for s, k in ((0, "SESSION_OPEN"), (3, "SESSION_CLOSE"), (4, "SESSION_OPEN"))], "hostname string, pid string, user string, timestamp string, event_type string")
+    cron = spark.createDataFrame([("h", "CRON", "1", "bob", f"2024-01-01 00:00:0{s}.000", k) for s, k in ((0, "SESSION_OPEN"), (3, "SESSION_CLOSE"), (4, "SESSION_OPEN"))], "hostname string, process string, pid string, user string, timestamp string, event_type string")
     row = summaries.cron_jobs(cron).first()
-    assert (row.exec_count, row.avg_seconds) == (2, 3.0)
+    assert (row.process, row.user) == ("CRON", "bob") and (row.exec_count, row.avg_seconds) == (2, 3.0)
 
 
 def test_sysinfo(spark):
