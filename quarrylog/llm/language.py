@@ -118,7 +118,7 @@ def grams(symbols: np.ndarray, at: np.ndarray) -> Grams:
     for n in range(1, ORDER + 1):
         back = n - 1
         shifted = np.full(len(symbols), gap, np.uint64)
-        shifted[back:] = value[: len(value) - back]
+        shifted[back:] = value[: max(0, len(value) - back)]
         shifted[place < back] = gap
         total = total + shifted * _FACTORS[back]
         keys.append(total)

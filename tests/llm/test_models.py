@@ -69,7 +69,7 @@ def test_kneser_ney_is_the_textbooks():
         mine = [t for t, y in zip(texts, labels, strict=True) if y == own.name]
         learned = [t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == own.name and i % language.CALIBRATE_EVERY != language.CALIBRATE_EVERY - 1]
         prob = brute_kn([brute_symbols(t) for t in learned], language.ORDER, vocabulary)
-        for t in [*mine, "что нового", "zzz q", ""]:
+        for t in [*mine, "что нового", "zzz q", "", "a", "ab"]:
             _, _, data, offsets = next(chunks(pa.array([t])))
             got = own.log2(language.grams(*language.symbols_of(*language.letters_of(data, offsets))))
             s = brute_symbols(t)
