@@ -18,10 +18,8 @@ enough slack a shared signature is left, else both are at the next level.
 
 Equal sets are one class from the start (64-bit digest of the set). Sets sharing a signature become candidates: each with
 the least set of its bucket; then, among sets of a bucket that those links have not joined, each pair. Before pairs are
-made of crowded buckets, sets of them are drawn to join more, and their signatures are made finer: each is joined with
-those of another cut of the universe, as sets that link share a signature of every cut while unrelated ones that share a
-small part by chance or by a common passage seldom do. The pairs of what is left are made by blocks of BLOCK sets, so a
-bucket of any size is many tasks. Candidates are verified on the whole element sets, after sizes and parity sketches have
+made of crowded buckets, sets of them are drawn and compared with the others as long as that joins many. The pairs of
+what is left are made by blocks of BLOCK sets, so a bucket of any size is many tasks. Candidates are verified on the whole element sets, after sizes and parity sketches have
 told apart most that can't link. Links are contracted to components.
 
 Cases: null or empty texts and texts without words have the empty set, which links with nothing, not even its like;
@@ -47,9 +45,9 @@ NUMERATOR, DENOMINATOR = 85, 100
 BAND, LEVELS, STRAY = 1.5, 4, 4.0
 #: Kinds of index: whole parts, parts with one element left out, and (the numbers themselves) parts of so many segments with one left out.
 EXACT, DELETION, SEGMENTS = 0, 1, (3, 4, 5, 6)
-#: Buckets are crowded beyond so many comparisons a member. Times that sets are drawn and signatures made finer before all
-#: pairs left are compared, and the members of a bucket that one task compares with as many others.
-CROWDED, DRAWS, CUTS, BLOCK = 64, 2, 3, 256
+#: Buckets are crowded beyond so many comparisons a member. Times that sets are drawn before all pairs left are compared,
+#: and the members of a bucket that one task compares with as many others.
+CROWDED, DRAWS, BLOCK = 64, 8, 256
 #: A signature of so many sets in one chunk of texts is dealt out by SALTS.
 HOT, SALTS = 8, 61
 #: Elements of candidate sets that are compared whole at once, without comparing profiles first.
@@ -139,11 +137,8 @@ class Bands:
         d = most_different(size, self.high[band], self.num, self.den)
         return np.minimum(self.m[band], np.where(self.kind[band] == EXACT, d, d // 2) + 1 + self.slack[band])
 
-    def signatures(self, elements: np.ndarray, offsets: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures and the set of each: in the set's own band, and in the next if a larger set there can link.
-
-        cut: which of the ways of cutting the universe; sets that link share a signature of each.
-        """
+    def signatures(self, elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures and the set of each: in the set's own band, and in the next if a larger set there can link."""
         size = np.diff(offsets)
         own = self.of(np.maximum(size, 1))
         sets = np.flatnonzero(size > 0)
@@ -156,18 +151,18 @@ class Bands:
         for level in range(LEVELS):
             if not len(which):
                 break
-            sig, owner, short = self._level(elements, offsets, which, band, level, cut)
+            sig, owner, short = self._level(elements, offsets, which, band, level)
             found.append((sig, owner))
             which, band = which[short], band[short]
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def _level(self, elements, offsets, which, band, level, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _level(self, elements, offsets, which, band, level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(offsets)[which]
         entry = np.repeat(np.arange(len(which)), size)
         at = np.arange(int(size.sum())) + np.repeat(offsets[which] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        value = mix(elements[at] + np.uint64((1 + level + LEVELS * cut) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        value = mix(elements[at] + np.uint64((1 + level) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         m = self.m[band]
         base = np.concatenate(([0], np.cumsum(m)))
         place = (mix(value + band[entry].astype(np.uint64)) % m[entry].astype(np.uint64)).astype(np.int64)
@@ -441,19 +436,6 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
         by = own.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "sid", F.lit(turn)).alias("by"), F.col("sid").alias("other"), F.col("label").alias("their"))).alias("d")).select("sig", "d.other", "d.their")
         return own.join(by, "sig").filter("label <> their").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
-    def finer(own: DataFrame, cut: int) -> DataFrame:
-        """The open buckets cut by the signatures of another cut of the universe."""
-        bands = Bands(num, den)
-
-        def make(elements: np.ndarray, offsets: np.ndarray) -> pa.Array:
-            sig, owner = bands.signatures(elements, offsets, cut)
-            order = np.argsort(owner, kind="stable")
-            return _as_lists(sig[order], np.searchsorted(owner[order], np.arange(len(offsets))))
-
-        wanted = materialise(known.join(own.select("sid").distinct(), "sid").select("sid", "key"))
-        more = _of_sets(work, wanted, k, "sigs array<bigint>", make).select("sid", F.explode("sigs").alias("more"))
-        return tight(own.join(more, "sid").select(F.xxhash64("sig", "more").alias("sig"), "sid", "label").distinct())
-
     pairs = materialise(near(members.filter("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct()))
     links = materialise(_verified(pairs, known, work, k, num, den))
     labels = components(links)
@@ -466,15 +448,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
         links = materialise(links.union(_verified(pairs, known, work, k, num, den)))
         labels = components(links)
         own = still_open(labels)
-        todo, n = comparisons(own)
-    for cut in range(1, CUTS + 1):
-        if todo <= CROWDED * n:
-            break
-        cut_up = finer(own, cut)
-        less, n_less = comparisons(cut_up)
-        if 2 * less > todo:
+        before, (todo, n) = todo, comparisons(own)
+        if 10 * todo > 9 * before:  # these sets share a part, but are not alike
             break
-        own, todo, n = cut_up, less, n_less
     if n:
         # What is left: pairs across components, told apart by sizes and sketches within the join.
         one = materialise(described(own.withColumnRenamed("sid", "a"), "a"))
