@@ -371,7 +371,7 @@ def _verified(pairs: DataFrame, known: DataFrame, work: DataFrame, k: int, num:
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the least vertex that links reach from each, by taking neighbours' labels and labels' labels in turn."""
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v")))
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(near, labels["v"] == near["a"]).select("v", "label", F.least("label", "near").alias("now"))
@@ -383,6 +383,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("v", "label")
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (v, label) after more links: only the components that these tie together are walked again."""
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        ends = ends.join(labels.withColumnsRenamed({"v": side, "label": f"of_{side}"}), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    across = materialise(ends.filter("of_a <> of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
+    if across.isEmpty():
+        return labels
+    tied = components(across)
+    renamed = labels.join(tied.select(F.col("v").alias("label"), F.col("label").alias("now")), "label", "left").select("v", F.coalesce("now", "label").alias("label"))
+    return materialise(renamed.union(tied.join(labels, "v", "left_anti").select("v", "label")))
+
+
 def _by_blocks(rows: DataFrame) -> DataFrame:
     """Rows (sig, ...) with (low, high): every two rows of a bucket meet once as left at (low, high) and right at (low, high).
 
@@ -437,16 +450,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
         return own.join(by, "sig").filter("label <> their").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
     pairs = materialise(near(members.filter("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct()))
-    links = materialise(_verified(pairs, known, work, k, num, den))
-    labels = components(links)
+    labels = components(materialise(_verified(pairs, known, work, k, num, den)))
     own = still_open(labels)
     todo, n = comparisons(own)
     for turn in range(DRAWS):
         if todo <= CROWDED * n:
             break
         pairs = materialise(near(drawn(own, turn)))
-        links = materialise(links.union(_verified(pairs, known, work, k, num, den)))
-        labels = components(links)
+        labels = joined(labels, materialise(_verified(pairs, known, work, k, num, den)))
         own = still_open(labels)
         before, (todo, n) = todo, comparisons(own)
         if 10 * todo > 9 * before:  # these sets share a part, but are not alike
@@ -460,8 +471,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
         across = (F.col("label") != F.col("label2")) & ((F.col("low") < F.col("high")) | (F.col("a") < F.col("b"))) & may_link
         met = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2")) & across)
         rest = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), size).distinct())
-        links = links.union(_verified(rest, known, work, k, num, den))
-        labels = components(links)
+        labels = joined(labels, materialise(_verified(rest, known, work, k, num, den)))
     named = known.join(labels, known["sid"] == labels["v"], "left").select("sid", F.col("key").alias("least"), F.coalesce("label", "sid").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     named = materialise(named.join(roots, "root").select(F.col("sid").alias("their_sid"), "component"))

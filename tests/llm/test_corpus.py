@@ -127,6 +127,18 @@ def test_components_of_a_chain(spark):
     assert {r.v: r.label for r in jaccard.components(links).collect()} == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
+def test_labels_after_more_links(spark):
+    """Components tied together one batch of links at a time are those of all links."""
+    rng = random.Random(3)
+    batches = [[tuple(sorted(rng.sample(range(60), 2))) for _ in range(n)] for n in (15, 12, 10)] + [[]]
+    labels = None
+    for batch in batches:
+        links = spark.createDataFrame(batch, "a long, b long")
+        labels = jaccard.components(links) if labels is None else jaccard.joined(labels, links)
+    every = jaccard.components(spark.createDataFrame(sum(batches, []), "a long, b long"))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, every.collect()))
+
+
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
     """Water filling by rounds: capped sources leave, their excess is dealt again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
