@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import chat, decontaminate, extract, flac, jaccard, language, mixing, quality, substring, toxicity
+from quarrylog.llm import chat, decontaminate, extract, flac, jaccard, language, mixing, quality, repair, substring, tokens, toxicity, vectors
 from quarrylog.llm._ops import crc_mod, spread
 
 
@@ -172,6 +172,114 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokens.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return tokens.digest(tokens.encode(_texts(spark, sf_dir), vocabulary), vocabulary)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.compress(_texts(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_round(n: int) -> str:
+    """Assignment of all parts to the entries of round n, and the entries of the next round."""
+    return f"""
+near{n} AS (
+  SELECT vec_id, part, v, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist
+  FROM (SELECT p.vec_id, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM parts p JOIN book{n} b ON p.part = b.part)
+  GROUP BY vec_id, part, v),
+mean{n} AS (
+  SELECT part, entry, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY dim) AS v
+  FROM (SELECT part, entry, dim, sum(v[dim])::BIGINT AS s, count(*)::BIGINT AS n FROM near{n}, unnest(range(1, len(v) + 1)) AS t(dim) GROUP BY part, entry, dim) GROUP BY part, entry),
+book{n + 1} AS (SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN mean{n} m USING (part, entry)),"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS v FROM kept, unnest(range(16)) AS t(part)),
+book0 AS (
+  SELECT part, entry - 1 AS entry, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS entry FROM kept) USING (vec_id) WHERE entry <= 64),{_op12_round(0)}{_op12_round(1)}
+final AS (
+  SELECT vec_id, part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist
+  FROM (SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM parts p JOIN book2 b ON p.part = b.part)
+  GROUP BY vec_id, part),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM final GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+def op13_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(repair.damaged(_texts(spark, sf_dir, "conversations")))
+    return found.withColumnRenamed("key", "conv_id")
+
+
+#: Keys of the four states (nothing yet, system, user, assistant) are cost and audit as one text, so the least text is the cheapest
+#: edit and, of equals, the ASCII-least; `add` is what a step appends.
+OP13_SQL = r"""
+WITH RECURSIVE faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_concat(flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+             lambda c: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda b: ((ord(c) >> b) & 1)::BIGINT))))),
+             lambda x, b: xor(x >> 1, CASE WHEN (x & 1) <> b THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS f
+  FROM conversations),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM faults, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_),
+judged AS (
+  SELECT *, rtrim(text, E' 	
+
+') AS core, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS repeated, substr(role, 1, 1) AS initial,
+         substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) AS before FROM placed),
+marked AS (
+  SELECT *, CASE WHEN core = '' THEN 'b' WHEN repeated THEN 'd' WHEN right(core, 1) IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault FROM judged),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'b')::BIGINT AS blank,
+         count(*) FILTER (WHERE fault = 'd')::BIGINT AS duplicate, count(*) FILTER (WHERE fault = 't')::BIGINT AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au') OR before = '')::BIGINT AS illegal
+  FROM marked GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n, 0::BIGINT AS i, '00000000' AS k0, NULL::VARCHAR AS k1, '00000002I' AS k2, '00000004II' AS k3 FROM counted
+  UNION ALL
+  SELECT conv_id, n, i, k0, k1, least(u, printf('%08d', substr(a, 1, 8)::INT + 2) || substr(a, 9) || 'I') AS k2,
+         least(a, printf('%08d', substr(u, 1, 8)::INT + 2) || substr(u, 9) || 'I') AS k3
+  FROM (
+    SELECT conv_id, n, i, k0, k1, least(u, printf('%08d', substr(k0, 1, 8)::INT + 2) || substr(k0, 9) || 'I', printf('%08d', substr(k1, 1, 8)::INT + 2) || substr(k1, 9) || 'I') AS u, coalesce(a, '99999990') AS a
+    FROM (
+      SELECT w.conv_id, w.n, m.i, printf('%08d', substr(k0, 1, 8)::INT + 3) || substr(k0, 9) || 'D' AS k0,
+             least(printf('%08d', substr(k1, 1, 8)::INT + 3) || substr(k1, 9) || 'D', CASE WHEN stays AND initial = 's' THEN printf('%08d', substr(k0, 1, 8)::INT + t) || substr(k0, 9) || 'K' END) AS k1,
+             least(printf('%08d', substr(k2, 1, 8)::INT + 3) || substr(k2, 9) || 'D',
+                   CASE WHEN stays THEN least(printf('%08d', substr(k0, 1, 8)::INT + to_u) || substr(k0, 9) || eu, printf('%08d', substr(k1, 1, 8)::INT + to_u) || substr(k1, 9) || eu, printf('%08d', substr(k3, 1, 8)::INT + to_u) || substr(k3, 9) || eu) END) AS u,
+             least(printf('%08d', substr(k3, 1, 8)::INT + 3) || substr(k3, 9) || 'D', CASE WHEN stays THEN printf('%08d', substr(k2, 1, 8)::INT + to_a) || substr(k2, 9) || ea END) AS a
+      FROM walk w JOIN (
+        SELECT conv_id, i, initial, fault IN ('.', 't') AS stays, (fault = 't')::INT AS t, (fault = 't')::INT + CASE WHEN initial = 'u' THEN 0 ELSE 2 END AS to_u, CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END AS eu,
+               (fault = 't')::INT + CASE WHEN initial = 'a' THEN 0 ELSE 2 END AS to_a, CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END AS ea FROM marked) m
+        ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1))),
+best AS (SELECT conv_id, substr(least(k0, k3), 1, 8)::BIGINT AS cost, substr(least(k0, k3), 9) AS audit FROM walk WHERE i = n),
+letters AS (
+  SELECT conv_id, p, substr(audit, p::INT, 1) AS edit, length(regexp_replace(substr(audit, 1, p::INT), 'I', '', 'g')) AS i, length(regexp_replace(substr(audit, 1, p::INT), 'D', '', 'g')) AS e
+  FROM best, unnest(range(1, length(audit) + 1)) AS t(p)),
+opened AS (
+  SELECT l.*, m.role, m.text, max(CASE WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS has_system
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i AND l.edit <> 'I' WHERE edit <> 'D'),
+shown AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (e - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired
+  FROM opened GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN shown s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
@@ -183,6 +291,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_flac_media": op9_flac_media,
     "op10_quality": op10_quality,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_repair_turns": op13_repair_turns,
 }
 
 ORACLES: dict[str, str] = {
@@ -190,4 +301,6 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
     "op7_preference_format": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_repair_turns": OP13_SQL,
 }
