@@ -102,12 +102,12 @@ def heap_merged(word: bytes, vocabulary: Vocabulary) -> list[int]:
 
 def _bound(value: Column, use) -> Column:  # noqa: ANN001
     """use(value), the value being computed once."""
-    return F.transform(F.array(value), use).getItem(0)
+    return F.transform(F.array(value), use)[0]
 
 
 def folded(word: Column, vocabulary: Vocabulary) -> Column:
     """Ids of a word."""
-    return folded_all(F.array(word), vocabulary).getItem(0)
+    return folded_all(F.array(word), vocabulary)[0]
 
 
 def folded_all(words_: Column, vocabulary: Vocabulary) -> Column:
@@ -126,23 +126,23 @@ def _folded(word: Column, vocabulary: Vocabulary, ranks: Column, bytes_: Column,
 
     def rank(a: Column, b: Column) -> Column:
         key = a * F.lit(wide).cast("bigint") + b
-        return F.coalesce(ranks.getItem((key % BUCKETS).cast("int")).getItem(key), none)
+        return F.coalesce(ranks[(key % BUCKETS).cast("int")][key], none)
 
     n = F.octet_length(word)
 
     def of_bytes(latin: Column) -> Column:
-        return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: bytes_.getItem(F.ascii(F.substring(latin, i, F.lit(1))))), F.array(none))
+        return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: bytes_[F.ascii(F.substring(latin, i, F.lit(1)))]), F.array(none))
 
     def start(ids: Column) -> Column:
         """Piece, rank, piece, ..., between marks, so that every pair has neighbours."""
-        paired = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(ids.getItem(i), rank(ids.getItem(i), ids.getItem(i + 1))))
+        paired = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(ids[i], rank(ids[i], ids[i + 1])))
         return F.concat(F.array(none, none), F.flatten(paired), F.array(none))
 
     def step(a: Column, _: Column) -> Column:
         def merge(i: Column) -> Column:
             """i: place of the least rank, from 1."""
-            new = a.getItem(i - 1) + NONE
-            beside = F.array(rank(a.getItem(i - 4), new), new, rank(new, a.getItem(i + 2)))
+            new = a[i - 1] + NONE
+            beside = F.array(rank(a[i - 4], new), new, rank(new, a[i + 2]))
             return F.flatten(F.array(F.slice(a, F.lit(1), i - 3), beside, F.slice(a, i + 3, rest)))
 
         return F.when(F.array_min(a) >= 0, a).otherwise(_bound(F.array_position(a, F.array_min(a)).cast("int"), merge))
@@ -152,8 +152,8 @@ def _folded(word: Column, vocabulary: Vocabulary, ranks: Column, bytes_: Column,
     whole = F.lit(None).cast("int")
     if vocabulary.unmerged:
         known = F.from_json(F.lit(json.dumps({t.hex().upper(): r for t, r in vocabulary.unmerged.items()})), "map<string,int>")
-        whole = known.getItem(F.hex(word.cast("binary")))
-    return F.when(n < 1, F.array().cast("array<int>")).when(n == 1, F.transform(F.array(word), lambda w: bytes_.getItem(F.ascii(w)).cast("int"))).when(whole.isNotNull(), F.array(whole)).otherwise(ids)
+        whole = known[F.hex(word.cast("binary"))]
+    return F.when(n < 1, F.array().cast("array<int>")).when(n == 1, F.transform(F.array(word), lambda w: bytes_[F.ascii(w)].cast("int"))).when(whole.isNotNull(), F.array(whole)).otherwise(ids)
 
 
 def words(text: Column, vocabulary: Vocabulary) -> Column:
@@ -173,7 +173,8 @@ class Lexicon:
 
     def __init__(self, table: pa.Table):
         blob, offsets = _text.text_bytes(table.column("word"))
-        hashes = _text.span_hashes(blob, offsets[:-1], offsets[1:])
+        parts = [_text.span_hashes(data, at[:-1], at[1:]) for _, _, data, at in _text.chunks(table.column("word"))]
+        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         order = order[np.concatenate(([True], np.diff(hashes[order]) != 0))] if len(order) else order  # a word whose hash another has is left out
         ids = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
