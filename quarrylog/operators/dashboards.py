@@ -43,9 +43,10 @@ class Top(NamedTuple):
 class Dashboard:
     """What a table's dashboard shows: `scalars` is one row, `lists` are tables by name."""
 
-    def __init__(self, df: DataFrame, scalars: list[Column], lists: dict[str, Top | DataFrame]):
-        self.df, self.specs = df, lists
-        self.scalars = df.agg(*scalars)
+    def __init__(self, df: DataFrame, distinct: dict[str, str], counts: dict[str, Column], lists: dict[str, Top | DataFrame], scalars: list[Column] | None = None):
+        """distinct and counts: the columns whose values and the conditions whose rows are counted, by result name; scalars in their place."""
+        self.df, self.distinct, self.counts, self.specs = df, distinct, counts, lists
+        self.scalars = df.agg(*(overview(df, distinct) + _counts(counts) if scalars is None else scalars))
 
     @property
     def lists(self) -> dict[str, DataFrame]:
@@ -56,10 +57,14 @@ class Dashboard:
         tops = [(name, spec) for name, spec in self.specs.items() if isinstance(spec, Top)]
         if not tops:
             return None
-        kinds = {c: self.df.schema[c].dataType for _, (c, *_) in tops}
         seen = [F.struct(F.lit(i).alias("list"), F.col(t.key).cast("string").alias("val")) for i, (_, t) in enumerate(tops)]
         seen = F.array(*(x if t.where is None else F.when(t.where, x) for x, (_, t) in zip(seen, tops, strict=True)))
-        counted = self.df.select(F.explode(F.array_compact(seen)).alias("p")).select("p.*").groupBy("list", "val").agg(F.count("*").alias("cnt"))
+        return self.ranked(self.df.select(F.explode(F.array_compact(seen)).alias("p")).select("p.*").groupBy("list", "val").agg(F.count("*").alias("cnt")))
+
+    def ranked(self, counted: DataFrame) -> DataFrame:
+        """One row with all top lists, from (list, val, cnt) by the lists' numbers."""
+        tops = [(name, spec) for name, spec in self.specs.items() if isinstance(spec, Top)]
+        kinds = {c: self.df.schema[c].dataType for _, (c, *_) in tops}
         place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("cnt"), F.asc_nulls_first("val")))
         most = max((t.n for _, t in tops if t.n), default=1)
         whole = [i for i, (_, t) in enumerate(tops) if not t.n]  # lists of all values are few: kinds of rows
@@ -79,13 +84,18 @@ class Dashboard:
         out = out if tops is None else out.join(tops)  # one row each
         for name, table in self.specs.items():
             if isinstance(table, DataFrame):
-                first = next(c for c in table.columns if c != "cnt")
-                order = lambda a, b: F.when(a["cnt"] > b["cnt"], -1).when(a["cnt"] < b["cnt"], 1).when(a[first] < b[first], -1).when(a[first] > b[first], 1).otherwise(0)  # noqa: B023, E731
-                out = out.join(table.agg(F.array_sort(F.collect_list(F.struct(*table.columns)), order).alias(name)))
+                out = out.join(in_order(table, name))
         names = [*self.scalars.columns, *self.specs]
         return out.select(F.to_json(F.struct(*names)).alias("payload"))
 
 
+def in_order(table: DataFrame, name: str) -> DataFrame:
+    """One row with a table's rows as an array, those with most first, ties by the other columns."""
+    keys = F.struct(-F.col("cnt"), *(c for c in table.columns if c != "cnt"))
+    held = F.array_sort(F.collect_list(F.struct(keys.alias("key"), F.struct(*table.columns).alias("row"))))
+    return table.agg(F.transform(held, lambda x: x["row"]).alias(name))
+
+
 def audit(df: DataFrame) -> Dashboard:
     kind, addr = F.col("type"), F.col("addr")
     of = {"auth": "USER_AUTH", "login": "USER_LOGIN", "err": "USER_ERR", "start": "USER_START", "end": "USER_END", "execve": "EXECVE", "user_cmd": "USER_CMD", "avc_count": "AVC"}
@@ -93,7 +103,7 @@ def audit(df: DataFrame) -> Dashboard:
     named = kind != ""
     peers = ~addr.isin("", "?") & ~addr.contains(":") & (addr != "0.0.0.0")
     return Dashboard(
-        df, overview(df, {"type_count": "type"}) + _counts(counts),
+        df, {"type_count": "type"}, counts,
         {
             "type_dist": Top("type", 20, named), "top_ips": Top("addr", 5, peers & kind.isin("USER_AUTH", "USER_LOGIN", "USER_ERR", "USER_START")),
             "top_accts": Top("acct", 5, (F.col("acct") != "") & kind.isin("USER_AUTH", "USER_LOGIN", "USER_ERR")), "top_exe": Top("exe", 5, ~F.col("exe").isin("", "?") & (kind == "SYSCALL")),
@@ -107,16 +117,20 @@ ACCEPTED = ("sshd_accepted_password", "sshd_accepted_publickey")
 ATTACKS = ("sshd_failed_password", "sshd_invalid_user", "sshd_max_auth")
 
 
-def auth_counts() -> list[Column]:
+def auth_conditions() -> dict[str, Column]:
     kind = F.col("event_type")
     of = ("accepted_password", "accepted_publickey", "failed_password", "invalid_user", "max_auth", "session_opened")
-    return _counts({n: kind == f"sshd_{n}" for n in of} | {"sudo_count": kind == "sudo_command", "su_count": kind.isin("su_to", "su_session_opened")})
+    return {n: kind == f"sshd_{n}" for n in of} | {"sudo_count": kind == "sudo_command", "su_count": kind.isin("su_to", "su_session_opened")}
+
+
+def auth_counts() -> list[Column]:
+    return _counts(auth_conditions())
 
 
 def authlog(df: DataFrame) -> Dashboard:
     kind, ip, user = F.col("event_type"), F.col("src_ip") != "", F.col("user") != ""
     return Dashboard(
-        df, overview(df, {"type_count": "event_type"}) + auth_counts(),
+        df, {"type_count": "event_type"}, auth_conditions(),
         {
             "event_dist": Top("event_type", 20, kind != "", "type"), "top_attack_ips": Top("src_ip", 5, ip & kind.isin(*ATTACKS)), "top_success_ips": Top("src_ip", 5, ip & kind.isin(*ACCEPTED)),
             "top_users": Top("user", 5, user & kind.isin(*ACCEPTED)), "top_fail_users": Top("user", 5, user & kind.isin(*ATTACKS[:2])),
@@ -129,28 +143,36 @@ def authlog(df: DataFrame) -> Dashboard:
 KEYWORDS = {"err_count": "error", "warn_count": "warn", "fail_count": "fail", "crit_count": "critical", "killed_count": "killed", "panic_count": "panic"}
 
 
+def keyword_conditions(message: Column) -> dict[str, Column]:
+    return {n: like(message, word) for n, word in KEYWORDS.items()}
+
+
 def keyword_counts(message: Column) -> list[Column]:
-    return _counts({n: like(message, word) for n, word in KEYWORDS.items()})
+    return _counts(keyword_conditions(message))
 
 
 def syslog(df: DataFrame) -> Dashboard:
     service, message = F.col("service"), F.col("message")
     families = {"kernel_count": service == "kernel", "systemd_count": F.lower(service).startswith("systemd"), "sshd_count": service == "sshd", "sudo_count": service == "sudo", "cron_count": service.isin("cron", "CRON", "crond", "anacron"), "nm_count": service == "NetworkManager"}
     return Dashboard(
-        df, overview(df, {"svc_count": "service"}) + keyword_counts(message) + _counts(families),
+        df, {"svc_count": "service"}, keyword_conditions(message) | families,
         {"top_services": Top("service", 15, service != ""), "top_err_services": Top("service", 6, like(message, "error") & (service != "")), "all_types": Top("service", None, service != "", "type")},
     )
 
 
-def status_classes() -> list[Column]:
+def status_conditions() -> dict[str, Column]:
     s = F.col("status")
-    return _counts({f"s{k}xx": (s >= 100 * k) & (s < 100 * (k + 1)) for k in (2, 3, 4, 5)})
+    return {f"s{k}xx": (s >= 100 * k) & (s < 100 * (k + 1)) for k in (2, 3, 4, 5)}
+
+
+def status_classes() -> list[Column]:
+    return _counts(status_conditions())
 
 
 def apache2(df: DataFrame) -> Dashboard:
     status, ip = F.col("status"), F.col("src_ip") != ""
     return Dashboard(
-        df, overview(df, {"ip_count": "src_ip", "uri_count": "uri"}) + status_classes(),
+        df, {"ip_count": "src_ip", "uri_count": "uri"}, status_conditions(),
         {
             "status_dist": Top("status", 20), "method_dist_200": Top("method", None, (status == 200) & (F.col("method") != "")), "top_uri_200": Top("uri", 10, status == 200),
             "top_ips": Top("src_ip", 5, ip), "top_err_ips": Top("src_ip", 5, (status >= 400) & ip), "vhosts": Top("vhost", 10, F.col("vhost") != ""),
@@ -184,7 +206,11 @@ def breakdown(df: DataFrame, columns: list[str] | None = None, rows: int = BREAK
     """
     columns = key_columns(df.columns) if columns is None else columns
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("val")) for c in columns))
-    counted = df.select(F.explode(pairs).alias("p")).select("p.*").filter("val <> ''").groupBy("column_name", "val").agg(F.count("*").alias("cnt"))
+    return most_frequent(df.select(F.explode(pairs).alias("p")).select("p.*").filter("val <> ''").groupBy("column_name", "val").agg(F.count("*").alias("cnt")), rows)
+
+
+def most_frequent(counted: DataFrame, rows: int = BREAKDOWN_ROWS) -> DataFrame:
+    """Of (column_name, val, cnt) the most frequent values of each column."""
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("cnt"), "val"))
     return counted.withColumn("place", place).filter(F.col("place") <= rows).drop("place")
 
@@ -194,7 +220,7 @@ def generic(df: DataFrame, scan_limit: int | None = None) -> Dashboard:
     limited = scan_limit is not None and not within(df, scan_limit)
     time = None if limited else time_column(df)
     ends = [F.min(time).alias("first_dt"), F.max(time).alias("last_dt")] if time else [F.lit(None).cast("string").alias("first_dt"), F.lit(None).cast("string").alias("last_dt")]
-    return Dashboard(df, [*ends, F.lit(limited).alias("scan_limited")], {"breakdowns": breakdown(df)} if key_columns(df.columns) and not limited else {})
+    return Dashboard(df, {}, {}, {"breakdowns": breakdown(df)} if key_columns(df.columns) and not limited else {}, [*ends, F.lit(limited).alias("scan_limited")])
 
 
 OWN = {"audit": audit, "authlog": authlog, "syslog": syslog, "apache2": apache2}

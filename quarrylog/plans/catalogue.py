@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.functions import patterns, text, times
-from quarrylog.operators import dashboards, filters, lines, summaries, sysinfo, views, web
+from quarrylog.operators import dashboards, filters, lines, states, summaries, sysinfo, views, web
 from quarrylog.plans import logviews as V
 from quarrylog.plans.logviews import rendered, stamp, table
 from quarrylog.sources import files
@@ -105,6 +105,54 @@ def log_summary(spark, d):
     return summaries.logs({"authlog": V.auth(spark, d)} | V.web_tables(spark, d))
 
 
+# --- figures kept as states of runs ------------------------------------------------------------------------------
+
+
+def _kept(name: str, df: DataFrame) -> DataFrame:
+    """States of a table that came in three runs, merged."""
+    runs = [states.of_rows(name, df.filter(F.col("id") % 3 == k)) for k in range(3)]
+    return states.merged(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+
+
+@query("""
+SELECT 'authlog' AS log, min(date_time) AS first_dt, max(date_time) AS last_dt, count(*) AS total FROM v_auth UNION ALL
+SELECT 'apache2', min(date_time), max(date_time), count(*) FROM v_web UNION ALL SELECT 'apache2_error', min(date_time), max(date_time), count(*) FROM v_weberr""")
+def kept_totals(spark, d):
+    parts = [states.summary(_kept(n, t)).select(F.lit(n).alias("log"), "first_dt", "last_dt", "total") for n, t in ({"authlog": V.auth(spark, d)} | V.web_tables(spark, d)).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT substr(min(date_time), 1, 10) AS first_day, substr(max(date_time), 1, 10) AS last_day FROM v_weberr")
+def kept_date_range(spark, d):
+    return states.date_range(_kept("apache2_error", V.web_errors(spark, d)))
+
+
+@query(ORACLES["auth_overview"].removeprefix(V.SQL_VIEWS).replace(" FROM v_auth", "") + ", " + ORACLES["auth_ssh_stats"].removeprefix(V.SQL_VIEWS).strip().removeprefix("SELECT"))
+def kept_auth_scalars(spark, d):
+    auth = V.auth(spark, d)
+    return states.scalars(dashboards.authlog(auth), _kept("authlog", auth))
+
+
+@query(f"SELECT src_ip, count(*) AS cnt FROM v_auth WHERE src_ip <> '' AND {_ATTACK} GROUP BY ALL ORDER BY cnt DESC, src_ip LIMIT 5")
+def kept_auth_top_attack_ips(spark, d):
+    auth = V.auth(spark, d)
+    return states.lists(dashboards.authlog(auth), _kept("authlog", auth))["top_attack_ips"]
+
+
+@query("""
+SELECT count(*) AS total, min(date_time) AS first_dt, max(date_time) AS last_dt, count(DISTINCT src_ip) AS ip_count, count(DISTINCT uri) AS uri_count,
+       count(*) FILTER (status // 100 = 2) AS s2xx, count(*) FILTER (status // 100 = 3) AS s3xx, count(*) FILTER (status // 100 = 4) AS s4xx, count(*) FILTER (status // 100 = 5) AS s5xx FROM v_web""")
+def kept_web_scalars(spark, d):
+    web_ = V.web(spark, d)
+    return states.scalars(dashboards.apache2(web_), _kept("apache2", web_))
+
+
+@query("SELECT status, count(*) AS cnt FROM v_web GROUP BY ALL")
+def kept_web_status_dist(spark, d):
+    web_ = V.web(spark, d)
+    return states.lists(dashboards.apache2(web_), _kept("apache2", web_))["status_dist"]
+
+
 # --- web dashboards and addresses --------------------------------------------------------------------------------
 
 

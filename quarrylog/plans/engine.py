@@ -7,9 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.operators import dashboards, views, web
+from quarrylog.operators import dashboards, states, views, web
 from quarrylog.plans import registry
-from quarrylog.plans.ingest import INFO, _table_exists, info, stored
+from quarrylog.plans.ingest import INFO, _table_exists, info, kept_states, schema_only, stored
 
 #: Tables that the list of tables doesn't show.
 HIDDEN = ("dashboard",)
@@ -49,18 +49,30 @@ class Engine:
         return {n: self.table(n) for n in self.names() if n in registry.BY_NAME and (only is None or n in only)}
 
     def tables(self) -> DataFrame:
-        """(table_name, total) of the tables shown; Spark counts parquet rows from the files' footers."""
+        """(table_name, total) of the tables shown; log tables by their kept states."""
         out = self.spark.createDataFrame([], "table_name string, total bigint")
         for n in self.names():
             if n not in HIDDEN:
-                out = out.unionByName(self.table(n).agg(F.count("*").alias("total")).select(F.lit(n).alias("table_name"), "total"))
+                counted = states.total(self.states(n)) if n in registry.BY_NAME else self.table(n).agg(F.count("*").alias("total"))
+                out = out.unionByName(counted.select(F.lit(n).alias("table_name"), "total"))
+        return out
+
+    def states(self, name: str) -> DataFrame:
+        """The merged partial aggregates of a log table."""
+        return kept_states(self.spark, self.folder, name)
+
+    def log_summary(self) -> DataFrame:
+        """(log, first_dt, last_dt, total, file_count) of every log table, by its kept states."""
+        out = self.spark.createDataFrame([], "first_dt string, last_dt string, total bigint, file_count bigint, log string")
+        for n in sorted(n for n in self.names() if n in registry.BY_NAME):
+            out = out.unionByName(states.summary(self.states(n)).withColumn("log", F.lit(n)))
         return out
 
     def page(self, name: str, **options) -> views.Page:
         return views.page(self.table(name), **options)
 
     def date_range(self, name: str) -> DataFrame:
-        return views.date_range(self.table(name))
+        return states.date_range(self.states(name)) if name in registry.BY_NAME and name in self.names() else views.date_range(self.table(name))
 
     def sysinfo(self) -> DataFrame:
         return self.table("sysinfo").limit(1)
@@ -71,7 +83,10 @@ class Engine:
             kept = self.table("dashboard").filter(F.col("table_name") == name).select("payload", "computed_at")
             if kept.limit(1).count():
                 return kept
-        fresh = dashboards.of_table(name, self.table(name).drop("event_date")).payload()
+        if name in registry.BY_NAME and name in self.names():
+            fresh = states.payload(dashboards.of_table(name, schema_only(self.spark, name)), self.states(name))
+        else:
+            fresh = dashboards.of_table(name, self.table(name).drop("event_date")).payload()
         return fresh.withColumn("computed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
 
     def web_ips(self) -> DataFrame:

@@ -2,6 +2,9 @@
 
     python -m quarrylog.plans.ingest --target FOLDER --output TABLES [--strict]
 
+Beside its rows a run writes their states (see `operators.states`), so totals, ranges, summaries and dashboards are merged from the
+states of the committed runs and no log rows are read again.
+
 A file is identified by the digest of its bytes: one that `info` already has is left out, of several equal ones the
 first by type precedence and path counts. Between log types whose names a file fits its first lines decide. Each log type's
 files are written in one job below the run's id; `info`, written afterwards, is the commit record: rows of a run and type
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.functions.times import event_date
-from quarrylog.operators import dashboards, lines, sysinfo
+from quarrylog.operators import dashboards, lines, states, sysinfo
 from quarrylog.plans import registry
 from quarrylog.sources import files
 from quarrylog.sources.journal import JournalDataSource
@@ -31,6 +34,9 @@ log = logging.getLogger(__name__)
 
 INFO = "file_name string, file_path string, md5 string, file_size bigint, log_type string, parsed_at string"
 
+#: Folder of the states.
+STATES = "states"
+
 # What differs from the tool whose results these tables match; `strict` gives its own ways where it can.
 DEVIATIONS = {
     "addresses": "login addresses are unsigned, so any IPv4 address is read",
@@ -59,13 +65,38 @@ def info(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.schema(f"{INFO}, run string").parquet(f"{output}/info")
 
 
-def stored(spark: SparkSession, output: str, name: str) -> DataFrame:
-    """A table as committed; its schema is the log type's, so a folder without rows or of older files reads as well."""
+def committed(spark: SparkSession, output: str, name: str) -> list[str]:
+    """The runs of a log type that `info` records."""
+    return [r["run"] for r in info(spark, output).filter(F.col("log_type") == name).select("run").distinct().collect()] if _table_exists(spark, f"{output}/info") else []
+
+
+def rows_of(spark: SparkSession, output: str, name: str, runs: list[str]) -> DataFrame:
+    """The rows of some runs; the schema is the log type's, so a folder without rows or of older files reads as well."""
     table = spark.read.schema(f"{registry.BY_NAME[name].columns}, source_file string, run string, event_date date").parquet(f"{output}/{name}")
-    runs = [r["run"] for r in info(spark, output).filter(F.col("log_type") == name).select("run").distinct().collect()] if _table_exists(spark, f"{output}/info") else []
     return table.filter(F.col("run").isin(runs)).drop("run")  # whole folders
 
 
+def stored(spark: SparkSession, output: str, name: str) -> DataFrame:
+    """A table as committed."""
+    return rows_of(spark, output, name, committed(spark, output, name))
+
+
+def kept_states(spark: SparkSession, output: str, name: str) -> DataFrame:
+    """The merged states of a table's committed runs; those of a run written without any are computed from its rows."""
+    runs = committed(spark, output, name)
+    kept = spark.createDataFrame([], f"{states.STATE}, run string")
+    if _table_exists(spark, f"{output}/{STATES}"):
+        kept = spark.read.schema(f"{states.STATE}, log_type string, run string").parquet(f"{output}/{STATES}").filter((F.col("log_type") == name) & F.col("run").isin(runs)).drop("log_type")
+    without = sorted(set(runs) - {r["run"] for r in kept.filter("kind = 'total'").select("run").distinct().collect()})
+    kept = kept.drop("run")
+    return states.merged(kept.unionByName(states.of_rows(name, rows_of(spark, output, name, without).drop("event_date"))) if without else kept)
+
+
+def schema_only(spark: SparkSession, name: str) -> DataFrame:
+    """A log type's table without rows."""
+    return spark.createDataFrame([], f"{registry.BY_NAME[name].columns}, source_file string")
+
+
 def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFrame:
     """One row a file: with several types left, the first whose parser takes one of the file's first ten lines."""
     if strict:
@@ -105,6 +136,13 @@ def parsed(spark: SparkSession, kind: registry.LogType, own: list, strict: bool
     return kind.parse(lines.with_format(rows, len(own)) if kind.kind == "detected" else rows.withColumn("format", F.lit(None).cast("string")))
 
 
+def record(spark: SparkSession, output: str, name: str, own: list, run: str) -> None:
+    """Commits a run's rows of a log type by naming the files they are from."""
+    rows = [(Path(r["path"]).name, r["path"], r["md5"], r["size"], name) for r in own]
+    done = spark.createDataFrame(rows, INFO.rsplit(",", 1)[0]).withColumns({"parsed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "run": F.lit(run)})
+    done.coalesce(1).write.mode("append").partitionBy("run").parquet(f"{output}/info")
+
+
 def ingest(spark: SparkSession, target: str, output: str, strict: bool = False) -> Result:
     spark.dataSource.register(UtmpDataSource)
     spark.dataSource.register(JournalDataSource)
@@ -124,9 +162,9 @@ def ingest(spark: SparkSession, target: str, output: str, strict: bool = False)
             table = parsed(spark, kind, own, strict)
             time = next(c for c in ("date_time", "timestamp") if c in table.columns)
             table.withColumns({"run": F.lit(run), "event_date": event_date(F.col(time))}).write.mode("append").partitionBy("run", "event_date").parquet(f"{output}/{kind.name}")
-            rows = [(Path(r["path"]).name, r["path"], r["md5"], r["size"], kind.name) for r in own]
-            done = spark.createDataFrame(rows, INFO.rsplit(",", 1)[0]).withColumns({"parsed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "run": F.lit(run)})
-            done.coalesce(1).write.mode("append").partitionBy("run").parquet(info_path)
+            mine = states.of_rows(kind.name, rows_of(spark, output, kind.name, [run]).drop("event_date"))
+            mine.withColumns({"log_type": F.lit(kind.name), "run": F.lit(run)}).coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{STATES}")
+            record(spark, output, kind.name, own, run)
             result.written[kind.name] = len(own)
         except Exception as error:  # noqa: BLE001 - what one type's files hold doesn't stop the others
             log.warning("%s was not read: %s", kind.name, error)
@@ -139,13 +177,11 @@ def ingest(spark: SparkSession, target: str, output: str, strict: bool = False)
 
 
 def precompute(spark: SparkSession, output: str, names: list[str]) -> None:
-    """Writes the dashboards of the tables as one document each, replacing those of the same table."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Writes the dashboards of the tables as one document each, replacing those of the same table; no log rows are read."""
     for name in names:
-        table = stored(spark, output, name).drop("event_date")
-        document = dashboards.of_table(name, table).payload()
+        document = states.payload(dashboards.of_table(name, schema_only(spark, name)), kept_states(spark, output, name))
         stamped = document.withColumns({"table_name": F.lit(name), "computed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")})
-        stamped.coalesce(1).write.mode("overwrite").partitionBy("table_name").parquet(f"{output}/dashboard")
+        stamped.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_name").parquet(f"{output}/dashboard")
 
 
 def main(argv: list[str] | None = None) -> int:
