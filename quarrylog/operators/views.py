@@ -58,20 +58,33 @@ def date_range(df: DataFrame) -> DataFrame:
     return stamped.agg(F.substring(F.min(name), 1, 10).alias("first_day"), F.substring(F.max(name), 1, 10).alias("last_day"))
 
 
+def _least(rows: DataFrame, n: int) -> DataFrame:
+    """(total, rows): the number of rows and the n least of their column `row`, in one pass; a task keeps n of its rows."""
+    from heapq import nsmallest
+
+    import pandas as pd
+
+    def held(batches):  # noqa: ANN001, ANN202
+        total, least = 0, []
+        for batch in batches:
+            total += len(batch)
+            least = nsmallest(n, [*least, *batch["row"]], key=lambda r: r.encode())
+        yield pd.DataFrame({"total": [total], "rows": [least]})
+
+    of_tasks = rows.mapInPandas(held, "total bigint, rows array<string>")
+    return of_tasks.agg(F.sum("total").alias("total"), F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, n).alias("rows"))
+
+
 def global_search(tables: dict[str, DataFrame], query: str, rows: int = SEARCH_ROWS) -> DataFrame:
     """(table_name, total, place, row): of each table with a match its number of matches and its first rows as JSON.
 
-    Nothing for a query without terms, or without tables.
+    One scan a table. Nothing for a query without terms, or without tables.
     """
     parts = [SparkSession.active().createDataFrame([], "table_name string, total bigint, place int, row string")]
     for name, df in sorted(tables.items()):
         condition = filters.on_any([F.col(c) for c in df.columns], query)
         if condition is None:
             continue
-        found = df.filter(condition).select(F.to_json(F.struct(*df.columns)).alias("row"))
-        # One pass: the least rows of every partition and the counts, merged; no global sort.
-        counted = found.agg(F.count("*").alias("total"))
-        first = found.orderBy("row").limit(rows).agg(F.collect_list("row").alias("rows"))
-        both = counted.join(first).filter("total > 0").select(F.lit(name).alias("table_name"), "total", F.posexplode("rows").alias("place", "row"))
-        parts.append(both)
+        found = _least(df.filter(condition).select(F.to_json(F.struct(*df.columns)).alias("row")), rows)
+        parts.append(found.filter("total > 0").select(F.lit(name).alias("table_name"), "total", F.posexplode("rows").alias("place", "row")))
     return reduce(DataFrame.unionByName, parts)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.functions import patterns, text, times
-from quarrylog.operators import dashboards, filters, lines, states, summaries, sysinfo, views, web
+from quarrylog.operators import cursors, dashboards, filters, lines, skipindex, states, summaries, sysinfo, views, web
 from quarrylog.plans import logviews as V
 from quarrylog.plans.logviews import rendered, stamp, table
 from quarrylog.sources import files
@@ -244,6 +244,21 @@ def page_sorted(spark, d):
     return views.page(V.auth(spark, d), number=2, size=50, sort="user", descending=True).rows
 
 
+@query('SELECT * FROM v_auth ORDER BY "user" DESC, date_time, id LIMIT 50 OFFSET 5000')
+def page_cursor(spark, d):
+    auth = V.auth(spark, d)
+    order = cursors.order_of(auth, "user", descending=True, ties=("date_time", "id"))
+    return cursors.page_at(auth, order, cursors.anchors(auth, order, every=1000), 100, 50)
+
+
+@query("SELECT * FROM v_web WHERE method = 'PUT' ORDER BY status NULLS FIRST, date_time, id LIMIT 30 OFFSET 30")
+def page_behind_cursor(spark, d):
+    web_ = V.web(spark, d).filter("method = 'PUT'")
+    order = cursors.order_of(web_, "status", ties=("date_time", "id"))
+    first = cursors.page_from(web_, order, size=30).collect()
+    return cursors.page_from(web_, order, cursors.cursor_behind(order, first), 30)
+
+
 @query("SELECT * FROM v_web WHERE status = 200 AND method IN ('PUT', 'POST') ORDER BY date_time, id LIMIT 100")
 def page_status_method(spark, d):
     return views.page(V.web(spark, d), status=200, methods=["PUT", "POST"]).rows
@@ -285,6 +300,15 @@ def global_search(spark, d):
     return views.global_search({"authlog": V.auth(spark, d), "apache2": V.web(spark, d).select("id", "src_ip", "uri")}, "999")
 
 
+@query("SELECT event_id, event_type, props FROM events WHERE (lower(event_type) LIKE '%chas%' OR lower(props) LIKE '%chas%') AND (event_type LIKE '%\"k\": 1%' OR props LIKE '%\"k\": 1%')", views_=False)
+def search_indexed(spark, d):
+    raw, columns = "CHAS '\"k\": 1'", ["event_type", "props"]
+    index = skipindex.of_files(table(spark, d, "events").select(*columns))
+    files_ = [r["file"] for r in skipindex.may_match(index, raw).collect()]
+    events = spark.read.parquet(*files_) if files_ else table(spark, d, "events").limit(0)
+    return events.filter(filters.on_any([F.col(c) for c in columns], raw)).select("event_id", *columns)
+
+
 # --- other dashboards --------------------------------------------------------------------------------------------
 
 

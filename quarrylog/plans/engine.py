@@ -7,9 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.operators import dashboards, states, views, web
+from quarrylog.operators import cursors, dashboards, filters, states, views, web
 from quarrylog.plans import registry
-from quarrylog.plans.ingest import INFO, _table_exists, info, kept_states, schema_only, stored
+from quarrylog.plans.ingest import INFO, _table_exists, committed, info, kept_states, schema_only, searched, stored
 
 #: Tables that the list of tables doesn't show.
 HIDDEN = ("dashboard",)
@@ -28,6 +28,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._anchors: dict[tuple, list] = {}
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -71,6 +72,22 @@ class Engine:
     def page(self, name: str, **options) -> views.Page:
         return views.page(self.table(name), **options)
 
+    def page_at(self, name: str, number: int, size: int = views.PAGE_ROWS, sort: str | None = None, descending: bool = False, **options) -> DataFrame:
+        """A page by its number, by anchors made once for the table's runs, order and filters; `page` gives the same rows by offset."""
+        table = filters.filtered(self.table(name), **options)
+        order = cursors.order_of(table, sort, descending)
+        kind = (name, order, repr(sorted(options.items())), tuple(sorted(committed(self.spark, self.folder, name))))
+        if kind not in self._anchors:
+            self._anchors[kind] = cursors.anchors(table, order).collect()  # one row for some thousands
+        return cursors.page_at(table, order, self._anchors[kind], number, size)
+
+    def page_behind(self, name: str, cursor: cursors.Cursor | None = None, size: int = views.PAGE_ROWS, sort: str | None = None, descending: bool = False, **options) -> tuple[list, cursors.Cursor | None]:
+        """(rows, cursor of the next page) of the page behind a cursor."""
+        table = filters.filtered(self.table(name), **options)
+        order = cursors.order_of(table, sort, descending)
+        rows = cursors.page_from(table, order, cursor, size).collect()
+        return rows, cursors.cursor_behind(order, rows, cursor)
+
     def date_range(self, name: str) -> DataFrame:
         return states.date_range(self.states(name)) if name in registry.BY_NAME and name in self.names() else views.date_range(self.table(name))
 
@@ -97,7 +114,8 @@ class Engine:
         return web.records_page(self.logs(list(web.ADDRESS_COLUMNS)), value, prefix, **options)
 
     def search(self, query: str) -> DataFrame:
-        return views.global_search({n: self.table(n) for n in self.names()}, query)
+        """Matches of a search in all tables; of log tables only the files that may have one are read."""
+        return views.global_search({n: searched(self.spark, self.folder, n, query) if n in registry.BY_NAME else self.table(n) for n in self.names()}, query)
 
     def register_views(self) -> None:
         for name in self.names():

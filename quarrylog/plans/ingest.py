@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.functions.times import event_date
-from quarrylog.operators import dashboards, lines, states, sysinfo
+from quarrylog.operators import dashboards, lines, skipindex, states, sysinfo
 from quarrylog.plans import registry
 from quarrylog.sources import files
 from quarrylog.sources.journal import JournalDataSource
@@ -34,8 +34,8 @@ log = logging.getLogger(__name__)
 
 INFO = "file_name string, file_path string, md5 string, file_size bigint, log_type string, parsed_at string"
 
-#: Folder of the states.
-STATES = "states"
+#: Folders of the states and of the skip index.
+STATES, SEARCHED = "states", "searched"
 
 # What differs from the tool whose results these tables match; `strict` gives its own ways where it can.
 DEVIATIONS = {
@@ -81,6 +81,22 @@ def stored(spark: SparkSession, output: str, name: str) -> DataFrame:
     return rows_of(spark, output, name, committed(spark, output, name))
 
 
+def searched(spark: SparkSession, output: str, name: str, raw: str | None) -> DataFrame:
+    """A table as committed, without the files that the skip index knows to have no match of a search."""
+    runs, path = committed(spark, output, name), f"{output}/{name}"
+    whole = stored(spark, output, name)
+    if not skipindex.needed(raw) or not _table_exists(spark, f"{output}/{SEARCHED}"):
+        return whole
+    index = spark.read.schema(f"{skipindex.INDEX}, log_type string, run string").parquet(f"{output}/{SEARCHED}").filter((F.col("log_type") == name) & F.col("run").isin(runs))
+    without = sorted(set(runs) - {r["run"] for r in index.select("run").distinct().collect()})
+    files_ = [r["file"] for r in skipindex.may_match(index, raw).collect()]  # names of files, no contents
+    parts = [rows_of(spark, output, name, without)] if without else []
+    if files_:
+        schema = f"{registry.BY_NAME[name].columns}, source_file string, run string, event_date date"
+        parts.append(spark.read.schema(schema).option("basePath", path).parquet(*files_).drop("run"))
+    return (parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]) if parts else whole.limit(0)
+
+
 def kept_states(spark: SparkSession, output: str, name: str) -> DataFrame:
     """The merged states of a table's committed runs; those of a run written without any are computed from its rows."""
     runs = committed(spark, output, name)
@@ -164,6 +180,8 @@ def ingest(spark: SparkSession, target: str, output: str, strict: bool = False)
             table.withColumns({"run": F.lit(run), "event_date": event_date(F.col(time))}).write.mode("append").partitionBy("run", "event_date").parquet(f"{output}/{kind.name}")
             mine = states.of_rows(kind.name, rows_of(spark, output, kind.name, [run]).drop("event_date"))
             mine.withColumns({"log_type": F.lit(kind.name), "run": F.lit(run)}).coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{STATES}")
+            index = skipindex.of_files(rows_of(spark, output, kind.name, [run])).withColumns({"log_type": F.lit(kind.name), "run": F.lit(run)})
+            index.coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{SEARCHED}")
             record(spark, output, kind.name, own, run)
             result.written[kind.name] = len(own)
         except Exception as error:  # noqa: BLE001 - what one type's files hold doesn't stop the others
