@@ -38,9 +38,11 @@ SURGE = 86
 SHARE, MARKED = 0.5, 2.0
 
 # Elements of HTML by how they are treated.
+#: Of RAW, those that run to the page's end where their end tag is missing; others end at the next block.
+TO_THE_END = frozenset("script style textarea".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("br td th wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title head select button noframes noembed".split())
+RAW = frozenset("script style noscript template iframe object svg canvas textarea title head select button noframes noembed".split())
 DROPPED = frozenset("nav header footer aside form menu dialog search fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
@@ -62,6 +64,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[_-]+")
 
+_BLOCK_START = re.compile(rf"<(?:{'|'.join(sorted(BLOCKS | {'body'}))})(?=[\s/>])", re.I)
+
 PLAIN, HALF, NONE = 0, 1, 2
 
 
@@ -89,7 +93,7 @@ class Line(NamedTuple):
     all_links: bool
     hidden: bool  # in an element that its tag or role makes boilerplate
     named: bool  # in one that is wholly named as such
-    half: tuple[int, ...]  # numbers of the elements around it that are partly named so
+    half: bool  # in one that is partly named so
     region: int  # number of the innermost article or main, 0 for none
     in_article: bool
     place: tuple[int, str]  # number of the parent block, name of its own
@@ -104,7 +108,44 @@ class Open(NamedTuple):
     region: int
 
 
-def lines_of(page: str) -> list[Line]:
+class Ends:
+    """Where elements end; a name whose end tag isn't found is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def tag(self, name: str, at: int) -> re.Match | None:
+        found = None if name in self.gone else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, at)
+        if found is None:
+            self.gone.add(name)
+        return found
+
+    def of_raw(self, name: str, at: int) -> int:
+        """The end of a raw element's content; inner ones of its name are part of it."""
+        first = self.tag(name, at)
+        if first is None:
+            if name == "head":
+                return at
+            block = None if name in TO_THE_END else _BLOCK_START.search(self.page, at)
+            return block.start() if block else len(self.page)
+        if name not in TO_THE_END and name not in ("title", "head"):
+            depth = 1
+            for tag in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(self.page, at):
+                depth += -1 if tag[1] else 0 if tag[0].endswith("/>") else 1
+                if not depth:
+                    return tag.end()
+        return first.end()
+
+
+def lines_of(page: str, half_spans: list[tuple[int, int]] | None = None) -> list[Line]:
+    """The lines of a page; half_spans takes the first and end line of every element that is partly named as boilerplate.
+
+    A form that holds over half of the text is the page's wrapper; any other is boilerplate.
+    """
+    ends = Ends(page)
+    half_spans = [] if half_spans is None else half_spans
+    forms: list[tuple[int, int]] = []
+    begun: list[int] = []  # lines before each open element
     names: list[Open] = []  # open elements
     blocks: list[tuple[int, str]] = [(0, "")]  # open block elements: number, name
     count = 0
@@ -113,7 +154,7 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     at, size = 0, len(page)
     hidden = named = links = 0
-    half: list[int] = []
+    half = 0
     regions: list[tuple[int, str]] = []
 
     def flush() -> None:
@@ -122,22 +163,25 @@ def lines_of(page: str) -> list[Line]:
         if text:
             place = (blocks[-2][0] if len(blocks) > 1 else -1, blocks[-1][1])
             all_links = linked >= sum(len(p) for p in parts if p.strip())
-            lines.append(Line(text, all_links, hidden > 0, named > 0, tuple(half), regions[-1][0] if regions else 0, any(n == "article" for _, n in regions), place, blocks[-3][0] if len(blocks) > 2 else -1))
+            lines.append(Line(text, all_links, hidden > 0, named > 0, half > 0, regions[-1][0] if regions else 0, any(n == "article" for _, n in regions), place, blocks[-3][0] if len(blocks) > 2 else -1))
         parts, linked = [], 0
 
     def close(index: int) -> None:
-        nonlocal hidden, named, links
-        for element in reversed(names[index:]):
+        nonlocal hidden, named, links, half
+        for element, start in zip(reversed(names[index:]), reversed(begun[index:]), strict=True):
             hidden -= element.hidden
             named -= element.named
             links -= element.name == "a"
             if element.half:
-                half.remove(element.half)
+                half -= 1
+                half_spans.append((start, len(lines)))
+            if element.name == "form":
+                forms.append((start, len(lines)))
             if element.region:
                 regions.remove((element.region, element.name))
             if element.name in BLOCKS:
                 blocks.pop()
-        del names[index:]
+        del names[index:], begun[index:]
 
     while at < size:
         token = _TOKEN.search(page, at)
@@ -153,8 +197,7 @@ def lines_of(page: str) -> list[Line]:
         closing, attributes = token[1] or token[4], token[3] or token[6] or ""
         if name in RAW:
             if not closing:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                at = ends.of_raw(name, at)
             continue
         if name in SPACED:
             parts.append(" ")
@@ -171,6 +214,8 @@ def lines_of(page: str) -> list[Line]:
                     break
             continue
         by_tag, by_name = _kind(name, attributes, bool(regions))
+        if by_tag and (name == "form" or ends.tag(name, at) is None):  # forms are judged at the end; what is left open isn't boilerplate
+            by_tag = PLAIN
         if block or by_tag or by_name:
             flush()
         if name in VOID or attributes.endswith("/"):
@@ -190,20 +235,27 @@ def lines_of(page: str) -> list[Line]:
         count += 1
         element = Open(name, by_tag == NONE, by_name == NONE, count if by_name == HALF else 0, count if name in ("article", "main") and not by_tag else 0)
         names.append(element)
+        begun.append(len(lines))
         if block:
             blocks.append((count, name))
         hidden += element.hidden
         named += element.named
         links += name == "a"
-        if element.half:
-            half.append(element.half)
+        half += element.half > 0
         if element.region:
             regions.append((element.region, name))
     if at < size:
         parts.append(page[at:])
         linked += size - at if links else 0
     flush()
-    return lines
+    close(0)
+    plain = np.cumsum([0, *(0 if line.all_links else len(line.text) for line in lines)])
+    inside = np.zeros(len(lines) + 1, int)
+    for a, b in forms:
+        if 2 * (plain[b] - plain[a]) <= plain[-1]:
+            inside[a] += 1
+            inside[b] -= 1
+    return [line._replace(hidden=True) if n else line for line, n in zip(lines, np.cumsum(inside), strict=False)]
 
 
 def runs(lengths: list[float], regions: list[int] | None = None, window: int = WINDOW) -> list[tuple[int, int, float]]:
@@ -240,12 +292,40 @@ def _highest(found: list[tuple[int, int, float]]) -> tuple[int, int, float]:
     return max(found, key=lambda r: (r[2], -r[0]))
 
 
-def weights(lines: list[Line], heed_names: bool = True) -> list[float]:
+class Surges:
+    """Whether a range of lines lies in the main region, and whether a window of it reaches SURGE; both from tables made once."""
+
+    def __init__(self, lengths: list[float], foreign: list[bool]):
+        self.lengths, self.foreign = lengths, np.cumsum([0, *foreign])
+        self.next = [len(lengths)] * (len(lengths) + 1)
+        for i in range(len(lengths) - 1, -1, -1):
+            self.next[i] = i if self._sum(i, len(lengths)) >= SURGE else self.next[i + 1]
+
+    def _sum(self, i: int, end: int) -> float:
+        """The window from a line on, up to a line of no length."""
+        total = 0.0
+        for n in self.lengths[i : min(i + WINDOW, end)]:
+            if not n:
+                break
+            total += n
+        return total
+
+    def one_region(self, a: int, b: int) -> bool:
+        return self.foreign[a] == self.foreign[b]
+
+    def within(self, a: int, b: int) -> bool:
+        return self.next[a] <= b - WINDOW or any(self._sum(i, b) >= SURGE for i in range(max(a, b - WINDOW + 1), b))
+
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p")
+
+
+def weights(lines: list[Line], heed_names: bool = True, heed_tags: bool = True) -> list[float]:
     """The length that each line counts with."""
     out = []
     for line in lines:
         own = line.region > 0
-        if line.hidden or (heed_names and line.named) or (line.all_links and not own):
+        if (heed_tags and line.hidden) or (heed_names and line.named) or (line.all_links and not own):
             out.append(0.0)
         else:
             out.append(len(line.text) * (MARKED if own else 1.0) * (0.5 if line.half and heed_names else 1.0))
@@ -253,30 +333,33 @@ def weights(lines: list[Line], heed_names: bool = True) -> list[float]:
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page) if page else []
+    spans: list[tuple[int, int]] = []
+    lines = lines_of(page, spans) if page else []
     if not lines:
         return ""
     # A main around articles is their page; lines of it outside them are in no region of their own.
     articles = {line.region for line in lines if line.in_article and not line.hidden}
     regions = [line.region if line.in_article or not articles else 0 for line in lines]
     lines = [line._replace(region=region) for line, region in zip(lines, regions, strict=True)]
-    lengths = weights(lines)
-    if not any(lengths):
-        lengths = weights(lines, heed_names=False)
-    found = runs(lengths, regions)
+    lengths = next((w for heed in ({}, {"heed_names": False}, {"heed_names": False, "heed_tags": False}) if any(w := weights(lines, **heed))), [])
+    found = runs(lengths, regions) if lengths else []
     if not found:
-        return ""
+        return "\n".join(line.text for line in lines if not line.hidden and not line.named and line.place[1] in HEADINGS)
     # Elements partly named as boilerplate: those around the highest run, and those in its region with enough text, are text.
     a, b, _ = _highest(found)
     main = regions[a]
     window = _window_of(lengths, a, b)
-    held = {e: sum(lengths[i] for i in window if e in lines[i].half) for i in window for e in lines[i].half}
-    kept = {e for e, n in held.items() if 2 * n >= sum(lengths[i] for i in window)}
-    for e in {e for line in lines for e in line.half} - kept:
-        of_it = [n if e in line.half else 0.0 for n, line in zip(lengths, lines, strict=True)]
-        inside = {region for region, line in zip(regions, lines, strict=True) if e in line.half}
-        if not (main and inside == {main} and any(top >= SURGE for _, _, top in runs(of_it))):
-            lengths = [0.0 if e in line.half else n for n, line in zip(lengths, lines, strict=True)]
+    surges = Surges(lengths, [region != main for region in regions])
+    whole = sum(lengths[i] for i in window)
+    less = list(lengths)
+    for x, y in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if x == y or not less[x] and not any(less[x:y]):
+            continue
+        if 2 * sum(lengths[i] for i in window if x <= i < y) >= whole:
+            continue
+        if not (main and surges.one_region(x, y) and surges.within(x, y)):
+            less[x:y] = [0.0] * (y - x)
+    lengths = less if any(less) else lengths  # where all is partly named, names tell nothing
     found = [_trimmed(lines, lengths, r) if not regions[r[0]] else r for r in runs(lengths, regions)]
     a, b, top = _highest(found)
     main = regions[a]
