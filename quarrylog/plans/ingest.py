@@ -9,7 +9,7 @@ A file is identified by the digest of its bytes: one that `info` already has is
 first by type precedence and path counts. Between log types whose names a file fits its first lines decide. Each log type's
 files are written in one job below the run's id; `info`, written afterwards, is the commit record: rows of a run and type
 that it doesn't name are not read, so a stop between the two leaves nothing behind that counts. A damaged file is left out,
-reported and not recorded, a type that fails as a whole likewise; the others go on.
+reported and not recorded; where a type's write fails, its files are tried one by one and the readable ones written.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def routed(spark: SparkSession, candidates: DataFrame, strict: bool) -> DataFram
 
 
 def parsed(spark: SparkSession, kind: registry.LogType, own: list, strict: bool = False) -> DataFrame:
-    """The rows of a log type's files."""
+    """The rows of a log type's files; no files give none."""
     members = "first" if strict else "all"
 
     def table(rows: list) -> DataFrame:
@@ -159,6 +159,72 @@ def record(spark: SparkSession, output: str, name: str, own: list, run: str) ->
     done.coalesce(1).write.mode("append").partitionBy("run").parquet(f"{output}/info")
 
 
+def write(spark: SparkSession, output: str, kind: registry.LogType, own: list, run: str, strict: bool) -> None:
+    """Writes the rows, states and skip index of a log type's files as a run, and commits it."""
+    table = parsed(spark, kind, own, strict)
+    time = next(c for c in ("date_time", "timestamp") if c in table.columns)
+    table.withColumns({"run": F.lit(run), "event_date": event_date(F.col(time))}).write.mode("append").partitionBy("run", "event_date").parquet(f"{output}/{kind.name}")
+    of_run = {"log_type": F.lit(kind.name), "run": F.lit(run)}
+    mine = states.of_rows(kind.name, rows_of(spark, output, kind.name, [run]).drop("event_date"))
+    mine.withColumns(of_run).coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{STATES}")
+    index = skipindex.of_files(rows_of(spark, output, kind.name, [run]))
+    index.withColumns(of_run).coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{SEARCHED}")
+    record(spark, output, kind.name, own, run)
+
+
+def unreadable(spark: SparkSession, kind: registry.LogType, own: list, strict: bool) -> dict[str, str]:
+    """What is wrong with each of the files that can't be read to their ends, found by tasks; the files of a type that failed are tried."""
+    options = {"members": "first" if strict else "all"}
+
+    def tried(path: str) -> str | None:
+        try:
+            if kind.kind in ("utmp", "journal"):
+                reader = (UtmpDataSource if kind.kind == "utmp" else JournalDataSource)(options | {"paths": path}).reader(None)
+                for part in reader.partitions():
+                    for _ in reader.read(part):
+                        pass
+            else:
+                for _, stream in files.opened(path, options["members"]):
+                    while stream.read(1 << 20):
+                        pass
+        except Exception as error:  # noqa: BLE001 - whatever it is, this file raises it
+            return f"{type(error).__name__}: {error}"[:300]
+        return None
+
+    def probe(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            yield batch.assign(why=[tried(p) for p in batch["path"]])
+
+    paths = spark.createDataFrame([(r["path"],) for r in own], "path string").repartition(max(1, min(len(own), 1000)))
+    return {r["path"]: r["why"] for r in paths.mapInPandas(probe, "path string, why string").filter("why is not null").collect()}
+
+
+def orphans(spark: SparkSession, output: str, hours: float = 24) -> list[str]:
+    """Folders of runs that no commit record names and that nothing was written to for some hours: what stopped runs left."""
+    import time as clock
+
+    jvm, found = spark._jvm, []
+    for kind in registry.LOG_TYPES:
+        for folder in (f"{output}/{kind.name}", f"{output}/{STATES}/log_type={kind.name}", f"{output}/{SEARCHED}/log_type={kind.name}"):
+            if _table_exists(spark, folder):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                known = set(committed(spark, output, kind.name))
+                for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+                    name = status.getPath().getName()
+                    if name.startswith("run=") and name[4:] not in known and status.getModificationTime() < (clock.time() - 3600 * hours) * 1000:
+                        found.append(status.getPath().toString())
+    return found
+
+
+def sweep(spark: SparkSession, output: str, hours: float = 24) -> int:
+    """Deletes the folders of `orphans` and gives their number."""
+    left = orphans(spark, output, hours)
+    for folder in left:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(left)
+
+
 def ingest(spark: SparkSession, target: str, output: str, strict: bool = False) -> Result:
     spark.dataSource.register(UtmpDataSource)
     spark.dataSource.register(JournalDataSource)
@@ -175,15 +241,20 @@ def ingest(spark: SparkSession, target: str, output: str, strict: bool = False)
         if not own:
             continue
         try:
-            table = parsed(spark, kind, own, strict)
-            time = next(c for c in ("date_time", "timestamp") if c in table.columns)
-            table.withColumns({"run": F.lit(run), "event_date": event_date(F.col(time))}).write.mode("append").partitionBy("run", "event_date").parquet(f"{output}/{kind.name}")
-            mine = states.of_rows(kind.name, rows_of(spark, output, kind.name, [run]).drop("event_date"))
-            mine.withColumns({"log_type": F.lit(kind.name), "run": F.lit(run)}).coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{STATES}")
-            index = skipindex.of_files(rows_of(spark, output, kind.name, [run])).withColumns({"log_type": F.lit(kind.name), "run": F.lit(run)})
-            index.coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{SEARCHED}")
-            record(spark, output, kind.name, own, run)
-            result.written[kind.name] = len(own)
+            try:
+                write(spark, output, kind, own, run, strict)
+            except Exception:  # one file may be to blame: those that can't be read are left out, and the others written by a run of their own
+                bad = unreadable(spark, kind, own, strict)
+                if not bad:
+                    raise
+                for path, why in bad.items():
+                    log.warning("%s was left out: %s", path, why)
+                result.damaged |= bad
+                own = [r for r in own if r["path"] not in bad]
+                if own:
+                    write(spark, output, kind, own, uuid.uuid4().hex, strict)
+            if own:
+                result.written[kind.name] = len(own)
         except Exception as error:  # noqa: BLE001 - what one type's files hold doesn't stop the others
             log.warning("%s was not read: %s", kind.name, error)
             result.failed[kind.name] = str(error)[:500]
@@ -207,10 +278,14 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--target", required=True, help="folder of collected files")
     parser.add_argument("--output", required=True, help="folder of the tables")
     parser.add_argument("--strict", action="store_true", help="route by name alone, first archive member only")
+    parser.add_argument("--sweep", action="store_true", help="delete what runs left that stopped a day ago and more")
     args = parser.parse_args(argv)
     from quarrylog.plans.engine import session
 
-    result = ingest(session(), args.target, args.output, args.strict)
+    spark = session()
+    result = ingest(spark, args.target, args.output, args.strict)
+    if args.sweep:
+        print(f"{sweep(spark, args.output)} folders of stopped runs deleted")
     for name, n in result.written.items():
         print(f"{name}: {n} files")
     for name, why in result.failed.items():

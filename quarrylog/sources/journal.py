@@ -1,10 +1,12 @@
-"""systemd journal files as a Spark data source, one partition a file.
+"""systemd journal files as a Spark data source, split among tasks.
 
     spark.dataSource.register(JournalDataSource); spark.read.format("journal").load(path)
 
-Entries are found along the chain of entry arrays. Files that are too short, have another signature or the compact layout
-have no rows. Data whose codec isn't installed stays as stored. A packed file is unpacked to an unnamed file of the task
-that reads it; option `members`: all (default) or first of an archive.
+Entries are found along the chain of entry arrays. The driver follows the chain's heads only and cuts the arrays into ranges of
+`split_entries` entries, which are the partitions. Files that are too short, have another signature or the compact layout have
+no rows. Data whose codec isn't installed ends the read; fields that can't be inflated are left out and counted in the other
+fields as _DAMAGED_FIELDS. A packed file is unpacked to an unnamed file of the one task that reads it; option `members`: all
+(default) or first of an archive.
 """
 
 from __future__ import annotations
@@ -33,26 +35,39 @@ FIELDS = {
 }
 
 
-def inflated(raw: bytes, flags: int) -> bytes:
-    """Payload of a data object by its compression flags; as stored if it can't be inflated."""
-    try:
-        if flags & XZ:
-            return lzma.decompress(raw)
-        if flags & ZSTD:
-            import zstandard
+class MissingCodec(RuntimeError):
+    """Data is compressed by a codec that isn't installed here."""
+
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        if flags & LZ4:
-            import lz4.block
-            import lz4.frame
+def _codec(name: str):  # noqa: ANN202
+    from importlib import import_module
 
+    try:
+        return import_module(name)
+    except ImportError as error:
+        raise MissingCodec(f"journal data is compressed and {name} isn't installed") from error
+
+
+def inflated(raw: bytes, flags: int) -> bytes | None:
+    """Payload of a data object by its compression flags; None if it is damaged."""
+    unpack = None
+    if flags & XZ:
+        unpack = lzma.decompress
+    elif flags & ZSTD:
+        unpack = _codec("zstandard").ZstdDecompressor().decompressobj().decompress
+    elif flags & LZ4:
+        block, frame = _codec("lz4.block"), _codec("lz4.frame")
+
+        def unpack(data: bytes) -> bytes:
             try:  # older files: the size and a block
-                return lz4.block.decompress(raw[8:], uncompressed_size=int.from_bytes(raw[:8], "little"))
+                return block.decompress(data[8:], uncompressed_size=int.from_bytes(data[:8], "little"))
             except Exception:  # noqa: BLE001 - newer ones hold a frame
-                return lz4.frame.decompress(raw)
-    except Exception:  # noqa: BLE001 - damaged data and missing codecs alike
-        return raw
-    return raw
+                return frame.decompress(data)
+
+    try:
+        return unpack(raw) if unpack else raw
+    except Exception:  # noqa: BLE001 - codecs have errors of their own
+        return None
 
 
 class JournalFile:
@@ -69,33 +84,51 @@ class JournalFile:
         size = self._u64(at + 8)
         return (self.data[at + 1], size) if least <= size and at + size <= len(self.data) else None
 
-    def entry_offsets(self) -> Iterator[int]:
+    def is_read(self) -> bool:
+        """Whether the file is a journal of the layout that is read here."""
+        data = self.data
+        return len(data) >= SHORTEST and bytes(data[:8]) == SIGNATURE and not int.from_bytes(data[INCOMPATIBLE_AT : INCOMPATIBLE_AT + 4], "little") & COMPACT
+
+    def arrays(self) -> Iterator[tuple[int, int]]:
+        """(offset of the first item, number of items) of every entry array, along the chain."""
         at, seen = self._u64(ENTRY_ARRAY_AT), set()
         while at and at not in seen and (found := self._object(at, ENTRY_ARRAY, OBJECT_HEAD + 8)):
             seen.add(at)
-            for place in range(at + OBJECT_HEAD + 8, at + found[1] - 7, 8):
+            yield at + OBJECT_HEAD + 8, (found[1] - OBJECT_HEAD - 8) // 8
+            at = self._u64(at + OBJECT_HEAD)
+
+    def entry_offsets(self, ranges: list[tuple[int, int]] | None = None) -> Iterator[int]:
+        for first, n in self.arrays() if ranges is None else ranges:
+            for place in range(first, first + 8 * n, 8):
                 if offset := self._u64(place):
                     yield offset
-            at = self._u64(at + OBJECT_HEAD)
 
-    def _field(self, at: int) -> tuple[str, str] | None:
+    def _field(self, at: int) -> tuple[str, str | None] | None:
+        """(name, value) of a data object; an empty name for one that can't be inflated."""
         found = self._object(at, DATA, OBJECT_BODY)
         if not found:
             return None
-        name, sep, value = inflated(bytes(self.data[at + OBJECT_BODY : at + found[1]]), found[0]).partition(b"=")
+        payload = inflated(bytes(self.data[at + OBJECT_BODY : at + found[1]]), found[0])
+        if payload is None:
+            return "", None
+        name, sep, value = payload.partition(b"=")
         return (name.decode("utf-8", "replace"), value.decode("utf-8", "replace").rstrip("\n")) if sep else None
 
-    def rows(self) -> Iterator[tuple]:
+    def rows(self, ranges: list[tuple[int, int]] | None = None) -> Iterator[tuple]:
+        """The entries of some ranges of array items, or all."""
         data = self.data
-        if len(data) < SHORTEST or bytes(data[:8]) != SIGNATURE or int.from_bytes(data[INCOMPATIBLE_AT : INCOMPATIBLE_AT + 4], "little") & COMPACT:
+        if not self.is_read():
             return
         machine = bytes(data[MACHINE_AT : MACHINE_AT + 16]).hex()
-        for at in self.entry_offsets():
+        for at in self.entry_offsets(ranges):
             found = self._object(at, ENTRY, OBJECT_BODY)
             if not found:
                 continue
             sequence, micros, _, boot, _ = struct.unpack_from("<QQQ16sQ", data, at + OBJECT_HEAD)
-            fields = dict(f for place in range(at + OBJECT_BODY, at + found[1] - 15, 16) if (offset := self._u64(place)) and (f := self._field(offset)))
+            read = [f for place in range(at + OBJECT_BODY, at + found[1] - 15, 16) if (offset := self._u64(place)) and (f := self._field(offset))]
+            fields = {name: value for name, value in read if value is not None}
+            if len(damaged := [1 for _, value in read if value is None]):
+                fields["_DAMAGED_FIELDS"] = str(len(damaged))
             stamp = datetime.fromtimestamp(micros // 1_000_000, timezone.utc).astimezone(self.zone)
             known = {c: fields.pop(name, "") for c, name in FIELDS.items()}
             # A record's own boot id names its boot and stays among the other fields too.
@@ -105,26 +138,50 @@ class JournalFile:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, ranges: list[tuple[int, int]] | None = None):
+        self.path, self.ranges = path, ranges
+
+
+def ranges_of(arrays: Iterator[tuple[int, int]], entries: int) -> list[list[tuple[int, int]]]:
+    """Entry arrays cut and gathered into parts of so many entries; one part at least."""
+    parts: list[list[tuple[int, int]]] = [[]]
+    room = entries
+    for first, n in arrays:
+        while n:
+            if not room:
+                parts.append([])
+                room = entries
+            taken = min(n, room)
+            parts[-1].append((first, taken))
+            first, n, room = first + 8 * taken, n - taken, room - taken
+    return parts
 
 
 class JournalReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.hours = options.get("paths", options.get("path", "")).split("\n"), int(options.get("hours", 9))
-        self.members = options.get("members", "all")
+        self.members, self.split = options.get("members", "all"), int(options.get("split_entries", 50_000))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.paths if p]
-
-    def _rows(self, file) -> Iterator[tuple]:
+        out: list[InputPartition] = []
+        for path in filter(None, self.paths):
+            if files.is_packed(path):
+                out.append(_Part(path))
+                continue
+            with open(path, "rb") as f:
+                for journal in self._mapped(f):
+                    if journal.is_read():
+                        out += [_Part(path, ranges) for ranges in ranges_of(journal.arrays(), self.split)]
+        return out
+
+    def _mapped(self, file) -> Iterator[JournalFile]:  # noqa: ANN001
+        """The file as a journal, none if it is too short; mapped while it is used."""
         import mmap
         import os
 
-        if os.fstat(file.fileno()).st_size < SHORTEST:
-            return
-        with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            yield from JournalFile(data, self.hours).rows()
+        if os.fstat(file.fileno()).st_size >= SHORTEST:
+            with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                yield JournalFile(data, self.hours)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import shutil
@@ -132,15 +189,17 @@ class JournalReader(DataSourceReader):
 
         if not files.is_packed(partition.path):
             with open(partition.path, "rb") as f:
-                for row in self._rows(f):
-                    yield (*row, partition.path)
+                for journal in self._mapped(f):
+                    for row in journal.rows(partition.ranges):
+                        yield (*row, partition.path)
             return
         for _, stream in files.opened(partition.path, self.members):
             with tempfile.TemporaryFile() as f:
                 shutil.copyfileobj(stream, f, 1 << 20)
                 f.flush()
-                for row in self._rows(f):
-                    yield (*row, partition.path)
+                for journal in self._mapped(f):
+                    for row in journal.rows():
+                        yield (*row, partition.path)
 
 
 class JournalDataSource(DataSource):
