@@ -35,7 +35,9 @@ from quarrylog.llm import _text
 from quarrylog.llm._ops import arrow_map, materialise, pick, spread
 
 #: Bytes of the lexicon's words and of what is kept beside each of them, and the longest word it takes.
-LEXICON_BYTES, BESIDE, LEXICON_WORD = 96 << 20, 40, 64
+LEXICON_BYTES, BESIDE, LEXICON_WORD = 80 << 20, 40, 64
+#: Ids that are filled in at a time.
+RUN_IDS = 1 << 18
 #: Bytes of a word from which on a heap merges it, and characters without a border that tell there may be one.
 LONG_WORD, LONG_RUN = 256, 100
 #: Marks in the fold: no rank (greater than any id); ranks are lowered by it, so that they are less than all ids.
@@ -180,10 +182,10 @@ class Lexicon:
         ids = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         at = np.asarray(ids.offsets, np.int64)
-        self.hashes, self.begin, self.end, self.blob = hashes[order], offsets[:-1][order], offsets[1:][order], blob
-        self.ids, self.first, self.size = np.asarray(ids.values, np.int32), at[:-1][order], np.diff(at)[order]
+        self.hashes, self.begin, self.end, self.blob = hashes[order], offsets[:-1][order].astype(np.int32), offsets[1:][order].astype(np.int32), blob
+        self.ids, self.first, self.size = np.asarray(ids.values, np.int32), at[:-1][order].astype(np.int32), np.diff(at)[order].astype(np.int32)
         self.bits = max(1, int(len(self.hashes)).bit_length())
-        self.bucket = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        self.bucket = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Place of each word, -1 where it isn't there."""
@@ -266,6 +268,20 @@ def _looked_up(column: pa.ListArray, known: Lexicon, vocabulary: Vocabulary) ->
         row = end
 
 
+def _filled(column: pa.ListArray, more: pa.ListArray) -> pa.ListArray:
+    """Ids with each -1 replaced by the next list of ids of its row."""
+    at, ids = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py(), np.asarray(column.flatten(), np.int32)
+    hole = ids < 0
+    if not hole.any():
+        return column
+    lists = more.flatten()
+    values, edge = np.asarray(lists.flatten(), np.int32), np.asarray(lists.offsets, np.int64)
+    first, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
+    first[hole], size[hole] = len(ids) + edge[:-1] - edge[0], np.diff(edge)
+    bounds = np.concatenate(([0], np.cumsum(size)))[at]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_gathered(np.concatenate((ids, values)), first, size), pa.int32()))
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", limit: int = LEXICON_BYTES) -> DataFrame:
     """(key, ids) of every row."""
     spark = df.sparkSession
@@ -287,19 +303,14 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
                 yield {"key": pa.array([key_.as_py()], batch.schema.field("key").type), "ids": ids, "lacking": lacking}
 
     def fill(batch: pa.RecordBatch) -> Iterator[dict]:
-        column, more = batch.column("ids"), batch.column("folded")
-        at, ids = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py(), np.asarray(column.flatten(), np.int32)
-        lists = more.flatten()
-        values, edge = np.asarray(lists.flatten(), np.int32), np.asarray(lists.offsets, np.int64)
-        edge = edge - edge[0]
-        hole = ids < 0
-        if not hole.any():
-            yield {"key": batch.column("key"), "ids": column}
-            return
-        first, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
-        first[hole], size[hole] = len(ids) + edge[:-1], np.diff(edge)
-        bounds = np.concatenate(([0], np.cumsum(size)))[at]
-        yield {"key": batch.column("key"), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_gathered(np.concatenate((ids, values)), first, size), pa.int32()))}
+        column = batch.column("ids")
+        at = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_IDS, "right")) - 1)
+            own = batch.slice(row, end - row)
+            yield {"key": own.column("key"), "ids": _filled(own.column("ids"), own.column("folded"))}
+            row = end
 
     key_type = work.schema["key"].dataType.simpleString()
     found = arrow_map(work, look_up, f"key {key_type}, ids array<int>, lacking array<string>")
