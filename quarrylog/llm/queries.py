@@ -176,7 +176,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = tokens.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return tokens.digest(tokens.encode(_texts(spark, sf_dir), vocabulary), vocabulary)
+    return tokens.digest(_texts(spark, sf_dir), vocabulary)
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,10 @@ class Vocabulary:
     ranks: dict[bytes, int]
     pattern: str
 
+    def __getstate__(self) -> dict:
+        """Tasks get the ranks and make what else they need themselves, so that those without long words hold no pairs."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "pieces")}
+
     @cached_property
     def pairs(self) -> dict[tuple[int, int], int]:
         """Rank of the token that two tokens make; every way to cut a token in two."""
@@ -282,8 +286,8 @@ def _filled(column: pa.ListArray, more: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_gathered(np.concatenate((ids, values)), first, size), pa.int32()))
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", limit: int = LEXICON_BYTES) -> DataFrame:
-    """(key, ids) of every row."""
+def _coded(df: DataFrame, vocabulary: Vocabulary, key: str, text: str, limit: int) -> DataFrame:
+    """(key, ids with -1 for each word that the lexicon lacks, ids of those words) of every row."""
     spark = df.sparkSession
     work = pick(df, key=key, text=F.coalesce(df[text], F.lit(""))).withColumn("apart", apart(F.col("text")))
     work = work.select("key", "apart", F.when(F.col("apart"), F.col("text")).alias("text"), F.when(~F.col("apart"), words(F.col("text"), vocabulary)).alias("words"))
@@ -302,20 +306,32 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str
             for _, _, ids, lacking in _looked_up(own, known, vocab):
                 yield {"key": pa.array([key_.as_py()], batch.schema.field("key").type), "ids": ids, "lacking": lacking}
 
-    def fill(batch: pa.RecordBatch) -> Iterator[dict]:
-        column = batch.column("ids")
-        at = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
-        row = 0
-        while row < batch.num_rows:
-            end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_IDS, "right")) - 1)
-            own = batch.slice(row, end - row)
-            yield {"key": own.column("key"), "ids": _filled(own.column("ids"), own.column("folded"))}
-            row = end
-
     key_type = work.schema["key"].dataType.simpleString()
     found = arrow_map(work, look_up, f"key {key_type}, ids array<int>, lacking array<string>")
-    found = found.select("key", "ids", folded_all(F.col("lacking"), vocabulary).alias("folded"))
-    return arrow_map(found, fill, f"key {key_type}, ids array<int>").withColumnRenamed("key", key)
+    return found.select("key", "ids", folded_all(F.col("lacking"), vocabulary).alias("folded"))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """(keys, ids) of runs of a coded batch's rows."""
+    column = batch.column("ids")
+    at = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_IDS, "right")) - 1)
+        own = batch.slice(row, end - row)
+        yield own.column("key"), _filled(own.column("ids"), own.column("folded"))
+        row = end
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", limit: int = LEXICON_BYTES) -> DataFrame:
+    """(key, ids) of every row."""
+    coded = _coded(df, vocabulary, key, text, limit)
+
+    def fill(batch: pa.RecordBatch) -> Iterator[dict]:
+        for keys, ids in _runs(batch):
+            yield {"key": keys, "ids": ids}
+
+    return arrow_map(coded, fill, f"key {coded.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -331,21 +347,21 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids:
     return arrow_map(work, joined, f"key {work.schema['key'].dataType.simpleString()}, content binary").withColumnRenamed("key", key)
 
 
-def digest(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): hashes of the ids as text and of what they decode to."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces)
+def digest(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", limit: int = LEXICON_BYTES) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row: hashes of its ids as text and of what they decode to."""
+    coded = _coded(df, vocabulary, key, text, limit)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.pieces)
 
     def hashed(batch: pa.RecordBatch) -> Iterator[dict]:
         pieces = shared.value
         shown = [str(i).encode() for i in range(len(pieces))]
-        column = batch.column("ids")
-        at, flat = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py(), column.flatten()
-        out: dict[str, list] = {"n_tokens": np.diff(at).tolist(), "ids_sha256": [], "decoded_sha256": []}
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            own = np.asarray(flat[a:b]).tolist()
-            out["ids_sha256"].append(hashlib.sha256(b",".join(map(shown.__getitem__, own))).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest())
-        yield {"key": batch.column("key")} | out
-
-    work = pick(encoded, key=key, ids=ids)
-    return arrow_map(work, hashed, f"key {work.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+        for keys, column in _runs(batch):
+            at, flat = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py(), column.flatten()
+            out: dict[str, list] = {"n_tokens": np.diff(at).tolist(), "ids_sha256": [], "decoded_sha256": []}
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                own = np.asarray(flat[a:b]).tolist()
+                out["ids_sha256"].append(hashlib.sha256(b",".join(map(shown.__getitem__, own))).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest())
+            yield {"key": keys} | out
+
+    return arrow_map(coded, hashed, f"key {coded.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

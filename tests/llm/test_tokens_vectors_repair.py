@@ -33,14 +33,15 @@ def test_bpe_is_the_library_s(spark, vocabulary):
     texts += ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(400))) for _ in range(30)]
     df = spark.createDataFrame([(i if i else None, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, word int").repartition(3)
     for limit in (tokens.LEXICON_BYTES, 0):  # without a lexicon every word is folded where it stands
-        encoded = tokens.encode(df, vocabulary, limit=limit)
-        rows = {r.doc_id or 0: r for r in tokens.digest(encoded, vocabulary).collect()}
+        rows = {r.doc_id or 0: r for r in tokens.digest(df, vocabulary, limit=limit).collect()}
         assert len(rows) == len(texts)
         for i, text in enumerate(texts):
             ids = library.encode_ordinary(text or "")
             assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(text or "")), (i, text)
+    encoded = tokens.encode(df, vocabulary)
+    assert {r.doc_id or 0: len(r.ids) for r in encoded.collect()} == {i: r.n_tokens for i, r in rows.items()}
     assert {r.content.decode() for r in tokens.decode(encoded, vocabulary).collect()} == {t or "" for t in texts}
-    assert tokens.digest(tokens.encode(df.limit(0), vocabulary), vocabulary).count() == 0
+    assert tokens.digest(df.limit(0), vocabulary).count() == 0
 
 
 def test_heap_merges_and_words_that_merging_does_not_give(vocabulary):
