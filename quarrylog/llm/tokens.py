@@ -35,9 +35,9 @@ from quarrylog.llm import _text
 from quarrylog.llm._ops import arrow_map, materialise, pick, spread
 
 #: Bytes of the lexicon's words and of what is kept beside each of them, and the longest word it takes.
-LEXICON_BYTES, BESIDE, LEXICON_WORD = 80 << 20, 40, 64
-#: Ids that are filled in at a time.
-RUN_IDS = 1 << 18
+LEXICON_BYTES, BESIDE, LEXICON_WORD = 48 << 20, 40, 64
+#: Ids that are filled in, and texts that are looked up, at a time.
+RUN_IDS, LOOKED_UP = 1 << 18, 128
 #: Bytes of a word from which on a heap merges it, and characters without a border that tell there may be one.
 LONG_WORD, LONG_RUN = 256, 100
 #: Marks in the fold: no rank (greater than any id); ranks are lowered by it, so that they are less than all ids.
@@ -297,14 +297,17 @@ def _coded(df: DataFrame, vocabulary: Vocabulary, key: str, text: str, limit: in
         import regex
 
         known, vocab = shared.value
-        mine = batch.column("apart")
-        plain = batch.filter(pa.compute.invert(mine))
-        for a, b, ids, lacking in _looked_up(plain.column("words"), known, vocab) if plain.num_rows else ():
-            yield {"key": plain.column("key").slice(a, b - a), "ids": ids, "lacking": lacking}
-        for key_, text_ in zip(batch.filter(mine).column("key"), batch.filter(mine).column("text"), strict=True):
-            own = pa.array([regex.findall(vocab.pattern, text_.as_py())], pa.list_(pa.string()))
-            for _, _, ids, lacking in _looked_up(own, known, vocab):
-                yield {"key": pa.array([key_.as_py()], batch.schema.field("key").type), "ids": ids, "lacking": lacking}
+        for at in range(0, batch.num_rows, LOOKED_UP):
+            own = batch.slice(at, LOOKED_UP)
+            mine = own.column("apart")
+            plain = own.filter(pa.compute.invert(mine)) if pa.compute.any(mine).as_py() else own
+            for a, b, ids, lacking in _looked_up(plain.column("words"), known, vocab) if plain.num_rows else ():
+                yield {"key": plain.column("key").slice(a, b - a), "ids": ids, "lacking": lacking}
+            for key_, text_, here in zip(own.column("key"), own.column("text"), mine, strict=True):
+                if here.as_py():
+                    cut = pa.array([regex.findall(vocab.pattern, text_.as_py())], pa.list_(pa.string()))
+                    for _, _, ids, lacking in _looked_up(cut, known, vocab):
+                        yield {"key": pa.array([key_.as_py()], own.schema.field("key").type), "ids": ids, "lacking": lacking}
 
     key_type = work.schema["key"].dataType.simpleString()
     found = arrow_map(work, look_up, f"key {key_type}, ids array<int>, lacking array<string>")
