@@ -12,7 +12,8 @@ from quarrylog.functions import patterns, text, times
 from quarrylog.operators import cursors, dashboards, filters, lines, skipindex, states, summaries, sysinfo, views, web
 from quarrylog.plans import logviews as V
 from quarrylog.plans.logviews import rendered, stamp, table
-from quarrylog.sources import files
+from quarrylog.plans.registry import UTMP_COLUMNS
+from quarrylog.sources import files, utmp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,6 +245,11 @@ def page_sorted(spark, d):
     return views.page(V.auth(spark, d), number=2, size=50, sort="user", descending=True).rows
 
 
+@query("SELECT greatest(1, ceil(n / 50.0))::INTEGER AS pages, least(n, 51)::INTEGER AS first_row, least(n, 100)::INTEGER AS last_row FROM (SELECT count(*) AS n FROM v_auth WHERE event_type = 'sudo_command')")
+def page_pager(spark, d):
+    return spark.createDataFrame([views.page(V.auth(spark, d), types=["sudo_command"]).bounds(1, 50)], "pages int, first_row int, last_row int")
+
+
 @query('SELECT * FROM v_auth ORDER BY "user" DESC, date_time, id LIMIT 50 OFFSET 5000')
 def page_cursor(spark, d):
     auth = V.auth(spark, d)
@@ -309,6 +315,44 @@ def search_indexed(spark, d):
     return events.filter(filters.on_any([F.col(c) for c in columns], raw)).select("event_id", *columns)
 
 
+# --- log-in accounting records -----------------------------------------------------------------------------------
+
+
+def _little(value, size: int = 4):
+    """Hex digits of a number's bytes, the lowest first."""
+    digits = F.lpad(F.hex(value), 2 * size, "0")
+    return F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))))
+
+
+def _utmp_records(spark, d):
+    """(event_id, record): an event as one record of a wtmp file, with an IPv4 address or, for each fifth, an IPv6 one."""
+    text = lambda value, size: F.rpad(F.hex(value), 2 * size, "0")
+    u, micros = F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    parts = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("20010db8"), F.lit("00" * 10), F.lpad(F.hex(u % 1000 + 4096), 4, "0"))).otherwise(F.concat(F.lit("0a00"), F.lpad(F.hex(u % 200), 2, "0"), F.lpad(F.hex(u % 250 + 1), 2, "0"), F.lit("00" * 12)))
+    record = F.concat(
+        _little(F.col("event_id") % 12, 2), F.lit("0000"), _little(u), text(F.concat(F.lit("pts/"), (u % 9).cast("string")), 32), text(F.lit("ts"), 4), text(F.concat(F.lit("u"), u.cast("string")), 32), text(F.lit("host"), 256),
+        _little(F.lit(1), 2), _little(F.lit(2), 2), _little(u % 7), _little(F.floor(micros / 1_000_000)), _little(micros % 1_000_000), parts, F.lit("00" * 20),
+    )
+    return table(spark, d, "events").select("event_id", F.unhex(record).alias("record"))
+
+
+@query("""
+SELECT event_id, kind AS ut_type, coalesce(['RUN_LVL', 'BOOT_TIME', 'NEW_TIME', 'OLD_TIME', 'INIT_PROCESS', 'LOGIN_PROCESS', 'USER_PROCESS', 'DEAD_PROCESS', 'ACCOUNTING'][kind], kind::VARCHAR) AS type_name,
+       strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S.%g') AS "timestamp", user_id::INTEGER AS pid, 'pts/' || user_id % 9 AS line, 'u' || user_id AS "user",
+       CASE WHEN event_id % 5 = 0 THEN '2001:db8::' || lower(to_hex(user_id % 1000 + 4096)) ELSE '10.0.' || user_id % 200 || '.' || (user_id % 250 + 1) END AS src_ip, (user_id % 7)::INTEGER AS session
+FROM (SELECT *, (event_id % 12)::INTEGER AS kind FROM events) WHERE kind > 0""", views_=False)
+def parse_utmp(spark, d):
+    import pandas as pd
+
+    def read(batches):
+        names = [c.split()[0] for c in UTMP_COLUMNS.split(", ")]
+        for batch in batches:
+            rows = [(event, *row) for event, raw in zip(batch["event_id"], batch["record"], strict=True) for row in utmp.records(bytes(raw))]
+            yield pd.DataFrame(rows, columns=["event_id", *names])
+
+    return _utmp_records(spark, d).mapInPandas(read, f"event_id bigint, {UTMP_COLUMNS}").select("event_id", "ut_type", "type_name", "timestamp", "pid", "line", "user", "src_ip", "session")
+
+
 # --- other dashboards --------------------------------------------------------------------------------------------
 
 

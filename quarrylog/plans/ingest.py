@@ -37,6 +37,9 @@ INFO = "file_name string, file_path string, md5 string, file_size bigint, log_ty
 #: Folders of the states and of the skip index.
 STATES, SEARCHED = "states", "searched"
 
+#: Columns that rows are looked up by: files are sorted by them, in this order, and have Bloom filters of them.
+LOOKED_UP = ("src_ip", "client_ip", "user")
+
 # What differs from the tool whose results these tables match; `strict` gives its own ways where it can.
 DEVIATIONS = {
     "addresses": "login addresses are unsigned, so any IPv4 address is read",
@@ -163,7 +166,14 @@ def write(spark: SparkSession, output: str, kind: registry.LogType, own: list, r
     """Writes the rows, states and skip index of a log type's files as a run, and commits it."""
     table = parsed(spark, kind, own, strict)
     time = next(c for c in ("date_time", "timestamp") if c in table.columns)
-    table.withColumns({"run": F.lit(run), "event_date": event_date(F.col(time))}).write.mode("append").partitionBy("run", "event_date").parquet(f"{output}/{kind.name}")
+    table = table.withColumn("event_date", event_date(F.col(time)))
+    keys = [c for c in LOOKED_UP if c in table.columns]
+    if keys:  # rows of an address lie together within a file, and a file tells which values it can't have
+        table = table.sortWithinPartitions("event_date", *keys)
+    writer = table.write.mode("append").partitionBy("event_date")
+    for c in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+    writer.parquet(f"{output}/{kind.name}/run={run}")
     of_run = {"log_type": F.lit(kind.name), "run": F.lit(run)}
     mine = states.of_rows(kind.name, rows_of(spark, output, kind.name, [run]).drop("event_date"))
     mine.withColumns(of_run).coalesce(1).write.mode("append").partitionBy("log_type", "run").parquet(f"{output}/{STATES}")
