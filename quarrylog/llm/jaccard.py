@@ -232,16 +232,16 @@ def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sets(work: DataFrame, k: int) -> DataFrame:
-    """(key, n, sid, p0 to the sketch's last word) of every row."""
+    """(key, digest, n, sid, p0 to the sketch's last word) of every row."""
 
     def run(batch):
         for a, b, data, offsets in chunks(batch.column("text")):
             elements, at = shingle_sets(data, offsets, k)
             sketch = sketches(elements, at)
             words = {f"p{i}": np.ascontiguousarray(sketch[:, i]) for i in range(SKETCH)}
-            yield {"key": batch.column("key").slice(a, b - a), "n": np.diff(at), "sid": signed(set_ids(elements, at)), **words}
+            yield {"key": batch.column("key").slice(a, b - a), "digest": batch.column("digest").slice(a, b - a), "n": np.diff(at), "sid": signed(set_ids(elements, at)), **words}
 
-    return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, n long, sid long, {', '.join(f'p{i} long' for i in range(SKETCH))}")
+    return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, digest long, n long, sid long, {', '.join(f'p{i} long' for i in range(SKETCH))}")
 
 
 def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -305,17 +305,20 @@ def profiles(elements: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def _wanted(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(sid, key) of the sets in pairs, each with one row that has it."""
+    """(sid, row) of the sets in pairs, each with one row that has it."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    return materialise(known.join(ids, "sid").select("sid", "key"))
+    return materialise(known.join(ids, "sid").select("sid", "row"))
 
 
 def _of_sets(work: DataFrame, wanted: DataFrame, k: int, value: str, make) -> DataFrame:
-    """One row for each wanted set (wanted: sid, key): (sid, n, value), value from make(elements, offsets) over whole sets."""
+    """One row for each wanted set (wanted: sid, row): (sid, n, value), value from make(elements, offsets) over whole sets.
+
+    Texts are found by key and digest, so each is made for its own set alone, however many share a key or have none.
+    """
     name, kind = value.split()
-    wanted = wanted.withColumnsRenamed({"key": "their_key", "sid": "their_sid"})
+    wanted = wanted.select(F.col("sid").alias("their_sid"), F.col("row.key").alias("their_key"), F.col("row.digest").alias("their_digest"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = work.join(wanted, work["key"].eqNullSafe(wanted["their_key"])).select("their_sid", "text")
+    rows = work.join(wanted, (work["digest"] == wanted["their_digest"]) & work["key"].eqNullSafe(wanted["their_key"])).select("their_sid", "text")
 
     def run(batch):
         sids = batch.column("their_sid").to_numpy(zero_copy_only=False)
@@ -408,10 +411,10 @@ def _by_blocks(rows: DataFrame) -> DataFrame:
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id: the least key that links reach, itself included."""
-    work = pick(df, key=key, text=text)
+    work = pick(df, key=key, text=text, digest=F.xxhash64(df[text]))
     sets = materialise(_sets(work, k))
     words = [f"p{i}" for i in range(SKETCH)]
-    known = materialise(sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("key"), *(F.first(w).alias(w) for w in words)))
+    known = materialise(sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.min(F.struct("digest", "key")).alias("row"), *(F.first(w).alias(w) for w in words)))
     bucket = Window.partitionBy("sig", "salt")
     shared = _signatures(work, k, num, den).withColumns({"rep": F.min("sid").over(bucket), "top": F.max("sid").over(bucket)})
     # A set alone under a salt still shares its signature with those of salt 0.
@@ -419,7 +422,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
 
     def described(rows: DataFrame, side: str) -> DataFrame:
         """Rows with the size and sketch of the set in column `side`."""
-        return rows.join(known.drop("key").withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
+        return rows.join(known.drop("key", "row").withColumnsRenamed({"sid": side, "n": f"n{side}", **{w: f"{w}{side}" for w in words}}), side)
 
     differ = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
     most = F.floor((den - num) * (F.col("na") + F.col("nb")) / (den + num))
@@ -475,5 +478,6 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
     named = known.join(labels, known["sid"] == labels["v"], "left").select("sid", F.col("key").alias("least"), F.coalesce("label", "sid").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component"))
     named = materialise(named.join(roots, "root").select(F.col("sid").alias("their_sid"), "component"))
-    out = sets.join(named, sets["sid"] == named["their_sid"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+    full = sets.filter("n > 0").join(named, sets["sid"] == named["their_sid"], "left").select("key", "n", "component")
+    out = full.unionByName(sets.filter("n = 0").select("key", "n", F.col("key").alias("component")))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
