@@ -55,9 +55,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656 AS u
-  FROM documents),
+  SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || nth || ':mix-1'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656 AS u
+  FROM (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+           row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) - 1 AS nth
+    FROM documents)),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM sources),
@@ -76,15 +78,24 @@ ranked AS (
   FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source),
 ordered AS (
   SELECT *, CASE WHEN q IS NOT NULL THEN row_number() OVER w END AS place, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM ranked WINDOW w AS (PARTITION BY source ORDER BY q NULLS LAST, doc_id)),
+  FROM ranked WINDOW w AS (PARTITION BY source ORDER BY q NULLS LAST, doc_id, digest, nth)),
 stop AS (SELECT source, min(place) AS stop_at, arg_min(budget - before, place) AS gap FROM ordered WHERE q IS NOT NULL AND before + size > budget GROUP BY source),
 passed AS (
-  SELECT o.source, o.place, abs(o.size - s.gap) AS miss, s.gap FROM ordered o JOIN stop s ON o.source IS NOT DISTINCT FROM s.source WHERE o.place >= s.stop_at AND o.size > 0),
-fit AS (
-  SELECT source, place AS filled FROM passed WHERE miss < gap QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, place) = 1)
+  SELECT o.source, o.place, o.size, s.gap FROM ordered o JOIN stop s ON o.source IS NOT DISTINCT FROM s.source WHERE o.place >= s.stop_at AND o.size > 0),
+fit1 AS (
+  SELECT source, place, gap - size AS gap FROM passed
+  WHERE abs(size - gap) < gap QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), place) = 1),
+fit2 AS (
+  SELECT p.source, p.place, f.gap - p.size AS gap FROM passed p JOIN fit1 f ON p.source IS NOT DISTINCT FROM f.source AND p.place <> f.place
+  WHERE abs(p.size - f.gap) < f.gap QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY abs(p.size - f.gap), p.place) = 1),
+fit3 AS (
+  SELECT p.source, p.place FROM passed p JOIN fit1 e ON p.source IS NOT DISTINCT FROM e.source AND p.place <> e.place
+  JOIN fit2 f ON p.source IS NOT DISTINCT FROM f.source AND p.place <> f.place
+  WHERE abs(p.size - f.gap) < f.gap QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY abs(p.size - f.gap), p.place) = 1),
+fit AS (SELECT source, place AS filled FROM fit1 UNION ALL SELECT source, place FROM fit2 UNION ALL SELECT source, place FROM fit3)
 SELECT o.doc_id, o.size, o.source_size, o.target,
-       o.size * (o.copies + CASE WHEN o.place IS NOT NULL AND (s.stop_at IS NULL OR o.place < s.stop_at) OR o.place = f.filled THEN 1 ELSE 0 END) AS taken
-FROM ordered o LEFT JOIN stop s ON o.source IS NOT DISTINCT FROM s.source LEFT JOIN fit f ON o.source IS NOT DISTINCT FROM f.source
+       o.size * (o.copies + CASE WHEN o.place IS NOT NULL AND (s.stop_at IS NULL OR o.place < s.stop_at) OR f.filled IS NOT NULL THEN 1 ELSE 0 END) AS taken
+FROM ordered o LEFT JOIN stop s ON o.source IS NOT DISTINCT FROM s.source LEFT JOIN fit f ON o.source IS NOT DISTINCT FROM f.source AND o.place = f.filled
 """
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pytest
 from test_text_search import brute_dedup, brute_words
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarrylog.llm import chat, jaccard, language, mixing, queries
 from quarrylog.llm._text import chunks
@@ -177,6 +179,45 @@ def test_mix_of_documents(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_draws_by_row(spark):
+    """Rows without id, under one id and equal in every column each draw for themselves, however the table is split."""
+    rng = random.Random(5)
+    docs = [(None if i % 2 else i, f"t{i} " + " ".join("w" for _ in range(rng.choice([1, 5, 40]))), rng.choice("abc")) for i in range(3000)]
+    docs += [(9, "one row many times over", "d")] * 1000 + [(9, f"text {i} of one id", "e") for i in range(500)] + [(None, None, "d")] * 300
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    results = []
+    for n in (3, 17):
+        rows = mixing.mix(df.repartition(n), carry=("text",)).collect()
+        taken, target, longest = defaultdict(int), {}, defaultdict(int)
+        for r in rows:
+            assert r.size == len((r.text or "").split()) and r.taken == r.copies * r.size <= 3 * r.size
+            taken[r.source], target[r.source], longest[r.source] = taken[r.source] + r.taken, r.target, max(longest[r.source], r.size)
+        assert all(abs(taken[s] - t) <= longest[s] for s, t in target.items())
+        results.append(sorted((repr(r.doc_id), r.text or "", r.source, r.taken) for r in rows))
+    assert results[0] == results[1] and len(results[0]) == len(docs)
+    plain = mixing.mix(df).collect()
+    assert sorted((repr(r.doc_id), r.source, r.size, r.taken) for r in plain) == sorted((k, s, len(t.split()), n) for k, t, s, n in results[0])
+
+
+def test_join_of_rows_without_ids(spark):
+    """Texts without id or under one id are each made for their own set: as many rows as sets, not rows by rows."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(400):
+        words = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        docs += [(None if i % 2 else 5, " ".join(words)), (None if i % 3 else i, " ".join([*words, "more"]))]
+    docs += [(None, ""), (None, None), (3, " ")] * 5
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.join(df.repartition(7)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == brute_components(docs)
+    work = df.selectExpr("doc_id as key", "text", "xxhash64(text) as digest")
+    sets = jaccard._sets(work, 4).filter("n > 0")
+    wanted = sets.groupBy("sid").agg(F.min(F.struct("digest", "key")).alias("row"))
+    found = jaccard._of_sets(work, wanted, 4, "elements array<bigint>", jaccard._as_lists)
+    assert found.count() == wanted.count() == 800
+    assert max(r["count"] for r in work.join(wanted, work["digest"] == wanted["row.digest"]).groupBy("digest").count().collect()) == 1
+
+
 def brute_preference(chosen, rejected):
     n = 0
     while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
@@ -328,6 +369,7 @@ def test_queries_return_what_their_contracts_say(spark, name):
         "op2_substring_dedup": {"doc_id", "text", "removed", "n_removed"}, "op4_extract_html": {"page_id", "url", "text", "n_chars"},
         "op5_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op6_language_id": {"doc_id", "held_out", "lang_pred", "score"},
         "op9_flac_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}, "op10_quality": {"doc_id", "held_out", "score", "predicted"},
+        "op11_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     }[name]
     out = queries.QUERIES[name](spark, FEW)
     rows = out.collect()
