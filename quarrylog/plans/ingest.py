@@ -236,11 +236,20 @@ def sweep(spark: SparkSession, output: str, hours: float = 24) -> int:
 
 
 def ingest(spark: SparkSession, target: str, output: str, strict: bool = False) -> Result:
+    """Reads the files below a folder that the tables don't have yet, and the host's dumps."""
+    result = ingest_files(spark, files.manifest(spark, target, strict), output, strict)
+    if any(Path(target, p).is_file() for p in sysinfo.DUMPS.values()):
+        sysinfo.facts(sysinfo.dumps_of(spark, target)).coalesce(1).write.mode("ignore").parquet(f"{output}/sysinfo")
+    return result
+
+
+def ingest_files(spark: SparkSession, manifest: DataFrame, output: str, strict: bool = False) -> Result:
+    """Reads the files of a manifest that the tables don't have yet; the same manifest again changes nothing."""
     spark.dataSource.register(UtmpDataSource)
     spark.dataSource.register(JournalDataSource)
     info_path, run = f"{output}/info", uuid.uuid4().hex
     before = info(spark, output) if _table_exists(spark, info_path) else None
-    candidates = files.with_digest(files.manifest(spark, target, strict)).cache()
+    candidates = files.with_digest(manifest).cache()
     result = Result({}, {}, {r["path"]: r["damage"] for r in candidates.filter("damage is not null").select("path", "damage").distinct().collect()})
     for path, why in result.damaged.items():
         log.warning("%s was left out: %s", path, why)
@@ -269,8 +278,6 @@ def ingest(spark: SparkSession, target: str, output: str, strict: bool = False)
             log.warning("%s was not read: %s", kind.name, error)
             result.failed[kind.name] = str(error)[:500]
     candidates.unpersist()
-    if any(Path(target, p).is_file() for p in sysinfo.DUMPS.values()):
-        sysinfo.facts(sysinfo.dumps_of(spark, target)).coalesce(1).write.mode("ignore").parquet(f"{output}/sysinfo")
     precompute(spark, output, list(result.written))
     return result
 

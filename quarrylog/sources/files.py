@@ -1,14 +1,15 @@
 """Files of a collection as DataFrames: the manifest, text lines, whole files and archive members.
 
-The manifest's paths are listed on the driver, as names are few against lines; contents are read by tasks only.
+Folders are listed and contents are read by tasks only.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterable
 from datetime import datetime, timezone
-from pathlib import Path
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,30 +18,94 @@ from pyspark.sql import types as T
 
 from quarrylog.plans import registry
 
+FILES = "path string, size bigint, mtime timestamp"
+#: Entries that a task lists before it hands the folders left to others.
+LISTED = 20_000
 MANIFEST = "path string, log_type string, priority int, size bigint, mtime timestamp"
 #: Lines of a file that decide between log types whose names it fits.
 PROBE_BYTES = 1 << 16
 
 
+def walked(folder: str, most: float = float("inf")) -> tuple[list[tuple[str, int, datetime]], list[str]]:
+    """(path, size, mtime) of files below a folder, and the folders left to list once `most` entries have been seen.
+
+    Links to files count as files, links to folders aren't followed, unreadable folders and vanished files have none. Names may
+    begin with a dot.
+    """
+    found, folders, seen = [], deque([folder]), 0
+    while folders and seen < most:
+        try:
+            with os.scandir(folders.popleft()) as entries:
+                for entry in entries:
+                    seen += 1
+                    try:
+                        if entry.is_dir(follow_symlinks=False):
+                            folders.append(entry.path)
+                        elif entry.is_file():
+                            at = entry.stat()
+                            found.append((entry.path, at.st_size, datetime.fromtimestamp(at.st_mtime, timezone.utc)))
+                    except OSError:
+                        continue
+        except OSError:
+            continue
+    return found, list(folders)
+
+
 def listed(base: str) -> list[tuple[str, int, float]]:
-    """(path, size, mtime) of all files below a folder, sorted; an unreadable folder has none. Names may begin with a dot."""
-    root = Path(base)
-    if not root.is_dir():
-        return []
-    return sorted((str(p), p.stat().st_size, p.stat().st_mtime) for p in root.rglob("*") if p.is_file())
+    """(path, size, mtime) of all files below a folder, sorted; an unreadable folder has none."""
+    return sorted((path, size, at.timestamp()) for path, size, at in walked(base)[0])
 
 
-def manifest(spark: SparkSession, base: str, strict_compat: bool = False) -> DataFrame:
-    """One row a file and log type it may belong to; see `routed` for the decision.
+def listing(spark: SparkSession, *bases: str, most: int = LISTED) -> DataFrame:
+    """(path, size, mtime) of all files below folders, listed by tasks.
+
+    A task lists its folder breadth first and hands the folders left after `most` entries to the next round, so a small
+    collection takes one round and a large one is dealt out; the driver knows the roots and how many folders are open.
+    """
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                found, left = walked(folder, most)
+                for at in range(0, len(found), LISTED):
+                    part = found[at : at + LISTED]
+                    yield pd.DataFrame({"path": [f[0] for f in part], "size": [f[1] for f in part], "mtime": [f[2] for f in part], "folder": [None] * len(part)})
+                if left:
+                    yield pd.DataFrame({"path": [None] * len(left), "size": [None] * len(left), "mtime": [None] * len(left), "folder": left})
+
+    roots = sorted({os.path.abspath(b) for b in bases if os.path.isdir(b)})
+    open_ = spark.createDataFrame([(r,) for r in roots], "folder string").repartition(max(1, len(roots)))
+    parts = [spark.createDataFrame([], FILES)]
+    n = len(roots)
+    while n:
+        # Kept for the next round and the caller; a lost executor's folders are listed again.
+        level = open_.mapInPandas(walk, f"{FILES}, folder string").persist()
+        parts.append(level.filter("folder is null").drop("folder"))
+        open_ = level.filter("folder is not null").select("folder")
+        n = open_.count()
+        open_ = open_.repartition(max(1, min(n, 1000)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def manifest_of(found: DataFrame, strict_compat: bool = False) -> DataFrame:
+    """One row for each file (path, size, mtime) and log type it may belong to; see `routed` for the decision.
 
     With strict_compat only the type of highest precedence whose name fits.
     """
-    rows = []
-    for path, size, mtime in listed(base):
-        found = registry.types_of(path)
-        for t in found[:1] if strict_compat else found:
-            rows.append((path, t.name, registry.LOG_TYPES.index(t), size, datetime.fromtimestamp(mtime, timezone.utc)))
-    return spark.createDataFrame(rows, MANIFEST)
+
+    def types(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            fits = [registry.types_of(path)[: 1 if strict_compat else None] for path in batch["path"]]
+            rows = batch.loc[batch.index.repeat([len(f) for f in fits])]
+            kinds = [t for f in fits for t in f]
+            yield rows.assign(log_type=[t.name for t in kinds], priority=[registry.LOG_TYPES.index(t) for t in kinds])
+
+    return found.select("path", "size", "mtime").mapInPandas(types, MANIFEST)
+
+
+def manifest(spark: SparkSession, base: str, strict_compat: bool = False) -> DataFrame:
+    """The manifest of all files below a folder."""
+    return manifest_of(listing(spark, base), strict_compat)
 
 
 def examined(path: str) -> tuple[str | None, bool, str | None]:
