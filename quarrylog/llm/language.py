@@ -7,7 +7,8 @@ language of lowest cross-entropy per symbol. It is rejected where that entropy l
 language on texts kept out of the counts, wider for shorter texts.
 
 Fitting is on a bounded sample: texts whose digest falls below a rate, chosen for each language so that about
-SAMPLE_TEXTS texts and SAMPLE_BYTES bytes over all languages are expected, and LEAST_TEXTS of each language. Scoring
+SAMPLE_TEXTS texts and SAMPLE_BYTES bytes over all languages are expected, and LEAST_TEXTS of each language. A very long
+text gives the sample one piece from a place that its digest tells, so the bytes of each language are bounded too. Scoring
 reads every whole text; the n-grams of a run of texts are looked up once each, however often they stand there.
 
 Cases: a null text, an empty one and one without letters are `und`, score 0, rejected; null labels are not learned from;
@@ -34,6 +35,8 @@ SAMPLE_TEXTS = 3000
 SAMPLE_BYTES = 4 << 20
 #: Texts of each language that are expected in the sample, however many languages there are.
 LEAST_TEXTS = 20
+#: Least code points of a text that the sample takes; longer texts give a piece, longer where there are fewer languages.
+LEAST_PIECE = 500
 #: Rates of labels that are still sent to all tasks.
 BROADCAST_LABELS = 100_000
 #: Every so many sampled texts is kept for calibration.
@@ -242,20 +245,25 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 def training_sample(labelled: DataFrame, key: str, text: str, label: str, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES, least: int = LEAST_TEXTS) -> list[tuple[str, str]]:
     """(text, label) of a bounded sample: each label's rows whose digest is below the rate that gives its share.
 
-    A label's rate gives `texts` and `size` by the number of labels, but `least` texts at least, so what the driver holds is
-    bounded by these three and the number of labels; labels themselves are counted and joined as a table.
+    A label's rate gives `texts` and `size` by the number of labels, but `least` texts at least. Of a text longer than
+    size / labels / least code points (LEAST_PIECE at least) a piece of that length is taken, so the driver is sent some
+    max(size, LEAST_PIECE * least * labels) code points beside `size` bytes, however long the texts are. Labels
+    themselves are counted and joined as a table.
     """
-    rows = pick(labelled, key=labelled[key].cast("string"), text=text, label=labelled[label].cast("string")).filter("label is not null and text is not null")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    share = sizes.count()
+    share = labelled.filter(labelled[label].isNotNull()).select(labelled[label].cast("string")).distinct().count()
     if not share:
         return []
+    piece = max(LEAST_PIECE, int(size / share / max(least, 1)))
+    rows = pick(labelled, key=labelled[key].cast("string"), text=text, label=labelled[label].cast("string")).filter("label is not null and text is not null")
+    begin = F.pmod(F.xxhash64(F.lit("piece"), "text"), F.greatest(F.length("text") - piece + 1, F.lit(1))).cast("int") + 1
+    rows = rows.withColumn("piece", F.when(F.length("text") > piece, F.col("text").substr(begin, F.lit(piece))).otherwise(F.col("text")))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("piece")).alias("bytes"))
     fair = F.least(F.lit(texts / share) / F.col("n"), F.lit(size / share) / F.greatest("bytes", F.lit(1)))
     rates = sizes.select("label", F.greatest(fair, F.lit(float(least)) / F.col("n")).alias("rate"))
     rates = F.broadcast(rates) if share <= BROADCAST_LABELS else rates
     u = F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    found = rows.join(rates, "label").filter(u < F.col("rate")).select("text", "label").collect()
-    return sorted((r["text"], r["label"]) for r in found)
+    found = rows.join(rates, "label").filter(u < F.col("rate")).select("piece", "label").collect()
+    return sorted((r["piece"], r["label"]) for r in found)
 
 
 FOUND = "struct<lang_pred:string,score:double,entropy:double,rejected:boolean>"

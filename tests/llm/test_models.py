@@ -3,6 +3,7 @@
 import hashlib
 import html
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,16 @@ def test_many_languages_and_rare_ones_are_sampled(spark):
     assert language.training_sample(df.filter("doc_id < 0"), "doc_id", "text", "lang") == []
 
 
+def test_long_texts_give_the_sample_pieces(spark):
+    docs = [(i, "é" * 30_000 + f" {i} ", f"l{i % 40:02d}") for i in range(800)] + [(900, "short", "l00"), (901, None, "l00")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).selectExpr("*", "1 as piece", "'r' as rate")
+    sample = language.training_sample(df, "doc_id", "text", "lang", texts=100, size=1_000_000)
+    by_label = Counter(y for _, y in sample)
+    assert len(by_label) == 40 and {len(t) for t, _ in sample} == {1250, 5}
+    assert max(sum(len(t.encode()) for t, y in sample if y == label) for label in by_label) <= 4 * 1_000_000 / 40
+    assert sample == language.training_sample(df.repartition(2), "doc_id", "text", "lang", texts=100, size=1_000_000)
+
+
 def test_equal_languages_go_to_the_first_by_code_point(spark):
     texts = ["some words of a text", "other words in a text"] * 6
     model = language.fit(texts * 2, ["b"] * 12 + ["a"] * 12)
