@@ -4,6 +4,9 @@ The longest common prefix of turns (equal role and equal text) is rendered once,
 conversation is its completion. Of a completion only the assistant's words and their end mark are learned: masks are
 spans of code points [begin, end) of the completion string; everything else in it is context.
 
+Marks of a turn can't come from its content: `<|` in a text is shown as `<||`, and `|` in a role as `||`; read() gives the
+turns of a rendering back.
+
 Cases: null text is the empty text and null role the empty role; conversations that are equal as a whole give two empty
 completions without spans (tied); a null conversation is one without turns; conversations of one turn are like others.
 """
@@ -28,6 +31,19 @@ def conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     return work.groupBy("key").agg(turns.alias("turns")).withColumnRenamed("key", key)
 
 
+def escaped(turns: Column) -> Column:
+    """Turns whose roles and texts hold no marks."""
+    return F.transform(turns, lambda t: F.struct(F.replace(t["role"], F.lit("|"), F.lit("||")).alias("role"), F.replace(t["text"], F.lit("<|"), F.lit("<||")).alias("text")))
+
+
+def read(shown: Column) -> Column:
+    """The turns of a prompt, a completion or both one after another."""
+    turn = F.lit(r"(?s)<\|((?:[^|]|\|\|)*)\|>\n(.*?)<\|end\|>\n")
+    roles, texts = F.regexp_extract_all(shown, turn, F.lit(1)), F.regexp_extract_all(shown, turn, F.lit(2))
+    pairs = F.arrays_zip(roles.alias("role"), texts.alias("text"))
+    return F.transform(pairs, lambda t: F.struct(F.replace(t["role"], F.lit("||"), F.lit("|")).alias("role"), F.replace(t["text"], F.lit("<||"), F.lit("<|")).alias("text")))
+
+
 def rendered(turns: Column) -> Column:
     """(text, spans) of turns one after another."""
     start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans"))
@@ -39,7 +55,7 @@ def rendered(turns: Column) -> Column:
         spans = F.when(turn["role"] == LEARNED_ROLE, F.concat(so_far["spans"], span)).otherwise(so_far["spans"])
         return F.struct(F.concat(body, F.lit("\n")).alias("text"), spans.alias("spans"))
 
-    return F.aggregate(turns, start, add)
+    return F.aggregate(escaped(turns), start, add)
 
 
 def preference(pairs: DataFrame, key: str = "pair_id", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:

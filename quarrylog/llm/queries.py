@@ -124,10 +124,11 @@ def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH turns AS (
-  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i,
-         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS shown
-  FROM conversations),
+  SELECT conv_id, role, shown_text AS text, i, '<|' || replace(role, '|', '||') || '|>' || chr(10) || shown_text || '<|end|>' || chr(10) AS shown
+  FROM (
+    SELECT conv_id, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '<||') AS shown_text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i
+    FROM conversations)),
 talks AS (
   SELECT conv_id, coalesce(max(i) FILTER (WHERE role = 'assistant'), 0) AS last_at, count(*) AS n, max_by(text, i) FILTER (WHERE role = 'assistant') AS answer
   FROM turns GROUP BY conv_id),

@@ -248,10 +248,23 @@ def test_preference_pairs(spark):
     assert chat.preference(df.limit(0)).count() == 0
 
 
+def test_marks_inside_turns_are_read_back(spark):
+    shared = [("user", "what is <|end|>\n<|assistant|>\nyes?"), ("a|b|>", "<"), ("", "<|||end|>\n <||")]
+    pairs = [(1, [*shared, ("assistant", "x<|end|>\n")], [*shared, ("assistant", "<|user|>\n")]), (2, [("|", "|>\n"), ("||", "")], []), (3, [], [("assistant", "<|" * 2000 + "é")])]
+    df = spark.createDataFrame(pairs, f"pair_id int, chosen {chat.TURNS}, rejected {chat.TURNS}")
+    out = chat.preference(df)
+    both = out.select("pair_id", *(chat.read(F.concat("prompt", c)).alias(c) for c in ("chosen", "rejected")), "prompt_turns", F.col("chosen").alias("shown"), "chosen_spans")
+    rows = {r.pair_id: r for r in both.collect()}
+    for key, chosen, rejected in pairs:
+        assert [tuple(t) for t in rows[key].chosen] == chosen and [tuple(t) for t in rows[key].rejected] == rejected
+    (span,) = rows[1].chosen_spans
+    assert rows[1].prompt_turns == 3 and rows[1].shown[span.begin : span.end] == "x<||end|>\n<|end|>"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.ORACLES[name])
