@@ -843,6 +843,53 @@ def md5_first_claim(spark, d):
     return files.first_claims(found).select("doc_id")
 
 
+@query("SELECT event_id, strftime(ts, '%Y-') || CASE WHEN event_id % 3 = 0 THEN '01' ELSE strftime(ts, '%m') END || strftime(ts, '-%d %H:%M:%S') || '.000' AS shown FROM base")
+def unknown_month(spark, d):
+    month = F.when(F.col("event_id") % 3 == 0, "Foo").otherwise(stamp("MMM"))
+    return table(spark, d, "events").select("event_id", times.bsd_time(month, stamp("d"), stamp("HH:mm:ss"), F.col("ts").cast("timestamp")).alias("shown"))
+
+
+_SIZED = "o_orderkey * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 997 WHEN 2 THEN 99991 ELSE 9999991 END"
+
+
+@query(f"""
+, sized AS (SELECT o_orderkey, ({_SIZED})::BIGINT AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{{:,.1f}}', n / 1024) || ' KB'
+       WHEN n < 1073741824 THEN format('{{:,.1f}}', n / 1048576) || ' MB' ELSE format('{{:,.2f}}', n / 1073741824) || ' GB' END AS shown FROM sized""")
+def size_text(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.byte_size(F.expr(_SIZED).cast("long")).alias("shown"))
+
+
+@query("""
+SELECT 'host' || s_suppkey AS hostname, '10.' || s_nationkey || '.0.' || s_suppkey % 250 AS internal_ip, CASE WHEN s_suppkey % 2 = 0 THEN '8.8.' || s_nationkey || '.1' ELSE '' END AS external_ip,
+       '02:42:ac:11:00:' || lpad(s_nationkey::VARCHAR, 2, '0') AS mac_address, CASE WHEN s_suppkey % 3 = 0 THEN 'Ubuntu' ELSE 'Ubuntu 20.04.' || s_nationkey END AS os, '5.4.' || s_nationkey || '-generic' AS kernel, 'x86_64' AS architecture,
+       'Model ' || s_name AS cpu_model, (1 + s_nationkey % 8)::VARCHAR AS cpu_cores, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_nationkey || 'G' END AS disk_total, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '40%' END AS disk_use_pct, 'Asia/Seoul' AS timezone,
+       CASE WHEN s_suppkey % 7 = 0 THEN 'at noon' ELSE '2026-03-02 16:01:37.000' END AS collected_at, CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_nationkey::VARCHAR END AS uptime_days,
+       CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 THEN '' ELSE strftime(TIMESTAMP '2026-03-02 16:01:37' - to_days(s_nationkey::INTEGER) - INTERVAL 65 MINUTE, '%Y-%m-%d %H:%M:%S') || '.000' END AS booted_at,
+       CASE WHEN s_nationkey = 22 THEN '22, 443' WHEN s_nationkey < 22 THEN s_nationkey || ', 22, 443' ELSE '22, ' || s_nationkey || ', 443' END AS listen_ports, 'u' || s_nationkey AS collect_user
+FROM supplier""", views_=False)
+def host_facts(spark, d):
+    key, nation = (F.col(c).cast("string") for c in ("s_suppkey", "s_nationkey"))
+    odd = lambda n, this, that: F.when(F.col("s_suppkey") % n == 0, this).otherwise(that)
+    release = odd(3, "#58-Ubuntu", F.concat(F.lit("#58~20.04."), nation, F.lit("-Ubuntu")))
+    outside = odd(2, F.concat(F.lit("    inet 8.8."), nation, F.lit(".1/24 brd 8.8.8.255 scope global eth0\n")), "")
+    root = odd(5, "tmpfs 1G 0 1G 0% /run\n", F.concat(F.lit("/dev/sda1  "), nation, F.lit("G 4G 6G 40% /\n")))
+    port = lambda n: F.concat(F.lit("tcp   LISTEN 0 128 0.0.0.0:"), n, F.lit(" 0.0.0.0:*\n"))
+    dumps = {
+        "uname": F.concat(F.lit("Linux host"), key, F.lit(" 5.4."), nation, F.lit("-generic "), release, F.lit(" SMP Tue Mar 3 10:00:00 UTC 2026 x86_64 x86_64 x86_64 GNU/Linux\n")),
+        "ip": F.concat(
+            F.lit("1: lo: <UP>\n    inet 127.0.0.1/8 scope host lo\n2: eth0: <UP>\n    link/ether 02:42:ac:11:00:"), F.lpad(nation, 2, "0"), F.lit(" brd ff:ff:ff:ff:ff:ff\n    inet 10."), nation, F.lit(".0."),
+            (F.col("s_suppkey") % 250).cast("string"), F.lit("/24 brd 10.0.0.255 scope global eth0\n"), outside, F.lit("3: docker0: <UP>\n    inet 172.17.0.1/16 scope global docker0\n"),
+        ),
+        "lscpu": F.concat(F.lit("CPU(s):   "), (1 + F.col("s_nationkey") % 8).cast("string"), F.lit("\nModel name:   Model "), F.col("s_name"), F.lit("\n")),
+        "df": F.concat(F.lit("Filesystem Size Used Avail Use% Mounted on\n"), root), "timezone": F.lit("      Time zone: Asia/Seoul (KST, +0900)\n"),
+        "date": odd(7, "at noon", "Mon Mar  2 16:01:37 UTC 2026\n"), "uptime": odd(11, " 16:01:37 up 12 min, 1 user", F.concat(F.lit(" 16:01:37 up "), nation, F.lit(" days,  1:05,  1 user"))), "last": F.lit(None).cast("string"),
+        "sessions": F.concat(port(F.lit("443")), port(nation), port(F.lit("22")), port(F.lit("22")), F.lit("udp   UNCONN 0 0 0.0.0.0:53 0.0.0.0:*\n")), "whoami": F.concat(F.lit("u"), nation, F.lit("\n")),
+    }
+    found = sysinfo.facts(table(spark, d, "supplier").select(*(c.alias(k) for k, c in dumps.items())))
+    return found.drop("disk_used", "disk_avail", "last_reboot", "wtmp_begins", "analyzed_at")
+
+
 # --- web attacks -----------------------------------------------------------------------------------------------------
 
 _INJECTED = {0: "/i?id=1%27%20or%20%271", 1: "/a/%2e%2e/%2e%2e/etc/passwd", 2: "/s?q=%3CScript%3Ex", 3: "/up/shell.php?cmd=id"}
