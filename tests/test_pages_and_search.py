@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quarrylog.operators import cursors, filters, skipindex, views
+from quarrylog.plans import catalogue
 from quarrylog.plans import ingest as ing
 from quarrylog.plans.engine import Engine
 
@@ -75,3 +76,14 @@ def test_search_reads_files_that_may_match(spark, tmp_path):
     more, cursor = engine.page_behind("syslog", cursor, size=40)
     assert [r.message for r in rows + more] == [r.message for r in engine.page("syslog", size=60).rows.collect()]
     assert engine.page_at("syslog", 1, size=25).collect() == more[:25] and filters.time_column(engine.table("syslog")) == "timestamp"
+
+
+def test_page_filtered_leaves_out_one_address_only(spark, tmp_path):
+    """10.1.1.208 starts with the address that is left out."""
+    duckdb = pytest.importorskip("duckdb")
+    users = ", ".join(f"({i}, {u}, timestamp '2024-01-06 00:00:00' + interval {i} second)" for i, u in enumerate((1, 1457, 1009, 17, 1025, 103, 2)))
+    duckdb.sql(f"COPY (SELECT i::BIGINT AS event_id, t AS ts, u::BIGINT AS user_id, 'click' AS event_type, 1.0 AS value, '' AS props FROM (VALUES {users}) v(i, u, t)) TO '{tmp_path}/events.parquet'")
+    events = duckdb.read_parquet(f"{tmp_path}/events.parquet")  # noqa: F841
+    want = duckdb.sql(catalogue.ORACLES["page_filtered"]).fetchall()
+    assert {"10.1.1.208", "10.1.1.10"} <= {r[4] for r in want} and "10.1.1.2" not in {r[4] for r in want}
+    assert [tuple(r) for r in catalogue.QUERIES["page_filtered"](spark, str(tmp_path)).collect()] == want
