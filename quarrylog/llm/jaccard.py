@@ -20,7 +20,8 @@ Equal sets are one class from the start (64-bit digest of the set). Sets sharing
 the least set of its bucket; then, among sets of a bucket that those links have not joined, each pair. Before pairs are
 made of crowded buckets, sets of them are drawn and compared with the others as long as that joins many. The pairs of
 what is left are made by blocks of BLOCK sets, so a bucket of any size is many tasks. Candidates are verified on the whole element sets, after sizes and parity sketches have
-told apart most that can't link. Links are contracted to components.
+told apart most that can't link. Sketches of large sets grow with them: long texts that share a good part of their words
+are many, with the square of their number, so they are told apart within the join and not made pairs. Links are contracted to components.
 
 Cases: null or empty texts and texts without words have the empty set, which links with nothing, not even its like;
 repeated rows are equal sets and so in one component; null keys never name a component that has another key.
@@ -32,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.llm._ops import arrow_map, give_back, materialise, pick
@@ -231,17 +232,47 @@ def sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, SKETCH)
 
 
+#: Bits of the widest sketch of a large set.
+WIDE_BITS = 1 << 16
+
+
+def wide_sketches(elements: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """Parity sketch of each set of more elements than the bits of `sketches`, of 1 to 2 bits an element; else no words.
+
+    Its bits are a power of two, so one of more words folds to one of fewer by XOR of those whose places are alike.
+    """
+    size = np.diff(offsets)
+    bits = np.where(size > 64 * SKETCH, np.minimum(np.exp2(np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64), WIDE_BITS), 0)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    of = np.repeat(np.arange(len(size)), np.where(bits > 0, size, 0))
+    hashes = mix(elements[np.repeat(bits > 0, size)] ^ np.uint64(0xA0761D6478BD642F))
+    place = base[of] + (hashes & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(base[-1])) & 1
+    return pa.ListArray.from_arrays(pa.array(base // 64, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
+
+
+def _folded(words: Column, size: Column) -> Column:
+    """A wide sketch in so many words, or fewer if it has fewer."""
+    word = lambda i: F.aggregate(F.sequence(i, F.size(words) - 1, size), F.lit(0).cast("bigint"), lambda s, j: s.bitwiseXOR(words[j]))
+    return F.when(size < 1, F.slice(words, 1, 0)).when(F.size(words) <= size, words).otherwise(F.transform(F.sequence(F.lit(0), size - 1), word))
+
+
+def _differing(one: Column, two: Column) -> Column:
+    """Bits in which two wide sketches of equally many words differ."""
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+
 def _sets(work: DataFrame, k: int) -> DataFrame:
-    """(key, digest, n, sid, p0 to the sketch's last word) of every row."""
+    """(key, digest, n, sid, p0 to the sketch's last word, wide: the wide sketch's words) of every row."""
 
     def run(batch):
         for a, b, data, offsets in chunks(batch.column("text")):
             elements, at = shingle_sets(data, offsets, k)
             sketch = sketches(elements, at)
             words = {f"p{i}": np.ascontiguousarray(sketch[:, i]) for i in range(SKETCH)}
-            yield {"key": batch.column("key").slice(a, b - a), "digest": batch.column("digest").slice(a, b - a), "n": np.diff(at), "sid": signed(set_ids(elements, at)), **words}
+            yield {"key": batch.column("key").slice(a, b - a), "digest": batch.column("digest").slice(a, b - a), "n": np.diff(at), "sid": signed(set_ids(elements, at)), **words, "wide": wide_sketches(elements, at)}
 
-    return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, digest long, n long, sid long, {', '.join(f'p{i} long' for i in range(SKETCH))}")
+    return arrow_map(work, run, f"key {work.schema['key'].dataType.simpleString()}, digest long, n long, sid long, {', '.join(f'p{i} long' for i in range(SKETCH))}, wide array<bigint>")
 
 
 def _signatures(work: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -400,13 +431,16 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
-    """Rows (sig, ...) with (low, high): every two rows of a bucket meet once as left at (low, high) and right at (low, high).
+    """Rows (sig, ...) with (low, high, block): every two rows of a bucket meet once where one is of block low, the other of block high.
 
-    A bucket of n members has ceil(n / BLOCK) blocks; its pairs are dealt out by pairs of blocks.
+    A bucket of n members has ceil(n / BLOCK) blocks; its pairs are dealt out by pairs of blocks. words: those of the wide
+    sketch of the bucket's smallest set.
     """
-    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("na").alias("fewest"))
+    words = f"case when fewest <= {64 * SKETCH} then 0 else int(least(shiftleft(1L, length(bin(fewest - 1))), {WIDE_BITS}) div 64) end"
+    dealt = rows.join(sizes, "sig").withColumns({"block": F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int"), "words": F.expr(words)})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "fewest", "other")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -415,6 +449,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
     sets = materialise(_sets(work, k))
     words = [f"p{i}" for i in range(SKETCH)]
     known = materialise(sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.min(F.struct("digest", "key")).alias("row"), *(F.first(w).alias(w) for w in words)))
+    wide = materialise(sets.filter(F.size("wide") > 0).select("sid", "wide").dropDuplicates(["sid"]))
     bucket = Window.partitionBy("sig", "salt")
     shared = _signatures(work, k, num, den).withColumns({"rep": F.min("sid").over(bucket), "top": F.max("sid").over(bucket)})
     # A set alone under a salt still shares its signature with those of salt 0.
@@ -429,9 +464,16 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
     may_link = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (differ <= most)
     size = (F.col("na") + F.col("nb")).alias("size")
 
+    def with_wide(rows: DataFrame, side: str, name: str) -> DataFrame:
+        """Rows with the wide sketch of the set in column `side`, of no words for a small set."""
+        return rows.join(wide.withColumnsRenamed({"sid": side, "wide": name}), side, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
+
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and sketches allow a link: (a, b, size)."""
-        return described(described(pairs, "a"), "b").filter(may_link).select("a", "b", size)
+        found = described(described(pairs, "a"), "b").filter(may_link).select("a", "b", "na", "nb")
+        found = with_wide(with_wide(found, "a", "widea"), "b", "wideb")
+        least = F.least(F.size("widea"), F.size("wideb"))
+        return found.filter(_differing(_folded(F.col("widea"), least), _folded(F.col("wideb"), least)) <= most).select("a", "b", size)
 
     def tight(rows: DataFrame) -> DataFrame:
         """The rows of buckets whose sets are not yet one component."""
@@ -442,6 +484,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
         """(sig, sid, label) of the buckets whose sets are not yet one component."""
         return tight(members.select("sig", "sid").distinct().join(labels, members["sid"] == labels["v"], "left").select("sig", "sid", F.coalesce("label", "sid").alias("label")))
 
+    def once(own: DataFrame) -> DataFrame:
+        """One bucket of all that have the same sets: signatures of one shared part are many."""
+        of = own.groupBy("sig").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"x{i}") for i in (0, 1)))
+        return own.join(of.groupBy("n", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+
     def comparisons(own: DataFrame) -> tuple[int, int]:
         """Comparisons that all pairs of the buckets take, and the members of the buckets."""
         counted = own.groupBy("sig").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
@@ -467,11 +514,12 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, num
             break
     if n:
         # What is left: pairs across components, told apart by sizes and sketches within the join.
-        one = materialise(described(own.withColumnRenamed("sid", "a"), "a"))
-        dealt = _by_blocks(one)
-        left = dealt.filter("block <= other").withColumnsRenamed({"block": "low", "other": "high"})
-        right = dealt.filter("other <= block").withColumnsRenamed({"other": "low2", "block": "high2", "sig": "sig2", "a": "b", "na": "nb", "label": "label2", **{f"{w}a": f"{w}b" for w in words}})
-        across = (F.col("label") != F.col("label2")) & ((F.col("low") < F.col("high")) | (F.col("a") < F.col("b"))) & may_link
+        # Both sides are the same rows under the same keys, so they are shuffled once; the condition on blocks names both sides to keep it so.
+        one = materialise(described(once(own).withColumnRenamed("sid", "a"), "a"))
+        left = with_wide(_by_blocks(one), "a", "wide").withColumn("wide", _folded(F.col("wide"), F.col("words"))).drop("words")
+        right = left.withColumnsRenamed({"a": "b", "na": "nb", **{c: f"{c}2" for c in ("sig", "low", "high", "block", "label", "wide")}, **{f"{w}a": f"{w}b" for w in words}})
+        met_once = (F.col("block") - F.col("low") + F.col("high2") - F.col("block2") == 0) & ((F.col("low") < F.col("high")) | (F.col("a") < F.col("b")))
+        across = (F.col("label") != F.col("label2")) & met_once & may_link & (_differing(F.col("wide"), F.col("wide2")) <= most)
         met = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("low") == F.col("low2")) & (F.col("high") == F.col("high2")) & across)
         rest = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), size).distinct())
         labels = joined(labels, materialise(_verified(rest, known, work, k, num, den)))

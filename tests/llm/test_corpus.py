@@ -199,6 +199,49 @@ def test_mix_draws_by_row(spark):
     assert sorted((repr(r.doc_id), r.source, r.size, r.taken) for r in plain) == sorted((k, s, len(t.split()), n) for k, t, s, n in results[0])
 
 
+def test_large_sets_that_share_much_are_told_apart_in_the_join(spark, monkeypatch):
+    """Long texts that share half their words without linking: their pairs are no candidates, whatever their number."""
+    rng, seen, verified = random.Random(8), [], jaccard._verified
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    base = [f"b{i}" for i in range(1500)]
+    docs = []
+    for i in range(40):
+        at = rng.randrange(500)
+        docs.append((i, " ".join([*base[at : at + 1000], *(f"q{rng.randrange(10**7)}" for _ in range(200))])))
+    docs += [(100 + i, " ".join(edited(rng, docs[i][1].split(), 3))) for i in range(10)]
+    found = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), k=1, num=80).collect()
+    sets = {i: set(t.split()) for i, t in docs}
+    root = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.doc_id: r.component_id for r in found} == root and len(linked) >= 10
+    alike = sum(100 * len(sets[a] & sets[b]) >= 65 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    assert sum(seen) <= alike + 40, (seen, alike, len(linked))
+
+
+def test_wide_sketches_tell_no_linked_pair_apart(spark):
+    rng, rows = random.Random(9), []
+    for size in (1, 511, 512, 513, 700, 1023, 1024, 1025, 2100, 70_000):
+        a = {rng.getrandbits(64) for _ in range(size)}
+        b = {x for x in a if rng.random() > 0.1} | {rng.getrandbits(64) for _ in range(size // 10)}
+        elements = np.concatenate([np.array(sorted(s), np.uint64) for s in (a, b, a - b, b - a)])
+        at = np.cumsum([0, len(a), len(b), len(a - b), len(b - a)])
+        one, two = jaccard.wide_sketches(elements, at).to_pylist()[:2]
+        assert (len(one) > 0) == (len(a) > 512) and len(one) * 64 <= jaccard.WIDE_BITS and (len(one) * 64 >= size or len(one) in (0, 1024))
+        rows.append((one, two, len(a ^ b)))
+    least = F.least(F.size("a"), F.size("b"))
+    differing = jaccard._differing(jaccard._folded(F.col("a"), least), jaccard._folded(F.col("b"), least))
+    got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, d long").select(differing.alias("n"), "d", least.alias("words")).collect()
+    assert len(got) == 10 and all(r.n <= r.d and (r.n > 0.5 * r.d or r.words == 0) for r in got)
+
+
 def test_join_of_rows_without_ids(spark):
     """Texts without id or under one id are each made for their own set: as many rows as sets, not rows by rows."""
     rng = random.Random(11)
