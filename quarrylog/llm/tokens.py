@@ -1,17 +1,17 @@
 """Byte-level BPE: texts to token ids and back, by a table of ranks.
 
-A text is cut into words by the vocabulary's pattern. A word's bytes are merged by a fold of Spark's higher-order functions:
-its array alternates ids of pieces and ranks of the pairs between them, a step merges the first pair of least rank, and the
-two ranks beside it are looked up in a literal map from pairs of pieces to ranks (a merged piece's id is its rank, so the map
-gives both). A word that is one token comes out as that token without merging.
+A text is cut into words by the vocabulary's pattern. Many words are merged at once: the ranks of their pairs lie end to end
+in one array, a step finds the first pair of least rank of every word, merges it, and looks the two ranks beside it up in a
+hash table from pairs of pieces to ranks (a merged piece's id is its rank, so the table gives both). A word that is one token
+comes out as that token without merging.
 
-Words recur, so the frequent ones of all texts (the lexicon, LEXICON_BYTES at most, by falling count) are folded once and
-sent to all tasks, as hash arrays whose hits are compared byte by byte. Every other word is folded where it stands, in the
-same way, so the lexicon's size changes the time a text takes and never its ids. Nothing but the words that are counted is
-shuffled. Decoding lays the binary pieces of the ids end to end.
+Words recur, so the frequent ones of all texts (the lexicon, LEXICON_BYTES at most, by falling count) are merged once and
+sent to all tasks, as hash arrays whose hits are compared byte by byte. Every other word is merged by the task that has it,
+once for a run of texts and in the same way, so the lexicon's size changes the time a text takes and never its ids. Nothing
+but the words that are counted is shuffled. Decoding lays the binary pieces of the ids end to end.
 
-The fold's work grows with the square of a word's length. Words of over LONG_WORD bytes are merged with a heap by the task
-that has them, and texts with such words, or with characters that Java's Unicode tables lack, are cut into words there too.
+The steps grow with the square of a word's length, so words of over LONG_WORD bytes are merged with a heap. Texts with
+characters that Java's Unicode tables lack are cut into words by the tasks.
 
 Cases: a null text is empty and has no ids; repeated rows are encoded alike; special tokens' names are ordinary text.
 """
@@ -21,14 +21,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm import _text
@@ -36,14 +36,12 @@ from quarrylog.llm._ops import arrow_map, materialise, pick, spread
 
 #: Bytes of the lexicon's words and of what is kept beside each of them, and the longest word it takes.
 LEXICON_BYTES, BESIDE, LEXICON_WORD = 48 << 20, 40, 64
-#: Ids that are filled in, and texts that are looked up, at a time.
-RUN_IDS, LOOKED_UP = 1 << 18, 128
-#: Bytes of a word from which on a heap merges it, and characters without a border that tell there may be one.
-LONG_WORD, LONG_RUN = 256, 100
-#: Marks in the fold: no rank (greater than any id); ranks are lowered by it, so that they are less than all ids.
-NONE = 1 << 20
-#: Buckets of the literal map.
-BUCKETS = 65521
+#: Texts that are looked up at a time.
+LOOKED_UP = 256
+#: Bytes of a word from which on a heap merges it.
+LONG_WORD = 256
+#: A rank greater than any id, for pairs that make no token.
+NONE = (1 << 31) - 1
 
 
 @dataclass
@@ -106,60 +104,101 @@ def heap_merged(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _bound(value: Column, use) -> Column:  # noqa: ANN001
-    """use(value), the value being computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def folded(word: Column, vocabulary: Vocabulary) -> Column:
-    """Ids of a word."""
-    return folded_all(F.array(word), vocabulary)[0]
-
-
-def folded_all(words_: Column, vocabulary: Vocabulary) -> Column:
-    """Ids of each word of an array, as one expression; the literals are JSON texts that the optimizer turns into maps once."""
-    wide = 1 << 21  # ids and NONE lie below
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
-    for (a, b), r in vocabulary.pairs.items():
-        buckets[(a * wide + b) % BUCKETS][a * wide + b] = r - NONE
-    ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
-    bytes_ = F.from_json(F.lit(json.dumps([vocabulary.ranks[bytes([i])] for i in range(256)])), "array<bigint>")
-    return _bound(ranks, lambda table: F.transform(words_, lambda word: _folded(word, vocabulary, table, bytes_, wide)))  # the literal stands once in the plan
-
-
-def _folded(word: Column, vocabulary: Vocabulary, ranks: Column, bytes_: Column, wide: int) -> Column:
-    none, rest = F.lit(NONE).cast("bigint"), F.lit(1 << 30)
-
-    def rank(a: Column, b: Column) -> Column:
-        key = a * F.lit(wide).cast("bigint") + b
-        return F.coalesce(ranks[(key % BUCKETS).cast("int")][key], none)
-
-    n = F.octet_length(word)
-
-    def of_bytes(latin: Column) -> Column:
-        return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: bytes_[F.ascii(F.substring(latin, i, F.lit(1)))]), F.array(none))
-
-    def start(ids: Column) -> Column:
-        """Piece, rank, piece, ..., between marks, so that every pair has neighbours."""
-        paired = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(ids[i], rank(ids[i], ids[i + 1])))
-        return F.concat(F.array(none, none), F.flatten(paired), F.array(none))
-
-    def step(a: Column, _: Column) -> Column:
-        def merge(i: Column) -> Column:
-            """i: place of the least rank, from 1."""
-            new = a[i - 1] + NONE
-            beside = F.array(rank(a[i - 4], new), new, rank(new, a[i + 2]))
-            return F.flatten(F.array(F.slice(a, F.lit(1), i - 3), beside, F.slice(a, i + 3, rest)))
-
-        return F.when(F.array_min(a) >= 0, a).otherwise(_bound(F.array_position(a, F.array_min(a)).cast("int"), merge))
+class Merges:
+    """Ranks of pairs of pieces, and the merging of many words at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pairs = sorted(vocabulary.pairs.items(), key=lambda x: x[1])
+        left = np.array([a for (a, _), _ in pairs], np.uint64)
+        right = np.array([b for (_, b), _ in pairs], np.uint64)
+        ranks, keys = np.array([r for _, r in pairs], np.int32), left << np.uint64(32) | right
+        bits = max(8, 2 + len(keys).bit_length())
+        self.shift, self.none = np.uint64(64 - bits), np.uint64((1 << 64) - 1)
+        self.keys, self.ranks = np.full(1 << bits, self.none), np.full(1 << bits, NONE, np.int32)
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == self.none]
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            won = open_[self.keys[slot[open_]] == keys[open_]]
+            self.ranks[slot[won]] = ranks[won]
+            open_ = open_[self.keys[slot[open_]] != keys[open_]]
+            slot[open_] = (slot[open_] + 1) & ((1 << bits) - 1)
+        self.bytes = np.array([vocabulary.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.first = self.rank(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (_text.mix(keys) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each two tokens make."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slot = self._slot(keys)
+        out, found = self.ranks[slot], self.keys[slot]
+        open_ = np.flatnonzero(found != keys)
+        out[open_] = NONE
+        open_ = open_[found[open_] != self.none]
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[slot[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (found != self.none)]
+        return out
 
-    merged = F.aggregate(F.sequence(F.lit(2), n), _bound(_bound(F.decode(word.cast("binary"), "ISO-8859-1"), of_bytes), start), step)
-    ids = F.filter(merged, lambda x: (x >= 0) & (x < NONE)).cast("array<int>")
-    whole = F.lit(None).cast("int")
-    if vocabulary.unmerged:
-        known = F.from_json(F.lit(json.dumps({t.hex().upper(): r for t, r in vocabulary.unmerged.items()})), "map<string,int>")
-        whole = known[F.hex(word.cast("binary"))]
-    return F.when(n < 1, F.array().cast("array<int>")).when(n == 1, F.transform(F.array(word), lambda w: bytes_[F.ascii(w)].cast("int"))).when(whole.isNotNull(), F.array(whole)).otherwise(ids)
+    def merged(self, data: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Id at the first byte of each token of the words that lie end to end between the edges, -1 at all other bytes."""
+        ids = self.bytes[data]
+        many = np.flatnonzero(np.diff(edge) > 1)
+        if not len(many):
+            return ids
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data))
+        begin, end = edge[:-1][many], edge[1:][many]
+        ranks = np.full(len(data), NONE, np.int32)
+        ranks[:-1] = self.first[data[:-1].astype(np.int64) << 8 | data[1:]]
+        ranks[edge[1:][np.diff(edge) > 0] - 1] = NONE  # no pair goes beyond a word
+        # A pair's rank and place as one number, so that the least is the first of least rank; words that are done leave in time.
+        code, nothing = ranks.astype(np.int64) << 32 | np.arange(len(data)), np.int64(NONE) << 32
+        at, shift = begin, np.zeros(len(many), np.int64)
+        packed = False
+        while True:
+            least = np.minimum.reduceat(code, at)
+            live = np.flatnonzero(least < nothing)
+            if not len(live):
+                return ids
+            if not packed or 2 * len(live) < len(at):
+                size = (end - begin)[live]
+                ahead = np.cumsum(size) - size
+                code = code[np.repeat(at[live] - ahead, size) + np.arange(size.sum())]
+                begin, end, least, at, shift = begin[live], end[live], least[live], ahead, ahead - begin[live]
+                live, packed = np.arange(len(live)), True
+            place, rank, to = least[live] & 0xFFFFFFFF, (least[live] >> 32).astype(np.int32), shift[live]
+            other = after[place]
+            following, previous = after[other], before[place]
+            ids[place], ids[other], after[place], before[following] = rank, -1, following, place
+            code[other + to] = code[place + to] = nothing
+            for mine, left, right in ((following < end[live], place, following), (previous >= begin[live], previous, place)):
+                left, right = left[mine], right[mine]
+                code[left + to[mine]] = self.rank(ids[left], ids[right]).astype(np.int64) << 32 | left
+
+
+def merged_words(words_: pa.Array, vocabulary: Vocabulary, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words, end to end, and their n + 1 offsets."""
+    data, edge = _text.text_bytes(words_)
+    size = np.diff(edge)
+    whole = words_.to_pylist() if vocabulary.unmerged else []
+    apart_ = {i: [vocabulary.unmerged[w.encode()]] for i, w in enumerate(whole) if w.encode() in vocabulary.unmerged}
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        apart_.setdefault(i, None)
+    short = np.ones(len(size), bool)
+    short[list(apart_)] = False
+    ids = np.full(len(data), -1, np.int32)
+    mine = np.repeat(short, size)
+    ids[mine] = merges.merged(data[mine], np.concatenate(([0], np.cumsum(size[short]))))
+    for i, known in apart_.items():
+        known = heap_merged(data[edge[i] : edge[i + 1]].tobytes(), vocabulary) if known is None else known
+        ids[edge[i] : edge[i] + len(known)] = known
+    kept = ids >= 0
+    return ids[kept], np.concatenate(([0], np.cumsum(kept)))[edge]
 
 
 def words(text: Column, vocabulary: Vocabulary) -> Column:
@@ -167,11 +206,8 @@ def words(text: Column, vocabulary: Vocabulary) -> Column:
 
 
 def apart(text: Column) -> Column:
-    """Whether a text has long runs without a space or of white space, or characters that Java doesn't know.
-
-    The former decide on time alone; a long word that they don't tell is folded like others.
-    """
-    return F.coalesce(text.rlike(rf"(?:^| )[^ ]{{{LONG_RUN}}}|[ \t-\r]{{{LONG_RUN}}}|[\x{{300}}-\x{{10FFFF}}&&\p{{Cn}}]"), F.lit(False))
+    """Whether a text has characters that Java doesn't know."""
+    return F.coalesce(text.rlike(r"[\x{300}-\x{10FFFF}&&\p{Cn}]"), F.lit(False))
 
 
 class Lexicon:
@@ -219,8 +255,8 @@ class Lexicon:
         return out
 
 
-def lexicon(docs: DataFrame, vocabulary: Vocabulary, limit: int = LEXICON_BYTES) -> Lexicon:
-    """The words (of docs with columns words and apart) that occur 2 ** k times and more, for the least k from 1 that fits the limit."""
+def lexicon(docs: DataFrame, vocabulary: Vocabulary, shared: Broadcast, limit: int = LEXICON_BYTES) -> Lexicon:
+    """The words (of docs with a column words) that occur 2 ** k times and more, for the least k from 1 that fits the limit."""
     # explode_outer, as a filter on the words, inferred from explode, would cut every text twice
     counted = docs.select(F.explode_outer("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = materialise(counted.filter(f"word is not null and n > 1 and octet_length(word) <= {LEXICON_WORD}").withColumn("k", F.floor(F.log2("n")).cast("int")))
@@ -231,7 +267,12 @@ def lexicon(docs: DataFrame, vocabulary: Vocabulary, limit: int = LEXICON_BYTES)
         if total > limit:
             break
         least = k
-    return Lexicon(spread(counted).filter(F.col("k") >= least).select("word", folded(F.col("word"), vocabulary).alias("ids")).toArrow())
+
+    def merge(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids, at = merged_words(batch.column("word"), *shared.value)
+        yield {"word": batch.column("word"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))}
+
+    return Lexicon(arrow_map(spread(counted).filter(F.col("k") >= least).select("word"), merge, "word string, ids array<int>").toArrow())
 
 
 def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -239,8 +280,8 @@ def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     return values[np.repeat(first - ahead, size) + np.arange(size.sum())]
 
 
-def _looked_up(column: pa.ListArray, known: Lexicon, vocabulary: Vocabulary) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
-    """(first row, end row, ids with -1 for a word that isn't known, those words) of runs of rows of words."""
+def _looked_up(column: pa.ListArray, known: Lexicon, vocabulary: Vocabulary, merges: Merges) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """(first row, end row, ids) of runs of rows of words."""
     at = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
     every = column.flatten()
     data, edge = _text.text_bytes(every)
@@ -248,93 +289,53 @@ def _looked_up(column: pa.ListArray, known: Lexicon, vocabulary: Vocabulary) ->
     while row < n:
         end = max(row + 1, min(n, int(np.searchsorted(edge[at], edge[at[row]] + _text.CHUNK_BYTES, "right")) - 1))
         a, b = at[row], at[end]
-        begin, stop = edge[a:b] - edge[a], edge[a + 1 : b + 1] - edge[a]
-        own = data[edge[a] : edge[b]]
-        place = known.find(own, begin, stop)
-        ids, first, size = known.ids, known.first, known.size
-        long_ones = np.flatnonzero((place < 0) & (stop - begin > LONG_WORD))
-        if len(long_ones):
-            merged = [vocabulary.ranks.get(w, None) if (w := own[begin[i] : stop[i]].tobytes()) in vocabulary.unmerged else heap_merged(w, vocabulary) for i in long_ones]
-            merged = [[m] if isinstance(m, int) else m for m in merged]
-            sizes = np.array([len(m) for m in merged])
-            place[long_ones] = len(first) + np.arange(len(merged))
-            first, size = np.concatenate((first, len(ids) + np.cumsum(sizes) - sizes)), np.concatenate((size, sizes))
-            ids = np.concatenate((ids, *(np.array(m, np.int32) for m in merged)))
-        unknown = place < 0
-        if unknown.any():
-            place[unknown] = len(first)
-            first, size, ids = np.append(first, len(ids)), np.append(size, 1), np.append(ids, np.int32(-1))
-        took = size[place]
+        place = known.find(data[edge[a] : edge[b]], edge[a:b] - edge[a], edge[a + 1 : b + 1] - edge[a])
+        ids, unknown = known.ids, np.flatnonzero(place < 0)
+        first, took = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        found = np.flatnonzero(place >= 0)
+        first[found], took[found] = known.first[place[found]], known.size[place[found]]
+        if len(unknown):
+            rare = every.take(pa.array(unknown + a)).dictionary_encode()
+            which = np.asarray(rare.indices)
+            more, bounds = merged_words(rare.dictionary, vocabulary, merges)
+            first[unknown], took[unknown] = len(ids) + bounds[which], np.diff(bounds)[which]
+            ids = np.concatenate((ids, more))
         bounds = np.concatenate(([0], np.cumsum(took)))[at[row : end + 1] - a]
-        lacking = np.concatenate(([0], np.cumsum(unknown)))[at[row : end + 1] - a]
-        found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_gathered(ids, first[place], took), pa.int32()))
-        yield row, end, found, pa.ListArray.from_arrays(pa.array(lacking, pa.int32()), every.take(pa.array(np.flatnonzero(unknown) + a)))
+        yield row, end, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_gathered(ids, first, took), pa.int32()))
         row = end
 
 
-def _filled(column: pa.ListArray, more: pa.ListArray) -> pa.ListArray:
-    """Ids with each -1 replaced by the next list of ids of its row."""
-    at, ids = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py(), np.asarray(column.flatten(), np.int32)
-    hole = ids < 0
-    if not hole.any():
-        return column
-    lists = more.flatten()
-    values, edge = np.asarray(lists.flatten(), np.int32), np.asarray(lists.offsets, np.int64)
-    first, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
-    first[hole], size[hole] = len(ids) + edge[:-1] - edge[0], np.diff(edge)
-    bounds = np.concatenate(([0], np.cumsum(size)))[at]
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(_gathered(np.concatenate((ids, values)), first, size), pa.int32()))
-
-
-def _coded(df: DataFrame, vocabulary: Vocabulary, key: str, text: str, limit: int) -> DataFrame:
-    """(key, ids with -1 for each word that the lexicon lacks, ids of those words) of every row."""
+def _coded(df: DataFrame, vocabulary: Vocabulary, key: str, text: str, limit: int, use: Callable[[pa.Array, pa.ListArray], dict], columns: str) -> DataFrame:
+    """(key and columns) of every row: what `use` makes of the keys and ids of a run of rows."""
     spark = df.sparkSession
     work = pick(df, key=key, text=F.coalesce(df[text], F.lit(""))).withColumn("apart", apart(F.col("text")))
     work = work.select("key", "apart", F.when(F.col("apart"), F.col("text")).alias("text"), F.when(~F.col("apart"), words(F.col("text"), vocabulary)).alias("words"))
-    shared = spark.sparkContext.broadcast((lexicon(work, vocabulary, limit), vocabulary))
+    vocabulary.unmerged  # noqa: B018  found once, here, and sent along
+    ranks = spark.sparkContext.broadcast((vocabulary, Merges(vocabulary)))
+    shared = spark.sparkContext.broadcast(lexicon(work, vocabulary, ranks, limit))
 
     def look_up(batch: pa.RecordBatch) -> Iterator[dict]:
         import regex
 
-        known, vocab = shared.value
+        known, (vocab, merges) = shared.value, ranks.value
         for at in range(0, batch.num_rows, LOOKED_UP):
             own = batch.slice(at, LOOKED_UP)
             mine = own.column("apart")
             plain = own.filter(pa.compute.invert(mine)) if pa.compute.any(mine).as_py() else own
-            for a, b, ids, lacking in _looked_up(plain.column("words"), known, vocab) if plain.num_rows else ():
-                yield {"key": plain.column("key").slice(a, b - a), "ids": ids, "lacking": lacking}
+            for a, b, ids in _looked_up(plain.column("words"), known, vocab, merges) if plain.num_rows else ():
+                yield use(plain.column("key").slice(a, b - a), ids)
             for key_, text_, here in zip(own.column("key"), own.column("text"), mine, strict=True):
                 if here.as_py():
                     cut = pa.array([regex.findall(vocab.pattern, text_.as_py())], pa.list_(pa.string()))
-                    for _, _, ids, lacking in _looked_up(cut, known, vocab):
-                        yield {"key": pa.array([key_.as_py()], own.schema.field("key").type), "ids": ids, "lacking": lacking}
+                    for _, _, ids in _looked_up(cut, known, vocab, merges):
+                        yield use(pa.array([key_.as_py()], own.schema.field("key").type), ids)
 
-    key_type = work.schema["key"].dataType.simpleString()
-    found = arrow_map(work, look_up, f"key {key_type}, ids array<int>, lacking array<string>")
-    return found.select("key", "ids", folded_all(F.col("lacking"), vocabulary).alias("folded"))
-
-
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
-    """(keys, ids) of runs of a coded batch's rows."""
-    column = batch.column("ids")
-    at = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py()
-    row = 0
-    while row < batch.num_rows:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_IDS, "right")) - 1)
-        own = batch.slice(row, end - row)
-        yield own.column("key"), _filled(own.column("ids"), own.column("folded"))
-        row = end
+    return arrow_map(work, look_up, f"key {work.schema['key'].dataType.simpleString()}, {columns}").withColumnRenamed("key", key)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", limit: int = LEXICON_BYTES) -> DataFrame:
     """(key, ids) of every row."""
-    coded = _coded(df, vocabulary, key, text, limit)
-
-    def fill(batch: pa.RecordBatch) -> Iterator[dict]:
-        for keys, ids in _runs(batch):
-            yield {"key": keys, "ids": ids}
-
-    return arrow_map(coded, fill, f"key {coded.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return _coded(df, vocabulary, key, text, limit, lambda keys, column: {"key": keys, "ids": column}, "ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -352,19 +353,16 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids:
 
 def digest(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", limit: int = LEXICON_BYTES) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row: hashes of its ids as text and of what they decode to."""
-    coded = _coded(df, vocabulary, key, text, limit)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary.pieces)
-
-    def hashed(batch: pa.RecordBatch) -> Iterator[dict]:
-        pieces = shared.value
-        shown = [str(i).encode() for i in range(len(pieces))]
-        for keys, column in _runs(batch):
-            at, flat = np.asarray(column.offsets, np.int64) - column.offsets[0].as_py(), column.flatten()
-            out: dict[str, list] = {"n_tokens": np.diff(at).tolist(), "ids_sha256": [], "decoded_sha256": []}
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                own = np.asarray(flat[a:b]).tolist()
-                out["ids_sha256"].append(hashlib.sha256(b",".join(map(shown.__getitem__, own))).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest())
-            yield {"key": keys} | out
-
-    return arrow_map(coded, hashed, f"key {coded.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary.pieces, [str(i).encode() for i in range(len(vocabulary.pieces))]))
+
+    def hashed(keys: pa.Array, column: pa.ListArray) -> dict:
+        pieces, shown = shared.value
+        at, flat = np.asarray(column.offsets, np.int64), np.asarray(column.values)
+        out: dict[str, list] = {"n_tokens": np.diff(at).tolist(), "ids_sha256": [], "decoded_sha256": []}
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own = flat[a:b].tolist()
+            out["ids_sha256"].append(hashlib.sha256(b",".join(map(shown.__getitem__, own))).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join(map(pieces.__getitem__, own))).hexdigest())
+        return {"key": keys} | out
+
+    return _coded(df, vocabulary, key, text, limit, hashed, "n_tokens long, ids_sha256 string, decoded_sha256 string")

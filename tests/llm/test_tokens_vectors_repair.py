@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -61,6 +62,23 @@ def test_bpe_looks_up_whole_words_first(spark):
     assert {r.doc_id: r.ids for r in tokens.encode(df, odd).collect()} == {1: [300], 2: [97, 290, 100, 101], 3: [290, 97]}
 
 
+def test_many_words_are_merged_at_once(spark, vocabulary):
+    """Words of all sizes in one array of ranks give the library's ids, and only characters that Java lacks keep a text from Spark's cut."""
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = random.Random(3)
+    some = ["a", "", " the", "é", "日本語", "aaaaaaaaab" * 25, "ab" * 128, "ab" * 129]
+    some += ["".join(rng.choice("abcdefghinorst éñß日") for _ in range(rng.choice((1, 2, 3, 9, 14, 60, 200)))) for _ in range(2000)]
+    merges = tokens.Merges(vocabulary)
+    for given in (some, some[:1], some[1:2], []):
+        ids, at = tokens.merged_words(pa.array(given, pa.string()), vocabulary, merges)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [library.encode_ordinary(w) for w in given]
+    a, b = np.array([x for x, _ in vocabulary.pairs]), np.array([y for _, y in vocabulary.pairs])
+    assert merges.rank(a, b).tolist() == list(vocabulary.pairs.values())
+    assert (merges.rank(a, np.full(len(a), 1 << 20)) == tokens.NONE).all()
+    df = spark.createDataFrame([("x" * 3000,), (" " * 3000,), ("plain",), ("a\U000e0080b",), (None,)], "text string")
+    assert [r[0] for r in df.select(tokens.apart(df["text"])).collect()] == [False, False, False, True, False]
+
+
 def brute_codes(rows, entries=64):
     """Codes, errors and codebooks of (vec_id, vector) by complete distances in Python integers."""
     ints = [[int(np.floor(float(x) * 256)) for x in v] for _, v in sorted(rows)]
