@@ -20,6 +20,7 @@ equal scores; without labelled rows of both classes every score is the share of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,8 +97,8 @@ def distinct(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[n
     return one, which.ravel()
 
 
-def triples(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, cell and weight of the letter triples of each word, equal triples of a word summed."""
+def _shapes(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Word and cell of the letter triples of each word, and their weight, one yield for each way a triple can lie."""
     size = end - begin + 2
     start = np.concatenate(([0], np.cumsum(size)))
     text = np.full(int(start[-1]), _BEGIN, np.uint64)
@@ -107,14 +108,19 @@ def triples(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
     text[start[1:] - 1] = _END
     word = np.repeat(np.arange(len(begin)), size)
     left = np.repeat(start[1:], size) - np.arange(len(text))  # letters from here to the word's end
-    keys, weights = [], []
     for c in range(2, SPAN):
         rows = np.flatnonzero(left > c)
         base = text[rows] * np.uint64(0x9E3779B97F4A7C15) + text[rows + c] * np.uint64(0xC2B2AE3D27D4EB4F)
         for b in range(1, c):
-            code = mix(base + text[rows + b] * np.uint64(0x165667B19E3779F9 | 1)) & np.uint64(CELLS - 1)
-            keys.append(word[rows].astype(np.uint64) * np.uint64(CELLS) + code)
-            weights.append(np.full(len(rows), DECAY ** (c + 1)))
+            yield word[rows], mix(base + text[rows + b] * np.uint64(0x165667B19E3779F9 | 1)) & np.uint64(CELLS - 1), DECAY ** (c + 1)
+
+
+def triples(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, cell and weight of the letter triples of each word, equal triples of a word summed."""
+    keys, weights = [], []
+    for word, code, weight in _shapes(letters, begin, end):
+        keys.append(word.astype(np.uint64) * np.uint64(CELLS) + code)
+        weights.append(np.full(len(word), weight))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     keys, weights = np.concatenate(keys), np.concatenate(weights)
@@ -140,6 +146,31 @@ class Landmarks:
         self.matrix[at.ravel(), word] = weight / np.maximum(norm, 1e-9)[word]
         self.row = np.full(CELLS, -1, np.int32)
         self.row[self.cells] = np.arange(len(self.cells))
+        # The matrix by its entries, cell by cell.
+        row, self.mark = np.nonzero(self.matrix)
+        self.entry, self.first = self.matrix[row, self.mark].astype(np.float64), np.searchsorted(row, np.arange(len(self.cells) + 1))
+
+    def candidates(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The words whose kernel with a landmark may reach NEAR ** POWER, and few others.
+
+        A word's norm is at least that of its triples not summed, which its length alone tells, so nothing is sorted or
+        divided; no word that reaches it is left out.
+        """
+        out = [np.zeros(0, np.int64)]
+        for s in range(0, len(begin), 4000):  # and way by way, so the products of long words stay small too
+            b, e = begin[s : s + 4000], end[s : s + 4000]
+            products = np.zeros(len(b) * self.n)
+            for word, cell, weight in _shapes(letters, b, e):
+                row = self.row[cell]
+                shared = np.flatnonzero(row >= 0)
+                row, word = row[shared], word[shared]
+                size = self.first[row + 1] - self.first[row]
+                ahead = np.cumsum(size) - size
+                at = np.repeat(self.first[row] - ahead, size) + np.arange(int(size.sum()))
+                products += np.bincount(np.repeat(word * self.n, size) + self.mark[at], weight * self.entry[at], len(products))
+            least = sum((c - 1) * np.maximum(e - b + 2 - c, 0) * DECAY ** (2 * c + 2) for c in range(2, SPAN))
+            out.append(s + np.flatnonzero(products.reshape(len(b), self.n).max(1, initial=0) >= (NEAR - 1e-4) * np.sqrt(least)))
+        return np.concatenate(out)
 
     def kernel(self, letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.zeros((len(begin), self.n), np.float32)
@@ -166,10 +197,12 @@ def _kernels(sets: list[Landmarks], letters: np.ndarray, begin: np.ndarray, end:
     rows, values = [], []
     for s in range(0, len(begin), 20_000):
         b, e = begin[s : s + 20_000], end[s : s + 20_000]
-        first = sets[0].kernel(letters, b, e)
-        near = np.flatnonzero(first.max(1, initial=0) >= NEAR**POWER)
+        near = sets[0].candidates(letters, b, e)
+        first = sets[0].kernel(letters, b[near], e[near])
+        reached = first.max(1, initial=0) >= NEAR**POWER
+        near = near[reached]
         rows.append(s + near)
-        values.append(np.concatenate((first[near], sets[1].kernel(letters, b[near], e[near])), 1))
+        values.append(np.concatenate((first[reached], sets[1].kernel(letters, b[near], e[near])), 1))
     width = sum(m.n for m in sets)
     return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros((0, width), np.float32)]).astype(np.float64)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import zlib
 from collections import Counter
 
@@ -243,6 +244,26 @@ def test_classes_missing_ties_and_odd_tables(spark):
         assert module.classify(docs.limit(0), model).count() == 0
 
 
+def test_candidates_leave_out_no_near_word_and_most_others():
+    rng = random.Random(8)
+    marks = ["moron", "idiot", "banana", "aaaaaaaa", "clown" * 4]
+    words = [*marks, "a", "xyz", "bananananana", "aaaa", "m" * 24, "moroon", "mron"]
+    words += ["".join(rng.choice("moridtcwna") for _ in range(rng.randrange(1, 25))) for _ in range(9000)]
+    words += ["".join(rng.choice("bcefghjkqsuvxyz") for _ in range(rng.randrange(1, 25))) for _ in range(9000)]
+    rng.shuffle(words)
+    code = lambda some: (np.array([ord(c) for c in "".join(some)], np.uint32), np.cumsum([0, *map(len, some)]))
+    own, at = code(marks)
+    sets = [toxicity.Landmarks(own, at[:4], at[1:5]), toxicity.Landmarks(own, at[4:5], at[5:])]
+    text, edge = code(words)
+    whole = np.concatenate([m.kernel(text, edge[:-1], edge[1:]) for m in sets], 1)
+    near = np.flatnonzero(whole[:, :4].max(1) >= toxicity.NEAR**toxicity.POWER)
+    found = sets[0].candidates(text, edge[:-1], edge[1:])
+    assert set(near) <= set(found) and len(near) > 20 and len(found) < len(words) / 4
+    rows, values = toxicity._kernels(sets, text, edge[:-1], edge[1:])
+    assert rows.tolist() == near.tolist() and np.allclose(values, whole[near], atol=1e-6)
+    assert len(sets[0].candidates(text, edge[:0], edge[:0])) == 0
+
+
 def test_string_kernel_prefers_the_nearer_word():
     marks = np.array([ord(c) for c in "moron"], np.uint32)
     kernel = toxicity.Landmarks(marks, np.array([0]), np.array([5]))
