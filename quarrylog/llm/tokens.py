@@ -183,22 +183,22 @@ class Merges:
 
 def merged_words(words_: pa.Array, vocabulary: Vocabulary, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words, end to end, and their n + 1 offsets."""
-    data, edge = _text.text_bytes(words_)
-    size = np.diff(edge)
-    whole = words_.to_pylist() if vocabulary.unmerged else []
-    apart_ = {i: [vocabulary.unmerged[w.encode()]] for i, w in enumerate(whole) if w.encode() in vocabulary.unmerged}
-    for i in np.flatnonzero(size > LONG_WORD).tolist():
-        apart_.setdefault(i, None)
-    short = np.ones(len(size), bool)
-    short[list(apart_)] = False
-    ids = np.full(len(data), -1, np.int32)
-    mine = np.repeat(short, size)
-    ids[mine] = merges.merged(data[mine], np.concatenate(([0], np.cumsum(size[short]))))
-    for i, known in apart_.items():
-        known = heap_merged(data[edge[i] : edge[i + 1]].tobytes(), vocabulary) if known is None else known
-        ids[edge[i] : edge[i] + len(known)] = known
-    kept = ids >= 0
-    return ids[kept], np.concatenate(([0], np.cumsum(kept)))[edge]
+    out, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for first, last, data, edge in _text.chunks(words_):
+        size = np.diff(edge)
+        whole = words_.slice(first, last - first).to_pylist() if vocabulary.unmerged else []
+        known = {i: [vocabulary.unmerged[w.encode()]] for i, w in enumerate(whole) if w.encode() in vocabulary.unmerged}
+        known |= {i: heap_merged(data[edge[i] : edge[i + 1]].tobytes(), vocabulary) for i in np.flatnonzero(size > LONG_WORD).tolist() if i not in known}
+        short = np.ones(len(size), bool)
+        short[list(known)] = False
+        ids, mine = np.full(len(data), -1, np.int32), np.repeat(short, size)
+        ids[mine] = merges.merged(data[mine], np.concatenate(([0], np.cumsum(size[short]))))
+        for i, own in known.items():
+            ids[edge[i] : edge[i] + len(own)] = own
+        kept = ids >= 0
+        out.append(ids[kept])
+        sizes.append(np.diff(np.concatenate(([0], np.cumsum(kept)))[edge]))
+    return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
 
 def words(text: Column, vocabulary: Vocabulary) -> Column:

@@ -69,7 +69,8 @@ def test_many_words_are_merged_at_once(spark, vocabulary):
     some = ["a", "", " the", "é", "日本語", "aaaaaaaaab" * 25, "ab" * 128, "ab" * 129]
     some += ["".join(rng.choice("abcdefghinorst éñß日") for _ in range(rng.choice((1, 2, 3, 9, 14, 60, 200)))) for _ in range(2000)]
     merges = tokens.Merges(vocabulary)
-    for given in (some, some[:1], some[1:2], []):
+    many = ["".join(rng.choice("abcdefgh") for _ in range(240)) for _ in range(5000)]  # more than one block of bytes
+    for given in (some, some[:1], some[1:2], [], many):
         ids, at = tokens.merged_words(pa.array(given, pa.string()), vocabulary, merges)
         assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [library.encode_ordinary(w) for w in given]
     a, b = np.array([x for x, _ in vocabulary.pairs]), np.array([y for _, y in vocabulary.pairs])
